@@ -200,6 +200,3 @@ def q_equation_accuracy(spark, sf_dir):
     s = parse.parse_outputs(fx.svamp_full(spark, sf_dir), "svamp", "palm", label_col="llm_label")
     return metrics.equation_accuracy(s, "llm_label", "equation", group=())
 
-from curatio.plans import catalog_pages  # noqa: E402,F401  (registers more queries)
-from curatio.plans import catalog_tokens  # noqa: E402,F401
-from curatio.plans import catalog_io  # noqa: E402,F401
