@@ -15,23 +15,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.session import scratch_path
+from curatio.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
 _MAX_BROADCAST_PARTS = 1_000_000   # offsets table rows; ~24 MB at the bound
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared checkpoint folder and read it back.
+    """Reliable checkpoint of ``df`` into the shared ``spark.checkpoint.dir`` folder.
 
     Range partitioning samples its bounds with a seed tied to the RDD, so two branches of
     one plan that each recompute it can disagree, and a lost executor could recompute a
-    partition differently.  Numbering from a written table makes positions fixed data and
-    cuts the lineage.
+    partition differently.  Numbering from checkpointed data makes positions fixed data
+    and cuts the lineage; the checkpoint keeps the range partitioning and sort order, so
+    later operators on the same key need no new exchange.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _cols(cols) -> list[Column]:

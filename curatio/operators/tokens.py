@@ -68,25 +68,39 @@ def _token_id(word: Column, vid: Column) -> Column:
 
 def encode(df: DataFrame, keys: Sequence[str], text_cols: dict[str, str], vocab: DataFrame,
            max_length: int, prefixes: dict[str, str] | None = None,
-           masks: dict[str, str] | None = None) -> DataFrame:
+           masks: dict[str, str] | None = None, prepartitioned: bool = False) -> DataFrame:
     """Add one id array per ``text_cols`` entry (source column → output column).
 
     Each sequence is ``[prefix ids] + text ids`` cut to ``max_length - 1``, then end of
-    sequence.  The body is encoded once and shared by all prefixes.  ``masks`` maps an id
-    column to an attention-mask column (all ones).
+    sequence.  ``masks`` maps an id column to an attention-mask column (all ones).
     """
     prefixes = prefixes or {}
+    specs = [(src, dst, max_length, prefixes.get(dst)) for src, dst in text_cols.items()]
+    return encode_many(df, keys, specs, vocab, masks, prepartitioned)
+
+
+def encode_many(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, str, int, str | None]],
+                vocab: DataFrame, masks: dict[str, str] | None = None,
+                prepartitioned: bool = False) -> DataFrame:
+    """Several encodings in one pass: ``specs`` = (source, output, max_length, prefix or None).
+
+    A source column is tokenised and looked up once, however many outputs use it (the
+    predict and explain inputs share one body).  The input is hash-partitioned by the key
+    once (skipped when ``prepartitioned``); explode, broadcast lookup, ordered regroup and
+    join back then run inside that partitioning.
+    """
     keys = list(keys)
     vocab_b = F.broadcast(vocab.select("word", F.col("id").alias("_vid")))
-    base = df.repartition(*[F.col(k) for k in keys])
+    base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
     out = base
+    need: dict[str, int] = {}
+    for src, _, mlen, _ in specs:
+        need[src] = max(need.get(src, 0), mlen)
     bodies: dict[str, str] = {}
-    for src, dst in text_cols.items():
-        if src in bodies:
-            continue
+    for src, mlen in need.items():
         body = f"_ids_{len(bodies)}"
         bodies[src] = body
-        ex = base.select(*keys, F.posexplode(F.slice(tokens(src), 1, max_length - 1)).alias("_p", "word"))
+        ex = base.select(*keys, F.posexplode(F.slice(tokens(src), 1, mlen - 1)).alias("_p", "word"))
         ids = (ex.join(vocab_b, "word", "left")
                .select(*keys, "_p", _token_id(F.col("word"), F.col("_vid")).alias("_id"))
                .groupBy(*keys)
@@ -94,12 +108,11 @@ def encode(df: DataFrame, keys: Sequence[str], text_cols: dict[str, str], vocab:
                .select(*keys, F.transform("_s", lambda x: x["_id"]).alias(body)))
         out = out.join(ids, keys, "left")
         out = out.withColumn(body, F.coalesce(F.col(body), F.array().cast("array<int>")))
-    for src, dst in text_cols.items():
+    for src, dst, mlen, pre in specs:
         seq = F.col(bodies[src])
-        pre = prefixes.get(dst)
         if pre:
             seq = F.concat(_prefix_ids(vocab, pre), seq)
-        out = out.withColumn(dst, F.concat(F.slice(seq, 1, max_length - 1), F.array(F.lit(EOS_ID))))
+        out = out.withColumn(dst, F.concat(F.slice(seq, 1, mlen - 1), F.array(F.lit(EOS_ID))))
     for ids_col, mask_col in (masks or {}).items():
         out = out.withColumn(mask_col, F.transform(ids_col, lambda _: F.lit(1)))
     return out.drop(*bodies.values())
@@ -119,11 +132,12 @@ def _prefix_ids(vocab: DataFrame, prefix: str) -> Column:
     return arr(*parts) if parts else F.array().cast("array<int>")
 
 
-def decode(df: DataFrame, keys: Sequence[str], ids_col: str, vocab: DataFrame, out_col: str) -> DataFrame:
+def decode(df: DataFrame, keys: Sequence[str], ids_col: str, vocab: DataFrame, out_col: str,
+           prepartitioned: bool = False) -> DataFrame:
     """Ids → text, special and unknown ids skipped, words joined by a space."""
     keys = list(keys)
     vocab_b = F.broadcast(vocab.select(F.col("id").alias("_id"), "word"))
-    base = df.repartition(*[F.col(k) for k in keys])
+    base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
     ex = base.select(*keys, F.posexplode(ids_col).alias("_p", "_id")).where(F.col("_id") >= FIRST_WORD_ID)
     txt = (ex.join(vocab_b, "_id")
            .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "word"))).alias("_s"))

@@ -284,10 +284,22 @@ def q_doc_text_concat(spark, sf_dir):
 # --- dealing out: split inputs are the split listing plus its label and state lines ------
 
 def split_inputs(spark, sf_dir):
+    """Images of the split listing with the Label.txt and fileState.txt lines written for them.
+
+    The label file is an input of the split stage; it is built here by grouping detections
+    per image directly (the page_entries query checks the offset-based regroup).
+    """
     imgs = split_images(spark, sf_dir)
     imgs = imgs.withColumn("page_no", F.regexp_extract("path", r"_page_([0-9]+)\.[^./]*$", 1).cast("bigint"))
     dets = detections_with_points(spark, sf_dir)
-    e = pages.page_entries(imgs, dets.drop("text"), recognitions_for(imgs, dets))
+    grouped = (dets.groupBy("page_no")
+               .agg(F.sort_array(F.collect_list(F.struct("poly_idx", F.col("text").alias("transcription"),
+                                                         "points"))).alias("_e")))
+    e = (imgs.select("row_pos", "path", "page_no").join(grouped, "page_no", "left")
+         .withColumn("entries", F.transform(F.coalesce("_e", F.array().cast(grouped.schema["_e"].dataType)),
+                                            lambda x: F.struct(x["transcription"].alias("transcription"),
+                                                               x["points"].alias("points"),
+                                                               F.lit(False).alias("difficult")))))
     return imgs, pages.label_lines(e), pages.file_state_lines(imgs)
 
 

@@ -38,19 +38,16 @@ def nli_vocab(spark, sf_dir, prep=None) -> DataFrame:
 def encoded_nli(spark, sf_dir, mode: str) -> DataFrame:
     prep = nli_prep(spark, sf_dir)
     vocab = nli_vocab(spark, sf_dir, prep)
+    li, lt = tokens.MAX_INPUT_LENGTH, tokens.MAX_TARGET_LENGTH
     if mode == "task_prefix":
-        enc = tokens.encode(prep, ["split", "row_pos"], {"input": "input_ids"}, vocab, tokens.MAX_INPUT_LENGTH,
-                            prefixes={"input_ids": "predict:"}, masks={"input_ids": "attention_mask"})
-        enc = tokens.encode(enc, ["split", "row_pos"], {"input": "expl_input_ids"}, vocab,
-                            tokens.MAX_INPUT_LENGTH, prefixes={"expl_input_ids": "explain:"},
-                            masks={"expl_input_ids": "expl_attention_mask"})
-        enc = tokens.encode(enc, ["split", "row_pos"], {"label": "labels", "rationale": "aux_labels"}, vocab,
-                            tokens.MAX_TARGET_LENGTH)
+        specs = [("input", "input_ids", li, "predict:"), ("input", "expl_input_ids", li, "explain:"),
+                 ("label", "labels", lt, None), ("rationale", "aux_labels", lt, None)]
+        enc = tokens.encode_many(prep, KEYS, specs, vocab,
+                                 masks={"input_ids": "attention_mask", "expl_input_ids": "expl_attention_mask"})
         return enc.select("split", "row_pos", "input_ids", "attention_mask", "expl_input_ids",
                           "expl_attention_mask", "labels", "aux_labels")
-    enc = tokens.encode(prep, ["split", "row_pos"], {"input": "input_ids"}, vocab, tokens.MAX_INPUT_LENGTH,
-                        masks={"input_ids": "attention_mask"})
-    enc = tokens.encode(enc, ["split", "row_pos"], {"label": "labels"}, vocab, tokens.MAX_TARGET_LENGTH)
+    specs = [("input", "input_ids", li, None), ("label", "labels", lt, None)]
+    enc = tokens.encode_many(prep, KEYS, specs, vocab, masks={"input_ids": "attention_mask"})
     return enc.select("split", "row_pos", "input_ids", "attention_mask", "labels")
 
 
@@ -253,7 +250,7 @@ def q_decode_ids(spark, sf_dir):
     prep = nli_prep(spark, sf_dir)
     vocab = nli_vocab(spark, sf_dir, prep)
     enc = tokens.encode(prep, KEYS, {"label": "labels"}, vocab, 256)
-    return tokens.decode(enc, KEYS, "labels", vocab, "text").select(*KEYS, "text")
+    return tokens.decode(enc, KEYS, "labels", vocab, "text", prepartitioned=True).select(*KEYS, "text")
 
 
 _B_LLM = ("b_llm", body_sql("prep", KEYS, "llm_label", 256))
@@ -270,8 +267,8 @@ def q_decoded_text_accuracy(spark, sf_dir):
     enc = tokens.encode(prep, KEYS, {"label": "labels", "llm_label": "pred_ids"}, vocab, 256)
     enc = enc.select(*KEYS, tokens.mask_predictions("pred_ids").alias("pred_ids"),
                      tokens.mask_labels("labels").alias("labels"))
-    d = tokens.decode(enc, KEYS, "pred_ids", vocab, "pred_text")
-    d = tokens.decode(d, KEYS, "labels", vocab, "label_text")
+    d = tokens.decode(enc, KEYS, "pred_ids", vocab, "pred_text", prepartitioned=True)
+    d = tokens.decode(d, KEYS, "labels", vocab, "label_text", prepartitioned=True)
     return metrics.text_accuracy(d, "pred_text", "label_text", ["split"])
 
 
@@ -285,8 +282,8 @@ def q_decoded_eq_accuracy(spark, sf_dir):
     enc = tokens.encode(s, ["row_pos"], {"equation": "labels", "llm_label": "pred_ids"}, vocab, 256)
     enc = enc.select("row_pos", tokens.mask_predictions("pred_ids").alias("pred_ids"),
                      tokens.mask_labels("labels").alias("labels"))
-    d = tokens.decode(enc, ["row_pos"], "pred_ids", vocab, "pred_text")
-    d = tokens.decode(d, ["row_pos"], "labels", vocab, "label_text")
+    d = tokens.decode(enc, ["row_pos"], "pred_ids", vocab, "pred_text", prepartitioned=True)
+    d = tokens.decode(d, ["row_pos"], "labels", vocab, "label_text", prepartitioned=True)
     return metrics.equation_accuracy(d, "pred_text", "label_text", group=())
 
 

@@ -9,10 +9,10 @@ Each builder has a DuckDB twin in ``curatio.plans.fixture_sql``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatio.operators.positions import dense_positions, group_positions
+from curatio.operators.positions import dense_positions
 from curatio.sources.tables import table
 
 NL = "\n"
@@ -129,10 +129,16 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector output: polygons of one page image, enumerated in order.
+
+    The group is one image, whose polygon count the detector bounds, so a window
+    partitioned by page is safe here (no page can hold a share of all rows).
+    """
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, "l_quantity")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     j = li.join(p, li.l_partkey == p.p_partkey)
-    j = group_positions(j, ["l_orderkey"], LINEITEM_KEY[1:], "poly_idx")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINEITEM_KEY[1:])
+    j = j.withColumn("poly_idx", (F.row_number().over(w) - 1).cast("bigint"))
     q = F.col("l_quantity").cast("int")
     return j.select(F.col("l_orderkey").alias("page"), "poly_idx",
                     (q - 10).alias("x0"), (F.col("l_linenumber") * 7).cast("int").alias("y0"),
