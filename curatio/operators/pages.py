@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from curatio.functions.text import basename
 from curatio.operators.align import _fail_when
-from curatio.operators.positions import dense_positions, materialize, running_offsets
+from curatio.operators.positions import dense_positions, running_offsets
 
 # --- fixed values -----------------------------------------------------------------------
 PAGE_EXTS = ("png", "jpg", "jpeg")                    # page images, any case
@@ -277,7 +277,7 @@ def copy_manifest(dealt: DataFrame, images: DataFrame) -> DataFrame:
 
 def missing_images(label: DataFrame, images: DataFrame) -> DataFrame:
     """Label lines whose image base name is not among the listed images."""
-    have = images.select(basename("path").alias("_b"))
+    have = images.select(basename("path").alias("_b")).distinct()   # partial aggregate first
     lines = label.select("row_pos", basename(F.get(F.split("line", "\t", 2), 0)).alias("_b"))
     return lines.join(have, "_b", "left_anti").withColumnRenamed("_b", "image")
 
@@ -292,4 +292,3 @@ def all_done(todo: DataFrame) -> Column:
     return todo.select((F.count(F.lit(1)) == 0).alias("all_done")).scalar()
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["materialize"]

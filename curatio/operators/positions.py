@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from curatio.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
-_MAX_BROADCAST_PARTS = 1_000_000   # offsets table rows; ~24 MB at the bound
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,12 +44,32 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _offsets_by_partition(tagged: DataFrame, part_col: str, out_col: str, n_parts: int) -> DataFrame:
-    """rows before each partition: a tiny table, one row per partition."""
-    counts = tagged.groupBy(part_col).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(part_col).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(part_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint").alias(out_col))
-    return F.broadcast(offs) if n_parts <= _MAX_BROADCAST_PARTS else offs
+_MAX_LITERAL_PARTS = 20_000
+
+
+def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: str, n_parts: int) -> DataFrame:
+    """Add ``out_col`` = total of ``value_col`` (or row count) over all earlier partitions.
+
+    ``tagged`` is checkpointed data with a ``_pid`` column.  The per-partition totals are
+    one number per partition (bounded by the partition count): they are read once and
+    applied as a literal array indexed by partition id, or by a broadcast join when
+    there are very many partitions.
+    """
+    agg = F.count(F.lit(1)) if value_col is None else F.sum(value_col)
+    if n_parts <= _MAX_LITERAL_PARTS:
+        totals = [0] * n_parts
+        for r in tagged.groupBy("_pid").agg(agg.alias("_t")).collect():
+            totals[r["_pid"]] = int(r["_t"] or 0)
+        offs, run = [], 0
+        for t in totals:
+            offs.append(run)
+            run += t
+        table = F.array(*[F.lit(o).cast("bigint") for o in offs])
+        return tagged.withColumn(out_col, F.element_at(table, F.col("_pid") + 1))
+    counts = tagged.groupBy("_pid").agg(agg.alias("_t"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs_df = counts.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).cast("bigint").alias(out_col))
+    return tagged.join(F.broadcast(offs_df), "_pid")
 
 
 def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
@@ -62,15 +81,12 @@ def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
     """
     n = _num_parts(df, num_partitions)
     order_cols = _cols(order)
-    # explicit partition count: AQE does not coalesce a repartition-by-number exchange,
-    # so partition ids are the same for the count branch and the numbering branch
     s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     s = materialize(s, "positions")
-    offs = _offsets_by_partition(s, "_pid", "_off", n)
-    return (s.join(offs, "_pid")
-            .withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("bigint"))
+    s = _add_partition_offsets(s, None, "_off", n)
+    return (s.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("bigint"))
             .drop("_pid", "_loc", "_off"))
 
 
@@ -160,18 +176,15 @@ def running_offsets(df: DataFrame, order: Sequence, value_col: str, out_col: str
                     num_partitions: int | None = None) -> DataFrame:
     """Sum of ``value_col`` over all earlier rows in ``order`` (exclusive prefix sum).
 
-    Range partition, a window per range partition (bounded size), and a broadcast table of
-    per-partition totals; no single-partition window over the rows.
+    Range partition (a hot key is split), a window inside each range partition (bounded
+    size), and the totals of earlier partitions; no single-partition window over the rows.
     """
     n = _num_parts(df, num_partitions)
     order_cols = _cols(order)
-    s = materialize(df.repartitionByRange(n, *order_cols)
+    s = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                     .withColumn("_pid", F.spark_partition_id()), "offsets")
-    totals = s.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
-    w_t = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = F.broadcast(totals.select("_pid", F.coalesce(F.sum("_t").over(w_t), F.lit(0)).alias("_poff")))
+    s = _add_partition_offsets(s, value_col, "_poff", n)
     w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     return (s.withColumn("_loff", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
-            .join(offs, "_pid")
             .withColumn(out_col, (F.col("_poff") + F.col("_loff")).cast("bigint"))
             .drop("_pid", "_loff", "_poff"))

@@ -85,37 +85,38 @@ def encode_many(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, s
     """Several encodings in one pass: ``specs`` = (source, output, max_length, prefix or None).
 
     A source column is tokenised and looked up once, however many outputs use it (the
-    predict and explain inputs share one body).  The input is hash-partitioned by the key
-    once (skipped when ``prepartitioned``); explode, broadcast lookup, ordered regroup and
-    join back then run inside that partitioning.
+    predict and explain inputs share one body).  All sources are exploded together (only
+    the key travels with a token), looked up with one broadcast join, regrouped with one
+    aggregate and joined back once.  The input is hash-partitioned by the key once
+    (skipped when ``prepartitioned``), so the aggregate and the join back need no exchange.
     """
     keys = list(keys)
     vocab_b = F.broadcast(vocab.select("word", F.col("id").alias("_vid")))
     base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
-    out = base
     need: dict[str, int] = {}
     for src, _, mlen, _ in specs:
         need[src] = max(need.get(src, 0), mlen)
-    bodies: dict[str, str] = {}
-    for src, mlen in need.items():
-        body = f"_ids_{len(bodies)}"
-        bodies[src] = body
-        ex = base.select(*keys, F.posexplode(F.slice(tokens(src), 1, mlen - 1)).alias("_p", "word"))
-        ids = (ex.join(vocab_b, "word", "left")
-               .select(*keys, "_p", _token_id(F.col("word"), F.col("_vid")).alias("_id"))
-               .groupBy(*keys)
-               .agg(F.sort_array(F.collect_list(F.struct("_p", "_id"))).alias("_s"))
-               .select(*keys, F.transform("_s", lambda x: x["_id"]).alias(body)))
-        out = out.join(ids, keys, "left")
-        out = out.withColumn(body, F.coalesce(F.col(body), F.array().cast("array<int>")))
+    srcs = list(need)
+    per_src = F.array(*[F.struct(F.lit(i).alias("_s"), F.slice(tokens(src), 1, need[src] - 1).alias("_t"))
+                        for i, src in enumerate(srcs)])
+    ex = (base.select(*keys, F.explode(per_src).alias("_x"))
+          .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "word")))
+    ids = (ex.join(vocab_b, "word", "left")
+           .select(*keys, "_s", "_p", _token_id(F.col("word"), F.col("_vid")).alias("_id"))
+           .groupBy(*keys)
+           .agg(F.sort_array(F.collect_list(F.struct("_s", "_p", "_id"))).alias("_all")))
+    out = base.join(ids, keys, "left")
+    empty = F.array().cast("array<struct<_s:int,_p:int,_id:int>>")
+    allc = F.coalesce(F.col("_all"), empty)
     for src, dst, mlen, pre in specs:
-        seq = F.col(bodies[src])
+        i = srcs.index(src)
+        seq = F.transform(F.filter(allc, lambda x: x["_s"] == i), lambda x: x["_id"])
         if pre:
             seq = F.concat(_prefix_ids(vocab, pre), seq)
         out = out.withColumn(dst, F.concat(F.slice(seq, 1, mlen - 1), F.array(F.lit(EOS_ID))))
     for ids_col, mask_col in (masks or {}).items():
         out = out.withColumn(mask_col, F.transform(ids_col, lambda _: F.lit(1)))
-    return out.drop(*bodies.values())
+    return out.drop("_all")
 
 
 def _prefix_ids(vocab: DataFrame, prefix: str) -> Column:
@@ -135,14 +136,29 @@ def _prefix_ids(vocab: DataFrame, prefix: str) -> Column:
 def decode(df: DataFrame, keys: Sequence[str], ids_col: str, vocab: DataFrame, out_col: str,
            prepartitioned: bool = False) -> DataFrame:
     """Ids → text, special and unknown ids skipped, words joined by a space."""
+    return decode_many(df, keys, {ids_col: out_col}, vocab, prepartitioned)
+
+
+def decode_many(df: DataFrame, keys: Sequence[str], cols: dict[str, str], vocab: DataFrame,
+                prepartitioned: bool = False) -> DataFrame:
+    """Decode several id columns (id column → text column) with one explode and one regroup."""
     keys = list(keys)
     vocab_b = F.broadcast(vocab.select(F.col("id").alias("_id"), "word"))
     base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
-    ex = base.select(*keys, F.posexplode(ids_col).alias("_p", "_id")).where(F.col("_id") >= FIRST_WORD_ID)
+    names = list(cols)
+    per_col = F.array(*[F.struct(F.lit(i).alias("_s"), F.col(c).alias("_t")) for i, c in enumerate(names)])
+    ex = (base.select(*keys, F.explode(per_col).alias("_x"))
+          .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "_id"))
+          .where(F.col("_id") >= FIRST_WORD_ID))
     txt = (ex.join(vocab_b, "_id")
-           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "word"))).alias("_s"))
-           .select(*keys, F.array_join(F.transform("_s", lambda x: x["word"]), " ").alias(out_col)))
-    return base.join(txt, keys, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit("")))
+           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_s", "_p", "word"))).alias("_all")))
+    out = base.join(txt, keys, "left")
+    empty = F.array().cast("array<struct<_s:int,_p:int,word:string>>")
+    allc = F.coalesce(F.col("_all"), empty)
+    for i, c in enumerate(names):
+        words = F.transform(F.filter(allc, lambda x: x["_s"] == i), lambda x: x["word"])
+        out = out.withColumn(cols[c], F.array_join(words, " "))
+    return out.drop("_all")
 
 
 def mask_predictions(ids) -> Column:

@@ -267,8 +267,8 @@ def q_decoded_text_accuracy(spark, sf_dir):
     enc = tokens.encode(prep, KEYS, {"label": "labels", "llm_label": "pred_ids"}, vocab, 256)
     enc = enc.select(*KEYS, tokens.mask_predictions("pred_ids").alias("pred_ids"),
                      tokens.mask_labels("labels").alias("labels"))
-    d = tokens.decode(enc, KEYS, "pred_ids", vocab, "pred_text", prepartitioned=True)
-    d = tokens.decode(d, KEYS, "labels", vocab, "label_text", prepartitioned=True)
+    d = tokens.decode_many(enc, KEYS, {"pred_ids": "pred_text", "labels": "label_text"}, vocab,
+                           prepartitioned=True)
     return metrics.text_accuracy(d, "pred_text", "label_text", ["split"])
 
 
@@ -282,8 +282,8 @@ def q_decoded_eq_accuracy(spark, sf_dir):
     enc = tokens.encode(s, ["row_pos"], {"equation": "labels", "llm_label": "pred_ids"}, vocab, 256)
     enc = enc.select("row_pos", tokens.mask_predictions("pred_ids").alias("pred_ids"),
                      tokens.mask_labels("labels").alias("labels"))
-    d = tokens.decode(enc, ["row_pos"], "pred_ids", vocab, "pred_text", prepartitioned=True)
-    d = tokens.decode(d, ["row_pos"], "labels", vocab, "label_text", prepartitioned=True)
+    d = tokens.decode_many(enc, ["row_pos"], {"pred_ids": "pred_text", "labels": "label_text"}, vocab,
+                           prepartitioned=True)
     return metrics.equation_accuracy(d, "pred_text", "label_text", group=())
 
 

@@ -83,3 +83,8 @@ def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt
     """Replace only the partitions present in ``df`` (dynamic partition overwrite)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).format(fmt).save(path))
+
+
+def write_doc_texts(df: DataFrame, path: str, doc_col: str = "doc", text_col: str = "text") -> None:
+    """Whole extracted text of each document as a (doc, text) table; text kept byte for byte."""
+    df.select(doc_col, text_col).write.mode("overwrite").parquet(path)

@@ -86,3 +86,13 @@ def test_spec_lookup():
         spec_for("nope")
     with pytest.raises(ValueError):
         JobConfig(dataset="cqa", llm=None, model_type="task_prefix").validate()
+
+
+def test_doc_text_files(spark):
+    from curatio.operators.pages import doc_text
+    path = scratch_path(spark, "doctext")
+    pages_df = spark.createDataFrame([("d1", 2, "b\n"), ("d1", 1, "a\n"), ("d2", 1, "z")],
+                                     "doc string, page long, text string")
+    sinks.write_doc_texts(doc_text(pages_df), path)
+    got = {r.doc: r.text for r in spark.read.parquet(path).collect()}
+    assert got == {"d1": "a\nb\n", "d2": "z"}
