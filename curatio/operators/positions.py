@@ -44,32 +44,18 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-_MAX_LITERAL_PARTS = 20_000
-
-
 def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: str, n_parts: int) -> DataFrame:
     """Add ``out_col`` = total of ``value_col`` (or row count) over all earlier partitions.
 
-    ``tagged`` is checkpointed data with a ``_pid`` column.  The per-partition totals are
-    one number per partition (bounded by the partition count): they are read once and
-    applied as a literal array indexed by partition id, or by a broadcast join when
-    there are very many partitions.
+    ``tagged`` is checkpointed data with a ``_pid`` column.  The per-partition totals form a
+    table of one row per partition; its prefix sum is a window over that tiny table, and it
+    is broadcast: its size is bounded by the partition count, not by the data.
     """
     agg = F.count(F.lit(1)) if value_col is None else F.sum(value_col)
-    if n_parts <= _MAX_LITERAL_PARTS:
-        totals = [0] * n_parts
-        for r in tagged.groupBy("_pid").agg(agg.alias("_t")).collect():
-            totals[r["_pid"]] = int(r["_t"] or 0)
-        offs, run = [], 0
-        for t in totals:
-            offs.append(run)
-            run += t
-        table = F.array(*[F.lit(o).cast("bigint") for o in offs])
-        return tagged.withColumn(out_col, F.element_at(table, F.col("_pid") + 1))
-    counts = tagged.groupBy("_pid").agg(agg.alias("_t"))
+    totals = tagged.groupBy("_pid").agg(agg.alias("_t"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs_df = counts.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).cast("bigint").alias(out_col))
-    return tagged.join(F.broadcast(offs_df), "_pid")
+    offs = totals.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).cast("bigint").alias(out_col))
+    return tagged.join(F.broadcast(offs), "_pid")
 
 
 def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",

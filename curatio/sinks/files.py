@@ -33,7 +33,7 @@ def write_lines(df: DataFrame, path: str, line_col: str = "line", order: Sequenc
     w.text(path)
 
 
-def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[str, str] | None = None,
+def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[str, str],
                       split_col: str = "split", order: Sequence[str] = ("row_pos",),
                       drop: Sequence[str] = ("row_pos",), num_partitions: int | None = None) -> list[str]:
     """Each split as JSON lines under its logical name: ``{root}/{dataset}/{dataset}_{name}.json``.
@@ -41,10 +41,10 @@ def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[st
     ``split_map`` maps logical name → source split name (e.g. ``test`` → ``validation``).
     One write per split (at most three); rows keep their order.
     """
-    split_map = split_map or {}
-    names = split_map or {s: s for s in [r[0] for r in df.select(split_col).distinct().collect()]}
+    if not split_map:
+        raise ValueError("split_map (logical name -> source split) is required")
     out = []
-    for logical, source in names.items():
+    for logical, source in split_map.items():
         path = f"{root.rstrip('/')}/{dataset}/{dataset}_{logical}.json"
         part = df.where(F.col(split_col) == source)
         ordered(part, order, num_partitions).drop(split_col, *drop).write.mode("overwrite").json(path)
