@@ -1,9 +1,9 @@
 """Equation evaluation as a Spark job.
 
-Python runs once per *distinct* equation: ``distinct`` (a map-side partial aggregate),
-then Arrow batches through ``mapInPandas``, then a join back.  The join is left to the
-planner: AQE broadcasts the value table when its measured size is small and keeps a
-shuffle join when there are many distinct equations.
+Two forms.  ``equation_values``: the distinct equations of a table (``distinct`` is a
+map-side partial aggregate) evaluated in Arrow batches by ``mapInPandas``.
+``evaluate_columns``: a value column next to each text column through a scalar pandas UDF;
+each distinct text of a batch is evaluated once, and no row is shuffled or joined back.
 """
 
 from __future__ import annotations
@@ -31,20 +31,32 @@ def equation_values(texts: DataFrame, text_col: str = "equation") -> DataFrame:
     return d.mapInPandas(_eval_batches, VALUE_SCHEMA)
 
 
-def evaluate_column(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    vals = equation_values(df, text_col).withColumnRenamed("equation", "_eq").withColumnRenamed("value", out_col)
-    return df.join(vals, df[text_col] == vals["_eq"], "left").drop("_eq")
+def _values_of_batch(texts: pd.Series) -> pd.Series:
+    """Value of each equation text; each distinct text in an Arrow batch is evaluated once."""
+    uniq = texts.dropna().unique()
+    values = {t: evaluate(t) for t in uniq}
+    return texts.map(values).astype("float64")
+
+
+_UDF = None
+
+
+def equation_value(col):
+    """Scalar pandas UDF column: value of an equation text (NULL when not evaluable)."""
+    global _UDF
+    if _UDF is None:
+        _UDF = F.pandas_udf(_values_of_batch, "double")
+    return _UDF(col)
 
 
 def evaluate_columns(df: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """Evaluate several text columns with one Python pass over their union of distinct texts."""
-    texts = None
-    for c in cols:
-        t = df.select(F.col(c).alias("equation"))
-        texts = t if texts is None else texts.unionByName(t)
-    vals = equation_values(texts)
+    """Add a value column per text column (text column → value column).
+
+    Row-aligned Arrow batches: only the text column travels to Python and back, nothing is
+    shuffled or joined.  (``equation_values`` is the distinct-first form, for a table of
+    distinct equations.)
+    """
     out = df
     for c, o in cols.items():
-        v = vals.select(F.col("equation").alias(f"_eq_{o}"), F.col("value").alias(o))
-        out = out.join(v, out[c] == v[f"_eq_{o}"], "left").drop(f"_eq_{o}")
+        out = out.withColumn(o, equation_value(F.col(c)))
     return out
