@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from curatio.operators.positions import file_positions
 
 SPLIT_FILE_RE = r"_(train|valid|test)\.json(/|$)"
-COT_SHARD_RE = r"(?:^|/)(train|valid|test)_CoT_([0-9]+)\.json$"
+COT_SHARD_RE = r"(?:^|/)(train|valid|test)_CoT_([0-9]+)\.json(?:/[^/]*)?$"
 PART_SHARD_RE = r"/split=(train|valid|test)/shard=([0-9]+)/"
 SINGLE_FILE_RE = r"/(train|valid|test)(?:\.json)?/"
 MAX_BROADCAST_FILES = 1_000_000
