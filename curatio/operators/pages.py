@@ -36,8 +36,9 @@ def _c(x) -> Column:
 
 
 def dirname(path) -> Column:
+    """Text before the last ``/`` ('' when there is none)."""
     p = _c(path)
-    return F.when(F.instr(p, "/") > 0, F.regexp_extract(p, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
+    return F.substring(p, F.lit(1), F.length(p) - F.length(basename(p)) - F.lit(1))
 
 
 def doc_name(path) -> Column:
@@ -62,12 +63,51 @@ def page_file_name(doc, page) -> Column:
 
 
 def _has_ext(name: Column, exts: Sequence[str], any_case: bool) -> Column:
-    n = F.lower(name) if any_case else name
-    cond = None
-    for e in exts:
-        c = n.endswith("." + e)
-        cond = c if cond is None else (cond | c)
-    return cond
+    ext = F.substring_index(name, ".", -1)
+    ext = F.lower(ext) if any_case else ext
+    return (F.instr(name, ".") > 0) & ext.isin(list(exts))
+
+
+def _quote(text: str) -> str:
+    """A literal inside a Java regex."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _match_docs(files: DataFrame, rules: list[tuple[int, str, str, str]], ext_re: str,
+                path_col: str) -> DataFrame:
+    """Rows of ``files`` tagged with each (order, doc, folder, name prefix) rule they match.
+
+    A file matches a rule when it sits directly in the folder, its name starts with the
+    prefix and ends with one of the extensions.  When no two rules can match the same file
+    (different folders, or neither prefix starts the other) one anchored regular expression
+    per row finds the rule: cheap even when the optimizer evaluates it below a distinct.
+    Otherwise an explode keeps one row per matching rule, as listing each folder
+    separately would.
+    """
+    overlap = any(fa == fb and (pa.startswith(pb) or pb.startswith(pa))
+                  for i, (_, _, fa, pa) in enumerate(rules) for (_, _, fb, pb) in rules[i + 1:])
+    heads = [f"{fo}/{pre}" if fo else pre for _, _, fo, pre in rules]
+    if not overlap:
+        pattern = "^(" + "|".join(_quote(h) for h in heads) + ")[^/]*" + ext_re + "$"
+        head = F.regexp_extract(F.col(path_col), pattern, 1)
+        order = doc = None
+        for (o, d, _, _), h in zip(rules, heads):
+            c = head == F.lit(h)
+            order = F.when(c, F.lit(o)) if order is None else order.when(c, F.lit(o))
+            doc = F.when(c, F.lit(d)) if doc is None else doc.when(c, F.lit(d))
+        return (files.select(order.alias("doc_order"), doc.alias("doc"), F.col(path_col).alias("path"))
+                .where(F.col("doc_order").isNotNull()))
+    hits = [F.when(F.col(path_col).rlike("^" + _quote(h) + "[^/]*" + ext_re + "$"),
+                   F.struct(F.lit(o).alias("doc_order"), F.lit(d).alias("doc")))
+            for (o, d, _, _), h in zip(rules, heads)]
+    return (files.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+            .select(F.col("_hit.doc_order").alias("doc_order"), F.col("_hit.doc").alias("doc"),
+                    F.col(path_col).alias("path")))
+
+
+def _ext_re(exts: Sequence[str], any_case: bool) -> str:
+    alt = "|".join(_quote(e) for e in exts)
+    return r"\.(?i:" + alt + ")" if any_case else r"\.(?:" + alt + ")"
 
 
 def list_pages(files: DataFrame, pdf_paths: Sequence[str], folders: Sequence[str] | None = None,
@@ -79,16 +119,8 @@ def list_pages(files: DataFrame, pdf_paths: Sequence[str], folders: Sequence[str
     """
     docs = [os.path.splitext(os.path.basename(p))[0] for p in pdf_paths]
     folders = list(folders) if folders else ["raw"] * len(docs)
-    name = basename(F.col(path_col))
-    folder = dirname(F.col(path_col))
-    ext_ok = _has_ext(name, PAGE_EXTS, any_case=True)
-    hits = [F.when(ext_ok & (folder == F.lit(fo)) & name.startswith(f"{d}_page_"),
-                   F.struct(F.lit(i).alias("doc_order"), F.lit(d).alias("doc")))
-            for i, (d, fo) in enumerate(zip(docs, folders))]
-    return (files.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
-            .select(F.col("_hit.doc_order").alias("doc_order"), F.col("_hit.doc").alias("doc"),
-                    F.col(path_col).alias("path"))
-            .withColumn("page", page_number("path")))
+    rules = [(i, d, fo, f"{d}_page_") for i, (d, fo) in enumerate(zip(docs, folders))]
+    return _match_docs(files, rules, _ext_re(PAGE_EXTS, True), path_col).withColumn("page", page_number("path"))
 
 
 def list_split_images(files: DataFrame, prefixes: Sequence[str] = SPLIT_PREFIXES,
@@ -96,16 +128,8 @@ def list_split_images(files: DataFrame, prefixes: Sequence[str] = SPLIT_PREFIXES
                       path_col: str = "path") -> DataFrame:
     """Images for dealing out: exact-case extensions, fixed name prefixes, one folder each."""
     folders = list(folders) if folders else ["raw"] * len(prefixes)
-    name = basename(F.col(path_col))
-    folder = dirname(F.col(path_col))
-    ext_ok = _has_ext(name, exts, any_case=False) & ~name.startswith(".")
-    hits = [F.when(ext_ok & (folder == F.lit(fo)) & name.startswith(pre),
-                   F.struct(F.lit(i).alias("doc_order"), F.lit(pre).alias("doc")))
-            for i, (pre, fo) in enumerate(zip(prefixes, folders))]
-    return (files.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
-            .select(F.col("_hit.doc_order").alias("doc_order"), F.col("_hit.doc").alias("doc"),
-                    F.col(path_col).alias("path"))
-            .withColumn("page", page_number("path")))
+    rules = [(i, pre, fo, pre) for i, (pre, fo) in enumerate(zip(prefixes, folders))]
+    return _match_docs(files, rules, _ext_re(exts, False), path_col).withColumn("page", page_number("path"))
 
 
 def order_pages(listing: DataFrame, out_col: str = "row_pos") -> DataFrame:
