@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.functions.text import WORD_SPLIT_RE, strip
+from curatio.functions.text import WORD_SPLIT_RE
 from curatio.operators.positions import dense_positions
 
 # --- fixed values -----------------------------------------------------------------------
@@ -38,11 +38,14 @@ def _c(x) -> Column:
 
 
 def tokens(text) -> Column:
-    """Words of a text; special tokens are cut out even when glued to a word."""
+    """Words of a text (Python ``str.split()``); special tokens are cut out even when glued.
+
+    One regex split; the empty strings a leading or trailing space leaves are removed.
+    """
     t = _c(text)
     for s in SPECIALS:
         t = F.replace(t, F.lit(s), F.lit(f" {s} "))
-    return F.filter(F.split(strip(t), WORD_SPLIT_RE, -1), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(t, WORD_SPLIT_RE, -1), "")
 
 
 def build_vocab(texts: DataFrame, text_cols: Sequence[str], vocab_size: int = 32000) -> DataFrame:

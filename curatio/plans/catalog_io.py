@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.operators import pages, parse, prompts
-from curatio.operators.positions import group_positions
+from curatio.operators.positions import group_positions, materialize
 from curatio.plans import catalog_pages as cp
 from curatio.plans import fixtures as fx
 from curatio.plans import sql_text as S
@@ -119,7 +119,8 @@ UNION ALL SELECT folder, 'fileState.txt', cast(row_number() OVER (PARTITION BY f
   state_line FROM dealt""")
 def q_split_folder_lines(spark, sf_dir):
     _, lab, st = cp.split_inputs(spark, sf_dir)
-    dealt = pages.deal_out(lab, st)
+    # two files are written from it: checkpoint once instead of recomputing the inputs twice
+    dealt = materialize(pages.deal_out(lab, st), "dealt")
     root = scratch_path(spark, "folders")
     sinks.write_lines(dealt.withColumnRenamed("label_line", "line"), f"{root}/Label.txt", partition_by=["folder"])
     sinks.write_lines(dealt.withColumnRenamed("state_line", "line"), f"{root}/fileState.txt",

@@ -215,7 +215,8 @@ _COLLATE_SQL = (
 
 def collated(spark, sf_dir) -> DataFrame:
     u = tokens.task_unpivot(encoded_nli(spark, sf_dir, "task_prefix"), KEYS)
-    rows = u.select(*KEYS).distinct()
+    # batch numbers come from the key table, not from the encoded rows (no second encode)
+    rows = nli_prep(spark, sf_dir).select(*KEYS)
     idx = group_positions(rows, ["split"], ["row_pos"], "_idx") \
         .withColumn("batch", F.floor(F.col("_idx") / TRAIN_BATCH).cast("bigint")).drop("_idx")
     return tokens.collate(u.join(idx, KEYS), ["split", "batch", "task"])
