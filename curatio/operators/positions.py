@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from curatio.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
+_MAX_BROADCAST_SPLITS = 2_000_000   # 32 bytes a split: about 64 MB at the bound
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -101,19 +102,22 @@ def file_positions(df: DataFrame, out_col: str = "row_pos", group_cols: Sequence
     restart for each ``group_cols`` value (for example a split name); ``order_prefix``
     columns sort before the file path (for example a shard number).
     """
-    s = (df.withColumn("_file", F.col("_metadata.file_path"))
+    s = (df.withColumn("_path", F.col("_metadata.file_path"))
+         .withColumn("_file", F.xxhash64("_path"))
          .withColumn("_blk", F.col("_metadata.file_block_start"))
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     keys = [*group_cols]
-    blocks = (s.groupBy(*keys, *[c for c in _names(order_prefix)], "_file", "_blk", "_pid")
+    blocks = (s.groupBy(*keys, *[c for c in _names(order_prefix)], "_path", "_file", "_blk", "_pid")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first")))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    w = w.orderBy(*_cols(order_prefix), "_file", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    w = w.orderBy(*_cols(order_prefix), "_path", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row of four numbers per file split: bounded by the number of input splits
     offs = blocks.select("_file", "_blk", "_pid", "_first",
                          F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # one row per file split: bounded by the number of input partitions of the scan
-    return (s.join(F.broadcast(offs), ["_file", "_blk", "_pid"])
+    if df.rdd.getNumPartitions() <= _MAX_BROADCAST_SPLITS:
+        offs = F.broadcast(offs)
+    return (s.drop("_path").join(offs, ["_file", "_blk", "_pid"])
             .withColumn(out_col, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("bigint"))
             .drop("_file", "_blk", "_pid", "_loc", "_first", "_off"))
 

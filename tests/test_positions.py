@@ -66,3 +66,32 @@ def test_file_positions_follow_file_order(spark):
     write_lines(df, path, num_partitions=6)
     back = read_tsv_lines(spark, path).collect()
     assert sorted((r.row_pos, r.key) for r in back) == [(i, f"k{i}") for i in range(5000)]
+
+
+def test_file_positions_when_one_file_spans_many_splits(spark):
+    import os
+
+    from curatio.session import local_path
+    from curatio.sources.files import read_json_splits
+
+    root = scratch_path(spark, "bigfile")
+    d = local_path(f"{root}/ds")
+    os.makedirs(d, exist_ok=True)
+    with open(f"{d}/ds_train.json", "w") as f:
+        for i in range(3000):
+            f.write('{"v": "%d"}\n' % i)
+    with open(f"{d}/ds_test.json", "w") as f:
+        for i in range(500):
+            f.write('{"v": "t%d"}\n' % i)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        df = read_json_splits(spark, root, "ds", "v string", ["train", "test"])
+        assert df.rdd.getNumPartitions() > 10
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    train = sorted((r.row_pos, r.v) for r in rows if r.split == "train")
+    assert train == [(i, str(i)) for i in range(3000)]
+    test = sorted((r.row_pos, r.v) for r in rows if r.split == "test")
+    assert test == [(i, f"t{i}") for i in range(500)]
