@@ -18,7 +18,6 @@ SPLIT_FILE_RE = r"_(train|valid|test)\.json(/|$)"
 COT_SHARD_RE = r"(?:^|/)(train|valid|test)_CoT_([0-9]+)\.json(?:/[^/]*)?$"
 PART_SHARD_RE = r"/split=(train|valid|test)/shard=([0-9]+)/"
 SINGLE_FILE_RE = r"/(train|valid|test)(?:\.json)?/"
-MAX_BROADCAST_FILES = 1_000_000
 
 
 def read_json_splits(spark: SparkSession, root: str, dataset: str, schema: StructType | str,
@@ -62,12 +61,12 @@ def read_output_arrays(spark: SparkSession, paths: str | Sequence[str], path_re:
     files = files.withColumn("split", F.regexp_extract("path", path_re, 1))
     shard = F.regexp_extract("path", path_re, 2).cast("bigint") if has_shard else F.lit(0).cast("bigint")
     files = files.withColumn("shard", shard)
-    sizes = files.select("split", "shard", "path", F.coalesce(F.size("arr"), F.lit(0)).alias("_n"))
+    files = files.withColumn("_fid", F.xxhash64("path"))
+    sizes = files.select("split", "shard", "path", "_fid", F.coalesce(F.size("arr"), F.lit(0)).alias("_n"))
     w = Window.partitionBy("split").orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("path", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint").alias("_off"))
-    n_files = len(spark.read.text(paths, wholetext=True).inputFiles())
-    offs = F.broadcast(offs) if n_files <= MAX_BROADCAST_FILES else offs
-    return (files.join(offs, "path")
+    # one row of two numbers per file; AQE broadcasts it when its measured size is small
+    offs = sizes.select("_fid", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint").alias("_off"))
+    return (files.join(offs, "_fid")
             .select("split", "shard", "_off", F.posexplode("arr").alias("_p", "output"))
             .select("split", "shard", (F.col("_off") + F.col("_p")).cast("bigint").alias("row_pos"), "output"))
 
