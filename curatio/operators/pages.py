@@ -62,12 +62,6 @@ def page_file_name(doc, page) -> Column:
     return F.concat(_c(doc), F.lit("_page_"), _c(page).cast("string"), F.lit(".png"))
 
 
-def _has_ext(name: Column, exts: Sequence[str], any_case: bool) -> Column:
-    ext = F.substring_index(name, ".", -1)
-    ext = F.lower(ext) if any_case else ext
-    return (F.instr(name, ".") > 0) & ext.isin(list(exts))
-
-
 def _quote(text: str) -> str:
     """A literal inside a Java regex."""
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"

@@ -7,8 +7,6 @@ Deterministic per seed, disjoint, covering, exact size.  Rows are ranked by
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,8 +63,3 @@ def permute_head_split(df: DataFrame, head: int = 800, seed: int = 0, pos_col: s
     r = seeded_rank(df, seed, pos_col)
     return r.withColumn(split_col, F.when(F.col("_rank") < F.lit(head), F.lit("train"))
                         .otherwise(F.lit("test"))).drop("_rank")
-
-
-def n_test_for(n: int, test_size: float) -> int:
-    """Size rule of the held-out part (for tests and planning)."""
-    return math.ceil(test_size * n)

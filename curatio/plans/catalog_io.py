@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatio.operators import pages, parse, prompts
+from curatio.operators import pages, prompts
 from curatio.operators.positions import group_positions, materialize
 from curatio.plans import catalog_pages as cp
 from curatio.plans import fixtures as fx

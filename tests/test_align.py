@@ -23,3 +23,10 @@ def test_union_rebased(spark):
     b = spark.createDataFrame([(3, "b3"), (1, "b1"), (2, "b2")], "row_pos long, v string")
     got = sorted((r.row_pos, r.v, r.source_order) for r in align.union_rebased([a, b]).collect())
     assert got == [(0, "a5", 0), (1, "a9", 0), (2, "b1", 1), (3, "b2", 1), (4, "b3", 1)]
+
+
+def test_assemble_splits(spark):
+    a = spark.createDataFrame([(0, "x")], "row_pos long, v string")
+    b = spark.createDataFrame([(0, "y"), (1, "z")], "row_pos long, v string")
+    got = sorted((r.split, r.row_pos, r.v) for r in align.assemble_splits({"train": b, "test": a}).collect())
+    assert got == [("test", 0, "x"), ("train", 0, "y"), ("train", 1, "z")]

@@ -5,7 +5,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from curatio.operators import pages
 from curatio.plans import fixtures as fx
 from curatio.plans.jobs import annotation_files, dealt_folders, training_tables
 from curatio.session import local_path, scratch_path

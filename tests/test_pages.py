@@ -96,3 +96,13 @@ def test_doc_text_in_page_order(spark):
     df = spark.createDataFrame(rows, "doc string, page long, text string")
     r = pages.doc_text(df, chunk_pages=1024).collect()[0]
     assert r.text == "<1><2><3><1024><1500>" and r.n_pages == 5
+
+
+def test_resume_per_item(spark):
+    expected = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3)], "doc string, page long")
+    done = spark.createDataFrame([("d", 2), ("d", 2)], "doc string, page long")
+    todo = pages.resume_todo(expected, done, ["doc", "page"])
+    assert sorted(r.page for r in todo.collect()) == [1, 3]
+    flags = spark.range(1).select(pages.all_done(todo).alias("a"),
+                                  pages.all_done(todo.where("page > 5")).alias("b")).collect()[0]
+    assert (flags.a, flags.b) == (False, True)

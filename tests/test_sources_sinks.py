@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from curatio.session import local_path, scratch_path
 from curatio.sinks import files as sinks

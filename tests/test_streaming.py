@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from curatio.operators.parse import parse_outputs
 from curatio.session import scratch_path
