@@ -110,8 +110,10 @@ def file_positions(df: DataFrame, out_col: str = "row_pos", group_cols: Sequence
     keys = [*group_cols]
     blocks = (s.groupBy(*keys, *[c for c in _names(order_prefix)], "_path", "_file", "_blk", "_pid")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first")))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    w = w.orderBy(*_cols(order_prefix), "_path", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # over the table of splits (one row each), never over the rows themselves
+    order = [*_cols(order_prefix), F.col("_path"), F.col("_blk")]
+    w = (Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order))
+    w = w.rowsBetween(Window.unboundedPreceding, -1)
     # one row of four numbers per file split: bounded by the number of input splits
     offs = blocks.select("_file", "_blk", "_pid", "_first",
                          F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -13,11 +13,26 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _unpartitioned_window_orders(plan: str) -> list[str]:
+    """Order specs of windows that have no partition spec (they run in one task)."""
+    out = []
+    for part in plan.split("windowspecdefinition(")[1:]:
+        first = part.split(",")[0]
+        if " ASC" in first or " DESC" in first:
+            out.append(first.strip())
+    return out
+
+
 @pytest.mark.parametrize("key", sorted(E.queries()))
-def test_python_only_where_equations_are_evaluated(spark, key):
+def test_plan_shape(spark, key):
     plan = _plan(E.queries()[key](spark, SF_SMALL))
+    # Python only where equations are evaluated
     has_py = any(n in plan for n in PY_NODES)
     assert has_py == (key in EQUATION_KEYS), key
+    # a window without partitions only over the small tables of one row per partition
+    # (_pid) or per input split (_path, _ord), never over the data rows
+    for order in _unpartitioned_window_orders(plan):
+        assert order.startswith(("_pid#", "_path#", "_ord#")), (key, order)
 
 
 def test_vocab_is_broadcast(spark):
