@@ -88,3 +88,14 @@ def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt
 def write_doc_texts(df: DataFrame, path: str, doc_col: str = "doc", text_col: str = "text") -> None:
     """Whole extracted text of each document as a (doc, text) table; text kept byte for byte."""
     df.select(doc_col, text_col).write.mode("overwrite").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], num_buckets: int,
+                   mode: str = "overwrite") -> None:
+    """A table bucketed and sorted by its key (e.g. ``(split, row_pos)``).
+
+    Two tables written this way with the same bucket count join on the key bucket by
+    bucket: the positional attach (J01) of very large tables then reads co-located files
+    and needs no shuffle.
+    """
+    (df.write.mode(mode).bucketBy(num_buckets, *keys).sortBy(*keys).saveAsTable(table))

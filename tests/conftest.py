@@ -14,6 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app="curatio-tests", shuffle_partitions=8)
+    import tempfile
+    s = build_session("local[4]", app="curatio-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="curatio-wh-")})
     yield s
     s.stop()

@@ -30,3 +30,19 @@ def test_assemble_splits(spark):
     b = spark.createDataFrame([(0, "y"), (1, "z")], "row_pos long, v string")
     got = sorted((r.split, r.row_pos, r.v) for r in align.assemble_splits({"train": b, "test": a}).collect())
     assert got == [("test", 0, "x"), ("train", 0, "y"), ("train", 1, "z")]
+
+
+def test_bucketed_tables_attach_without_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from curatio.sinks.files import write_bucketed
+    base = spark.range(1000).select(F.lit("train").alias("split"), F.col("id").alias("row_pos"),
+                                    F.col("id").cast("string").alias("input"))
+    outs = spark.range(1000).select(F.lit("train").alias("split"), F.col("id").alias("row_pos"),
+                                    (F.col("id") * 2).cast("string").alias("llm_label"))
+    write_bucketed(base, "t_base", ["split", "row_pos"], 4)
+    write_bucketed(outs, "t_outs", ["split", "row_pos"], 4)
+    j = align.attach_by_position(spark.table("t_base"), spark.table("t_outs"))
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert j.count() == 1000
