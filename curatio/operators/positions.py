@@ -38,14 +38,19 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
+def _range_partitioned(df: DataFrame, order_cols: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range partitioning on the order; with no explicit count AQE may coalesce small ranges.
+
+    Coalesced partitions are contiguous ranges in order, and positions are numbered from a
+    checkpoint taken after that, so partition ids stay consistent.  For a large input set
+    ``spark.sql.shuffle.partitions`` high and let AQE coalesce.
+    """
     if num_partitions:
-        return num_partitions
-    spark = df.sparkSession
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        return df.repartitionByRange(num_partitions, *order_cols)
+    return df.repartitionByRange(*order_cols)
 
 
-def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: str, n_parts: int) -> DataFrame:
+def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: str) -> DataFrame:
     """Add ``out_col`` = total of ``value_col`` (or row count) over all earlier partitions.
 
     ``tagged`` is checkpointed data with a ``_pid`` column.  The per-partition totals form a
@@ -66,13 +71,12 @@ def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
     ``order`` should be a total order (unique key) for reproducible positions; ties get
     distinct positions in an unspecified order.
     """
-    n = _num_parts(df, num_partitions)
     order_cols = _cols(order)
-    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    s = (_range_partitioned(df, order_cols, num_partitions).sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     s = materialize(s, "positions")
-    s = _add_partition_offsets(s, None, "_off", n)
+    s = _add_partition_offsets(s, None, "_off")
     return (s.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("bigint"))
             .drop("_pid", "_loc", "_off"))
 
@@ -171,11 +175,10 @@ def running_offsets(df: DataFrame, order: Sequence, value_col: str, out_col: str
     Range partition (a hot key is split), a window inside each range partition (bounded
     size), and the totals of earlier partitions; no single-partition window over the rows.
     """
-    n = _num_parts(df, num_partitions)
     order_cols = _cols(order)
-    s = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    s = materialize(_range_partitioned(df, order_cols, num_partitions).sortWithinPartitions(*order_cols)
                     .withColumn("_pid", F.spark_partition_id()), "offsets")
-    s = _add_partition_offsets(s, value_col, "_poff", n)
+    s = _add_partition_offsets(s, value_col, "_poff")
     w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     return (s.withColumn("_loff", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
             .withColumn(out_col, (F.col("_poff") + F.col("_loff")).cast("bigint"))

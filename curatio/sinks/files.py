@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _parts(df: DataFrame, num_partitions: int | None) -> int:
-    return num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def ordered(df: DataFrame, order: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """Range-partitioned and sorted: part files in name order hold the rows in order.
+
+    Without an explicit count AQE may coalesce small ranges (they stay contiguous).
+    """
     cols = [F.col(c) for c in order]
-    return df.repartitionByRange(_parts(df, num_partitions), *cols).sortWithinPartitions(*cols)
+    r = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    return r.sortWithinPartitions(*cols)
 
 
 def write_lines(df: DataFrame, path: str, line_col: str = "line", order: Sequence[str] = ("row_pos",),
