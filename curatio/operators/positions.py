@@ -39,15 +39,15 @@ def _cols(cols) -> list[Column]:
 
 
 def _range_partitioned(df: DataFrame, order_cols: list[Column], num_partitions: int | None) -> DataFrame:
-    """Range partitioning on the order; with no explicit count AQE may coalesce small ranges.
+    """Range partitioning on the order into an explicit number of ranges.
 
-    Coalesced partitions are contiguous ranges in order, and positions are numbered from a
-    checkpoint taken after that, so partition ids stay consistent.  For a large input set
-    ``spark.sql.shuffle.partitions`` high and let AQE coalesce.
+    The count defaults to ``spark.sql.shuffle.partitions``: size it for the input (ranges
+    of a few hundred MB).  An explicit count keeps AQE from merging ranges, so the
+    checkpointed table keeps that parallelism for the stages that read it.  (Merged ranges
+    would still be contiguous and in order, so positions would stay right either way.)
     """
-    if num_partitions:
-        return df.repartitionByRange(num_partitions, *order_cols)
-    return df.repartitionByRange(*order_cols)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartitionByRange(n, *order_cols)
 
 
 def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: str) -> DataFrame:
