@@ -95,3 +95,13 @@ def test_doc_text_files(spark):
     sinks.write_doc_texts(doc_text(pages_df), path)
     got = {r.doc: r.text for r in spark.read.parquet(path).collect()}
     assert got == {"d1": "a\nb\n", "d2": "z"}
+
+
+def test_lines_append_batch_after_batch(spark):
+    path = scratch_path(spark, "append")
+    first = spark.createDataFrame([(0, "a\t[]"), (1, "b\t[]")], "row_pos long, line string")
+    second = spark.createDataFrame([(2, "c\t[]")], "row_pos long, line string")
+    sinks.write_lines(first, path, num_partitions=2)
+    sinks.write_lines(second, path, mode="append", num_partitions=1)
+    got = sorted(r.value for r in spark.read.text(path).collect())
+    assert got == ["a\t[]", "b\t[]", "c\t[]"]
