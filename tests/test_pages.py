@@ -106,3 +106,14 @@ def test_resume_per_item(spark):
     flags = spark.range(1).select(pages.all_done(todo).alias("a"),
                                   pages.all_done(todo.where("page > 5")).alias("b")).collect()[0]
     assert (flags.a, flags.b) == (False, True)
+
+
+def test_duplicate_page_path_last_wins_at_first_position(spark):
+    pgs = spark.createDataFrame([(0, "r/a.png", 1), (1, "r/b.png", 2), (2, "r/a.png", 3)],
+                                "row_pos long, path string, page_no long")
+    dets = spark.createDataFrame([(1, 0, [[0, 0]]), (3, 0, [[1, 1]]), (3, 1, [[2, 2]])],
+                                 "page_no long, poly_idx long, points array<array<int>>")
+    recs = spark.createDataFrame([(0, "old"), (1, "new0"), (2, "new1")], "crop_pos long, text string")
+    got = {r.path: (r.row_pos, [e.transcription for e in r.entries])
+           for r in pages.page_entries(pgs, dets, recs).collect()}
+    assert got == {"r/a.png": (0, ["new0", "new1"]), "r/b.png": (1, [])}
