@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import langid, packing, token_files, toxicity
+from curatio.llm import langid, packing, pii, token_files, toxicity
 from curatio.llm.common import held_out, read_table
 from curatio.session import scratch_path
 
@@ -38,6 +38,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+@_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: ~x["added"])
+    counts = [F.expr(f"bigint(size(filter(spans, x -> NOT x.added AND x.kind = '{k}')))").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.size(F.filter("spans", lambda x: x["added"])).cast("bigint").alias("n_added"))
+
+
 @_query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of rows that are not held out."""
