@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import langid, packing, pii, token_files, toxicity
+from curatio.llm import ann, fingerprints, langid, packing, pii, token_files, toxicity
 from curatio.llm.common import held_out, read_table
 from curatio.session import scratch_path
 
@@ -38,6 +38,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model, keep=["doc_id", "held_out"])
 
 
+@_query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likenesses."""
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
