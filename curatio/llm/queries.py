@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import ann, fingerprints, langid, packing, pii, token_files, toxicity
+from curatio.llm import ann, fingerprints, langid, line_dedup, mixing, packing, pii, token_files, toxicity
 from curatio.llm.common import held_out, read_table
 from curatio.session import scratch_path
 
@@ -20,6 +20,19 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+# Domains of the labelled table, and the share of tokens each is to have.
+DOMAIN = F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' WHEN quality = 0 THEN 'low' END")
+MIX_WEIGHTS = {"clean": 0.86, "low": 0.10, "toxic": 0.04}
+
+
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of every document for the target mix."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), DOMAIN, MIX_WEIGHTS)
+    return mixed.select(F.col("id").alias("doc_id"), F.col("tokens").cast("bigint").alias("n_tokens"),
+                        *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)], "rate", "copies")
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files written and read back; the digest of each document's ids."""
@@ -75,6 +88,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0)))
 
 
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line chunks that occur earlier in the table."""
+    return line_dedup.remove_repeated_chunks(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
+ORACLE["op9_line_dedup"] = line_dedup.oracle_sql()
+
+
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 4096 tokens; one row per piece."""
