@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import ann, fingerprints, langid, line_dedup, mixing, packing, pii, token_files, toxicity
+from curatio.llm import ann, fingerprints, langid, line_dedup, mixing, order_minhash, packing, pii, token_files, toxicity
 from curatio.llm.common import held_out, read_table
 from curatio.session import scratch_path
 
@@ -20,6 +20,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 # Domains of the labelled table, and the share of tokens each is to have.
 DOMAIN = F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' WHEN quality = 0 THEN 'low' END")
 MIX_WEIGHTS = {"clean": 0.86, "low": 0.10, "toxic": 0.04}
