@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatio.llm.chunks import ChunkTable, shared_table
+from curatio.llm.chunks import ChunkTable, ragged, shared_table
 from curatio.llm.common import components, id_and_text, join_hot_safe, text_slices, written
 
 K, L, ENTRIES, SHORT, SHORT_ENTRIES, THRESHOLD = 5, 5, 32, 16, 16, 0.8
@@ -63,8 +63,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_table() -> ChunkTable:
-    def values(chunks: list[str]) -> list[list[int]]:
-        return [[xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(c.lower())] for c in chunks]
+    def values(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return ragged([[xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(c.lower())] for c in chunks], np.uint32)
     return shared_table("words32", lambda: ChunkTable(values, np.uint32))
 
 

@@ -32,27 +32,38 @@ BLOCK_TOKENS = 1 << 20
 _BLOCKS = ("shard int, block long, start long, n_tokens long, doc_ids array<long>, counts array<long>, "
            "control binary, data binary")
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
-_MASKS = np.arange(4, dtype=np.uint8) < np.arange(1, 5, dtype=np.uint8)[:, None]
 
 
 def encode_numbers(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit numbers."""
-    v = np.ascontiguousarray(values, "<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    v = np.ascontiguousarray(values, np.uint32)
+    code = (v > 0xFF).astype(np.uint8)
+    for bar in (0xFFFF, 0xFFFFFF):
+        if len(v) and v.max() > bar:
+            code += v > bar
     quads = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     quads[:len(v)] = code
     quads = quads.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[_MASKS[code]]
+    first = np.cumsum(code, dtype=np.int64) - code + np.arange(len(v))      # place of each number's lowest byte
+    data = np.empty(len(v) + int(code.sum(dtype=np.int64)), np.uint8)
+    data[first] = v.astype(np.uint8)
+    for b in range(1, int(code.max()) + 1 if len(v) else 1):
+        at = np.flatnonzero(code >= b)
+        data[first[at] + b] = (v[at] >> np.uint32(8 * b)).astype(np.uint8)
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` numbers of ``encode_numbers``, by table lookup."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[_MASKS[lengths - 1]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1)
+    raw = np.frombuffer(data, np.uint8)
+    first = np.cumsum(lengths, dtype=np.int64) - lengths
+    out = raw[first].astype(np.uint32)
+    for b in range(1, int(lengths.max()) if n else 1):
+        at = np.flatnonzero(lengths > b)
+        out[at] |= raw[first[at] + b].astype(np.uint32) << np.uint32(8 * b)
+    return out
 
 
 def tokenize(docs: DataFrame, end_id: int, tokenizer_path: str, id_col: str = "doc_id",
@@ -66,11 +77,13 @@ def tokenize(docs: DataFrame, end_id: int, tokenizer_path: str, id_col: str = "d
         width = table.dtype.itemsize if end_id < 1 << 16 else 4
         for part, texts in text_slices(batches):
             flat, counts = table.rows(texts)
-            ends = np.cumsum(counts)
-            flat = np.insert(flat.astype(f"<u{width}"), ends, end_id)
             n = counts + 1
+            ids = np.full(len(flat) + len(n), end_id, f"<u{width}")
+            text = np.ones(len(ids), bool)
+            text[np.cumsum(n) - 1] = False
+            ids[text] = flat
             offsets = np.concatenate([[0], np.cumsum(n)]) * width
-            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(flat)])
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n), pa.array(np.full(len(n), width, np.int32)), raw],
                 ["doc_id", "n_tokens", "width", "ids"])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.llm import boosting
-from curatio.llm.chunks import ChunkTable, shared_table
+from curatio.llm.chunks import ChunkTable, ragged, shared_table
 from curatio.llm.common import text_slices
 
 MAX_ROWS = 12_000       # labelled rows per class and part
@@ -64,7 +64,7 @@ class Model:
 def _chunk_values(lexicon: dict[str, float]):
     place = {w: i + 1 for i, w in enumerate(lexicon)}
 
-    def values(chunks: list[str]) -> list[list[float]]:
+    def values(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for c in chunks:
             word = plain(c)
@@ -76,7 +76,7 @@ def _chunk_values(lexicon: dict[str, float]):
             out.append([1.0, len(c), letters, caps, float(caps == letters and letters > 2), sum(map(str.isdigit, c)),
                         float(len(c) - sum(map(str.isalnum, c))), c.count("!") + c.count("?"), float(mixed),
                         float(word in SECOND_PERSON), place.get(hit, 0), lexicon.get(hit, 0.0), float(bool(hit) and hit != word)])
-        return out
+        return ragged(out, np.float32)
     return values
 
 
