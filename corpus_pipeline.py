@@ -27,9 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated line chunks; documents that lose every line go."""
-    out = line_dedup.remove_repeated_chunks(docs.select(*COLUMNS), removed_col="_removed")
-    return (out.where((F.col("_removed") == 0) | (F.trim("text") != ""))
-            .withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*COLUMNS))
+    out = line_dedup.remove_repeated_chunks(docs.select(*COLUMNS), removed_col="_removed", drop_emptied=True)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,8 +47,11 @@ def with_chunks(rows: DataFrame, text: Column, out: str, divisor: int = DIVISOR)
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR,
-                           min_lines: int = MIN_LINES, removed_col: str = "lines_removed") -> DataFrame:
-    """``docs`` with repeated chunks gone from the text, and how many lines went from each row."""
+                           min_lines: int = MIN_LINES, removed_col: str = "lines_removed", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks gone from the text, and how many lines went from each row.
+
+    ``drop_emptied``: without the rows that lost lines and have no other character than blanks left.
+    """
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     long_ones = F.filter(F.col("_parts"), lambda p: F.size(p) >= min_lines)
     texts = F.transform(long_ones, lambda p: F.array_join(p, "\n"))
@@ -80,8 +83,15 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     both = both.withColumn("_kept", F.filter("_tagged", stays))
     lines = F.aggregate("_tagged", F.lit(0), lambda n, c: n + F.size(c["p"])) - F.aggregate("_kept", F.lit(0), lambda n, c: n + F.size(c["p"]))
     new_text = F.when(F.col("_once").isNull(), row_text).otherwise(F.array_join(F.flatten(F.transform("_kept", lambda c: c["p"])), "\n"))
-    return both.select(*[(new_text if c == text_col else F.col("_row")[c]).alias(c) for c in names if c != removed_col],
-                       F.when(F.col("_once").isNull(), F.lit(0)).otherwise(lines).cast("bigint").alias(removed_col))
+    gone = F.when(F.col("_once").isNull(), F.lit(0)).otherwise(lines).cast("bigint")
+    both = both.select("_row", new_text.alias("_text"), gone.alias("_gone"))
+    result = F.array(F.struct("_text", "_gone"))
+    if drop_emptied:
+        result = F.when((F.col("_gone") > 0) & (F.trim("_text") == ""), F.slice(result, 1, 0)).otherwise(result)
+    # generated, so that a filter on the result isn't moved down and computes the text again
+    both = both.select("_row", F.explode(result).alias("_new"))
+    return both.select(*[(F.col("_new._text") if c == text_col else F.col("_row")[c]).alias(c) for c in names if c != removed_col],
+                       F.col("_new._gone").alias(removed_col))
 
 
 def oracle_sql() -> str:
