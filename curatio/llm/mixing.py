@@ -64,7 +64,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     for d in domains:
         share = F.when(F.col("domain") == d, F.lit(min(1.0, rows_per_domain / n.get(d, 1)))).otherwise(share)
     y = y.where(F.pmod(F.xxhash64(F.lit("mixing"), "id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(y, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
+        F.broadcast(y), "id")               # about rows_per_domain rows of each domain, so the texts stay where they are
     got = (rows.select("domain", F.explode(hashed(words(F.col("text")), buckets)).alias("b")).groupBy("domain", "b").count()
            .collect())                      # at most domains * buckets rows
     table = np.zeros((len(domains), buckets))
