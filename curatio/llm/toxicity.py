@@ -116,7 +116,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     y = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
          .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y")))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(y, "_id")
+    return rows.join(F.broadcast(y), "_id")     # about 6 * max_rows rows at most, so the texts stay where they are
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
