@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = int(shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     members = written(join_hot_safe(placed, shared, ["bucket"], "c", total).select("bucket", "rep", "pivot"), "members")
     pairs = written(members.where("rep <> pivot").select("rep", "pivot").distinct(), "pairs")
-    involved = pairs.select("rep").union(pairs.select("pivot")).distinct()
+    involved = pairs.select("rep").union(pairs.select("pivot")).distinct().hint("merge")     # grows with the table
     words = written(first.select(F.col("doc_id").alias("rep"), "words").join(involved, "rep", "left_semi")
                     .dropDuplicates(["rep"]), "words")
     links = written(verify_pairs(pairs, words, threshold), "links")
