@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target mix of the labelled domains takes them."""
-    return mixing.apply_mix(docs.select(*COLUMNS), mixing.mix(docs, read_table(spark, sf_dir, "labels"), DOMAIN, MIX_WEIGHTS))
+    return mixing.apply_mix(docs.select(*COLUMNS), mixing.mix(docs, read_table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIX_WEIGHTS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,14 +27,14 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Domains of the labelled table, and the share of tokens each is to have.
-DOMAIN = F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' WHEN quality = 0 THEN 'low' END")
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'clean' WHEN quality = 0 THEN 'low' END"
 MIX_WEIGHTS = {"clean": 0.86, "low": 0.10, "toxic": 0.04}
 
 
 @_query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posteriors, rate and copies of every document for the target mix."""
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), DOMAIN, MIX_WEIGHTS)
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), F.expr(DOMAIN), MIX_WEIGHTS)
     return mixed.select(F.col("id").alias("doc_id"), F.col("tokens").cast("bigint").alias("n_tokens"),
                         *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(MIX_WEIGHTS)], "rate", "copies")
 
