@@ -4,10 +4,10 @@ The subword model of the reference is a library artefact; here a corpus vocabula
 built by Spark (word counts, ranked) and used for encode/decode.  Ids: 0 pad, 1 end of
 sequence, 2 unknown, words from 3.
 
-Scale: the vocabulary has at most ``vocab_size`` rows (checked), so it is broadcast.
-Token rows are produced by ``posexplode`` *after* truncation and regrouped by the row key;
-the input is hash-partitioned by that key once, so explode → broadcast join → ordered
-regroup → join back run without a further exchange.
+Scale: the vocabulary holds every word, however many there are.  Its ``HEAD_WORDS`` most
+frequent words are broadcast (a fixed bound) and find most tokens; the others are joined by
+a shuffle, in which no word is hot, and found tokens are dealt out evenly.  Token rows are
+produced by ``posexplode`` *after* truncation and regrouped by the row key.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ MAX_INPUT_LENGTH = 1024
 MAX_TARGET_LENGTH = 256
 # -----------------------------------------------------------------------------------------
 
-MAX_VOCAB = 2_000_000   # broadcast bound for the vocabulary table
+HEAD_WORDS = 50_000     # most frequent words, broadcast; every further word is found by a shuffle join
+TASK_PREFIXES = ("predict:", "explain:")    # words with reserved ids in two-task vocabularies
 SPECIALS = {PAD_TOKEN: PAD_ID, EOS_TOKEN: EOS_ID, UNK_TOKEN: UNK_ID}
 
 
@@ -48,19 +49,44 @@ def tokens(text) -> Column:
     return F.array_remove(F.split(t, WORD_SPLIT_RE, -1), "")
 
 
-def build_vocab(texts: DataFrame, text_cols: Sequence[str], vocab_size: int = 32000) -> DataFrame:
-    """(word, id, cnt): the ``vocab_size - 3`` most frequent words, ties by word."""
-    if not 3 < vocab_size <= MAX_VOCAB:
-        raise ValueError(f"vocab_size must be in (3, {MAX_VOCAB}]")
-    words = None
-    for c in text_cols:
-        w = texts.select(F.explode(tokens(c)).alias("word"))
-        words = w if words is None else words.unionByName(w)
+def build_vocab(texts: DataFrame, text_cols: Sequence[str], vocab_size: int | None = None,
+                reserved: Sequence[str] = ()) -> DataFrame:
+    """(word, id, cnt): every word, most frequent first, ties by word.
+
+    ``reserved`` words (task prefixes, say) come before all others, whether or not the texts
+    hold them.  ``vocab_size`` cuts the vocabulary if a model needs a fixed size.
+    """
+    if vocab_size is not None and vocab_size <= FIRST_WORD_ID + len(reserved):
+        raise ValueError(f"vocab_size must exceed {FIRST_WORD_ID + len(reserved)}")
+    all_tokens = F.concat(*[F.coalesce(tokens(c), F.array().cast("array<string>")) for c in text_cols])
+    words = texts.select(F.explode(all_tokens).alias("word")).select("word", F.lit(1).cast("bigint").alias("n"))
+    place = F.lit(len(reserved))
+    for i, w in enumerate(reserved):
+        place = F.when(F.col("word") == w, F.lit(i)).otherwise(place)
+        words = words.unionByName(texts.sparkSession.range(1).select(F.lit(w).alias("word"), F.lit(0).cast("bigint").alias("n")))
     counts = (words.where(~F.col("word").isin(list(SPECIALS)))
-              .groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
-    ranked = dense_positions(counts, [F.col("cnt").desc(), F.col("word").asc()], "_rank")
-    return (ranked.where(F.col("_rank") < vocab_size - FIRST_WORD_ID)
-            .select("word", (F.col("_rank") + FIRST_WORD_ID).cast("int").alias("id"), "cnt"))
+              .groupBy("word").agg(F.sum("n").alias("cnt")))
+    order = [F.col("cnt").desc(), F.col("word").asc()]
+    ranked = dense_positions(counts, [place.asc(), *order] if reserved else order, "_rank")
+    if vocab_size is not None:
+        ranked = ranked.where(F.col("_rank") < vocab_size - FIRST_WORD_ID)
+    return ranked.select("word", (F.col("_rank") + FIRST_WORD_ID).cast("int").alias("id"), "cnt")
+
+
+def _look_up(rows: DataFrame, vocab: DataFrame, key: str, value: str, out: str, spread: Sequence[str]) -> DataFrame:
+    """``rows`` with ``out``: the vocabulary's ``value`` for ``key``, NULL if it has none.
+
+    Frequent words by broadcast, the rest by a shuffle join.  There a row that is found (or
+    has no place in the vocabulary) gets a key of its own kind, so no key is hot.
+    """
+    v = vocab.select("word", "id")
+    head = v.where(F.col("id") < FIRST_WORD_ID + HEAD_WORDS).select(F.col(key), F.col(value).alias("_head"))
+    tail = v.where(F.col("id") >= FIRST_WORD_ID + HEAD_WORDS).select(F.col(key).cast("string").alias("_key"), F.col(value).alias("_tail"))
+    first = rows.join(F.broadcast(head), key, "left")
+    evenly = F.concat(F.lit(" "), F.pmod(F.xxhash64(*spread), F.lit(1 << 16)).cast("string"))     # no word holds a blank
+    first = first.withColumn("_key", F.when(F.col("_head").isNull(), F.col(key).cast("string")).otherwise(evenly))
+    return (first.join(tail, "_key", "left").withColumn(out, F.coalesce("_head", "_tail"))
+            .drop("_key", "_head", "_tail"))
 
 
 def _token_id(word: Column, vid: Column) -> Column:
@@ -89,12 +115,11 @@ def encode_many(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, s
 
     A source column is tokenised and looked up once, however many outputs use it (the
     predict and explain inputs share one body).  All sources are exploded together (only
-    the key travels with a token), looked up with one broadcast join, regrouped with one
-    aggregate and joined back once.  The input is hash-partitioned by the key once
-    (skipped when ``prepartitioned``), so the aggregate and the join back need no exchange.
+    the key travels with a token), looked up (``_look_up``), regrouped with one aggregate
+    and joined back once.  The input is hash-partitioned by the key once (skipped when
+    ``prepartitioned``), so the join back moves no wide row again.
     """
     keys = list(keys)
-    vocab_b = F.broadcast(vocab.select("word", F.col("id").alias("_vid")))
     base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
     need: dict[str, int] = {}
     for src, _, mlen, _ in specs:
@@ -104,7 +129,7 @@ def encode_many(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, s
                         for i, src in enumerate(srcs)])
     ex = (base.select(*keys, F.explode(per_src).alias("_x"))
           .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "word")))
-    ids = (ex.join(vocab_b, "word", "left")
+    ids = (_look_up(ex, vocab, "word", "id", "_vid", [*keys, "_s", "_p"])
            .select(*keys, "_s", "_p", _token_id(F.col("word"), F.col("_vid")).alias("_id"))
            .groupBy(*keys)
            .agg(F.sort_array(F.collect_list(F.struct("_s", "_p", "_id"))).alias("_all")))
@@ -146,14 +171,13 @@ def decode_many(df: DataFrame, keys: Sequence[str], cols: dict[str, str], vocab:
                 prepartitioned: bool = False) -> DataFrame:
     """Decode several id columns (id column → text column) with one explode and one regroup."""
     keys = list(keys)
-    vocab_b = F.broadcast(vocab.select(F.col("id").alias("_id"), "word"))
     base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
     names = list(cols)
     per_col = F.array(*[F.struct(F.lit(i).alias("_s"), F.col(c).alias("_t")) for i, c in enumerate(names)])
     ex = (base.select(*keys, F.explode(per_col).alias("_x"))
-          .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "_id"))
-          .where(F.col("_id") >= FIRST_WORD_ID))
-    txt = (ex.join(vocab_b, "_id")
+          .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "id"))
+          .where(F.col("id") >= FIRST_WORD_ID))
+    txt = (_look_up(ex, vocab, "id", "word", "word", [*keys, "_s", "_p"]).where(F.col("word").isNotNull())
            .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_s", "_p", "word"))).alias("_all")))
     out = base.join(txt, keys, "left")
     empty = F.array().cast("array<struct<_s:int,_p:int,word:string>>")

@@ -13,7 +13,6 @@ from curatio.plans import sql_text as S
 from curatio.plans.catalog import _NLI_NAME_SQL, register
 from curatio.plans.fixture_sql import with_ctes
 
-VOCAB_SIZE = 32000
 TRAIN_BATCH = 64
 ALPHA = 0.5
 
@@ -32,7 +31,7 @@ def nli_prep(spark, sf_dir) -> DataFrame:
 
 def nli_vocab(spark, sf_dir, prep=None) -> DataFrame:
     prep = prep if prep is not None else nli_prep(spark, sf_dir)
-    return tokens.build_vocab(prep, ["input", "label", "rationale"], VOCAB_SIZE)
+    return tokens.build_vocab(prep, ["input", "label", "rationale", "llm_label"], reserved=tokens.TASK_PREFIXES)
 
 
 def encoded_nli(spark, sf_dir, mode: str) -> DataFrame:
@@ -68,13 +67,14 @@ def toks_sql(x: str) -> str:
     return f"string_split_regex({S.st(t)}, {S.q(WORD_SPLIT_RE)})"
 
 
-def vocab_sql(src: str, cols: list[str], size: int = VOCAB_SIZE) -> str:
-    unions = " UNION ALL ".join(f"SELECT unnest({toks_sql(c)}) AS word FROM {src}" for c in cols)
+def vocab_sql(src: str, cols: list[str], reserved: tuple[str, ...] = ()) -> str:
+    unions = " UNION ALL ".join([f"SELECT unnest({toks_sql(c)}) AS word, 1 AS n FROM {src}" for c in cols]
+                                + [f"SELECT {S.q(w)}, 0" for w in reserved])
+    first = "".join(f"word <> {S.q(w)}, " for w in reserved)     # false sorts before true
     return (f"SELECT word, cast(rk + 3 AS int) AS id, cnt FROM ("
-            f"SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word ASC) - 1 AS rk FROM ("
-            f"SELECT word, cast(count(*) AS bigint) AS cnt FROM ({unions}) w "
-            f"WHERE word <> '' AND word NOT IN ('<pad>', '</s>', '<unk>') GROUP BY word) c) r "
-            f"WHERE rk < {size - 3}")
+            f"SELECT word, cnt, row_number() OVER (ORDER BY {first}cnt DESC, word ASC) - 1 AS rk FROM ("
+            f"SELECT word, cast(sum(n) AS bigint) AS cnt FROM ({unions}) w "
+            f"WHERE word <> '' AND word NOT IN ('<pad>', '</s>', '<unk>') GROUP BY word) c) r")
 
 
 def body_sql(src: str, keys: list[str], col: str, max_len: int, vocab: str = "vocab") -> str:
@@ -91,7 +91,7 @@ def body_sql(src: str, keys: list[str], col: str, max_len: int, vocab: str = "vo
 def ids_sql(body: str, max_len: int, prefix_word: str | None = None, vocab: str = "vocab") -> str:
     b = f"coalesce({body}, []::int[])"
     if prefix_word:
-        b = (f"list_concat([(SELECT coalesce(max(id), 2) FROM {vocab} WHERE word = {S.q(prefix_word)})], {b})"
+        b = (f"list_concat([{['predict:', 'explain:'].index(prefix_word) + 3}], {b})"
              f"[1:{max_len - 1}]")
     return f"list_concat({b}, [1])"
 
@@ -115,7 +115,8 @@ KEYS = ["split", "row_pos"]
 
 def _nli_base(extra: list[tuple[str, str]]) -> str:
     return with_ctes("nli_src", "nli_llm", extra=[("prep", NLI_PREP_SQL),
-                                                   ("vocab", vocab_sql("prep", ["input", "label", "rationale"])),
+                                                   ("vocab", vocab_sql("prep", ["input", "label", "rationale", "llm_label"],
+                                                                      ("predict:", "explain:"))),
                                                    *extra])
 
 
@@ -142,7 +143,7 @@ ENC_TP_SQL = ("SELECT p.split, p.row_pos, " + ", ".join(f"{v} AS {k}" for k, v i
           "SELECT word, id, cnt FROM vocab")
 def q_vocab_build(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
-    return tokens.build_vocab(docs, ["text"], VOCAB_SIZE)
+    return tokens.build_vocab(docs, ["text"])
 
 
 @register("encode_inputs", _nli_base([_B_IN]) +
@@ -279,7 +280,7 @@ def q_decoded_text_accuracy(spark, sf_dir):
 def q_decoded_eq_accuracy(spark, sf_dir):
     s = parse.parse_outputs(fx.svamp_full(spark, sf_dir), "svamp", "palm", label_col="llm_label")
     s = s.select("row_pos", "equation", "llm_label")
-    vocab = tokens.build_vocab(s, ["equation", "llm_label"], VOCAB_SIZE)
+    vocab = tokens.build_vocab(s, ["equation", "llm_label"])
     enc = tokens.encode(s, ["row_pos"], {"equation": "labels", "llm_label": "pred_ids"}, vocab, 256)
     enc = enc.select("row_pos", tokens.mask_predictions("pred_ids").alias("pred_ids"),
                      tokens.mask_labels("labels").alias("labels"))

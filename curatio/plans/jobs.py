@@ -92,7 +92,7 @@ def _outputs(spark: SparkSession, root: str, spec: DatasetSpec, model: str, on_b
 
 
 def training_tables(spark: SparkSession, cfg: JobConfig, data_root: str, vocab: DataFrame | None = None,
-                    vocab_size: int = 32000, subset: str = "full", on_bad: str = "fail",
+                    vocab_size: int | None = None, subset: str = "full", on_bad: str = "fail",
                     out_path: str | None = None) -> TrainingTables:
     cfg.validate()
     if cfg.dataset == "asdiv":   # SVAMP training set augmented with ASDiv; SVAMP test
@@ -139,7 +139,7 @@ def training_tables(spark: SparkSession, cfg: JobConfig, data_root: str, vocab:
     keys = ["split", "row_pos"]
     if vocab is None:
         cols = ["input", "label"] + (["rationale"] if cfg.llm else [])
-        vocab = tokens.build_vocab(df.where("split = 'train'"), cols, vocab_size)
+        vocab = tokens.build_vocab(df.where("split = 'train'"), cols, vocab_size, reserved=tokens.TASK_PREFIXES)
     li, lt = cfg.max_input_length, tokens.MAX_TARGET_LENGTH
     if cfg.model_type == "task_prefix":
         specs = [("input", "input_ids", li, "predict:"), ("input", "expl_input_ids", li, "explain:"),

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from curatio.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
@@ -23,7 +24,7 @@ def _unpartitioned_window_orders(plan: str) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_plan_shape(spark, key):
     plan = _plan(E.queries()[key](spark, SF_SMALL))
     # Python only where equations are evaluated

@@ -73,3 +73,23 @@ def test_unpivot_and_loss(spark):
     with_r = tokens.blend_losses(losses, 0.5, True).collect()[0].loss
     without = tokens.blend_losses(losses, 0.5, False).collect()[0].loss
     assert with_r == (0.5 * 1 + 0.5 * 3 + 2.0) / 2 and without == 1.5
+
+
+def test_every_word_has_an_id_and_prefixes_their_own(spark):
+    texts = [f"w{i} predict" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    vocab = tokens.build_vocab(df, ["t"], reserved=tokens.TASK_PREFIXES)
+    assert vocab.count() == 303
+    enc = tokens.encode_many(df, ["k"], [("t", "a", 64, "predict:"), ("t", "b", 64, "explain:")], vocab).collect()
+    assert all(2 not in r.a and r.a[0] == 3 and r.b[0] == 4 and r.a != r.b for r in enc)
+
+
+def test_rare_words_are_found_beyond_the_broadcast_head(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "HEAD_WORDS", 2)
+    texts = ["a a a b b c d e", "c a zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    vocab = tokens.build_vocab(df.where("k = 0"), ["t"])
+    enc = tokens.encode(df, ["k"], {"t": "ids"}, vocab, 64)
+    assert {r.k: list(r.ids) for r in enc.collect()} == {0: [3, 3, 3, 4, 4, 5, 6, 7, 1], 1: [5, 3, 2, 1]}
+    out = tokens.decode(enc, ["k"], "ids", vocab, "out").collect()
+    assert {r.k: r.out for r in out} == {0: "a a a b b c d e", 1: "c a"}
