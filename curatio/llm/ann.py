@@ -3,7 +3,7 @@
 Vectors are cut into two halves; each half is quantised with its own codebook, and a vector
 lies in the cell of its two codes.  A query adds up its inner products with the two codes
 of a cell (the summed distance, negated) and walks the code pairs from the best down with a
-heap, until the cells visited hold a given share of the index; the entries of these cells
+heap, until the cells visited hold a given share of the index (and k + 2 entries); the entries of these cells
 are reranked by exact inner products in double precision.
 
 Equal vectors form one class, which is searched once and holds its smallest ids only: of
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
             out = []
             for c, vec, a, b in zip(pdf["c"], pdf["vec"], left, right, strict=True):
                 bits = np.zeros(len(block_rows) * span, bool)
-                bits[visit(a, b, population, share * total)] = True
+                bits[visit(a, b, population, max(share * total, k + 2))] = True
                 for blk, part in enumerate(bits.reshape(-1, span)):
                     if part.any():
                         packed = np.packbits(part).tobytes()

@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "_text"):
+        for batch, texts in text_slices(batches, "_text", limit=500_000):
             langs, scores = score_texts(shared.value, texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)],
                                              [*keep, lang_out, score_out])
