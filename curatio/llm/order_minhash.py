@@ -22,7 +22,8 @@ Jobs:
    into groups of bounded size.
 4. A bucket in which somebody was not similar to the smallest is examined in full, in bands of
    text length (a similar pair's lengths differ by a fifth at most): those that were not
-   similar are compared with all others, until they are connected.
+   similar are compared with all others, until they are connected.  A large band is dealt
+   into blocks, and each pair of blocks is a group of bounded size of its own.
 5. Connected components of the links, with the copies, are the classes.
 
 Edge cases: texts without words (NULL, empty, only symbols) are classes of their own; texts of
@@ -48,6 +49,7 @@ from curatio.llm.common import components, id_and_text, join_hot_safe, text_slic
 
 K, L, ENTRIES, SHORT, SHORT_ENTRIES, THRESHOLD = 5, 5, 32, 16, 16, 0.8
 GROUP = 256             # pairs of one pivot that one group verifies
+BLOCK, BLOCK_WORDS = 1024, 1 << 21      # texts and words of one block of a large open bucket
 _WORD = re.compile(r"[^\W_]+")
 _R = np.random.default_rng(20)
 _MUL = (_R.integers(0, 1 << 32, ENTRIES + SHORT_ENTRIES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -209,11 +211,13 @@ def verify_pairs(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFr
     return own.groupBy("pivot", "part").cogroup(theirs.groupBy("of", "nth")).applyInPandas(run, "a long, b long")
 
 
-def group_links(ids: list[int], shingles: list[np.ndarray], linked: list[bool], threshold: float) -> list[tuple[int, int]]:
+def group_links(ids: list[int], shingles: list[np.ndarray], linked: list[bool], threshold: float,
+                side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links among the members of a group of which the ``linked`` ones are connected already.
 
     Overlaps come from an index of the group's shingles; pairs that may reach the threshold
-    are aligned, unless they are connected by then.
+    are aligned, unless they are connected by then.  With ``side``, only members of
+    different sides are compared.
     """
     sizes = np.array([len(s) for s in shingles])
     codes, inverse = np.unique(np.concatenate(shingles), return_inverse=True)
@@ -241,15 +245,23 @@ def group_links(ids: list[int], shingles: list[np.ndarray], linked: list[bool],
         lengths = start[mine + 1] - start[mine]
         at = np.repeat(start[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
         common = np.bincount(owners[at], minlength=len(ids))
-        for j in np.flatnonzero(common >= threshold * (sizes + sizes[i] - common)).tolist():
+        near = common >= threshold * (sizes + sizes[i] - common)
+        if side is not None:
+            near &= side != side[i]
+        for j in np.flatnonzero(near).tolist():
             if (j > i or linked[j]) and find(i) != find(j) and similarity(shingles[i], shingles[j], threshold) >= threshold:
                 root[find(i)] = find(j)
                 out.append((ids[i], ids[j]))
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_shingles) of every row: class_id is the smallest id of its class."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                    block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, copy_of, n_shingles) of every row: class_id is the smallest id of its class.
+
+    ``block`` is how many texts of an open bucket one side of a comparison holds; it sets
+    the memory of a task, never the result.
+    """
     table = written(sketches(docs, id_col, text_col), "sketches")
     known = table.where("n > 0 AND doc_id IS NOT NULL")
     exact = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")), "exact")
@@ -281,14 +293,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = (join_hot_safe(others, counts, ["bucket"], "c", again).select("bucket", "rep", "ok").join(words, "rep")
             .withColumn("band", F.explode(F.array(size, size + 1))))
 
+    # a band holds a pair to check only if somebody in it is still open
+    open_one = F.max((~F.col("ok")).cast("int"))
+    bands = full.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("words") / 4).alias("w"), open_one.alias("o"))
+    blocks = F.ceil(F.greatest(F.col("c") / block, F.col("w") / BLOCK_WORDS)).cast("int")
+    bands = written(bands.where("c > 1 AND o = 1").select("bucket", "band", "c", blocks.alias("blocks")), "open-bands")
+    in_bands = int(bands.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    dealt = (join_hot_safe(full, bands, ["bucket", "band"], "c", in_bands)
+             .withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", "band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "rep", "ok", "mine", "words"))
+
     def examine(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["ok"].all():
+            return pd.DataFrame({"a": [], "b": []})
         pdf = pdf.sort_values("rep")
-        got = group_links(pdf["rep"].tolist(), [_shingles_of(w) for w in pdf["words"]], pdf["ok"].tolist(), threshold)
+        side = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else pdf["mine"].to_numpy()
+        got = group_links(pdf["rep"].tolist(), [_shingles_of(w) for w in pdf["words"]], pdf["ok"].tolist(), threshold, side)
         return pd.DataFrame(got, columns=["a", "b"])
-    # a band holds a pair to check only if somebody in it is still open
-    bands = full.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("c"), F.max((~F.col("ok")).cast("int")).alias("o")).where("c > 1 AND o = 1")
-    rest = (full.join(bands.select("bucket", "band"), ["bucket", "band"], "left_semi")
-            .groupBy("bucket", "band").applyInPandas(examine, "a long, b long"))
+    rest = dealt.groupBy("bucket", "band", "lo", "hi").applyInPandas(examine, "a long, b long")
     links = links.unionByName(written(rest, "links"))
 
     facts = exact.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -263,6 +263,31 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.mix(docs, labels, F.col("d"), weights).count() == 12 and mixing.mix(none, labels, F.col("d"), weights).count() == 0
 
 
+def all_pairs(rows):
+    table = order_minhash._word_table()
+    s = {i: order_minhash.labelled_shingles(table.rows([t])[0]) for i, t in rows}
+    root = {i: i for i in s}
+    pairs = [(i, j) for i in s for j in s if i < j and len(s[i]) and len(s[j]) and order_minhash.similarity(s[i], s[j]) >= 0.8]
+    for _ in rows:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_open_buckets_in_blocks(spark, block):
+    """Texts that share a passage share buckets without being similar; near copies among them are found."""
+    passage, rows = words(900, 70), []
+    for f in range(25):
+        own = words(f, 24).split()
+        rows.append((len(rows), passage + " " + " ".join(own)))
+        if f % 3 == 0:
+            rows.append((len(rows), passage + " " + " ".join([*own[:-1], f"other{f}"])))
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    root = all_pairs(rows)
+    assert {x.doc_id: x.class_id for x in got.collect()} == root and len(set(root.values())) == 25
+
+
 def test_near_duplicates_against_all_pairs(spark, docs, none):
     r, rows = np.random.default_rng(5), []
     for f in range(12):
@@ -274,13 +299,7 @@ def test_near_duplicates_against_all_pairs(spark, docs, none):
             rows.append((len(rows), " ".join(w)))
     rows += [(100, rows[3][1].upper() + "!"), (101, None), (102, ""), (103, "$$"), (104, rows[3][1])]
     got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    table = order_minhash._word_table()
-    s = {i: order_minhash.labelled_shingles(table.rows([t])[0]) for i, t in rows}
-    root = {i: i for i in s}
-    pairs = [(i, j) for i in s for j in s if i < j and len(s[i]) and len(s[j]) and order_minhash.similarity(s[i], s[j]) >= 0.8]
-    for _ in rows:
-        for i, j in pairs:
-            root[i] = root[j] = min(root[i], root[j])
+    root = all_pairs(rows)
     assert got == root and got[100] == got[104] == got[3] and [got[i] for i in (101, 102, 103)] == [101, 102, 103]
     classes = order_minhash.near_duplicates(docs)
     kept = sorted((x.doc_id for x in order_minhash.keep_one(docs, classes).collect()), key=str)
