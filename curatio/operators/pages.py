@@ -1,6 +1,6 @@
 """Page-annotation preparation.
 
-Inputs are tables: a file listing (path), detections (page, poly_idx, points), recognised
+Inputs are tables: a file listing (path), detections (path, poly_idx, points), recognised
 strings in flattened crop order (crop_pos, text), page texts (doc, page, text).  Images,
 PDFs and models are outside Spark; their outputs are the rows here.
 """
@@ -20,8 +20,6 @@ from curatio.operators.positions import dense_positions, running_offsets
 # --- fixed values -----------------------------------------------------------------------
 PAGE_EXTS = ("png", "jpg", "jpeg")                    # page images, any case
 SPLIT_GLOB_EXTS = ("png", "jpg", "jpeg", "bmp", "tiff")  # split listing, exact case
-SPLIT_PREFIXES = ("chapter4_", "chapter12_")
-SPLIT_FOLDERS = ("DamDat", "DoDat", "Bao", "Khoa")
 UNKNOWN_PREFIX = "unknownprefix"
 PAGE_NUM_RE = r"(?i)^.*page_([0-9]+)\.(png|jpg|jpeg)$"
 PREFIX_RE = r"(?i)^([a-zA-Z0-9]+)_page_[0-9]+\.(png|jpg|jpeg)$"
@@ -35,12 +33,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def dirname(path) -> Column:
-    """Text before the last ``/`` ('' when there is none)."""
-    p = _c(path)
-    return F.substring(p, F.lit(1), F.length(p) - F.length(basename(p)) - F.lit(1))
-
-
 def doc_name(path) -> Column:
     """Base name without its last extension; a name of only leading dots keeps them."""
     b = basename(_c(path))
@@ -117,10 +109,10 @@ def list_pages(files: DataFrame, pdf_paths: Sequence[str], folders: Sequence[str
     return _match_docs(files, rules, _ext_re(PAGE_EXTS, True), path_col).withColumn("page", page_number("path"))
 
 
-def list_split_images(files: DataFrame, prefixes: Sequence[str] = SPLIT_PREFIXES,
+def list_split_images(files: DataFrame, prefixes: Sequence[str],
                       folders: Sequence[str] | None = None, exts: Sequence[str] = SPLIT_GLOB_EXTS,
                       path_col: str = "path") -> DataFrame:
-    """Images for dealing out: exact-case extensions, fixed name prefixes, one folder each."""
+    """Images for dealing out: exact-case extensions, one name prefix and folder per document."""
     folders = list(folders) if folders else ["raw"] * len(prefixes)
     rules = [(i, pre, fo, pre) for i, (pre, fo) in enumerate(zip(prefixes, folders))]
     return _match_docs(files, rules, _ext_re(exts, False), path_col).withColumn("page", page_number("path"))
@@ -142,39 +134,68 @@ def polygon_bbox(points, width, height) -> tuple[Column, Column, Column, Column]
             F.least(F.array_max(xs), w), F.least(F.array_max(ys), h))
 
 
+def page_crops(pages: DataFrame, detections: DataFrame, key: str = "path") -> DataFrame:
+    """One row per polygon of the listed images: the detections with row_pos and crop_pos.
+
+    An image's first crop is the number of crops of earlier pages (W04, distributed prefix
+    sum).  An image listed twice is detected twice, as two pages.
+    """
+    counts = detections.groupBy(key).agg(F.count(F.lit(1)).alias("n_crops"))
+    pc = pages.select("row_pos", key).join(counts, key).select("row_pos", key, "n_crops")
+    pc = running_offsets(pc, ["row_pos"], "n_crops", "_off")
+    return (detections.join(pc.select(key, "row_pos", "_off"), key)
+            .withColumn("crop_pos", F.col("_off") + F.col("poly_idx")).drop("_off"))
+
+
 def page_entries(pages: DataFrame, detections: DataFrame, recognitions: DataFrame,
-                 page_key: str = "page_no", dedupe_paths: bool = True) -> DataFrame:
+                 key: str = "path", dedupe_paths: bool = True) -> DataFrame:
     """One record per page: ``[{transcription, points, difficult:false}, …]`` in polygon order.
 
-    ``pages`` (row_pos, path, page_no); ``detections`` (page_no, poly_idx, points);
-    ``recognitions`` (crop_pos, text) in flattened crop order over pages by row_pos.
-    A page's first crop is the number of crops on earlier pages (W04, distributed prefix
-    sum).  A polygon with no recognised string is dropped (zip to the shorter list); a page
-    with no polygons keeps ``[]``.  A path listed twice keeps the later page's entries at
-    the earlier position.
+    ``pages`` (row_pos, path); ``detections`` (path, poly_idx, points), the polygons of each
+    image, whatever its page number; ``recognitions`` (crop_pos, text) in flattened crop
+    order over pages by row_pos.  A polygon with no recognised string is dropped (zip to the
+    shorter list); a page with no polygons keeps ``[]``.  A path listed twice keeps the
+    later page's entries at the earlier position.
     """
-    counts = detections.groupBy(page_key).agg(F.count(F.lit(1)).alias("n_crops"))
-    pc = pages.select("row_pos", "path", page_key).join(counts, page_key, "left") \
-        .withColumn("n_crops", F.coalesce("n_crops", F.lit(0)).cast("bigint"))
-    pc = running_offsets(pc, ["row_pos"], "n_crops", "crop_offset")
-    crops = (detections.join(pc.select(page_key, "row_pos", "crop_offset"), page_key)
-             .withColumn("crop_pos", F.col("crop_offset") + F.col("poly_idx")))
-    crops = crops.join(recognitions.select("crop_pos", F.col("text").alias("transcription")), "crop_pos", "left")
+    crops = page_crops(pages, detections, key)
+    if dedupe_paths:
+        # narrow rows: which page of a path gives the entries, and where they go
+        place = pages.groupBy("path").agg(F.min("row_pos").alias("row_pos"), F.max("row_pos").alias("_last"))
+    else:
+        place = pages.select("path", "row_pos", F.col("row_pos").alias("_last"))
+    crops = crops.join(recognitions.select("crop_pos", F.col("text").alias("transcription")), "crop_pos")
     grouped = (crops.where(F.col("transcription").isNotNull())
-               .groupBy("row_pos")
+               .groupBy(F.col("row_pos").alias("_last"))
                .agg(F.sort_array(F.collect_list(F.struct("poly_idx", "transcription", "points"))).alias("_e")))
-    out = (pc.select("row_pos", "path").join(grouped, "row_pos", "left")
-           .withColumn("entries", F.transform(
+    out = (place.join(grouped, "_last", "left")
+           .select("path", "row_pos", F.transform(
                F.coalesce("_e", F.array().cast(grouped.schema["_e"].dataType)),
                lambda e: F.struct(e["transcription"].alias("transcription"), e["points"].alias("points"),
-                                  F.lit(False).alias("difficult"))))
-           .drop("_e"))
-    if dedupe_paths:
-        out = (out.groupBy("path").agg(F.min("row_pos").alias("row_pos"),
-                                        F.max_by("entries", "row_pos").alias("entries")))
+                                  F.lit(False).alias("difficult"))).alias("entries")))
     return out.withColumn("n_entries", F.size("entries").cast("bigint"))
 
 
+def crop_names(row_pos="row_pos", path="path", poly_idx="poly_idx", crop_folder: str = CROP_FOLDER,
+               legacy_names: bool = False, batch_size: int = 4) -> Column:
+    """Crop file ``{prefix}_page_{n}_crop_{i}.jpg``; n as in ``rec_gt_lines``."""
+    n = ((F.pmod(_c(row_pos), F.lit(batch_size)) + 1) if legacy_names
+         else F.coalesce(page_number(path), _c(row_pos) + 1))
+    name = F.concat(page_prefix(path), F.lit("_page_"), n.cast("string"), F.lit("_crop_"),
+                    _c(poly_idx).cast("string"), F.lit(".jpg"))
+    return F.concat(F.lit(crop_folder.rstrip("/") + "/"), name) if crop_folder else name
+
+
+def crop_table(pages: DataFrame, detections: DataFrame, width, height, key: str = "path",
+               crop_folder: str = CROP_FOLDER, legacy_names: bool = False, batch_size: int = 4) -> DataFrame:
+    """What a cropper needs per polygon: image, crop file name, box clamped to the image (P14, P16)."""
+    crops = page_crops(pages, detections, key)
+    x0, y0, x1, y1 = polygon_bbox("points", width, height)
+    return crops.select("row_pos", "crop_pos", "path", F.col("poly_idx").cast("bigint").alias("poly_idx"),
+                        crop_names(crop_folder=crop_folder, legacy_names=legacy_names,
+                                   batch_size=batch_size).alias("crop"),
+                        x0.alias("min_x"), y0.alias("min_y"), x1.alias("max_x"), y1.alias("max_y"))
+
+
 def entries_json(entries) -> Column:
     """Entries as the reference prints them (``json.dumps``: ", " and ": " separators)."""
     def one(e):
@@ -205,12 +226,8 @@ def rec_gt_lines(entries: DataFrame, crop_folder: str = CROP_FOLDER, legacy_name
     n is the page number from the file name (position+1 when it has none);
     ``legacy_names`` reproduces numbering by index inside the batch.
     """
-    n = ((F.pmod("row_pos", F.lit(batch_size)) + 1) if legacy_names
-         else F.coalesce(page_number("path"), F.col("row_pos") + 1))
-    e = entries.select("row_pos", "path", n.alias("_n"), F.posexplode("entries").alias("poly_idx", "_e"))
-    name = F.concat(page_prefix("path"), F.lit("_page_"), F.col("_n").cast("string"), F.lit("_crop_"),
-                    F.col("poly_idx").cast("string"), F.lit(".jpg"))
-    path = F.concat(F.lit(crop_folder.rstrip("/") + "/"), name) if crop_folder else name
+    e = entries.select("row_pos", "path", F.posexplode("entries").alias("poly_idx", "_e"))
+    path = crop_names(crop_folder=crop_folder, legacy_names=legacy_names, batch_size=batch_size)
     return e.select("row_pos", F.col("poly_idx").cast("bigint").alias("poly_idx"),
                     F.concat(path, F.lit("\t"), F.col("_e.transcription")).alias("line"))
 
@@ -260,7 +277,7 @@ def alignment_summary(images: DataFrame, label: DataFrame, state: DataFrame, k:
     return _fail_when(s, ~F.col("ok"), "split inputs are empty, differ in length or lack a tab") if fail else s
 
 
-def deal_out(label: DataFrame, state: DataFrame, folders: Sequence[str] = SPLIT_FOLDERS) -> DataFrame:
+def deal_out(label: DataFrame, state: DataFrame, folders: Sequence[str]) -> DataFrame:
     """Zip label and state lines by position, give each a folder ``pos*k//n`` and rewrite paths.
 
     The new path is ``folder/basename(old path of the label line)``; the state line reuses

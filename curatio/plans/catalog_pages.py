@@ -13,6 +13,9 @@ from curatio.plans.fixture_sql import CTES, with_ctes
 NL = "chr(10)"
 PDFS = ["data/chapter4.pdf", "data/chapter12.pdf"]
 IMG_W = IMG_H = 40
+SPLIT_PREFIXES = ("chapter4_", "chapter12_")
+FOLDERS = ("annotator_1", "annotator_2", "annotator_3", "annotator_4")
+_FOLDER_SQL = "['annotator_1', 'annotator_2', 'annotator_3', 'annotator_4']"
 PAGE_BATCH = 4
 
 # ---------------------------------------------------------------------------------------
@@ -47,7 +50,7 @@ _SPLIT_LISTING_SQL = " UNION ALL ".join(
     f"SELECT {i} AS doc_order, '{pre}' AS doc, path, {_PAGE} AS page FROM page_files "
     f"WHERE {_DIR} = 'raw' AND ({_EXT_CS}) AND starts_with({_BASE}, '{pre}') "
     f"AND NOT starts_with({_BASE}, '.')"
-    for i, pre in enumerate(pages.SPLIT_PREFIXES))
+    for i, pre in enumerate(SPLIT_PREFIXES))
 _ORDERED = ("SELECT cast(row_number() OVER (ORDER BY doc_order, page NULLS LAST, path) - 1 AS bigint) AS row_pos, "
             "doc_order, doc, path, page FROM ({0}) l")
 OCR_PAGES_CTE = ("ocr_pages", _ORDERED.format(_LISTING_SQL))
@@ -63,7 +66,7 @@ def ocr_pages(spark, sf_dir) -> DataFrame:
 
 
 def split_images(spark, sf_dir) -> DataFrame:
-    return pages.order_pages(pages.list_split_images(page_files(spark, sf_dir)))
+    return pages.order_pages(pages.list_split_images(page_files(spark, sf_dir), SPLIT_PREFIXES))
 
 
 @register("page_listing", with_ctes("page_files") +
@@ -112,11 +115,11 @@ def q_test_subset(spark, sf_dir):
 
 @register("equal_blocks", with_ctes("page_files", extra=[SPLIT_IMAGES_CTE]) +
           "SELECT row_pos, path, row_pos * 4 // (SELECT count(*) FROM split_images) AS block, "
-          "['DamDat', 'DoDat', 'Bao', 'Khoa'][row_pos * 4 // (SELECT count(*) FROM split_images) + 1] AS folder "
+          f"{_FOLDER_SQL}[row_pos * 4 // (SELECT count(*) FROM split_images) + 1] AS folder "
           "FROM split_images")
 def q_equal_blocks(spark, sf_dir):
-    b = positions.equal_blocks(split_images(spark, sf_dir), len(pages.SPLIT_FOLDERS), "row_pos", "block")
-    names = F.array(*[F.lit(f) for f in pages.SPLIT_FOLDERS])
+    b = positions.equal_blocks(split_images(spark, sf_dir), len(FOLDERS), "row_pos", "block")
+    names = F.array(*[F.lit(f) for f in FOLDERS])
     return b.select("row_pos", "path", "block", F.get(names, F.col("block").cast("int")).alias("folder"))
 
 
@@ -190,17 +193,17 @@ def q_union_train(spark, sf_dir):
 def detections_with_points(spark, sf_dir) -> DataFrame:
     d = fx.detections(spark, sf_dir)
     pts = F.array(F.array("x0", "y0"), F.array("x1", "y0"), F.array("x1", "y1"), F.array("x0", "y1"))
-    return d.select(F.col("page").alias("page_no"), "poly_idx", pts.alias("points"), "text")
+    return d.select("path", "poly_idx", pts.alias("points"), "text")
 
 
 def recognitions_for(pgs: DataFrame, dets: DataFrame) -> DataFrame:
     """Recognised strings in flattened crop order, as a recogniser would return them."""
-    j = dets.join(pgs.select("row_pos", "page_no"), "page_no")
+    j = dets.join(pgs.select("row_pos", "path"), "path")
     return positions.dense_positions(j, ["row_pos", "poly_idx"], "crop_pos").select("crop_pos", "text")
 
 
 def ocr_entries(spark, sf_dir) -> DataFrame:
-    pgs = ocr_pages(spark, sf_dir).withColumn("page_no", F.col("page"))
+    pgs = ocr_pages(spark, sf_dir)
     dets = detections_with_points(spark, sf_dir)
     return pages.page_entries(pgs, dets.drop("text"), recognitions_for(pgs, dets))
 
@@ -211,36 +214,36 @@ _ENTRY_JSON = ("'{\"transcription\": ' || cast(to_json(d.text) AS varchar) || ',
                "|| ', ' || d.y1 || ']], \"difficult\": false}'")
 _ENTRIES_SQL = (f"SELECT p.row_pos, p.path, p.page, cast(count(d.poly_idx) AS bigint) AS n_entries, "
                 f"'[' || coalesce(string_agg({_ENTRY_JSON}, ', ' ORDER BY d.poly_idx), '') || ']' AS entries_json "
-                "FROM @PAGES p LEFT JOIN dets d ON d.page = p.@KEY GROUP BY p.row_pos, p.path, p.page")
-OCR_ENTRIES_CTE = ("ocr_entries", _ENTRIES_SQL.replace("@PAGES", "ocr_pages").replace("@KEY", "page"))
+                "FROM @PAGES p LEFT JOIN dets d ON d.path = p.path GROUP BY p.row_pos, p.path, p.page")
+OCR_ENTRIES_CTE = ("ocr_entries", _ENTRIES_SQL.replace("@PAGES", "ocr_pages"))
 
 
 @register("poly_bbox", with_ctes("detections") +
-          f"SELECT page, poly_idx, greatest(least(x0, x1), 0) AS min_x, greatest(least(y0, y1), 0) AS min_y, "
+          f"SELECT path, poly_idx, greatest(least(x0, x1), 0) AS min_x, greatest(least(y0, y1), 0) AS min_y, "
           f"least(greatest(x0, x1), {IMG_W}) AS max_x, least(greatest(y0, y1), {IMG_H}) AS max_y FROM detections")
 def q_poly_bbox(spark, sf_dir):
     d = detections_with_points(spark, sf_dir)
     x0, y0, x1, y1 = pages.polygon_bbox("points", IMG_W, IMG_H)
-    return d.select(F.col("page_no").alias("page"), "poly_idx", x0.alias("min_x"), y0.alias("min_y"),
+    return d.select("path", "poly_idx", x0.alias("min_x"), y0.alias("min_y"),
                     x1.alias("max_x"), y1.alias("max_y"))
 
 
 @register("crops_per_page", with_ctes("detections") +
-          "SELECT page, cast(count(*) AS bigint) AS n_crops FROM detections GROUP BY page")
+          "SELECT path, cast(count(*) AS bigint) AS n_crops FROM detections GROUP BY path")
 def q_crops_per_page(spark, sf_dir):
     d = fx.detections(spark, sf_dir)
-    return d.groupBy("page").agg(F.count(F.lit(1)).cast("bigint").alias("n_crops"))
+    return d.groupBy("path").agg(F.count(F.lit(1)).cast("bigint").alias("n_crops"))
 
 
 @register("crop_offsets", with_ctes("page_files", "detections", extra=[OCR_PAGES_CTE]) +
           """SELECT row_pos, path, n_crops, cast(coalesce(sum(n_crops) OVER (ORDER BY row_pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS crop_offset FROM (
-  SELECT p.row_pos, p.path, cast(count(d.page) AS bigint) AS n_crops FROM ocr_pages p
-  LEFT JOIN detections d ON d.page = p.page GROUP BY p.row_pos, p.path) c""")
+  SELECT p.row_pos, p.path, cast(count(d.path) AS bigint) AS n_crops FROM ocr_pages p
+  LEFT JOIN detections d ON d.path = p.path GROUP BY p.row_pos, p.path) c""")
 def q_crop_offsets(spark, sf_dir):
     pgs = ocr_pages(spark, sf_dir)
-    counts = fx.detections(spark, sf_dir).groupBy("page").agg(F.count(F.lit(1)).alias("n_crops"))
-    pc = (pgs.join(counts, "page", "left")
+    counts = fx.detections(spark, sf_dir).groupBy("path").agg(F.count(F.lit(1)).alias("n_crops"))
+    pc = (pgs.join(counts, "path", "left")
           .select("row_pos", "path", F.coalesce("n_crops", F.lit(0)).cast("bigint").alias("n_crops")))
     return positions.running_offsets(pc, ["row_pos"], "n_crops", "crop_offset")
 
@@ -258,6 +261,18 @@ def q_label_lines(spark, sf_dir):
     return pages.label_lines(ocr_entries(spark, sf_dir))
 
 
+@register("crop_table", with_ctes("page_files", extra=[OCR_PAGES_CTE, _DET_CTE]) +
+          f"""SELECT p.row_pos, cast(row_number() OVER (ORDER BY p.row_pos, d.poly_idx) - 1 AS bigint) AS crop_pos, p.path, d.poly_idx,
+  'crop_img/' || coalesce(nullif(regexp_extract({_BASE.replace('path', 'p.path')},
+  '(?i)^([a-zA-Z0-9]+)_page_[0-9]+\\.(png|jpg|jpeg)$', 1), ''), 'unknownprefix')
+  || '_page_' || coalesce(p.page, p.row_pos + 1) || '_crop_' || d.poly_idx || '.jpg' AS crop,
+  greatest(least(x0, x1), 0) AS min_x, greatest(least(y0, y1), 0) AS min_y,
+  least(greatest(x0, x1), {IMG_W}) AS max_x, least(greatest(y0, y1), {IMG_H}) AS max_y
+FROM ocr_pages p JOIN dets d ON d.path = p.path""")
+def q_crop_table(spark, sf_dir):
+    return pages.crop_table(ocr_pages(spark, sf_dir), detections_with_points(spark, sf_dir).drop("text"), IMG_W, IMG_H)
+
+
 @register("file_state_lines", with_ctes("page_files", extra=[OCR_PAGES_CTE]) +
           "SELECT row_pos, path || chr(9) || '1' AS line FROM ocr_pages")
 def q_file_state_lines(spark, sf_dir):
@@ -269,7 +284,7 @@ def q_file_state_lines(spark, sf_dir):
   'crop_img/' || coalesce(nullif(regexp_extract({_BASE.replace('path', 'p.path')},
   '(?i)^([a-zA-Z0-9]+)_page_[0-9]+\\.(png|jpg|jpeg)$', 1), ''), 'unknownprefix')
   || '_page_' || coalesce(p.page, p.row_pos + 1) || '_crop_' || d.poly_idx || '.jpg' || chr(9) || d.text AS line
-FROM ocr_pages p JOIN dets d ON d.page = p.page""")
+FROM ocr_pages p JOIN dets d ON d.path = p.path""")
 def q_rec_gt_lines(spark, sf_dir):
     return pages.rec_gt_lines(ocr_entries(spark, sf_dir))
 
@@ -290,12 +305,11 @@ def split_inputs(spark, sf_dir):
     per image directly (the page_entries query checks the offset-based regroup).
     """
     imgs = split_images(spark, sf_dir)
-    imgs = imgs.withColumn("page_no", F.regexp_extract("path", r"_page_([0-9]+)\.[^./]*$", 1).cast("bigint"))
     dets = detections_with_points(spark, sf_dir)
-    grouped = (dets.groupBy("page_no")
+    grouped = (dets.groupBy("path")
                .agg(F.sort_array(F.collect_list(F.struct("poly_idx", F.col("text").alias("transcription"),
                                                          "points"))).alias("_e")))
-    e = (imgs.select("row_pos", "path", "page_no").join(grouped, "page_no", "left")
+    e = (imgs.select("row_pos", "path").join(grouped, "path", "left")
          .withColumn("entries", F.transform(F.coalesce("_e", F.array().cast(grouped.schema["_e"].dataType)),
                                             lambda x: F.struct(x["transcription"].alias("transcription"),
                                                                x["points"].alias("points"),
@@ -303,19 +317,17 @@ def split_inputs(spark, sf_dir):
     return imgs, pages.label_lines(e), pages.file_state_lines(imgs)
 
 
-_SPLIT_PAGES_CTE = ("split_pages", "SELECT *, cast(regexp_extract(path, '_page_([0-9]+)\\.[^./]*$', 1) AS bigint) "
-                                   "AS page_no FROM split_images")
-_SPLIT_ENTRIES_CTE = ("split_entries", _ENTRIES_SQL.replace("@PAGES", "split_pages").replace("@KEY", "page_no"))
-_SPLIT_BASE = with_ctes("page_files", extra=[SPLIT_IMAGES_CTE, _SPLIT_PAGES_CTE, _DET_CTE, _SPLIT_ENTRIES_CTE,
+_SPLIT_ENTRIES_CTE = ("split_entries", _ENTRIES_SQL.replace("@PAGES", "split_images"))
+_SPLIT_BASE = with_ctes("page_files", extra=[SPLIT_IMAGES_CTE, _DET_CTE, _SPLIT_ENTRIES_CTE,
                                              ("lab", "SELECT row_pos, path || chr(9) || entries_json AS line "
                                                      "FROM split_entries"),
                                              ("st", "SELECT row_pos, path || chr(9) || '1' AS line FROM split_images"),
                                              ("n", "SELECT count(*) AS n FROM split_images")])
-_DEALT_CTE = ("dealt", """SELECT lab.row_pos, lab.row_pos * 4 // n.n AS block,
-  ['DamDat', 'DoDat', 'Bao', 'Khoa'][lab.row_pos * 4 // n.n + 1] AS folder,
-  ['DamDat', 'DoDat', 'Bao', 'Khoa'][lab.row_pos * 4 // n.n + 1] || '/' || regexp_extract(split_part(lab.line, chr(9), 1), '[^/]*$', 0)
+_DEALT_CTE = ("dealt", f"""SELECT lab.row_pos, lab.row_pos * 4 // n.n AS block,
+  {_FOLDER_SQL}[lab.row_pos * 4 // n.n + 1] AS folder,
+  {_FOLDER_SQL}[lab.row_pos * 4 // n.n + 1] || '/' || regexp_extract(split_part(lab.line, chr(9), 1), '[^/]*$', 0)
     || chr(9) || substring(lab.line, strpos(lab.line, chr(9)) + 1) AS label_line,
-  ['DamDat', 'DoDat', 'Bao', 'Khoa'][lab.row_pos * 4 // n.n + 1] || '/' || regexp_extract(split_part(lab.line, chr(9), 1), '[^/]*$', 0)
+  {_FOLDER_SQL}[lab.row_pos * 4 // n.n + 1] || '/' || regexp_extract(split_part(lab.line, chr(9), 1), '[^/]*$', 0)
     || chr(9) || substring(st.line, strpos(st.line, chr(9)) + 1) AS state_line
 FROM lab JOIN st ON lab.row_pos = st.row_pos, n""")
 
@@ -331,18 +343,20 @@ def q_zip3(spark, sf_dir):
 
 
 @register("alignment_check", _SPLIT_BASE +
-          "SELECT n.n AS n_images, (SELECT count(*) FROM lab) AS n_label, 0::bigint AS bad_label, "
-          "(SELECT count(*) FROM st) AS n_state, 0::bigint AS bad_state, 4::bigint AS k, true AS ok FROM n")
+          "SELECT *, n_images > 0 AND n_label = n_images AND n_state = n_images AND bad_label = 0 AND bad_state = 0 AS ok FROM ("
+          "SELECT n.n AS n_images, (SELECT count(*) FROM lab) AS n_label, "
+          "(SELECT count(*) FROM lab WHERE strpos(line, chr(9)) = 0) AS bad_label, (SELECT count(*) FROM st) AS n_state, "
+          "(SELECT count(*) FROM st WHERE strpos(line, chr(9)) = 0) AS bad_state, 4::bigint AS k FROM n) c")
 def q_alignment_check(spark, sf_dir):
     imgs, lab, st = split_inputs(spark, sf_dir)
-    return pages.alignment_summary(imgs, lab, st, len(pages.SPLIT_FOLDERS))
+    return pages.alignment_summary(imgs, lab, st, len(FOLDERS))
 
 
 @register("path_rewrite", _SPLIT_BASE.rstrip() + ",\n" + f"{_DEALT_CTE[0]} AS ({_DEALT_CTE[1]})\n" +
           "SELECT row_pos, folder, label_line, state_line FROM dealt")
 def q_path_rewrite(spark, sf_dir):
     _, lab, st = split_inputs(spark, sf_dir)
-    return pages.deal_out(lab, st).select("row_pos", "folder", "label_line", "state_line")
+    return pages.deal_out(lab, st, FOLDERS).select("row_pos", "folder", "label_line", "state_line")
 
 
 @register("copy_manifest", _SPLIT_BASE.rstrip() + ",\n" + f"{_DEALT_CTE[0]} AS ({_DEALT_CTE[1]})\n" +
@@ -352,7 +366,7 @@ FROM dealt d LEFT JOIN (SELECT regexp_extract(path, '[^/]*$', 0) AS b, arg_min(p
   FROM split_images GROUP BY 1) f ON f.b = regexp_extract(split_part(d.label_line, chr(9), 1), '[^/]*$', 0)""")
 def q_copy_manifest(spark, sf_dir):
     imgs, lab, st = split_inputs(spark, sf_dir)
-    return pages.copy_manifest(pages.deal_out(lab, st), imgs)
+    return pages.copy_manifest(pages.deal_out(lab, st, FOLDERS), imgs)
 
 
 @register("missing_images", with_ctes("page_files", extra=[OCR_PAGES_CTE, SPLIT_IMAGES_CTE]) +
@@ -366,14 +380,15 @@ def q_missing_images(spark, sf_dir):
 @register("resume_todo", with_ctes("page_files", extra=[OCR_PAGES_CTE]) +
           """SELECT doc, page, doc || '_page_' || page || '.png' AS page_name FROM (
   SELECT DISTINCT CASE WHEN starts_with(regexp_extract(path, '[^/]*$', 0), 'chapter4_') THEN 'chapter4' ELSE 'chapter12' END AS doc,
-         cast(regexp_extract(path, '_page_([0-9]+)\\.[^./]*$', 1) AS bigint) AS page FROM page_files) e
-WHERE NOT EXISTS (SELECT 1 FROM ocr_pages o WHERE o.doc = e.doc AND o.page = e.page)""")
+         try_cast(regexp_extract(path, '_page_([0-9]+)\\.[^./]*$', 1) AS bigint) AS page FROM page_files) e
+WHERE page IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ocr_pages o WHERE o.doc = e.doc AND o.page = e.page)""")
 def q_resume_todo(spark, sf_dir):
     files = page_files(spark, sf_dir)
     base = F.substring_index("path", "/", -1)
     expected = files.select(
         F.when(base.startswith("chapter4_"), F.lit("chapter4")).otherwise(F.lit("chapter12")).alias("doc"),
-        F.regexp_extract("path", r"_page_([0-9]+)\.[^./]*$", 1).cast("bigint").alias("page")).distinct()
+        F.regexp_extract("path", r"_page_([0-9]+)\.[^./]*$", 1).try_cast("bigint").alias("page")).where(
+            F.col("page").isNotNull()).distinct()
     done = ocr_pages(spark, sf_dir).select("doc", "page")
     todo = pages.resume_todo(expected, done, ["doc", "page"])
     return todo.select("doc", "page", pages.page_file_name("doc", "page").alias("page_name"))

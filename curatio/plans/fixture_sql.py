@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+def _image_path_sql(k: str) -> str:
+    return (f"concat('raw/chapter', if({k} % 2 = 0, '4', '12'), '_page_', "
+            f"if({k} % 50 = 7, concat('x', {k}), cast({k} // 2 as varchar)), "
+            f"['.PNG', '.jpg', '.tiff'][{k} % 3 + 1])")
+
+
 CTES: dict[str, str] = {
     "cqa_src": """
 select case when p_partkey % 5 = 4 then 'test' else 'train' end as split,
@@ -53,12 +59,10 @@ select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_s
        when l_linenumber = 3 then cast(l_linenumber * cast(l_quantity as int) as double)
        else cast(cast(l_quantity as int) + l_linenumber as double) end as llm_value
 from lineitem) s""",
-    "page_files": """
-select distinct concat('raw/chapter', case when l_orderkey % 2 = 0 then '4' else '12' end,
-  '_page_', l_orderkey, case when l_orderkey % 3 = 0 then '.PNG' when l_orderkey % 3 = 1 then '.jpg' else '.tiff' end) as path
-from lineitem""",
-    "detections": """
-select l.l_orderkey as page,
+    "page_files": f"""
+select distinct {_image_path_sql('o_orderkey')} as path from orders""",
+    "detections": f"""
+select {_image_path_sql('l.l_orderkey')} as path,
   cast(row_number() over (partition by l.l_orderkey order by l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) - 1 as bigint) as poly_idx,
   cast(l.l_quantity as int) - 10 as x0, cast(l.l_linenumber * 7 as int) as y0,
   cast(l.l_quantity as int) + 20 as x1, cast(l.l_linenumber * 7 + 5 as int) as y1, p.p_name as text

@@ -118,21 +118,26 @@ def svamp_full(spark: SparkSession, sf_dir: str) -> DataFrame:
         llm_value.alias("llm_value"))
 
 
-def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    k = F.col("l_orderkey")
+def image_path(k) -> F.Column:
+    """Page image of an order: two documents that share page numbers, some names without one."""
     chap = F.when(F.pmod(k, F.lit(2)) == 0, F.lit("4")).otherwise(F.lit("12"))
+    number = (F.when(F.pmod(k, F.lit(50)) == 7, F.concat(F.lit("x"), k.cast("string")))
+              .otherwise(F.floor(k / 2).cast("bigint").cast("string")))
     ext = (F.when(F.pmod(k, F.lit(3)) == 0, F.lit(".PNG"))
            .when(F.pmod(k, F.lit(3)) == 1, F.lit(".jpg")).otherwise(F.lit(".tiff")))
-    return li.select(F.concat(F.lit("raw/chapter"), chap, F.lit("_page_"), k.cast("string"), ext)
-                     .alias("path")).distinct()
+    return F.concat(F.lit("raw/chapter"), chap, F.lit("_page_"), number, ext)
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image per order; orders without line items are images without polygons."""
+    return table(spark, sf_dir, "orders").select(image_path(F.col("o_orderkey")).alias("path")).distinct()
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector output: polygons of one page image, enumerated in order.
 
     The group is one image, whose polygon count the detector bounds, so a window
-    partitioned by page is safe here (no page can hold a share of all rows).
+    partitioned by image is safe here (no image can hold a share of all rows).
     """
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, "l_quantity")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -140,7 +145,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINEITEM_KEY[1:])
     j = j.withColumn("poly_idx", (F.row_number().over(w) - 1).cast("bigint"))
     q = F.col("l_quantity").cast("int")
-    return j.select(F.col("l_orderkey").alias("page"), "poly_idx",
+    return j.select(image_path(F.col("l_orderkey")).alias("path"), "poly_idx",
                     (q - 10).alias("x0"), (F.col("l_linenumber") * 7).cast("int").alias("y0"),
                     (q + 20).alias("x1"), (F.col("l_linenumber") * 7 + 5).cast("int").alias("y1"),
                     F.col("p_name").alias("text"))

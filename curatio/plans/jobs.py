@@ -161,15 +161,13 @@ def annotation_files(spark: SparkSession, files: DataFrame, pdf_paths: Sequence[
                      legacy_names: bool = False) -> dict[str, DataFrame]:
     """Label.txt, rec_gt.txt and fileState.txt lines for the listed page images.
 
-    ``detections``: (page_no, poly_idx, points) with page_no the page number from the file
-    name; ``recognitions``: (crop_pos, text) in flattened crop order of the processed pages.
+    ``detections``: (path, poly_idx, points), the polygons of each image; ``recognitions``: (crop_pos, text) in flattened crop order of the processed pages.
     """
     listed = pages.order_pages(pages.list_pages(files, pdf_paths, folders))
     done = listed
     if test:
         listed = positions.test_subset(listed, batch_size)
-    pgs = listed.withColumn("page_no", F.col("page"))
-    entries = pages.page_entries(pgs, detections, recognitions)
+    entries = pages.page_entries(listed, detections, recognitions)
     out = {"Label.txt": pages.label_lines(entries),
            "rec_gt.txt": pages.rec_gt_lines(entries, crop_folder, legacy_names, batch_size)
            .select(F.col("row_pos").alias("page_pos"), "poly_idx", "line"),
@@ -187,10 +185,10 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dealt_folders(spark: SparkSession, files: DataFrame, label_path: str, state_path: str,
-                  folder_names: Sequence[str] = pages.SPLIT_FOLDERS, out_root: str | None = None
+                  prefixes: Sequence[str], folder_names: Sequence[str], out_root: str | None = None
                   ) -> dict[str, DataFrame]:
     """Deal label and state lines out to annotator folders; manifest of images to copy."""
-    images = pages.order_pages(pages.list_split_images(files))
+    images = pages.order_pages(pages.list_split_images(files, prefixes))
     label, state = _lines(spark, label_path), _lines(spark, state_path)
     summary = pages.alignment_summary(images, label, state, len(folder_names))
     summary.collect()   # one row; stops here when the inputs do not line up

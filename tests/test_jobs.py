@@ -12,6 +12,8 @@ from curatio.sinks import files as sinks
 from curatio.spec import JobConfig
 from tests.conftest import SF_SMALL
 
+PREFIXES = ["chapter4_", "chapter12_"]
+
 
 def _cqa_inputs(spark):
     root = scratch_path(spark, "job-cqa")
@@ -65,21 +67,24 @@ def test_annotation_and_dealing(spark):
     files = spark.createDataFrame([(f"raw/chapter4_page_{i}.png",) for i in (3, 1, 2)] +
                                   [(f"raw/chapter12_page_{i}.png",) for i in (1, 2)] +
                                   [("raw/chapter4_page_9.tiff",)], "path string")
-    dets = spark.createDataFrame([(1, 0, [[0, 0], [1, 1]]), (2, 0, [[2, 2], [3, 3]]), (2, 1, [[4, 4], [5, 5]])],
-                                 "page_no long, poly_idx long, points array<array<int>>")
-    # pages in order: c4 p1, c4 p2, c4 p3, c12 p1, c12 p2 -> crops: c4p1 0, c4p2 1-2, c12p1 3, c12p2 4-5
-    recs = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "crop_pos long, text string")
+    c4, c12 = "raw/chapter4_page_", "raw/chapter12_page_"
+    dets = spark.createDataFrame([(c4 + "1.png", 0, [[0, 0], [1, 1]]), (c4 + "2.png", 0, [[2, 2], [3, 3]]),
+                                  (c4 + "2.png", 1, [[4, 4], [5, 5]]), (c12 + "2.png", 0, [[6, 6], [7, 7]])],
+                                 "path string, poly_idx long, points array<array<int>>")
+    # pages in order: c4 p1, c4 p2, c4 p3, c12 p1, c12 p2 -> crops: c4p1 0, c4p2 1-2, c12p2 3
+    recs = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "crop_pos long, text string")
     out = scratch_path(spark, "ann")
     res = annotation_files(spark, files, ["data/chapter4.pdf", "data/chapter12.pdf"], dets, recs, out)
     lab = {r.row_pos: r.line for r in res["Label.txt"].collect()}
     assert lab[0].startswith("raw/chapter4_page_1.png\t") and '"t0"' in lab[0]
     assert lab[2] == "raw/chapter4_page_3.png\t[]"
-    assert '"t3"' in lab[3]
+    assert lab[3] == "raw/chapter12_page_1.png\t[]"
+    assert '"t3"' in lab[4] and '"t1"' not in lab[4]
     import pytest
     with pytest.raises(Exception):   # the split listing also takes the .tiff page: lengths differ
-        dealt_folders(spark, files, f"{out}/Label.txt", f"{out}/fileState.txt", ["A", "B"])
+        dealt_folders(spark, files, f"{out}/Label.txt", f"{out}/fileState.txt", PREFIXES, ["A", "B"])
     pngs = files.where(~F.col("path").endswith(".tiff"))
-    deal = dealt_folders(spark, pngs, f"{out}/Label.txt", f"{out}/fileState.txt", ["A", "B"],
+    deal = dealt_folders(spark, pngs, f"{out}/Label.txt", f"{out}/fileState.txt", PREFIXES, ["A", "B"],
                          scratch_path(spark, "deal"))
     d = sorted((r.row_pos, r.folder) for r in deal["dealt"].collect())
     assert [f for _, f in d] == ["A", "A", "A", "B", "B"]

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from curatio.operators import pages
 
+FOLDERS = ["A", "B", "C", "D"]
+
 
 def test_page_order_numbers_then_unnumbered(spark):
     files = spark.createDataFrame([("r/c_page_x.png",), ("r/c_page_10.png",), ("r/c_page_2.JPG",),
@@ -33,10 +35,11 @@ def test_bbox_clamped(spark):
 
 
 def _entries_fixture(spark):
-    pgs = spark.createDataFrame([(0, "r/a.png", 1), (1, "r/b.png", 2), (2, "r/c.png", 3)],
-                                "row_pos long, path string, page_no long")
-    dets = spark.createDataFrame([(1, 0, [[1, 2], [3, 4]]), (1, 1, [[5, 6], [7, 8]]), (3, 0, [[0, 0], [1, 1]])],
-                                 "page_no long, poly_idx long, points array<array<int>>")
+    pgs = spark.createDataFrame([(0, "r/a.png"), (1, "r/b.png"), (2, "r/c.png")],
+                                "row_pos long, path string")
+    dets = spark.createDataFrame([("r/a.png", 0, [[1, 2], [3, 4]]), ("r/a.png", 1, [[5, 6], [7, 8]]),
+                                  ("r/c.png", 0, [[0, 0], [1, 1]])],
+                                 "path string, poly_idx long, points array<array<int>>")
     recs = spark.createDataFrame([(0, "t0"), (1, "t1"), (2, "t2")], "crop_pos long, text string")
     return pages.page_entries(pgs, dets, recs)
 
@@ -67,19 +70,19 @@ def test_deal_out_and_manifest(spark):
     n = 10
     lab = spark.createDataFrame([(i, f"old/p{i}.png\t[]") for i in range(n)], "row_pos long, line string")
     st = spark.createDataFrame([(i, f"old/p{i}.png\t1") for i in range(n)], "row_pos long, line string")
-    d = pages.deal_out(lab, st).orderBy("row_pos").collect()
-    assert [r.folder for r in d] == ["DamDat"] * 3 + ["DoDat"] * 2 + ["Bao"] * 3 + ["Khoa"] * 2
-    assert d[0].label_line == "DamDat/p0.png\t[]" and d[9].state_line == "Khoa/p9.png\t1"
+    d = pages.deal_out(lab, st, FOLDERS).orderBy("row_pos").collect()
+    assert [r.folder for r in d] == ["A"] * 3 + ["B"] * 2 + ["C"] * 3 + ["D"] * 2
+    assert d[0].label_line == "A/p0.png\t[]" and d[9].state_line == "D/p9.png\t1"
     imgs = spark.createDataFrame([(0, "x/p1.png"), (1, "y/p1.png"), (2, "x/p2.png")], "row_pos long, path string")
-    m = {r.dst: (r.src, r.status) for r in pages.copy_manifest(pages.deal_out(lab, st), imgs).collect()}
-    assert m["DamDat/p1.png"] == ("x/p1.png", "copy") and m["DamDat/p0.png"] == (None, "missing")
+    m = {r.dst: (r.src, r.status) for r in pages.copy_manifest(pages.deal_out(lab, st, FOLDERS), imgs).collect()}
+    assert m["A/p1.png"] == ("x/p1.png", "copy") and m["A/p0.png"] == (None, "missing")
 
 
 def test_deal_out_needs_tab(spark):
     lab = spark.createDataFrame([(0, "no tab here")], "row_pos long, line string")
     st = spark.createDataFrame([(0, "p\t1")], "row_pos long, line string")
     with pytest.raises(Exception):
-        pages.deal_out(lab, st).collect()
+        pages.deal_out(lab, st, FOLDERS).collect()
 
 
 def test_alignment_summary(spark):
@@ -109,11 +112,27 @@ def test_resume_per_item(spark):
 
 
 def test_duplicate_page_path_last_wins_at_first_position(spark):
-    pgs = spark.createDataFrame([(0, "r/a.png", 1), (1, "r/b.png", 2), (2, "r/a.png", 3)],
-                                "row_pos long, path string, page_no long")
-    dets = spark.createDataFrame([(1, 0, [[0, 0]]), (3, 0, [[1, 1]]), (3, 1, [[2, 2]])],
-                                 "page_no long, poly_idx long, points array<array<int>>")
-    recs = spark.createDataFrame([(0, "old"), (1, "new0"), (2, "new1")], "crop_pos long, text string")
+    """An image listed twice is detected and recognised twice; the later strings stay."""
+    pgs = spark.createDataFrame([(0, "r/a.png"), (1, "r/b.png"), (2, "r/a.png")], "row_pos long, path string")
+    dets = spark.createDataFrame([("r/a.png", 0, [[0, 0]]), ("r/a.png", 1, [[2, 2]])],
+                                 "path string, poly_idx long, points array<array<int>>")
+    recs = spark.createDataFrame([(0, "old"), (1, "old1"), (2, "new0"), (3, "new1")], "crop_pos long, text string")
     got = {r.path: (r.row_pos, [e.transcription for e in r.entries])
            for r in pages.page_entries(pgs, dets, recs).collect()}
     assert got == {"r/a.png": (0, ["new0", "new1"]), "r/b.png": (1, [])}
+
+
+def test_too_few_strings_same_numbers_and_no_number(spark):
+    """Two documents with the same page numbers, a page without number, fewer strings than polygons."""
+    names = ["r/a_page_1.png", "r/a_page_x.png", "r/b_page_1.png", "r/b_page_2.png"]
+    pgs = spark.createDataFrame(list(enumerate(names)), "row_pos long, path string")
+    dets = spark.createDataFrame([(n, i, [[i, i]]) for n in names[:3] for i in range(2)],
+                                 "path string, poly_idx long, points array<array<int>>")
+    recs = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "crop_pos long, text string")
+    e = pages.page_entries(pgs, dets, recs)
+    assert [[x.transcription for x in r.entries] for r in e.orderBy("row_pos").collect()] == \
+        [["t0", "t1"], ["t2", "t3"], ["t4"], []]
+    crops = pages.crop_table(pgs, dets, 1, 1).orderBy("crop_pos").collect()
+    assert [(r.crop_pos, r.crop) for r in crops][2:4] == [
+        (2, "crop_img/unknownprefix_page_2_crop_0.jpg"), (3, "crop_img/unknownprefix_page_2_crop_1.jpg")]
+    assert [r.max_x for r in crops] == [0, 1] * 3
