@@ -95,24 +95,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected link table: (node, root), root = smallest node.
 
     Alternating large-star and small-star passes (each a groupBy of the links by node).  A
-    node's neighbours are never gathered: only their minimum is, so a hub with any number
-    of links is a partial aggregate and then a join that AQE splits.  Every pass ends with
-    a checkpoint; the loop ends when a pass changes no link.
+    node's neighbours are never gathered: only their minimum is, by a partial aggregate, and
+    a hub's links get it by a broadcast of hubs of bounded number.  Every pass ends with a
+    checkpoint; the loop ends when a pass changes no link.
     """
     spark = links.sparkSession
     ensure_checkpoint_dir(spark)
     e = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
          .checkpoint(eager=True))
-    digest = None
+    digest, n = None, e.count()
     while True:
         # large-star: every larger neighbour of x is linked to the smallest node around x
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = (join_hot_safe(both, low, ["u"], "c", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         # small-star: every smaller neighbour of x, and x, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = join_hot_safe(large, low, ["u"], "c", 2 * n)
         e2 = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
               .unionByName(low.select("u", F.col("m").alias("v")))
               .where("u <> v").distinct().checkpoint(eager=True))
@@ -120,6 +120,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = e2
         if tuple(seen) == digest:
             break
-        digest = tuple(seen)
+        digest, n = tuple(seen), seen[0]
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root")
