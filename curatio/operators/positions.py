@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from curatio.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
-_MAX_BROADCAST_SPLITS = 2_000_000   # 32 bytes a split: about 64 MB at the bound
+_MAX_BROADCAST_SPLITS = 1_000_000   # four numbers a split: 32 MB at the bound
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +65,12 @@ def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: st
 
 
 def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, keep_partition: str | None = None) -> DataFrame:
     """``row_number() over (order by ...) - 1`` without a single-partition window.
 
     ``order`` should be a total order (unique key) for reproducible positions; ties get
-    distinct positions in an unspecified order.
+    distinct positions in an unspecified order.  ``keep_partition`` names a column that
+    keeps the number of the row's range.
     """
     order_cols = _cols(order)
     s = (_range_partitioned(df, order_cols, num_partitions).sortWithinPartitions(*order_cols)
@@ -77,23 +78,36 @@ def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     s = materialize(s, "positions")
     s = _add_partition_offsets(s, None, "_off")
-    return (s.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("bigint"))
-            .drop("_pid", "_loc", "_off"))
+    s = s.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("bigint")).drop("_loc", "_off")
+    return s.withColumnRenamed("_pid", keep_partition) if keep_partition else s.drop("_pid")
 
 
 def group_positions(df: DataFrame, keys: Sequence[str], order: Sequence, out_col: str = "pos",
                     num_partitions: int | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by ...) - 1``, safe under a hot key.
 
-    Global positions over (keys, order) minus the first position of each key.  The
-    per-key minimum is a partial (map-side) aggregate, so a key holding a third of the
-    rows is spread over many tasks by the range partitioning.
+    Global positions over (keys, order) minus the first position of each key.  Rows get that
+    by (range partition, key), so a key holding a third of the rows stays spread over the
+    partitions of its range; the keys of a partition form a table of one row each.
     """
-    g = dense_positions(df, [*keys, *order], "_gpos", num_partitions)
-    first = g.groupBy(*keys).agg(F.min("_gpos").alias("_first"))
-    return (g.join(first, list(keys))
+    g = dense_positions(df, [*keys, *order], "_gpos", num_partitions, keep_partition="_rp")
+    seg = g.groupBy("_rp", *keys).agg(F.min("_gpos").alias("_f"))
+    first = seg.groupBy(*keys).agg(F.min("_f").alias("_first"))
+    seg = seg.join(first, list(keys)).select("_rp", *keys, "_first")
+    return (g.join(seg, ["_rp", *keys])
             .withColumn(out_col, (F.col("_gpos") - F.col("_first")).cast("bigint"))
-            .drop("_gpos", "_first"))
+            .drop("_rp", "_gpos", "_first"))
+
+
+def group_offsets(df: DataFrame, keys: Sequence[str], order: Sequence, value_col: str,
+                  out_col: str = "offset") -> DataFrame:
+    """Exclusive prefix sum of ``value_col`` in ``order`` that restarts for each key."""
+    r = running_offsets(df, [*keys, *order], value_col, "_run" if keys else out_col)
+    if not keys:
+        return r
+    first = r.groupBy(*keys).agg(F.min("_run").alias("_start"))
+    return (r.join(first, list(keys)).withColumn(out_col, (F.col("_run") - F.col("_start")).cast("bigint"))
+            .drop("_run", "_start"))
 
 
 def file_positions(df: DataFrame, out_col: str = "row_pos", group_cols: Sequence[str] = (),
@@ -105,27 +119,25 @@ def file_positions(df: DataFrame, out_col: str = "row_pos", group_cols: Sequence
     splits by size, not by name, so partition order alone is not file order.  Positions
     restart for each ``group_cols`` value (for example a split name); ``order_prefix``
     columns sort before the file path (for example a shard number).
+
+    A row finds its split by its scan partition and its index there.  The table of splits
+    is counted: up to ``_MAX_BROADCAST_SPLITS`` rows of four numbers it is broadcast, beyond
+    that the join is a shuffle on the scan partition, which holds a bounded number of rows.
     """
-    s = (df.withColumn("_path", F.col("_metadata.file_path"))
-         .withColumn("_file", F.xxhash64("_path"))
-         .withColumn("_blk", F.col("_metadata.file_block_start"))
-         .withColumn("_pid", F.spark_partition_id())
+    s = (df.withColumn("_scan", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
-    keys = [*group_cols]
-    blocks = (s.groupBy(*keys, *[c for c in _names(order_prefix)], "_path", "_file", "_blk", "_pid")
+    blocks = (s.withColumn("_path", F.col("_metadata.file_path")).withColumn("_blk", F.col("_metadata.file_block_start"))
+              .groupBy(*group_cols, *_names(order_prefix), "_path", "_blk", "_scan")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first")))
-    # over the table of splits (one row each), never over the rows themselves
-    order = [*_cols(order_prefix), F.col("_path"), F.col("_blk")]
-    w = (Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order))
-    w = w.rowsBetween(Window.unboundedPreceding, -1)
-    # one row of four numbers per file split: bounded by the number of input splits
-    offs = blocks.select("_file", "_blk", "_pid", "_first",
-                         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if df.rdd.getNumPartitions() <= _MAX_BROADCAST_SPLITS:
+    offs = materialize(group_offsets(blocks, group_cols, [*order_prefix, "_path", "_blk"], "_n", "_off")
+                       .select("_scan", "_first", "_n", "_off"), "splits")
+    if offs.count() <= _MAX_BROADCAST_SPLITS:
         offs = F.broadcast(offs)
-    return (s.drop("_path").join(offs, ["_file", "_blk", "_pid"])
+    o = offs.withColumnRenamed("_scan", "_of")
+    inside = (F.col("_scan") == F.col("_of")) & (F.col("_loc") >= F.col("_first")) & (F.col("_loc") < F.col("_first") + F.col("_n"))
+    return (s.join(o, inside)
             .withColumn(out_col, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("bigint"))
-            .drop("_file", "_blk", "_pid", "_loc", "_first", "_off"))
+            .drop("_scan", "_of", "_loc", "_first", "_n", "_off"))
 
 
 def _names(cols) -> list[str]:

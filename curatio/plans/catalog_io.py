@@ -82,9 +82,9 @@ def q_src_llm_single(spark, sf_dir):
     root = scratch_path(spark, "llm-single")
     dense = group_positions(fx.nli_llm(spark, sf_dir), ["split"], ["row_pos"], "pos") \
         .drop("row_pos").withColumnRenamed("pos", "row_pos")
-    # one array per split and bounded chunk; chunks are ordered as shards
-    sinks.write_output_shards(dense, root, 5000)
-    back = sources.read_output_arrays(spark, f"{root}/split=*/shard=*/*.txt", sources.PART_SHARD_RE)
+    # written split by split: checkpoint once
+    sinks.write_output_single(materialize(dense, "dense"), f"{root}/gpt-neox/esnli", ["train", "valid", "test"], 5000)
+    back = sources.read_output_arrays(spark, f"{root}/gpt-neox/esnli/*.json", sources.SINGLE_RE, has_shard=False)
     return back.select("split", "row_pos", "output")
 
 
@@ -168,6 +168,6 @@ def q_stream_parse_outputs(spark, sf_dir):
     size = spec_for("cqa").batch_size
     for split in ("train", "test"):
         sinks.write_output_shards(dense.where(F.col("split") == split), f"{src}/{split}", size)
-        stream = parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt", size)
+        stream = parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt")
         run_available(stream, sink, ckpt)
-    return spark.read.parquet(sink).select("split", "row_pos", "rationale", "label")
+    return sources.shard_positions(spark.read.parquet(sink)).select("split", "row_pos", "rationale", "label")

@@ -37,7 +37,6 @@ SCHEMAS = {
 }
 COT_GLOB = "{root}/{name}/llm/*_CoT_*.json"
 SINGLE_GLOB = "{root}/gpt-neox/{name}/*.json"
-SINGLE_RE = r"/(train|valid|test)\.json(?:/[^/]*)?$"
 # -------------------------------------------------------------------------------------------
 
 
@@ -83,7 +82,7 @@ def _outputs(spark: SparkSession, root: str, spec: DatasetSpec, model: str, on_b
             keep = c if keep is None else keep | c
         raw = raw.where(keep)
     else:
-        raw = sources.read_output_arrays(spark, SINGLE_GLOB.format(root=root, name=spec.name), SINGLE_RE,
+        raw = sources.read_output_arrays(spark, SINGLE_GLOB.format(root=root, name=spec.name), sources.SINGLE_RE,
                                          has_shard=False)
     family = spec.family
     out = parse.parse_outputs(raw.select("split", "row_pos", "output"), family, model, on_bad=on_bad,

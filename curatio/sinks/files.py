@@ -68,6 +68,21 @@ def write_output_shards(df: DataFrame, root: str, shard_size: int, output_col: s
     arrays.write.mode("overwrite").partitionBy(split_col, "shard").text(root)
 
 
+def write_output_single(df: DataFrame, root: str, splits: Sequence[str], rows_per_file: int,
+                        output_col: str = "output", split_col: str = "split", pos_col: str = "row_pos") -> None:
+    """Model outputs in the one-file-per-split layout ``{root}/{split}.json`` (S04).
+
+    ``{split}.json`` is a folder of part files in position order, each one JSON array of at
+    most ``rows_per_file`` strings, so that no task holds a split.
+    """
+    arrays = (df.groupBy(split_col, F.floor(F.col(pos_col) / F.lit(rows_per_file)).alias("_chunk"))
+              .agg(F.sort_array(F.collect_list(F.struct(pos_col, output_col))).alias("_s"))
+              .select(split_col, "_chunk", F.to_json(F.transform("_s", lambda x: x[output_col])).alias("value")))
+    for s in splits:
+        (ordered(arrays.where(F.col(split_col) == s), ["_chunk"]).select("value")
+         .write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{root.rstrip('/')}/{s}.json"))
+
+
 def write_json_arrays(df: DataFrame, root: str, cols: Sequence[str], chunk_rows: int,
                       pos_col: str = "row_pos") -> None:
     """Rows as JSON arrays of objects, ``chunk_rows`` per file (``chunk=<i>`` folders)."""

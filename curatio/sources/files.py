@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from curatio.operators.positions import file_positions
+from curatio.operators.positions import file_positions, group_offsets, materialize
 
 SPLIT_FILE_RE = r"_(train|valid|test)\.json(/|$)"
 COT_SHARD_RE = r"(?:^|/)(train|valid|test)_CoT_([0-9]+)\.json(?:/[^/]*)?$"
 PART_SHARD_RE = r"/split=(train|valid|test)/shard=([0-9]+)/"
-SINGLE_FILE_RE = r"/(train|valid|test)(?:\.json)?/"
+SINGLE_RE = r"/(train|valid|test)\.json(?:/[^/]*)?$"
+_MAX_BROADCAST_FILES = 100_000     # a path and a number a file: about 20 MB at the bound
 
 
 def read_json_splits(spark: SparkSession, root: str, dataset: str, schema: StructType | str,
@@ -54,21 +55,29 @@ def read_output_arrays(spark: SparkSession, paths: str | Sequence[str], path_re:
     ``path_re`` captures the split name and (when ``has_shard``) the shard number from the
     file path.  Positions run over shards in numeric order (then path), then array order,
     restarting per split.  ``read.json`` cannot read an array of strings, so the file is
-    read whole as text and parsed with ``from_json``.
+    read whole as text and parsed with ``from_json``, once: the strings are checkpointed.
     """
     files = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.from_json("value", "array<string>").alias("arr"))
-    files = files.withColumn("split", F.regexp_extract("path", path_re, 1))
     shard = F.regexp_extract("path", path_re, 2).cast("bigint") if has_shard else F.lit(0).cast("bigint")
-    files = files.withColumn("shard", shard)
-    files = files.withColumn("_fid", F.xxhash64("path"))
-    sizes = files.select("split", "shard", "path", "_fid", F.coalesce(F.size("arr"), F.lit(0)).alias("_n"))
-    w = Window.partitionBy("split").orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1)
-    # one row of two numbers per file; AQE broadcasts it when its measured size is small
-    offs = sizes.select("_fid", F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint").alias("_off"))
-    return (files.join(offs, "_fid")
-            .select("split", "shard", "_off", F.posexplode("arr").alias("_p", "output"))
-            .select("split", "shard", (F.col("_off") + F.col("_p")).cast("bigint").alias("row_pos"), "output"))
+    rows = materialize(files.select(F.regexp_extract("path", path_re, 1).alias("split"), shard.alias("shard"), "path",
+                                    F.posexplode("arr").alias("shard_idx", "output")), "outputs")
+    return shard_positions(rows).select("split", "shard", "row_pos", "output")
+
+
+def shard_positions(rows: DataFrame, out_col: str = "row_pos") -> DataFrame:
+    """Positions of (split, shard, path, shard_idx) rows from the row counts of the files.
+
+    Files follow each other in shard order (then path) and may hold any number of rows.
+    The table of files is counted: it is broadcast up to ``_MAX_BROADCAST_FILES`` rows, and
+    beyond that AQE picks the join.
+    """
+    sizes = rows.groupBy("split", "shard", "path").agg(F.count(F.lit(1)).alias("_n"))
+    offs = materialize(group_offsets(sizes, ["split"], ["shard", "path"], "_n", "_off").select("path", "_off"), "files")
+    if offs.count() <= _MAX_BROADCAST_FILES:
+        offs = F.broadcast(offs)
+    return (rows.join(offs, "path")
+            .withColumn(out_col, (F.col("_off") + F.col("shard_idx")).cast("bigint")).drop("_off"))
 
 
 def read_tsv_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -16,11 +16,12 @@ from curatio.sources.files import PART_SHARD_RE
 
 
 def parsed_output_stream(spark: SparkSession, source_glob: str, dataset: str, model: str,
-                         shard_size: int, path_re: str = PART_SHARD_RE, on_bad: str = "fail") -> DataFrame:
-    """Streaming DataFrame of (split, shard, row_pos, rationale, label).
+                         path_re: str = PART_SHARD_RE, on_bad: str = "fail") -> DataFrame:
+    """Streaming DataFrame of (split, shard, path, shard_idx, rationale, label).
 
-    Shard i of a split holds positions ``[i*shard_size, (i+1)*shard_size)``, the layout of
-    the reference's numbered shard files, so positions need no state across batches.
+    A file may hold any number of outputs, so a row's position in its split is known only
+    when all earlier shards are: ``sources.shard_positions`` adds it to the sink's table in
+    one batch step.  The stream keeps no state across batches.
     """
     raw = (spark.readStream.format("text").option("wholetext", True)
            .option("maxFilesPerTrigger", 64).load(source_glob))
@@ -28,9 +29,7 @@ def parsed_output_stream(spark: SparkSession, source_glob: str, dataset: str, mo
                        F.from_json("value", "array<string>").alias("arr"))
     rows = (files.select(F.regexp_extract("path", path_re, 1).alias("split"),
                          F.regexp_extract("path", path_re, 2).cast("bigint").alias("shard"),
-                         F.posexplode("arr").alias("_p", "output"))
-            .withColumn("row_pos", (F.col("shard") * F.lit(shard_size) + F.col("_p")).cast("bigint"))
-            .drop("_p"))
+                         "path", F.posexplode("arr").alias("shard_idx", "output")))
     return parse_outputs(rows, dataset, model, on_bad=on_bad).drop("output")
 
 

@@ -2,6 +2,7 @@
 from curatio.operators.parse import parse_outputs
 from curatio.session import scratch_path
 from curatio.sinks.files import write_output_shards
+from curatio.sources.files import PART_SHARD_RE, read_output_arrays, shard_positions
 from curatio.streaming.outputs import parsed_output_stream, run_available
 
 
@@ -10,10 +11,23 @@ def test_two_incremental_runs_equal_one_batch(spark):
     df = spark.createDataFrame(outs, "split string, row_pos long, output string")
     src, sink, ckpt = (scratch_path(spark, n) for n in ("s-src", "s-sink", "s-ckpt"))
     write_output_shards(df.where("row_pos < 10"), f"{src}/a", 10)
-    run_available(parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt", 10), sink, ckpt)
+    run_available(parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt"), sink, ckpt)
     first = spark.read.parquet(sink).count()
     write_output_shards(df.where("row_pos >= 10"), f"{src}/b", 10)
-    run_available(parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt", 10), sink, ckpt)
-    got = sorted((r.row_pos, r.rationale, r.label) for r in spark.read.parquet(sink).collect())
+    run_available(parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt"), sink, ckpt)
+    got = sorted((r.row_pos, r.rationale, r.label) for r in shard_positions(spark.read.parquet(sink)).collect())
     batch = sorted((r.row_pos, r.rationale, r.label) for r in parse_outputs(df, "cqa", "gpt").collect())
     assert first == 10 and got == batch
+
+
+def test_a_short_middle_shard_gives_the_batch_positions(spark):
+    """Shards of 10, 4 and 10 outputs: the stream's rows equal the batch source's."""
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("q-src", "q-sink", "q-ckpt"))
+    for part, (shard, n) in enumerate([(2, 10), (0, 10), (1, 4)]):
+        rows = [("train", shard * 10 + i, f"R{shard}-{i} So the answer is (a) w{i}") for i in range(n)]
+        write_output_shards(spark.createDataFrame(rows, "split string, row_pos long, output string"), f"{src}/{part}", 10)
+        run_available(parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt"), sink, ckpt)
+    got = sorted((r.row_pos, r.rationale, r.label) for r in shard_positions(spark.read.parquet(sink)).collect())
+    batch = parse_outputs(read_output_arrays(spark, f"{src}/*/split=*/shard=*/*.txt", PART_SHARD_RE), "cqa", "gpt")
+    assert got == sorted((r.row_pos, r.rationale, r.label) for r in batch.collect())
+    assert [p for p, _, _ in got] == list(range(24)) and got[10][1].startswith("R1-0")
