@@ -49,7 +49,7 @@ from curatio.llm.common import components, id_and_text, join_hot_safe, text_slic
 
 K, L, ENTRIES, SHORT, SHORT_ENTRIES, THRESHOLD = 5, 5, 32, 16, 16, 0.8
 GROUP = 256             # pairs of one pivot that one group verifies
-BLOCK, BLOCK_WORDS = 1024, 1 << 21      # texts and words of one block of a large open bucket
+BLOCK, BLOCK_WORDS = 1024, 1 << 19      # texts and words of one block of a large open bucket
 _WORD = re.compile(r"[^\W_]+")
 _R = np.random.default_rng(20)
 _MUL = (_R.integers(0, 1 << 32, ENTRIES + SHORT_ENTRIES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -168,7 +168,7 @@ _SKETCH = "doc_id long, k1 long, k2 long, n long, buckets array<long>, words bin
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _word_table()
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, limit=500_000):
             flat, counts = table.rows(texts)
             ends = np.cumsum(counts)
             k1, k2, n, buckets, words = [], [], [], [], []
