@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curatio.llm.chunks import shared_table
 from curatio.llm.common import text_slices
@@ -137,16 +138,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """The ``keep`` columns (default: all) of every row with its language and score.
 
-    Only the text decides; a kept column that has an output's name is replaced.
+    Only the text decides; a kept column that has an output's name is replaced.  A text that
+    is kept travels to the tasks once.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (lang_out, score_out)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    schema = StructType(list(rows.schema.fields)).add(lang_out, "string").add(score_out, "double")
+    if text_col in keep and rows.schema[text_col].dataType.typeName() == "string":
+        source = text_col
+    else:
+        source = "_text"
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias(source))
+    n_kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "_text", limit=500_000):
+        for batch, texts in text_slices(batches, source, limit=500_000):
             langs, scores = score_texts(shared.value, texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], pa.array(langs, pa.string()), pa.array(scores)],
                                              [*keep, lang_out, score_out])
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add(lang_out, "string").add(score_out, "double")
     return rows.mapInArrow(run, schema)
