@@ -183,8 +183,12 @@ _TABLES: dict = {}
 
 
 def shared_table(key, make: Callable[[], object]):
-    """The worker's table under ``key``; Spark reuses Python workers, so later tasks find it filled."""
+    """The worker's table under ``key``; Spark reuses Python workers, so later tasks find it filled.
+
+    Only the table in use is kept: that of an earlier operator would take memory to the end.
+    """
     if key not in _TABLES:
+        _TABLES.clear()
         _TABLES[key] = make()
     return _TABLES[key]
 

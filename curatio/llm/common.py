@@ -54,6 +54,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text",
     column of name ``text`` is converted, slice by slice.
     """
     import pyarrow.compute as pc
+    batch = part = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -68,6 +69,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             total += n
         part = batch.slice(start)
         yield part, part.column(k).to_pylist()
+    del batch, part
+    pa.default_memory_pool().release_unused()       # Spark keeps the worker for later stages
 
 
 def join_hot_safe(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str,

@@ -67,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_table() -> ChunkTable:
     def values(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return ragged([[xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(c.lower())] for c in chunks], np.uint32)
-    return shared_table("words32", lambda: ChunkTable(values, np.uint32))
+    return shared_table("words32", lambda: ChunkTable(values, np.uint32, limit=100_000))
 
 
 def labelled_shingles(words: np.ndarray) -> np.ndarray:
