@@ -1,8 +1,9 @@
 """Positional alignment and concatenation.
 
 The reference attaches columns by list position.  Here position is an explicit key made at
-ingest, so "attach" is an equi-join on (split, row_pos): a sort-merge join on a shuffle by
-the key at scale, or a broadcast when AQE measures one side small.
+ingest, so "attach" is an equi-join on (split, row_pos).  The length check makes it a full
+outer join, which Spark always runs as a shuffle join; sides stored bucketed by the key need
+no exchange (``sinks.write_bucketed``).
 """
 
 from __future__ import annotations
@@ -59,9 +60,10 @@ def union_rebased(frames: Sequence[DataFrame], pos_col: str = "row_pos", dense:
     for i, f in enumerate(frames):
         r = f if dense else dense_positions(f.withColumnRenamed(pos_col, "_orig_pos"), ["_orig_pos"], pos_col) \
             .drop("_orig_pos")
+        rows = r.select(F.count(F.lit(1))).scalar()     # of the checkpointed positions, unless ``dense``
         r = r.withColumn(pos_col, (offset + F.col(pos_col)).cast("bigint")).withColumn(source_col, F.lit(i))
         out = r if out is None else out.unionByName(r)
-        offset = offset + f.select(F.count(F.lit(1))).scalar()
+        offset = offset + rows
     return out
 
 

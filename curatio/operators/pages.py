@@ -288,7 +288,8 @@ def deal_out(label: DataFrame, state: DataFrame, folders: Sequence[str]) -> Data
 
     z = zip_by_position([label.select("row_pos", F.col("line").alias("label_line")),
                          state.select("row_pos", F.col("line").alias("state_line"))])
-    z = equal_blocks(z, len(folders), "row_pos", "block")
+    # the zip stops on unequal lengths, so the label lines' count is that of the zipped rows
+    z = equal_blocks(z, len(folders), "row_pos", "block", total=label.select(F.count(F.lit(1))).scalar())
     names = F.array(*[F.lit(f) for f in folders])
     old, rest = split_tab("label_line")
     _, rest2 = split_tab("state_line")

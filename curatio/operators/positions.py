@@ -144,11 +144,15 @@ def _names(cols) -> list[str]:
     return [c for c in cols if isinstance(c, str)]
 
 
-def equal_blocks(df: DataFrame, k: int, pos_col: str = "row_pos", out_col: str = "block") -> DataFrame:
-    """Near-equal contiguous blocks ``pos * k // n`` (not ``ntile``: sizes differ)."""
+def equal_blocks(df: DataFrame, k: int, pos_col: str = "row_pos", out_col: str = "block",
+                 total: Column | None = None) -> DataFrame:
+    """Near-equal contiguous blocks ``pos * k // n`` (not ``ntile``: sizes differ).
+
+    ``total`` is the row count where it is known more cheaply than by counting ``df``.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = df.select(F.count(F.lit(1))).scalar() if total is None else total
     return df.withColumn(out_col, F.floor((F.col(pos_col) * F.lit(k)) / n).cast("bigint"))
 
 

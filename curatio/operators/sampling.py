@@ -13,13 +13,21 @@ from pyspark.sql import functions as F
 from curatio.operators.positions import dense_positions
 
 
-def seeded_rank(df: DataFrame, seed: int, pos_col: str = "row_pos", out_col: str = "_rank") -> DataFrame:
+def seeded_rank(df: DataFrame, seed: int, pos_col: str = "row_pos", out_col: str = "_rank",
+                first: Column | None = None) -> DataFrame:
+    """Rank by the seeded hash; rows for which ``first`` holds rank before all others."""
     h = F.md5(F.concat(F.lit(str(int(seed))), F.lit(":"), F.col(pos_col).cast("string")))
-    return dense_positions(df.withColumn("_h", h), ["_h", pos_col], out_col).drop("_h")
+    late = F.lit(False) if first is None else ~F.coalesce(first, F.lit(False))
+    return dense_positions(df.withColumn("_late", late).withColumn("_h", h), ["_late", "_h", pos_col], out_col).drop("_h", "_late")
 
 
-def _count(df: DataFrame) -> Column:
-    return df.select(F.count(F.lit(1))).scalar()
+def _held_out_rows(ranked: DataFrame, test_size: float | int) -> Column:
+    """How many of ``ranked`` (checkpointed, so its input isn't run again) are held out."""
+    if isinstance(test_size, float):
+        if not 0.0 < test_size < 1.0:
+            raise ValueError("a fractional test_size must lie in (0, 1)")
+        return F.ceil(F.lit(test_size).cast("double") * ranked.select(F.count(F.lit(1))).scalar())
+    return F.lit(int(test_size))
 
 
 def exact_split(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "row_pos",
@@ -29,13 +37,7 @@ def exact_split(df: DataFrame, seed: int, test_size: float | int, pos_col: str =
     A float ``test_size`` takes ``ceil(test_size * n)`` rows, an int that many rows.
     """
     r = seeded_rank(df, seed, pos_col)
-    if isinstance(test_size, float):
-        if not 0.0 < test_size < 1.0:
-            raise ValueError("a fractional test_size must lie in (0, 1)")
-        n_test = F.ceil(F.lit(test_size).cast("double") * _count(df))
-    else:
-        n_test = F.lit(int(test_size))
-    return r.withColumn(out_col, F.when(F.col("_rank") < n_test, F.lit(test_name))
+    return r.withColumn(out_col, F.when(F.col("_rank") < _held_out_rows(r, test_size), F.lit(test_name))
                         .otherwise(F.lit(train_name))).drop("_rank")
 
 
@@ -47,19 +49,35 @@ def subsample(df: DataFrame, fraction: float, seed: int, pos_col: str = "row_pos
     return s.where(F.col("_part") == "train").drop("_part")
 
 
+def subsample_train(df: DataFrame, fraction: float, seed: int, split_col: str = "split",
+                    pos_col: str = "row_pos") -> DataFrame:
+    """``subsample`` of the train split inside a table of all splits, in one run of its input."""
+    if fraction >= 1.0:
+        return df
+    train = F.coalesce(F.col(split_col) == "train", F.lit(False))
+    r = seeded_rank(df, seed, pos_col, first=train)
+    held_out = _held_out_rows(r.where(train), 1.0 - fraction)
+    return r.where(~train | (F.col("_rank") >= held_out)).drop("_rank")
+
+
 def carve_valid(df: DataFrame, seed: int = 0, valid_size: float = 0.1, split_col: str = "split",
                 pos_col: str = "row_pos") -> DataFrame:
     """Move a seeded ``valid_size`` share of the train split to ``valid``; other splits unchanged."""
-    train = df.where(F.col(split_col) == "train")
-    rest = df.where(F.col(split_col) != "train")
-    s = exact_split(train, seed, valid_size, pos_col, "_part", test_name="valid", train_name="train")
-    s = s.withColumn(split_col, F.col("_part")).drop("_part")
-    return s.unionByName(rest)
+    train = F.coalesce(F.col(split_col) == "train", F.lit(False))
+    r = seeded_rank(df, seed, pos_col, first=train)
+    moved = train & (F.col("_rank") < _held_out_rows(r.where(train), valid_size))
+    return r.withColumn(split_col, F.when(moved, F.lit("valid")).otherwise(F.col(split_col))).drop("_rank")
 
 
 def permute_head_split(df: DataFrame, head: int = 800, seed: int = 0, pos_col: str = "row_pos",
                        split_col: str = "split") -> DataFrame:
-    """First ``head`` rows of a seeded permutation are train, the rest test."""
+    """First ``head`` rows of a seeded permutation are train, the rest test.
+
+    ``pos_col`` becomes the row's place in the permutation within its split, which is the
+    order the splits are written in.
+    """
     r = seeded_rank(df, seed, pos_col)
-    return r.withColumn(split_col, F.when(F.col("_rank") < F.lit(head), F.lit("train"))
-                        .otherwise(F.lit("test"))).drop("_rank")
+    in_head = F.col("_rank") < F.lit(head)
+    return (r.withColumn(split_col, F.when(in_head, F.lit("train")).otherwise(F.lit("test")))
+            .withColumn(pos_col, F.when(in_head, F.col("_rank")).otherwise(F.col("_rank") - F.lit(head)).cast("bigint"))
+            .drop("_rank"))

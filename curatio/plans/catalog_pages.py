@@ -162,10 +162,10 @@ def q_train_valid_split(spark, sf_dir):
 
 
 @register("permute_head_split", with_ctes("svamp_full") +
-          f"SELECT row_pos, CASE WHEN rk < 800 THEN 'train' ELSE 'test' END AS split FROM "
-          f"({_rank_sql('svamp_full', 0)}) r")
+          f"SELECT CASE WHEN rk < 800 THEN rk ELSE rk - 800 END AS row_pos, row_pos AS source_pos, "
+          f"CASE WHEN rk < 800 THEN 'train' ELSE 'test' END AS split FROM ({_rank_sql('svamp_full', 0)}) r")
 def q_permute_head_split(spark, sf_dir):
-    s = fx.svamp_full(spark, sf_dir).select("row_pos")
+    s = fx.svamp_full(spark, sf_dir).select("row_pos", F.col("row_pos").alias("source_pos"))
     return sampling.permute_head_split(s, 800, seed=0)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from curatio.functions.text import WORD_SPLIT_RE
 from curatio.operators import align, metrics, parse, prompts, tokens
-from curatio.operators.positions import group_positions
 from curatio.plans import fixtures as fx
+from curatio.plans import jobs
 from curatio.plans import sql_text as S
 from curatio.plans.catalog import _NLI_NAME_SQL, register
 from curatio.plans.fixture_sql import with_ctes
@@ -215,12 +215,7 @@ _COLLATE_SQL = (
 
 
 def collated(spark, sf_dir) -> DataFrame:
-    u = tokens.task_unpivot(encoded_nli(spark, sf_dir, "task_prefix"), KEYS)
-    # batch numbers come from the key table, not from the encoded rows (no second encode)
-    rows = nli_prep(spark, sf_dir).select(*KEYS)
-    idx = group_positions(rows, ["split"], ["row_pos"], "_idx") \
-        .withColumn("batch", F.floor(F.col("_idx") / TRAIN_BATCH).cast("bigint")).drop("_idx")
-    return tokens.collate(u.join(idx, KEYS), ["split", "batch", "task"])
+    return jobs.training_batches(encoded_nli(spark, sf_dir, "task_prefix"), TRAIN_BATCH)
 
 
 @register("collate_batches", _nli_base([_B_IN, _B_LAB, _B_RAT, ("enc", ENC_TP_SQL)]) + _COLLATE_SQL)
@@ -231,10 +226,10 @@ def q_collate_batches(spark, sf_dir):
 
 
 @register("mask_ids", _nli_base([_B_IN, _B_LAB, _B_RAT, ("enc", ENC_TP_SQL), ("col", _COLLATE_SQL)]) +
-          "SELECT split, row_pos, task, regexp_replace(labels, '-100', '0', 'g') AS pred_masked, "
-          "regexp_replace(labels, '-100', '0', 'g') AS label_masked FROM col")
+          "SELECT split, row_pos, task, regexp_replace(labels, '-100', '0', 'g') || ',0' AS pred_masked, "
+          "regexp_replace(labels, '-100', '0', 'g') || ',-7' AS label_masked FROM col")
 def q_mask_ids(spark, sf_dir):
-    c = collated(spark, sf_dir)
+    c = collated(spark, sf_dir).withColumn("labels", F.concat("labels", F.array(F.lit(-7))))   # only predictions lose it
     return c.select(*KEYS, "task", tokens.ids_text(tokens.mask_predictions("labels")).alias("pred_masked"),
                     tokens.ids_text(tokens.mask_labels("labels")).alias("label_masked"))
 

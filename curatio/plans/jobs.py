@@ -7,6 +7,10 @@
   page, write Label.txt / rec_gt.txt / fileState.txt as ordered line folders (§3.2).
 * ``dealt_folders`` — check the inputs, deal records out to annotator folders in near-equal
   blocks, write each folder's files and the copy manifest (§3.3).
+* ``training_batches`` — encoded rows as padded batches, one per split, task and batch number.
+* ``evaluation`` — predicted ids and label ids decoded and scored by the dataset's metric.
+* ``materialise_source`` — a source's JSON array as prompts in permuted, ordered JSON-line splits.
+* ``preprocess_documents`` — which documents lack page images or text, and what is made for them.
 
 Each returns DataFrames (lazy) and writes only where asked; nothing passes through the
 driver except one-row check results.
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from curatio.operators import align, metrics, pages, parse, positions, prompts, sampling, tokens
 from curatio.sinks import files as sinks
 from curatio.sources import files as sources
-from curatio.spec import DatasetSpec, JobConfig, spec_for
+from curatio.spec import DatasetSpec, JobConfig, run_path_columns, spec_for
 
 # --- fixed values: input schemas as the reference's loaders read them ---------------------
 SCHEMAS = {
@@ -45,6 +49,7 @@ class TrainingTables:
     encoded: DataFrame          # split, row_pos, encoded id arrays
     prepared: DataFrame         # split, row_pos, input, label (+ rationale, llm_label)
     label_accuracy: DataFrame | None   # per split, model label vs gold, before substitution
+    run_paths: DataFrame        # one row: config_dir, output_dir, logging_dir
 
 
 def _normalise(df: DataFrame, dataset: str) -> DataFrame:
@@ -92,7 +97,8 @@ def _outputs(spark: SparkSession, root: str, spec: DatasetSpec, model: str, on_b
 
 def training_tables(spark: SparkSession, cfg: JobConfig, data_root: str, vocab: DataFrame | None = None,
                     vocab_size: int | None = None, subset: str = "full", on_bad: str = "fail",
-                    out_path: str | None = None) -> TrainingTables:
+                    out_path: str | None = None, out_root: str | None = None) -> TrainingTables:
+    """Encoded tables of a run; written to ``out_path``, or to the run's own folders below ``out_root``."""
     cfg.validate()
     if cfg.dataset == "asdiv":   # SVAMP training set augmented with ASDiv; SVAMP test
         sv, ad = spec_for("svamp"), spec_for("asdiv")
@@ -115,9 +121,7 @@ def training_tables(spark: SparkSession, cfg: JobConfig, data_root: str, vocab:
 
     if cfg.llm:
         df = align.attach_by_position(df, outs, ["split", "row_pos"])
-    if cfg.subsample < 1.0:
-        train = sampling.subsample(df.where("split = 'train'"), cfg.subsample, cfg.run)
-        df = train.unionByName(df.where("split <> 'train'"))
+    df = sampling.subsample_train(df, cfg.subsample, cfg.run)
     if not spec.has_valid:
         df = sampling.carve_valid(df, seed=0, valid_size=0.1)
 
@@ -149,9 +153,88 @@ def training_tables(spark: SparkSession, cfg: JobConfig, data_root: str, vocab:
         masks = {"input_ids": "attention_mask"}
     enc = tokens.encode_many(df, keys, specs, vocab, masks=masks)
     enc = enc.select(*keys, *[s[1] for s in specs], *masks.values())
+    run_paths = spark.range(1).select(*[c.alias(k) for k, c in run_path_columns(cfg).items()])
     if out_path:
         sinks.write_partitioned(enc, out_path, ["split"])
-    return TrainingTables(enc, df, acc)
+    if out_root:
+        folders = run_paths.first()     # one row of configured names
+        sinks.write_partitioned(enc, f"{out_root}/{folders.output_dir}/encoded", ["split"])
+        if acc is not None:
+            acc.write.mode("overwrite").json(f"{out_root}/{folders.logging_dir}/label_accuracy")
+    return TrainingTables(enc, df, acc, run_paths)
+
+
+def training_batches(encoded: DataFrame, batch_size: int, keys: Sequence[str] = ("split", "row_pos")) -> DataFrame:
+    """Padded batches: (keys, task, batch, input_ids, attention_mask, labels).
+
+    Rows of a split are numbered in order and cut into batches; two-task rows give a predict
+    and an explain record of the same batch, each padded within its own task.  ``encoded`` is
+    checkpointed, as both the numbers and the records come from it.
+    """
+    split, pos = keys
+    enc = positions.materialize(encoded, "encoded")
+    batch = F.floor(F.col("_idx") / F.lit(batch_size)).cast("bigint").alias("batch")
+    numbers = positions.group_positions(enc.select(*keys), [split], [pos], "_idx").select(*keys, batch)
+    if "expl_input_ids" in enc.columns:
+        records = tokens.task_unpivot(enc, keys)
+    else:
+        records = enc.withColumn("task", F.lit("pred"))
+    out = tokens.collate(records.join(numbers, list(keys)), [split, "batch", "task"])
+    return out.select(*keys, "task", "batch", "input_ids", "attention_mask", "labels")
+
+
+def evaluation(predictions: DataFrame, labels: DataFrame, dataset: str, model_type: str, vocab: DataFrame,
+               keys: Sequence[str] = ("split", "row_pos"), group: Sequence[str] = ("split",)) -> DataFrame:
+    """Accuracy per ``group`` of ``pred_ids`` against ``labels`` (id arrays, padded or not).
+
+    Both sides are masked and decoded.  Arithmetic datasets compare the values of the
+    equations, the others the texts.  A two-task model's tables hold a ``task`` column, and
+    only the predict records count.  Rows without a partner stop the job.
+    """
+    spec_for(dataset)
+    if model_type not in ("task_prefix", "standard"):
+        raise ValueError(f"unknown model_type {model_type!r}")
+    if model_type == "task_prefix":
+        predictions, labels = predictions.where("task = 'pred'"), labels.where("task = 'pred'")
+    both = align.attach_by_position(predictions.select(*keys, "pred_ids"), labels.select(*keys, "labels"), keys)
+    both = both.select(*keys, tokens.mask_predictions("pred_ids").alias("pred_ids"), tokens.mask_labels("labels").alias("labels"))
+    texts = tokens.decode_many(both, keys, {"pred_ids": "pred_text", "labels": "label_text"}, vocab)
+    if dataset in ("svamp", "asdiv"):
+        return metrics.equation_accuracy(texts, "pred_text", "label_text", list(group))
+    return metrics.text_accuracy(texts, "pred_text", "label_text", list(group))
+
+
+def materialise_source(spark: SparkSession, paths: str | Sequence[str], root: str, head: int = 800, seed: int = 0,
+                       path_order_re: str | None = None) -> list[str]:
+    """SVAMP's source array as ``{root}/svamp/svamp_{split}.json``: prompts in permuted order.
+
+    The first ``head`` rows of the seeded permutation are the training split.
+    """
+    rows = sources.read_json_array(spark, paths, "Body string, Question string, Equation string", path_order_re)
+    rows = prompts.svamp_prompt(rows.select("row_pos", F.col("Body").alias("body"), F.col("Question").alias("question"),
+                                            F.col("Equation").alias("equation")))
+    splits = sampling.permute_head_split(rows, head, seed).select("split", "row_pos", "input", "label")
+    return sinks.write_json_splits(splits, root, "svamp", spec_for("svamp").split_map)
+
+
+def preprocess_documents(docs: DataFrame, images: DataFrame, done_texts: DataFrame, page_texts: DataFrame
+                         ) -> dict[str, DataFrame]:
+    """What is left to do per document, and its results.
+
+    ``docs``: (doc, doc_order); ``images``: (path) of page images; ``done_texts``: (doc) with
+    a text file; ``page_texts``: (doc, page, text).  Returns ``status`` (doc, has_images,
+    has_text, todo), ``texts`` (doc, n_pages, text of the documents to do) and ``state``
+    (lines of all images in order; none if nothing is to do, as then no file is written).
+    """
+    listed = images.select("path", pages.page_prefix("path").alias("doc"), pages.page_number("path").alias("page"))
+    status = (docs.join(listed.select("doc").distinct().withColumn("_i", F.lit(True)), "doc", "left")
+              .join(done_texts.select("doc").distinct().withColumn("_t", F.lit(True)), "doc", "left")
+              .select("doc", F.coalesce("_i", F.lit(False)).alias("has_images"), F.coalesce("_t", F.lit(False)).alias("has_text"))
+              .withColumn("todo", ~(F.col("has_images") & F.col("has_text"))))
+    todo = status.where("todo").select("doc")
+    ordered = pages.order_pages(listed.join(docs.select("doc", "doc_order"), "doc"))
+    return {"status": status, "texts": pages.doc_text(page_texts.join(todo, "doc", "left_semi")),
+            "state": pages.file_state_lines(ordered).where(~pages.all_done(todo))}
 
 
 def annotation_files(spark: SparkSession, files: DataFrame, pdf_paths: Sequence[str], detections: DataFrame,

@@ -6,7 +6,7 @@ job runs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,29 +75,25 @@ def spec_for(dataset: str, subset: str = "full") -> DatasetSpec:
 
 @dataclass(frozen=True)
 class JobConfig:
-    """Run parameters with the reference's defaults."""
+    """Run parameters, by the stage that reads them."""
+    # loading and labels
     dataset: str
+    llm: str | None = "palm"
+    label_type: str = "gt"
     subsample: float = 1.0
-    alpha: float = 0.5
-    max_steps: int = 10000
-    eval_steps: int = 250
-    batch_size: int = 64
-    optimizer_name: str = "AdamW"
-    lr: float = 5e-5
-    run: int = 0
+    run: int = 0                # also the subsample's seed
+    # encoding
+    model_type: str = "task_prefix"
     from_pretrained: str = "google/t5-v1_1-base"
-    label_type: str = "gt"
-    llm: str | None = "palm"
     max_input_length: int = 1024
+    # batches and losses
+    batch_size: int = 64
     grad_steps: int = 1
-    local_rank: int = -1
-    gen_max_len: int = 64
-    parallelize: bool = False
-    model_type: str = "task_prefix"
-    bf16: bool = False
-    no_log: bool = False
+    alpha: float = 0.5
     output_rationale: bool = False
-    extra: dict = field(default_factory=dict)
+    # only part of the run folder's name
+    optimizer_name: str = "AdamW"
+    lr: float = 5e-5
 
     def validate(self) -> None:
         spec_for(self.dataset if self.dataset != "asdiv" else "svamp")

@@ -5,8 +5,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from curatio.operators import tokens
 from curatio.plans import fixtures as fx
-from curatio.plans.jobs import annotation_files, dealt_folders, training_tables
+from curatio.plans.jobs import (annotation_files, dealt_folders, evaluation, preprocess_documents, training_batches,
+                                training_tables)
 from curatio.session import local_path, scratch_path
 from curatio.sinks import files as sinks
 from curatio.spec import JobConfig
@@ -98,3 +100,44 @@ def test_training_tables_first_model_layout(spark):
     t = training_tables(spark, cfg, root, vocab_size=5000, on_bad="quarantine")
     assert t.prepared.where("llm_label IS NULL").count() > 0      # quarantined outputs kept, not dropped
     assert t.encoded.count() == t.prepared.count()
+
+
+def test_run_folders_and_batches(spark):
+    root, _ = _cqa_inputs(spark)
+    out = scratch_path(spark, "run-out")
+    t = training_tables(spark, JobConfig(dataset="cqa", llm=None, model_type="standard"), root, out_root=out)
+    p = t.run_paths.first()
+    assert p.output_dir == f"ckpts/{p.config_dir}/0"
+    written = spark.read.parquet(f"{out}/{p.output_dir}/encoded")
+    assert written.count() == t.encoded.count()
+    rows = training_batches(written, 16).collect()
+    assert len(rows) == written.count()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault((r.split, r.batch), []).append((len(r.input_ids), len(r.attention_mask), len(r.labels)))
+    assert all(len(set(v)) == 1 and len(v) <= 16 for v in sizes.values())
+
+
+def test_evaluation_counts_predict_records_only(spark):
+    texts = spark.createDataFrame([("( 2 + 3 )",), ("5",)], "text string")
+    vocab = tokens.build_vocab(texts, ["text"])
+    ids = {r.word: r.id for r in vocab.collect()}
+    rows = [("test", 0, "pred", [ids["5"], 1, -1], [ids[w] for w in "( 2 + 3 )".split()] + [1, -100]),
+            ("test", 1, "pred", [ids["2"], 1], [ids["3"], 1, -100]),
+            ("test", 0, "expl", [ids["2"]], [ids["3"]]), ("test", 1, "expl", [ids["2"]], [ids["3"]])]
+    df = spark.createDataFrame(rows, "split string, row_pos long, task string, pred_ids array<int>, labels array<int>")
+    pred, lab = df.drop("labels"), df.drop("pred_ids")
+    got = evaluation(pred, lab, "svamp", "task_prefix", vocab).first()
+    assert (got.accuracy, got.n) == (0.5, 2)        # equal values, unequal texts
+    assert evaluation(pred, lab, "cqa", "task_prefix", vocab).first().accuracy == 0.0
+
+
+def test_preprocess_nothing_left(spark):
+    docs = spark.createDataFrame([("a", 0), ("b", 1)], "doc string, doc_order long")
+    images = spark.createDataFrame([("raw/a_page_1.png",), ("raw/b_page_1.png",)], "path string")
+    texts = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, "z")], "doc string, page long, text string")
+    done = preprocess_documents(docs, images, docs.select("doc"), texts)
+    assert done["texts"].count() == 0 and done["state"].count() == 0
+    left = preprocess_documents(docs, images, docs.select("doc").where("doc = 'a'"), texts)
+    assert [(r.doc, r.text) for r in left["texts"].collect()] == [("b", "yz")]
+    assert {r.line for r in left["state"].collect()} == {"raw/a_page_1.png\t1", "raw/b_page_1.png\t1"}

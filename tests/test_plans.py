@@ -7,7 +7,7 @@ from curatio.plans.registry import QUERIES
 from tests.conftest import SF_SMALL
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-EQUATION_KEYS = {"equation_values", "equation_accuracy", "decoded_eq_accuracy"}
+EQUATION_KEYS = {"job_evaluation", "equation_values", "equation_accuracy", "decoded_eq_accuracy"}
 
 
 def _plan(df):

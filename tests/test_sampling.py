@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -37,3 +38,27 @@ def test_permute_head(spark):
     df = spark.range(1000).withColumnRenamed("id", "row_pos")
     c = {r.split: r["count"] for r in sampling.permute_head_split(df, 800).groupBy("split").count().collect()}
     assert c == {"train": 800, "test": 200}
+
+
+def test_permute_head_keeps_the_permuted_order(spark):
+    df = spark.range(30).select(F.col("id").alias("row_pos"), F.col("id").alias("key"))
+    rows = sampling.permute_head_split(df, 20, seed=0).collect()
+    want = sorted(range(30), key=lambda k: (hashlib.md5(f"0:{k}".encode()).hexdigest(), k))
+    got = {s: [r.key for r in sorted((r for r in rows if r.split == s), key=lambda r: r.row_pos)] for s in ("train", "test")}
+    assert got == {"train": want[:20], "test": want[20:]}
+    assert sorted(r.row_pos for r in rows if r.split == "test") == list(range(10))
+
+
+def test_subsample_train_leaves_other_splits(spark):
+    df = spark.range(100).select(F.col("id").alias("row_pos"),
+                                 F.when(F.col("id") < 80, F.lit("train")).otherwise(F.lit("test")).alias("split"))
+    kept = {r.row_pos for r in sampling.subsample_train(df, 0.25, seed=0).collect()}
+    alone = {r.row_pos for r in sampling.subsample(df.where("split = 'train'"), 0.25, seed=0).collect()}
+    assert kept == alone | set(range(80, 100))
+
+
+def test_splits_run_their_input_once(spark):
+    """The cut is taken on checkpointed ranks: no plan scans the input beside them."""
+    df = spark.range(50).select(F.col("id").alias("row_pos"), F.lit("train").alias("split"))
+    for out in (sampling.carve_valid(df), sampling.exact_split(df, 0, 0.1), sampling.subsample_train(df, 0.5, 0)):
+        assert "Range (0, 50" not in out._jdf.queryExecution().toString()
