@@ -205,7 +205,7 @@ _PIECE = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+
 class _Pieces(dict):
     """Piece -> ids, by the tokenizer's model; emptied when it is full."""
 
-    def __init__(self, tok, limit: int = 400_000) -> None:
+    def __init__(self, tok, limit: int = 100_000) -> None:
         super().__init__()
         from tokenizers.pre_tokenizers import ByteLevel
         level = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -263,5 +263,5 @@ def token_table(path: str) -> ChunkTable:
             at = np.repeat(np.cumsum(sizes)[odd], more_sizes)
             sizes[odd] = more_sizes
             return np.insert(flat, at, more), sizes
-        return ChunkTable(ids, dtype)
+        return ChunkTable(ids, dtype, limit=100_000)
     return shared_table(("tokens", path), make)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curatio.session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 def tokenizer_file(name: str = DEFAULT_TOKENIZER) -> str:
