@@ -26,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated line chunks; documents that lose every line go."""
-    out = line_dedup.remove_repeated_chunks(docs.select(*COLUMNS), removed_col="_removed", drop_emptied=True)
+    """Texts without repeated line chunks and passages; documents that lose every line go."""
+    out = line_dedup.remove_repeated_chunks(docs.select(*COLUMNS), removed_col="_removed", drop_emptied=True,
+                                            min_words=line_dedup.MIN_WORDS)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -9,6 +9,15 @@ smallest id, then the first place in that document) and removed everywhere else.
 Texts are grouped by the chunk's bytes, so equality is a byte comparison.  Occurrences are
 found again by a 64-bit hash; a hash that two different chunks share removes nothing.
 
+With ``min_words`` (the pipeline's stage; the registered query's result is fixed by its SQL)
+matches are extended.  Anchors are every two neighbouring lines and every line of over
+``min_words`` words; an anchor leads to its first place in the table, and a document is
+compared line by line (64-bit hashes at the same distance) with the documents that its
+anchors lead to.  A run of equal lines goes if it holds over ``min_words`` words, touches a
+removed chunk or is the whole text.  A line only goes for an equal line at an earlier place,
+so its first occurrence stays.  Line hashes of a source travel to each document that shares
+an anchor with it, sources of many documents by the bounded broadcast.
+
 Plan: one shuffle of the chunk texts (with map-side combining, so a chunk that a third of
 all documents share arrives once per task), narrow joins on hashes with hot chunks
 broadcast under a proven bound, and one shuffle of the documents to attach what goes.
@@ -26,7 +35,7 @@ from pyspark.sql import functions as F
 
 from curatio.llm.common import join_hot_safe, written
 
-DIVISOR, MIN_LINES = 3, 2
+DIVISOR, MIN_LINES, MIN_WORDS = 3, 2, 50
 
 
 def with_chunks(rows: DataFrame, text: Column, out: str, divisor: int = DIVISOR) -> DataFrame:
@@ -46,11 +55,69 @@ def with_chunks(rows: DataFrame, text: Column, out: str, divisor: int = DIVISOR)
     return rows.select(*names, F.zip_with(starts, F.col("_ends"), lambda s, e: F.slice("_lines", s + 1, e - s)).alias(out))
 
 
+def n_words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
+
+
+def with_sources(rows: DataFrame, min_words: int) -> DataFrame:
+    """(id, tk, _src) of ``rows`` (id, tk, t): the earlier documents (or itself) that the anchors of a
+    text lead to, each with its line hashes ``hs`` and the distances ``ds`` from own to source lines."""
+    rows = rows.where("t IS NOT NULL").select("id", "tk", F.xxhash64("id", "tk").alias("sk"), F.split("t", "\n").alias("_l"))
+    after = F.slice(F.col("_l"), 2, F.greatest(F.size("_l") - 1, F.lit(0)))
+    two = F.transform(F.zip_with(F.col("_l"), after, lambda a, b: F.when((F.trim(a) != "") | (F.trim(b) != ""), F.xxhash64(a, b))),
+                      lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    one = F.transform("_l", lambda x, i: F.struct(i.alias("pos"), F.when(
+        (F.length(x) > 2 * min_words) & (n_words(x) > min_words), F.xxhash64(F.lit("one line"), x)).alias("h")))
+    # the last line has no next one
+    found = F.concat(F.slice(two, 1, F.greatest(F.size("_l") - 1, F.lit(0))), F.filter(one, lambda x: x["h"].isNotNull()))
+    anchors = rows.select("id", "tk", "sk", F.explode(found).alias("_a")).select("id", "tk", "sk", "_a.pos", "_a.h").where("h IS NOT NULL")
+    repeated = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-anchors")
+    total = int(repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    places = written(join_hot_safe(anchors, repeated, ["h"], "n", total).select("id", "tk", "sk", "pos", "h"), "anchor-places")
+    first = places.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tk", "sk", "pos")).alias("f"),
+                                    F.count(F.lit(1)).alias("n"))
+    both = join_hot_safe(places, written(first, "first-anchors"), ["h"], "n", total)
+    own = F.col("sk") == F.col("f.sk")
+    both = both.where((own & (F.col("pos") > F.col("f.pos"))) | (~own & ~F.col("id").eqNullSafe(F.col("f.id"))))
+    pairs = written(both.select("id", "tk", "sk", F.col("f.sk").alias("src"), (F.col("f.pos") - F.col("pos")).alias("d"))
+                    .groupBy("id", "tk", "sk", "src").agg(F.collect_set("d").alias("ds")), "passage-pairs")
+    uses = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    hashes = rows.select(F.col("sk").alias("src"), F.transform("_l", lambda x: F.xxhash64(x)).alias("hs"))
+    sources = written(hashes.join(uses, "src").dropDuplicates(["src"]), "passage-sources")
+    matched = join_hot_safe(pairs, sources, ["src"], "n", pairs.count())
+    return matched.groupBy("id", "tk").agg(F.collect_list(F.struct("hs", "ds")).alias("_src"))
+
+
+def without_passages(rows: DataFrame, min_words: int) -> DataFrame:
+    """``_left``: the lines of ``_ls`` that stay, by ``_flags`` (removed already) and ``_src``."""
+    rows = rows.withColumn("_hs", F.transform("_ls", lambda x: F.xxhash64(x))).withColumn("_ws", F.transform("_ls", n_words))
+    n = F.size("_ls")
+
+    def turns(hs: Column, d: Column) -> Column:     # where equality begins and ends, by turns
+        def same(i: Column) -> Column:
+            return F.coalesce(F.get("_hs", i) == F.get(hs, i + d), F.lit(False))
+        return F.filter(F.sequence(F.lit(0), n), lambda i: same(i) != same(i - 1))
+    rows = rows.withColumn("_turns", F.flatten(F.transform("_src", lambda x: F.transform(x["ds"], lambda d: turns(x["hs"], d)))))
+    rows = rows.withColumn("_runs", F.array_distinct(F.flatten(F.transform("_turns", lambda b: F.filter(F.transform(
+        b, lambda x, k: F.when(k % 2 == 0, F.struct(x.alias("s"), F.get(b, k + 1).alias("e")))), lambda r: r.isNotNull())))))
+
+    def goes(r: Column) -> Column:
+        def part(c: str) -> Column:
+            return F.slice(F.col(c), r["s"] + 1, r["e"] - r["s"])
+        return ((r["e"] - r["s"] == n) | F.exists(part("_flags"), lambda x: x)
+                | (F.aggregate(part("_ws"), F.lit(0), lambda a, x: a + x) > min_words))
+    rows = rows.withColumn("_goes", F.filter("_runs", goes))
+    return rows.withColumn("_left", F.filter("_ls", lambda x, i: ~(
+        F.get("_flags", i) | F.exists("_goes", lambda r: (r["s"] <= i) & (i < r["e"])))))
+
+
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR,
-                           min_lines: int = MIN_LINES, removed_col: str = "lines_removed", drop_emptied: bool = False) -> DataFrame:
+                           min_lines: int = MIN_LINES, removed_col: str = "lines_removed", drop_emptied: bool = False,
+                           min_words: int | None = None) -> DataFrame:
     """``docs`` with repeated chunks gone from the text, and how many lines went from each row.
 
     ``drop_emptied``: without the rows that lost lines and have no other character than blanks left.
+    ``min_words``: matches are extended by equal neighbouring lines, and runs of over so many words go.
     """
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     long_ones = F.filter(F.col("_parts"), lambda p: F.size(p) >= min_lines)
@@ -69,20 +136,36 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     marks = hits.distinct().groupBy("id", "tk").agg(
         F.collect_list(F.when(home, F.col("h"))).alias("_once"), F.collect_list(F.when(~home, F.col("h"))).alias("_never"))
 
+    src = F.array().cast("array<struct<hs:array<bigint>,ds:array<int>>>")
+    if min_words is not None:
+        none = F.array().cast("array<bigint>")
+        more = with_sources(per_doc.select("id", "tk", "t"), min_words).select(F.col("id").alias("id2"), F.col("tk").alias("tk2"), "_src")
+        marks = marks.join(more, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")), "full_outer").select(
+            F.coalesce("id", "id2").alias("id"), F.coalesce("tk", "tk2").alias("tk"), F.coalesce("_once", none).alias("_once"),
+            F.coalesce("_never", none).alias("_never"), F.coalesce("_src", src).alias("_src"))
+    extra = ["_src"] if min_words is not None else []
+
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), ident.alias("_id"), F.xxhash64(text).alias("_tk"))
     both = keyed.join(marks, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tk") == F.col("tk")), "left")
     row_text = F.col("_row")[text_col]
     marked = F.when(F.col("_once").isNotNull(), row_text)      # other rows' texts need no chunks
-    both = with_chunks(both.select("_row", "_once", "_never", marked.alias("_t")), F.col("_t"), "_parts", divisor)
+    both = with_chunks(both.select("_row", "_once", "_never", *extra, marked.alias("_t")), F.col("_t"), "_parts", divisor)
     both = both.withColumn("_tagged", F.transform("_parts", lambda p: F.struct(p.alias("p"), F.xxhash64(F.array_join(p, "\n")).alias("h"))))
 
     def stays(c: Column, i: Column) -> Column:
         earlier = F.exists(F.slice(F.col("_tagged"), 1, i), lambda x: (x["h"] == c["h"]) & (F.size(x["p"]) >= min_lines))
         return (F.size(c["p"]) < min_lines) | ~(F.array_contains("_never", c["h"]) | (F.array_contains("_once", c["h"]) & earlier))
-    both = both.withColumn("_kept", F.filter("_tagged", stays))
-    lines = F.aggregate("_tagged", F.lit(0), lambda n, c: n + F.size(c["p"])) - F.aggregate("_kept", F.lit(0), lambda n, c: n + F.size(c["p"]))
-    new_text = F.when(F.col("_once").isNull(), row_text).otherwise(F.array_join(F.flatten(F.transform("_kept", lambda c: c["p"])), "\n"))
+    if min_words is not None:
+        both = both.withColumn("_ls", F.flatten("_parts"))
+        both = both.withColumn("_flags", F.flatten(F.transform("_tagged", lambda c, i: F.array_repeat(~stays(c, i), F.size(c["p"])))))
+        both = without_passages(both, min_words)
+        lines, left = F.size("_ls") - F.size("_left"), F.col("_left")
+    else:
+        both = both.withColumn("_kept", F.filter("_tagged", stays))
+        lines = F.aggregate("_tagged", F.lit(0), lambda n, c: n + F.size(c["p"])) - F.aggregate("_kept", F.lit(0), lambda n, c: n + F.size(c["p"]))
+        left = F.flatten(F.transform("_kept", lambda c: c["p"]))
+    new_text = F.when(F.col("_once").isNull(), row_text).otherwise(F.array_join(left, "\n"))
     gone = F.when(F.col("_once").isNull(), F.lit(0)).otherwise(lines).cast("bigint")
     both = both.select("_row", new_text.alias("_text"), gone.alias("_gone"))
     result = F.array(F.struct("_text", "_gone"))

@@ -3,6 +3,7 @@
 import corpus_pipeline as cp
 from curatio.llm.common import read_table, written
 from tests.conftest import SF_SMALL
+from tests.llm.test_operators import words
 
 
 def test_stages(spark):
@@ -26,3 +27,19 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in mixed}
     starts = [r for r in pieces if r.start == 0]
     assert len(starts) == len(mixed) and sum(r.doc_tokens for r in starts) == sum(r.length for r in pieces)
+
+
+def test_lines_extend_matches(spark):
+    """Passages of over 50 words go whole wherever their borders lie, on one line or several."""
+    many = [words(900 + i, 9) for i in range(7)]
+    single = words(950, 60)
+    rows = [(i, [words(i, 5), words(i + 50, 4), *many, words(i + 90, 3), words(i + 120, 6)]) for i in range(12)]
+    rows += [(20 + i, [words(i + 200, 4), single, words(i + 250, 5)]) for i in range(12)]
+    rows += [(60, [*many, words(400, 3), *many]), (61, [words(401, 4), "", words(402, 3)]), (62, [words(403, 4), "", words(402, 3)])]
+    rows += [(70 + i, [words(500 + 7 * i + k, 20) for k in range(7)]) for i in range(3)]
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in rows] + [(80, None, "en", "s", 1), (81, "", "en", "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in cp.lines(spark, docs, "").collect()}
+    want = {i: t if i in (0, 20) else [x for x in t if x not in many and x != single] for i, t in rows}
+    assert got.pop(80, "") is None and got.pop(81) == ""
+    assert got == {i: "\n".join(t) for i, t in want.items() if t}
