@@ -43,3 +43,15 @@ def test_lines_extend_matches(spark):
     want = {i: t if i in (0, 20) else [x for x in t if x not in many and x != single] for i, t in rows}
     assert got.pop(80, "") is None and got.pop(81) == ""
     assert got == {i: "\n".join(t) for i, t in want.items() if t}
+
+
+def test_lines_take_copies_whole(spark):
+    """A copy loses every line, its one-line chunks too, or none; no scraps of it are left."""
+    texts = [[words(300 + 40 * k + i, 2 if i % 3 else 12) for i in range(25)] for k in range(4)] + [["a b", "c d", "e f"]]
+    rows = [(10 * k + c, "\n".join(t)) for k, t in enumerate(texts) for c in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.text for r in cp.lines(spark, docs, "").collect()}
+    assert all(got[10 * k] == "\n".join(t) for k, t in enumerate(texts))
+    assert all(i % 10 == 0 or got.get(i) in (None, "\n".join(texts[4])) for i, _ in rows)
+    assert not any(i in got for i, _ in rows if i < 40 and i % 10)
