@@ -3,8 +3,8 @@
 The patterns' spans (``base``) always stay.  The network is trained from labelled spans:
 windows of training texts with their base spans, and the same windows with spans rewritten
 in ways that the patterns do not know (``_rewritten``).  It reads the windows around every
-digit and every ``@`` of a whole text: each kind needs one of them, so the other windows
-hold nothing to find.  Windows overlap; a character's tag comes from the window in which
+digit (of any script), every ``@`` and every word ``at`` (``marks``) of a whole text.
+``_plausible`` takes no span without one of them, so the other windows hold nothing to find.  Windows overlap; a character's tag comes from the window in which
 it lies most centrally, and spans are then put together over the whole text, so that a span
 across windows is one span.  A decoded span is added if it overlaps no base span and has
 what its kind needs (``_plausible``).
@@ -16,6 +16,8 @@ repeated rows give the same spans; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-_MARK = re.compile(r"[0-9@]")
+_OTHER_DIGITS = {i: str(unicodedata.digit(chr(i))) for i in range(128, sys.maxunicode + 1) if chr(i).isdigit()}
+_SIGN = re.compile(r"[\d@]")
+# digits that are not decimal, such as raised ones; apart by plane, as a set within one plane is looked up at once
+_RARE = [re.compile(f"[{''.join(x)}]") for x in (
+    [chr(i) for i in _OTHER_DIGITS if i < 1 << 16 and not chr(i).isdecimal()],
+    [chr(i) for i in _OTHER_DIGITS if i >= 1 << 16 and not chr(i).isdecimal()]) if x]
+# the word "at" in any brackets and between underscores, or capitals within a small word (nameAThost.com); looking
+# behind last, as a pattern that starts with a letter is found faster
+_AT = (re.compile(r"[Aa][Tt](?![^\W_])(?<![^\W_]..)"), re.compile(r"AT(?=[a-z0-9])(?<=[a-z0-9]AT)"))
 Span = tuple[str, int, int]
 
 
@@ -65,7 +75,7 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns by start, then kind; offsets in code points, end exclusive."""
-    if not _MARK.search(text):
+    if not _SIGN.search(text):
         return []
     found = [("email", s, e) for s, e in _emails(text)]
     found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
@@ -102,12 +112,17 @@ def codes(text: str) -> np.ndarray:
     return np.fromiter(map(_code, text), np.int64, len(text))
 
 
+def marks(text: str) -> list[tuple[int, int]]:
+    """Places of everything of which a span needs one, in order."""
+    return sorted(m.span() for p in (_SIGN, *_AT, *([] if text.isascii() else _RARE)) for m in p.finditer(text))
+
+
 def windows_of(text: str) -> list[int]:
-    """Starts of the overlapping windows that cover everything near a digit or ``@``."""
+    """Starts of the overlapping windows that cover everything near a digit, ``@`` or ``at``."""
     out: list[int] = []
     covered = -1
-    for m in _MARK.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for start, end in marks(text):
+        lo, hi = max(0, start - REACH), min(len(text), end + REACH)
         if covered < lo:
             out.append(lo)
             covered = lo + WINDOW
@@ -201,9 +216,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
 
 
 def _plausible(kind: str, s: str) -> bool:
+    s = s.translate(_OTHER_DIGITS)
     d = _DIGITS.sub("", s)
     if kind == "email":
-        return "." in s and ("@" in s or "at" in s.lower()) and not d == s
+        return "." in s and ("@" in s or any(p.search(s) for p in _AT)) and not d == s
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[^\W\d]", s)

@@ -170,6 +170,28 @@ def test_personal_data(spark, docs, none):
     assert got[0] == [] and got[1] == [] and pii.train(none) is None and pii.find(none, None).count() == 0
 
 
+def test_personal_data_without_ascii_digits(spark):
+    """Addresses with a word for the sign and numbers of other scripts are read, with no digit or @ nearby."""
+    rows = [(i, f"{words(i, 12)} {words(i + 900, 1)}.{words(i + 950, 1)}@{words(i + 990, 1)}.example.com {words(i + 500, 9)} "
+                f"+1 ({200 + i}) 555-{1000 + i} {words(i, 8)} at {words(i + 3, 4)}. At {words(i + 7, 9)}") for i in range(250)]
+    net = pii.train(spark.createDataFrame(rows, "doc_id long, text string"), max_windows=500)
+    for sign in (" (at) ", "[at]", " @ "):
+        test = [f"{words(9, 12)} {words(i + 1900, 1)}.{words(i + 1950, 1)}{sign}{words(i + 1990, 1)}.example.com {words(8, 12)}" for i in range(20)]
+        assert not any(pii.base_spans(t) for t in test)
+        found = pii.added_spans(net, test, [[] for _ in test])
+        assert sum(any(k == "email" and sign.strip() in t[s:e] for k, s, e in f) for f, t in zip(found, test, strict=True)) >= 15, sign
+    arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    test = [f"{words(9, 12)} ({300 + i}) 444-{5000 + i} {words(8, 12)}".translate(arabic) for i in range(20)]
+    assert sum(any(k == "phone" for k, *_ in f) for f in pii.added_spans(net, test, [[] for _ in test])) >= 15
+
+
+def test_every_accepted_span_opens_a_window():
+    for kind, s in (("email", "a.b (at) c.de"), ("email", "a.b[AT]c.de"), ("email", "a_at_c.de"), ("email", "aATc.de"), ("email", "a{At}c.de"),
+                    ("email", "a @ c.de"), ("ip", "١.٢.٣.٤"), ("phone", "（٢٦٢".replace("（", "(") + ") ٥٥٥-٧٢٤٠"), ("card", "４１１１.１１１１.１１１１.１１１１")):
+        assert pii._plausible(kind, s) and pii.windows_of(s), s
+    assert not pii._plausible("email", "data.example.com") and pii.windows_of("that data. " * 50) == []
+
+
 def test_network_gradient():
     net = bilstm_crf.Net(5, 3, embed=3, hidden=4)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
