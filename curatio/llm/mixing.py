@@ -14,8 +14,10 @@
 Everything on the rows is a DataFrame expression; the driver holds numbers per domain and
 per hash bucket only.
 
-The targets' total is the largest for which no domain needs more than it has, so mixing
-thins out what there is too much of; a rate above 1 means expected repeats.
+The domain of the largest weight (or ``keep``) is kept at its whole mass, which fixes the
+targets' total.  Domains of which there is too much are thinned; one that is scarce stays at
+what it has, below its target, and never scales the others down.  A rate above 1 means
+expected repeats.
 
 Edge cases: a NULL or empty text has 0 tokens, prior probabilities and is never thinned by
 its length; without labels every document has the uniform posterior; a domain without any mass
@@ -106,16 +108,18 @@ def with_posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id",
     return rows.select("id", "tk", "tokens", *[(x / total).alias(f"p{k}") for k, x in enumerate(e)])
 
 
-def targets(mass: np.ndarray, weights: list[float]) -> np.ndarray:
-    """Token totals in the given proportions, none above what the domain has."""
+def targets(mass: np.ndarray, weights: list[float], keep: int | None = None) -> np.ndarray:
+    """Token totals in the given proportions to the whole mass of domain ``keep`` (that of the largest
+    weight by default), but none above what the domain has."""
     w = np.where(mass > 0, np.asarray(weights, float), 0.0)
     if not w.sum():
         return np.zeros_like(w)
-    w = w / w.sum()
-    return w * min(m / x for m, x in zip(mass, w, strict=True) if x > 0)
+    k = int(w.argmax()) if keep is None or not w[keep] else keep
+    return np.minimum(w * mass[k] / w[k], mass)
 
 
-def fit_rates(rows: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def fit_rates(rows: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE,
+              keep: int | None = None) -> DataFrame:
     """``rows`` of ``with_posteriors`` with their ``rate``; the result is a written table."""
     k = len(weights)
     ps = [F.col(f"p{i}") for i in range(k)]
@@ -123,7 +127,7 @@ def fit_rates(rows: DataFrame, weights: list[float], steps: int = STEPS, toleran
     gram = state.agg(*[F.coalesce(F.sum(F.col("tokens") * ps[i] * ps[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
     gram = np.array(gram).reshape(k, k)
     mass = gram.sum(axis=1)
-    goal, inverse = targets(mass, weights), np.linalg.pinv(gram)
+    goal, inverse = targets(mass, weights, keep), np.linalg.pinv(gram)
     rate, since = F.col("rate"), 0
     for step in range(steps):
         totals = np.array(state.agg(*[F.coalesce(F.sum(rate * F.col("tokens") * p), F.lit(0.0)) for p in ps]).first(), float)
@@ -145,10 +149,14 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, weights: dict[str, float], id_col: str = "doc_id",
-        text_col: str = "text") -> DataFrame:
-    """(id, tk, tokens, p0.., rate, copies) of every document, domains in the order of ``weights``."""
+        text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(id, tk, tokens, p0.., rate, copies) of every document, domains in the order of ``weights``.
+
+    ``keep``: the domain kept at its whole mass; that of the largest weight by default.
+    """
     model = train(docs, labels, domain, list(weights), id_col, text_col)
-    fitted = fit_rates(with_posteriors(docs, model, id_col, text_col), list(weights.values()))
+    fitted = fit_rates(with_posteriors(docs, model, id_col, text_col), list(weights.values()),
+                       keep=None if keep is None else list(weights).index(keep))
     return fitted.withColumn("copies", copies(F.col("rate"), F.col("id")))
 
 

@@ -285,6 +285,24 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.mix(docs, labels, F.col("d"), weights).count() == 12 and mixing.mix(none, labels, F.col("d"), weights).count() == 0
 
 
+def test_mixing_keeps_clean_documents_of_a_clean_table(spark):
+    """Hardly any toxic text: no clean document goes for want of it, and what there is too much of is still thinned."""
+    weights = {"clean": 0.86, "low": 0.10, "toxic": 0.04}
+    for every, n_low in ((10, 60), (3, 200)):
+        kind = ["toxic" if i < 3 else "low" if i % every == 0 else "clean" for i in range(600)]
+        rows = [(i, words(i, 40 + i % 20, {"clean": "abcd", "low": "efgh", "toxic": "ijkl"}[k])) for i, k in enumerate(kind)]
+        labels = spark.createDataFrame([(i, k) for i, k in enumerate(kind) if i % 2 or i < 3], "doc_id long, d string")
+        mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.col("d"), weights).toPandas()
+        tokens = mixed["tokens"].to_numpy()
+        total = (mixed["rate"].to_numpy() * tokens) @ mixed[["p0", "p1", "p2"]].to_numpy()
+        mass = tokens @ mixed[["p0", "p1", "p2"]].to_numpy()
+        assert mass[2] < 0.03 * mass.sum() and np.allclose(total, np.minimum(np.array([0.86, 0.10, 0.04]) * mass[0] / 0.86, mass), rtol=1e-4)
+        copies, rate = dict(zip(mixed["id"], mixed["copies"], strict=True)), dict(zip(mixed["id"], mixed["rate"], strict=True))
+        clean = [i for i, k in enumerate(kind) if k == "clean"]
+        assert sum(copies[i] >= 1 for i in clean) >= 0.99 * len(clean) and min(rate[i] for i in clean) > 0.95, every
+        assert every == 10 or sum(copies[i] for i, k in enumerate(kind) if k == "low") < 0.5 * n_low
+
+
 def all_pairs(rows):
     table = order_minhash._word_table()
     s = {i: order_minhash.labelled_shingles(table.rows([t])[0]) for i, t in rows}
