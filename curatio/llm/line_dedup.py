@@ -106,9 +106,10 @@ def without_passages(rows: DataFrame, min_words: int) -> DataFrame:
             return F.slice(F.col(c), r["s"] + 1, r["e"] - r["s"])
         return ((r["e"] - r["s"] == n) | F.exists(part("_flags"), lambda x: x)
                 | (F.aggregate(part("_ws"), F.lit(0), lambda a, x: a + x) > min_words))
-    rows = rows.withColumn("_goes", F.filter("_runs", goes))
-    return rows.withColumn("_left", F.filter("_ls", lambda x, i: ~(
-        F.get("_flags", i) | F.exists("_goes", lambda r: (r["s"] <= i) & (i < r["e"])))))
+    # named twice: a column that is named once is moved into the lambda and computed anew per element
+    rows = rows.withColumn("_goes", F.when(F.size("_ws") >= 0, F.filter("_runs", goes)))
+    return rows.withColumn("_left", F.when(F.size("_goes") >= 0, F.filter("_ls", lambda x, i: ~(
+        F.get("_flags", i) | F.exists("_goes", lambda r: (r["s"] <= i) & (i < r["e"]))))))
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR,
