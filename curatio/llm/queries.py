@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import ann, fingerprints, langid, line_dedup, mixing, order_minhash, packing, pii, token_files, toxicity
+from curatio.llm import ann, fingerprints, langid, line_dedup, merkle, mixing, order_minhash, packing, pii, token_files, toxicity
 from curatio.llm.common import held_out, read_table
 from curatio.session import scratch_path
 
@@ -109,3 +109,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset", "loss_tokens")
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document against the dataset's root."""
+    docs = read_table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.col("n_chars") + 1 if i == 3 else c for i, c in enumerate(fields)]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_digest(changed))
+    leaves = docs.select(merkle.tree_key(F.col("lang")).alias("tree"), F.col("doc_id").cast("bigint").alias("id"),
+                         merkle.leaf_digest(fields).alias("digest"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), tampered.alias("tampered")).alias("load"))
+    folded = merkle.fold(F.coalesce("load.tampered", "digest"), F.col("path"))
+    return merkle.proofs(leaves).select(
+        "load.doc_id", F.col("digest").alias("leaf"), "facts.subroot", "facts.root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
