@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import ann, fingerprints, langid, line_dedup, merkle, mixing, order_minhash, packing, pii, token_files, toxicity
-from curatio.llm.common import held_out, read_table
+from curatio.llm import ann, fingerprints, langid, line_dedup, merkle, mixing, order_minhash, packing, pii, prefix_trie, token_files, toxicity
+from curatio.llm.common import held_out, read_table, written
 from curatio.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,13 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(leaves).select(
         "load.doc_id", F.col("digest").alias("leaf"), "facts.subroot", "facts.root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie over the conversations, rebuilt with the heads they share."""
+    own = written(prefix_trie.conversations(read_table(spark, sf_dir, "conversations")), "own-turns")
+    heads = own.where("conv_id % 100 = 0").selectExpr("conv_id AS head_id", "slice(seq, 1, 5) AS head")
+    both = own.selectExpr("*", "int(crc32(string(conv_id)) % 6) AS h", "conv_id - conv_id % 100 AS head_id").join(heads, "head_id", "left")
+    rebuilt = both.selectExpr("conv_id", "concat(slice(coalesce(head, slice(seq, 1, 0)), 1, h), slice(seq, h + 1, size(seq))) AS seq")
+    return prefix_trie.trie_nodes(rebuilt).withColumnRenamed("ends", "ends_sha256")
