@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatio.llm import ann, fingerprints, langid, line_dedup, merkle, mixing, order_minhash, packing, pii, prefix_trie, token_files, toxicity
+from curatio.llm import ann, fingerprints, langid, line_dedup, merkle, mixing, order_minhash, packing, partenum, pii, prefix_trie, token_files, toxicity
 from curatio.llm.common import held_out, read_table, written
 from curatio.session import scratch_path
 
@@ -134,3 +134,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = own.selectExpr("*", "int(crc32(string(conv_id)) % 6) AS h", "conv_id - conv_id % 100 AS head_id").join(heads, "head_id", "left")
     rebuilt = both.selectExpr("conv_id", "concat(slice(coalesce(head, slice(seq, 1, 0)), 1, h), slice(seq, h + 1, size(seq))) AS seq")
     return prefix_trie.trie_nodes(rebuilt).withColumnRenamed("ends", "ends_sha256")
+
+
+@_query
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document under the exact 0.8 Jaccard link."""
+    return partenum.linked_classes(read_table(spark, sf_dir, "documents"))
