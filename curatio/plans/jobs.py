@@ -39,6 +39,10 @@ SCHEMAS = {
               "explanation_3 string"),
     "anli1": "uid string, premise string, hypothesis string, label int, reason string",
 }
+REQUIRED = {        # columns without which a row is refused; the loaders drop the others
+    "cqa": ["question", "choices", "answer"], "svamp": ["input", "label"], "asdiv": ["Body", "Question", "Answer"],
+    "esnli": ["premise", "hypothesis", "label"], "anli1": ["premise", "hypothesis", "label"],
+}
 COT_GLOB = "{root}/{name}/llm/*_CoT_*.json"
 SINGLE_GLOB = "{root}/gpt-neox/{name}/*.json"
 # -------------------------------------------------------------------------------------------
@@ -70,7 +74,7 @@ def _normalise(df: DataFrame, dataset: str) -> DataFrame:
 
 def _load(spark: SparkSession, root: str, spec: DatasetSpec) -> DataFrame:
     splits = ["train", "test"] + (["valid"] if spec.has_valid else [])
-    df = sources.read_json_splits(spark, root, spec.name, SCHEMAS[spec.name], splits)
+    df = sources.read_json_splits(spark, root, spec.name, SCHEMAS[spec.name], splits, REQUIRED[spec.name])
     df = _normalise(df, spec.name)
     train = positions.batch_subset(df.where(F.col("split") == "train"), spec.batch_size, spec.train_batch_idxs)
     return train.unionByName(df.where(F.col("split") != "train"))

@@ -40,7 +40,7 @@ def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[st
     """Each split as JSON lines under its logical name: ``{root}/{dataset}/{dataset}_{name}.json``.
 
     ``split_map`` maps logical name → source split name (e.g. ``test`` → ``validation``).
-    One write per split (at most three); rows keep their order.
+    One write per split (at most three); rows keep their order, and NULLs are written out.
     """
     if not split_map:
         raise ValueError("split_map (logical name -> source split) is required")
@@ -48,7 +48,7 @@ def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[st
     for logical, source in split_map.items():
         path = f"{root.rstrip('/')}/{dataset}/{dataset}_{logical}.json"
         part = df.where(F.col(split_col) == source)
-        ordered(part, order, num_partitions).drop(split_col, *drop).write.mode("overwrite").json(path)
+        ordered(part, order, num_partitions).drop(split_col, *drop).write.mode("overwrite").option("ignoreNullFields", False).json(path)
         out.append(path)
     return out
 

@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from curatio.operators.positions import file_positions, group_offsets, materialize
+from curatio.sources.json_arrays import ArrayFiles, as_rows, as_strings, parsed_object, refuse, scan_arrays
 
 SPLIT_FILE_RE = r"_(train|valid|test)\.json(/|$)"
 COT_SHARD_RE = r"(?:^|/)(train|valid|test)_CoT_([0-9]+)\.json(?:/[^/]*)?$"
@@ -21,47 +22,72 @@ SINGLE_RE = r"/(train|valid|test)\.json(?:/[^/]*)?$"
 _MAX_BROADCAST_FILES = 100_000     # a path and a number a file: about 20 MB at the bound
 
 
-def read_json_splits(spark: SparkSession, root: str, dataset: str, schema: StructType | str,
-                     splits: Sequence[str] = ("train", "test")) -> DataFrame:
+def read_json_splits(spark: SparkSession, root: str, dataset: str, schema: str, splits: Sequence[str] = ("train", "test"),
+                     required: Sequence[str] | None = None, quarantine: str | None = None) -> DataFrame:
     """``{root}/{dataset}/{dataset}_{split}.json`` (JSON lines) → one table with ``split`` and ``row_pos``.
 
-    The schema is declared (no inference pass); positions restart at 0 in each split.
+    The schema (DDL) is declared, without an inference pass; positions restart at 0 in each
+    split; blank lines are no rows.  A line that is no JSON object, doesn't fit the schema or lacks
+    one of the ``required`` columns (all of the schema, unless given) stops the job.  With
+    ``quarantine`` it keeps its position with NULL columns, and (path, place, reason, line) is
+    written to that folder.
     """
     paths = [f"{root.rstrip('/')}/{dataset}/{dataset}_{s}.json" for s in splits]
-    df = spark.read.schema(schema).json(paths)
-    df = df.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), SPLIT_FILE_RE, 1))
-    return file_positions(df, "row_pos", group_cols=["split"])
-
-
-def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str,
-                    path_order_re: str | None = None) -> DataFrame:
+    names = T._parse_datatype_string(schema).names
+    row, reason = parsed_object("value", schema, names if required is None else required)
+    lines = spark.read.text(paths).where(~F.col("value").rlike(r"\A\s*\z")).withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), SPLIT_FILE_RE, 1))
+    lines = file_positions(lines.withColumn("_path", F.col("_metadata.file_path")), "row_pos", group_cols=["split"])
+    df = lines.select("split", "row_pos", "value", "_path", row.alias("_r"), reason.alias("_why"))
+    if quarantine is not None:
+        (df.where("_why IS NOT NULL").selectExpr("_path AS path", "row_pos AS place", "_why AS reason", "value AS line")
+         .write.mode("overwrite").parquet(quarantine))
+    else:
+        said = F.concat(F.lit("damaged line "), F.col("row_pos").cast("string"), F.lit(" of "), F.col("_path"), F.lit(": "), F.col("_why"))
+        df = df.where(F.when(F.col("_why").isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    return df.select(*[F.col("_r")[c].alias(c) for c in names], "split", "row_pos")
+
+
+def _accepted(files: ArrayFiles, quarantine: str | None, what: str) -> DataFrame:
+    """The elements; problems stop the job or are written to the folder ``quarantine``."""
+    if quarantine is None:
+        refuse(files.problems, what)
+    else:
+        files.problems.write.mode("overwrite").parquet(quarantine)
+    return files.elements
+
+
+def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: str, path_order_re: str | None = None,
+                    required: Sequence[str] | None = None, quarantine: str | None = None) -> DataFrame:
     """Files each holding one JSON array of objects → rows in file then array order.
 
     ``path_order_re`` captures a number in the file path that orders files (e.g. a chunk
-    number); otherwise files are ordered by path.  A multi-line JSON file is read by one
-    task, so producers should keep files bounded.
+    number); otherwise files are ordered by path.  A file of any size is read by as many
+    tasks as it has byte ranges (see ``json_arrays``).  Damaged files and elements, and elements
+    without a ``required`` column (all of the schema, unless given), stop the job.  With
+    ``quarantine`` (path, place, reason) is written to that folder; such an element keeps its position
+    with NULL columns, a damaged file gives no rows.
     """
-    df = spark.read.option("multiLine", True).schema(schema).json(paths)
-    if path_order_re:
-        df = df.withColumn("_ord", F.regexp_extract(F.col("_metadata.file_path"), path_order_re, 1).cast("bigint"))
-        return file_positions(df, "row_pos", order_prefix=["_ord"]).drop("_ord")
-    return file_positions(df, "row_pos")
+    names = T._parse_datatype_string(schema).names
+    rows = _accepted(as_rows(scan_arrays(spark, paths), schema, names if required is None else required), quarantine, "damaged array files")
+    order = F.regexp_extract("path", path_order_re, 1).cast("bigint") if path_order_re else F.lit(0).cast("bigint")
+    rows = rows.select(F.lit("").alias("split"), order.alias("shard"), "path", F.col("idx").alias("shard_idx"), *names)
+    return shard_positions(rows).select(*names, "row_pos")
 
 
 def read_output_arrays(spark: SparkSession, paths: str | Sequence[str], path_re: str = COT_SHARD_RE,
-                       has_shard: bool = True) -> DataFrame:
+                       has_shard: bool = True, quarantine: str | None = None) -> DataFrame:
     """Files each holding a JSON array of strings → (split, shard, row_pos, output).
 
     ``path_re`` captures the split name and (when ``has_shard``) the shard number from the
     file path.  Positions run over shards in numeric order (then path), then array order,
-    restarting per split.  ``read.json`` cannot read an array of strings, so the file is
-    read whole as text and parsed with ``from_json``, once: the strings are checkpointed.
+    restarting per split.  A file of any size is read by as many tasks as it has byte ranges
+    (see ``json_arrays``).  A damaged file or an element that is no string stops the job, as later
+    rows would move up; with ``quarantine`` (path, place, reason) is written to that folder,
+    such an element keeps its position with a NULL output, and a damaged file gives no rows.
     """
-    files = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.from_json("value", "array<string>").alias("arr"))
+    files = _accepted(as_strings(scan_arrays(spark, paths)), quarantine, "damaged output files")
     shard = F.regexp_extract("path", path_re, 2).cast("bigint") if has_shard else F.lit(0).cast("bigint")
-    rows = materialize(files.select(F.regexp_extract("path", path_re, 1).alias("split"), shard.alias("shard"), "path",
-                                    F.posexplode("arr").alias("shard_idx", "output")), "outputs")
+    rows = files.select(F.regexp_extract("path", path_re, 1).alias("split"), shard.alias("shard"), "path", F.col("idx").alias("shard_idx"), "output")
     return shard_positions(rows).select("split", "shard", "row_pos", "output")
 
 
