@@ -12,6 +12,7 @@ from curatio.session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 SLICE_CHARS = 500_000
+HOT_ROWS = 20_000       # rows of one key that a join may bring into one task
 
 
 def tokenizer_file(name: str = DEFAULT_TOKENIZER) -> str:
@@ -74,55 +75,54 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text",
 
 
 def join_hot_safe(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str,
-                  total: int, parts: int = 2000, how: str = "inner") -> DataFrame:
+                  total: int, parts: int = 2000, how: str = "inner", floor: int = HOT_ROWS) -> DataFrame:
     """``rows`` joined with ``facts`` (one fact row per key) when one key may hold a third of ``rows``.
 
-    ``weight`` (in ``facts``) is how many rows have the key.  Keys with more than
-    ``total / parts`` rows number fewer than ``parts``, so that side is broadcast with a
-    proven bound; the rest has no hot key and is joined by an ordinary shuffle.
+    ``weight`` (in ``facts``, a written table or cheap to compute) is how many rows have the key.
+    A key is hot with more than ``total / parts`` rows, and more than ``floor``, which one task
+    takes in its stride.  Hot keys number fewer than ``parts``, so that side is broadcast with a
+    proven bound; the rest has no hot key and is joined by an ordinary shuffle.  Where no
+    key is hot, which the facts are asked first, the ordinary join is the whole plan: every
+    join planned costs the driver memory that it doesn't give back.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    bar = max(1, total // parts)
     keys = list(keys)
+    bar = max(floor, 1 << max(0, (total // parts).bit_length()))    # a power of two, so that passes share compiled code
+    names = [c for c in facts.columns if c not in keys]
+    if (facts.agg(F.max(weight)).first()[0] or 0) <= bar:
+        return rows.join(facts, keys, how).select(*rows.columns, *names)
     hot = facts.where(F.col(weight) > bar).withColumn("_hot", F.lit(True))
     cool = facts.where(F.col(weight) <= bar)
-    names = [c for c in facts.columns if c not in keys]
     marked = rows.join(F.broadcast(hot.select(*keys, "_hot", *[F.col(c).alias(f"_h_{c}") for c in names])), keys, "left")
     first = marked.where(F.col("_hot")).select(*rows.columns, *[F.col(f"_h_{c}").alias(c) for c in names])
     rest = marked.where(F.col("_hot").isNull()).select(*rows.columns)
     return first.unionByName(rest.join(cool, keys, how).select(*rows.columns, *names))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", floor: int = HOT_ROWS) -> DataFrame:
     """Connected components of an undirected link table: (node, root), root = smallest node.
 
     Alternating large-star and small-star passes (each a groupBy of the links by node).  A
     node's neighbours are never gathered: only their minimum is, by a partial aggregate, and
-    a hub's links get it by a broadcast of hubs of bounded number.  Every pass ends with a
-    checkpoint; the loop ends when a pass changes no link.
+    a hub's links get it by a broadcast of hubs of bounded number.  Every step writes its
+    table, so that all passes plan the same few small queries; the loop ends when a pass
+    changes no link.
     """
-    spark = links.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-         .checkpoint(eager=True))
-    digest, n = None, e.count()
+    e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "star-links")
+    digest = None
     while True:
         # large-star: every larger neighbour of x is linked to the smallest node around x
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        large = (join_hot_safe(both, low, ["u"], "c", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        both = e.selectExpr("inline(array(struct(u, v), struct(v AS u, u AS v)))")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).selectExpr("u", "least(u, m) AS m", "c"), "star-low")
+        n = low.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        large = written(join_hot_safe(both, low, ["u"], "c", int(n), floor=floor).where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct(), "star-large")
         # small-star: every smaller neighbour of x, and x, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
-        small = join_hot_safe(large, low, ["u"], "c", 2 * n)
-        e2 = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-              .unionByName(low.select("u", F.col("m").alias("v")))
-              .where("u <> v").distinct().checkpoint(eager=True))
-        seen = e2.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = e2
-        if tuple(seen) == digest:
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "star-low")
+        small = join_hot_safe(large, low, ["u"], "c", int(n), floor=floor)
+        e = written(small.selectExpr("inline(array(struct(v AS u, m AS v), struct(u, m AS v)))").where("u <> v").distinct(), "star-links")
+        seen = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == digest:
             break
-        digest, n = tuple(seen), seen[0]
-    roots = e.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root")
+        digest = seen
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
