@@ -13,14 +13,16 @@ from curatio.operators import pages, prompts
 from curatio.operators.positions import group_positions, materialize
 from curatio.plans import catalog_pages as cp
 from curatio.plans import fixtures as fx
+from curatio.plans import jobs
 from curatio.plans import sql_text as S
-from curatio.plans.catalog import _cqa_input_sql, register
+from curatio.plans.catalog import ORACLE, _cqa_input_sql, register
 from curatio.plans.fixture_sql import with_ctes
 from curatio.session import scratch_path
 from curatio.sinks import files as sinks
+from curatio.sinks.ledger import read_appended, stage_lines
 from curatio.sources import files as sources
 from curatio.spec import JobConfig, run_path_columns, spec_for
-from curatio.streaming.outputs import parsed_output_stream, run_available
+from curatio.streaming.outputs import parsed_output_stream, positioned_outputs, run_available, shard_offset_stream
 
 NL = "chr(10)"
 CQA_SCHEMA = ("id string, question string, choices array<string>, answer string, "
@@ -171,3 +173,62 @@ def q_stream_parse_outputs(spark, sf_dir):
         stream = parsed_output_stream(spark, f"{src}/*/split=*/shard=*/*.txt", "cqa", "gpt")
         run_available(stream, sink, ckpt)
     return sources.shard_positions(spark.read.parquet(sink)).select("split", "row_pos", "rationale", "label")
+
+
+@register("stream_positions", with_ctes("cqa_llm") +
+          f"SELECT split, cast(row_number() OVER (PARTITION BY split ORDER BY row_pos) - 1 AS bigint) AS row_pos, "
+          f"{_GPT[0]} AS rationale, {_GPT[1]} AS label FROM cqa_llm")
+def q_stream_positions(spark, sf_dir):
+    """Shards that come out of order over three runs get the batch reader's positions in the stream."""
+    src, rows, offsets, c1, c2 = (scratch_path(spark, f"shards-{n}") for n in ("src", "rows", "offsets", "c1", "c2"))
+    dense = materialize(_cqa_llm_dense(spark, sf_dir), "dense")
+    size = spec_for("cqa").batch_size // 4
+    for part in (2, 0, 1):
+        sinks.write_output_shards(dense.where(F.floor(F.col("row_pos") / size) % 3 == part), f"{src}/{part}", size)
+        glob = f"{src}/*/split=*/shard=*/*.txt"
+        run_available(parsed_output_stream(spark, glob, "cqa", "gpt"), rows, c1)
+        run_available(shard_offset_stream(spark, glob), offsets, c2)
+    return positioned_outputs(spark, rows, offsets).select("split", "row_pos", "rationale", "label")
+
+
+_LABEL_SQL, _REC_SQL = ORACLE["label_lines"], ORACLE["rec_gt_lines"]
+
+
+@register("append_annotations",
+          f"SELECT 'Label.txt' AS file, cast(row_number() OVER (ORDER BY row_pos) - 1 AS bigint) AS line_pos, line FROM ({_LABEL_SQL}) "
+          f"UNION ALL SELECT 'rec_gt.txt', cast(row_number() OVER (ORDER BY row_pos, poly_idx) - 1 AS bigint), line FROM ({_REC_SQL})")
+def q_append_annotations(spark, sf_dir):
+    """Annotation lines appended in four batches, one of them twice and one staged but never committed before."""
+    root = scratch_path(spark, "appended")
+    entries = materialize(cp.ocr_entries(spark, sf_dir), "entries")
+    n = entries.count()
+    for batch in (0, 1, 1, 3, 2):
+        part = entries.where(F.floor(F.col("row_pos") * 4 / F.lit(max(n, 1))) == batch)
+        if batch == 3:      # a run that was killed before its commit
+            stage_lines(pages.label_lines(part), f"{root}/Label.txt", batch)
+        jobs.append_annotations(part, root, batch)
+    return read_appended(spark, f"{root}/Label.txt").withColumn("file", F.lit("Label.txt")).unionByName(
+        read_appended(spark, f"{root}/rec_gt.txt").withColumn("file", F.lit("rec_gt.txt"))).select("file", "line_pos", "line")
+
+
+@register("quarantine_shards", with_ctes("cqa_llm", extra=[(
+    "shards", "SELECT split, output, (row_number() OVER (PARTITION BY split ORDER BY row_pos) - 1) // 50 AS shard, "
+    "(row_number() OVER (PARTITION BY split ORDER BY row_pos) - 1) % 50 AS i FROM cqa_llm")]) + """
+SELECT DISTINCT split, cast(shard AS bigint) AS shard, cast(NULL AS bigint) AS place, 'cut off: the array does not end' AS reason
+FROM shards WHERE shard % 3 = 0 UNION ALL
+SELECT split, cast(shard AS bigint), cast(i AS bigint), 'not a string' FROM shards WHERE shard % 3 = 1 AND output LIKE '%7%'""")
+def q_quarantine_shards(spark, sf_dir):
+    """Shards of which a third is cut off and a third holds numbers: what the reader puts into quarantine."""
+    root, bad = scratch_path(spark, "damaged"), scratch_path(spark, "quarantine")
+    shard, place = F.expr("row_pos div 50").alias("shard"), F.col("row_pos") % 50
+    values = (_cqa_llm_dense(spark, sf_dir).select("split", shard, place.alias("i"), "output")
+              .withColumn("value", F.when((F.col("shard") % 3 == 1) & F.col("output").contains("7"), F.lit("7"))
+                          .otherwise(F.expr("regexp_replace(to_json(array(output)), '(?s)^.(.*).$', '$1')"))))
+    texts = values.groupBy("split", "shard").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("s")).select(
+        "split", "shard", F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["value"]), ", "), F.lit("]")).alias("value"))
+    cut = F.when(F.col("shard") % 3 == 0, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+    texts.withColumn("value", cut).write.partitionBy("split", "shard").text(root)
+    sources.read_output_arrays(spark, f"{root}/split=*/shard=*/*.txt", sources.PART_SHARD_RE, quarantine=bad)
+    found = spark.read.parquet(bad)
+    return found.select(F.regexp_extract("path", sources.PART_SHARD_RE, 1).alias("split"),
+                        F.regexp_extract("path", sources.PART_SHARD_RE, 2).cast("bigint").alias("shard"), "place", "reason")

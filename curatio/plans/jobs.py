@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from curatio.operators import align, metrics, pages, parse, positions, prompts, sampling, tokens
 from curatio.sinks import files as sinks
+from curatio.sinks.ledger import append_lines
 from curatio.sources import files as sources
 from curatio.spec import DatasetSpec, JobConfig, run_path_columns, spec_for
 
@@ -265,6 +266,18 @@ def annotation_files(spark: SparkSession, files: DataFrame, pdf_paths: Sequence[
     return out
 
 
+def append_annotations(entries: DataFrame, out_root: str, batch: int, crop_folder: str = pages.CROP_FOLDER,
+                       legacy_names: bool = False, batch_size: int = 4) -> bool:
+    """Label.txt and rec_gt.txt lines of a batch of page entries, appended once (see ``sinks.ledger``).
+
+    Each of the two has its own ledger, so a run that stopped between them goes on with the second.
+    False if both had the batch already.
+    """
+    texts = pages.rec_gt_lines(entries, crop_folder, legacy_names, batch_size).select(F.col("row_pos").alias("page_pos"), "poly_idx", "line")
+    new = append_lines(pages.label_lines(entries), f"{out_root}/Label.txt", batch)
+    return append_lines(texts, f"{out_root}/rec_gt.txt", batch, order=("page_pos", "poly_idx")) or new
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     df = positions.file_positions(spark.read.text(path), "row_pos")
     return df.select("row_pos", F.col("value").alias("line"))

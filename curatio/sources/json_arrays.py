@@ -167,3 +167,14 @@ def parsed_object(text: str, schema: str, required: Sequence[str]):
               .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
               .when(row["_corrupt"].isNotNull(), F.lit("does not fit the schema")))
     return F.when(reason.isNull(), row), reason
+
+
+def whole_strings(text: str):
+    """(array of strings, why the text of column ``text`` isn't one or NULL), for small files read whole."""
+    outside = F.regexp_replace(F.regexp_replace(text, _ESCAPE, ""), _STRING, "")
+    array = F.from_json(text, "array<string>")
+    commas = F.length(outside) - F.length(F.translate(outside, ",", ""))
+    fits = outside.rlike(r"\A\s*\[[\s,]*\]\s*\z") & (commas == F.greatest(F.size(array) - 1, F.lit(0)))
+    reason = (F.when(F.col(text).rlike(r"\A\s*\z"), F.lit("empty file")).when(array.isNull(), F.lit("not a JSON array"))
+              .when(~fits, F.lit("not an array of strings")))
+    return F.when(reason.isNull(), array), reason
