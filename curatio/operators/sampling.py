@@ -1,72 +1,114 @@
 """Exact-size seeded splits and subsamples.
 
-Deterministic per seed, disjoint, covering, exact size.  Rows are ranked by
-``md5(seed ':' row_pos)`` (then row_pos) with the distributed position operator; the first
-``n_test`` ranks form the held-out part.  No global ``limit``, no single-partition sort.
+Deterministic per seed, disjoint, covering, exact size.  Rows are ordered by
+``md5(seed ':' row_pos)`` (then row_pos); the first ``n_test`` form the held-out part.  Which
+hash stands at the cut is found by counting, not by sorting: a histogram of the leading 16 bits
+of the hash names the bucket that holds the cut, the next 16 bits are counted only inside that
+bucket, and so on until the bucket is small.  The split is then one filter over the
+rows: no sort, no range partitioning, no global ``limit``.
+
+The rows are read a few times, only their positions but for the last.  A ``stored`` input (a table
+on disk, a checkpoint) is read as it is; any other runs once, into a scratch table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.operators.positions import dense_positions
+from curatio.operators.positions import dense_positions, materialize
+from curatio.session import scratch_path
 
+DIGITS = 4              # hexadecimal digits of the hash counted at a time: 65,536 buckets
+SMALL_BUCKET = 4096     # rows of the bucket of the cut that are looked at one by one
 
-def seeded_rank(df: DataFrame, seed: int, pos_col: str = "row_pos", out_col: str = "_rank",
-                first: Column | None = None) -> DataFrame:
-    """Rank by the seeded hash; rows for which ``first`` holds rank before all others."""
-    h = F.md5(F.concat(F.lit(str(int(seed))), F.lit(":"), F.col(pos_col).cast("string")))
-    late = F.lit(False) if first is None else ~F.coalesce(first, F.lit(False))
-    return dense_positions(df.withColumn("_late", late).withColumn("_h", h), ["_late", "_h", pos_col], out_col).drop("_h", "_late")
 
+def _hash(seed: int, pos_col: str) -> Column:
+    return F.md5(F.concat(F.lit(str(int(seed))), F.lit(":"), F.col(pos_col).cast("string")))
 
-def _held_out_rows(ranked: DataFrame, test_size: float | int) -> Column:
-    """How many of ``ranked`` (checkpointed, so its input isn't run again) are held out."""
-    if isinstance(test_size, float):
-        if not 0.0 < test_size < 1.0:
-            raise ValueError("a fractional test_size must lie in (0, 1)")
-        return F.ceil(F.lit(test_size).cast("double") * ranked.select(F.count(F.lit(1))).scalar())
-    return F.lit(int(test_size))
 
+def hash_cut(keys: DataFrame, seed: int, count: int, pos_col: str = "row_pos", small: int = SMALL_BUCKET) -> tuple[str, int]:
+    """(hash, position) of the ``count``-th row of ``keys`` (stored positions, unique) in hash order."""
+    hashed = keys.select(_hash(seed, pos_col).alias("h"), F.col(pos_col).cast("bigint").alias("p"))
+    prefix, need = "", count
+    while True:
+        inside = hashed.where(F.col("h").startswith(prefix))
+        counted = inside.groupBy(F.substring("h", 1, len(prefix) + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))      # at most 65,536 rows
+        bucket = counted.select("b", "n", upto.alias("upto")).where(F.col("upto") >= need).orderBy("b").first()
+        need -= bucket.upto - bucket.n
+        prefix = bucket.b
+        if bucket.n <= small or len(prefix) == 32:
+            row = hashed.where(F.col("h").startswith(prefix)).orderBy("h", "p").limit(need).orderBy(F.desc("h"), F.desc("p")).first()
+            return row.h, row.p
+
+
+def _stored(df: DataFrame, stored: bool) -> DataFrame:
+    if stored:
+        return df
+    path = scratch_path(df.sparkSession, "sampled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def exact_split(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "row_pos",
-                out_col: str = "part", test_name: str = "test", train_name: str = "train") -> DataFrame:
-    """Label each row ``test``/``train``.
+
+def held_out(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "row_pos", among: Column | None = None) -> Column:
+    """True for the held-out rows of ``df``, a stored table (or of those for which ``among`` holds); never NULL.
 
     A float ``test_size`` takes ``ceil(test_size * n)`` rows, an int that many rows.
     """
-    r = seeded_rank(df, seed, pos_col)
-    return r.withColumn(out_col, F.when(F.col("_rank") < _held_out_rows(r, test_size), F.lit(test_name))
-                        .otherwise(F.lit(train_name))).drop("_rank")
+    if isinstance(test_size, float) and not 0.0 < test_size < 1.0:
+        raise ValueError("a fractional test_size must lie in (0, 1)")
+    chosen = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    keys = materialize(df.where(chosen).select(pos_col), "sampling-keys")
+    n = keys.count()
+    count = math.ceil(test_size * n) if isinstance(test_size, float) else int(test_size)
+    if count <= 0 or n == 0:
+        return F.lit(False)
+    if count >= n:
+        return chosen
+    h, p = hash_cut(keys, seed, count, pos_col)
+    mine = _hash(seed, pos_col)
+    return F.coalesce(chosen & ((mine < h) | ((mine == h) & (F.col(pos_col) <= p))), F.lit(False))
+
+
+def seeded_rank(df: DataFrame, seed: int, pos_col: str = "row_pos", out_col: str = "_rank") -> DataFrame:
+    """Rank of every row by the seeded hash, for a whole permutation."""
+    return dense_positions(df.withColumn("_h", _hash(seed, pos_col)), ["_h", pos_col], out_col).drop("_h")
+
+
+def exact_split(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "row_pos",
+                out_col: str = "part", test_name: str = "test", train_name: str = "train", stored: bool = False) -> DataFrame:
+    """Label each row ``test``/``train``; sizes as in ``held_out``."""
+    df = _stored(df, stored)
+    out = held_out(df, seed, test_size, pos_col)
+    return df.withColumn(out_col, F.when(out, F.lit(test_name)).otherwise(F.lit(train_name)))
 
 
-def subsample(df: DataFrame, fraction: float, seed: int, pos_col: str = "row_pos") -> DataFrame:
+def subsample(df: DataFrame, fraction: float, seed: int, pos_col: str = "row_pos", stored: bool = False) -> DataFrame:
     """Keep the train part of a ``1 - fraction`` held-out split (``fraction < 1``)."""
     if fraction >= 1.0:
         return df
-    s = exact_split(df, seed, 1.0 - fraction, pos_col, "_part")
+    s = exact_split(df, seed, 1.0 - fraction, pos_col, "_part", stored=stored)
     return s.where(F.col("_part") == "train").drop("_part")
 
 
 def subsample_train(df: DataFrame, fraction: float, seed: int, split_col: str = "split",
-                    pos_col: str = "row_pos") -> DataFrame:
-    """``subsample`` of the train split inside a table of all splits, in one run of its input."""
+                    pos_col: str = "row_pos", stored: bool = False) -> DataFrame:
+    """``subsample`` of the train split inside a table of all splits."""
     if fraction >= 1.0:
         return df
-    train = F.coalesce(F.col(split_col) == "train", F.lit(False))
-    r = seeded_rank(df, seed, pos_col, first=train)
-    held_out = _held_out_rows(r.where(train), 1.0 - fraction)
-    return r.where(~train | (F.col("_rank") >= held_out)).drop("_rank")
+    df = _stored(df, stored)
+    return df.where(~held_out(df, seed, 1.0 - fraction, pos_col, F.col(split_col) == "train"))
 
 
 def carve_valid(df: DataFrame, seed: int = 0, valid_size: float = 0.1, split_col: str = "split",
-                pos_col: str = "row_pos") -> DataFrame:
+                pos_col: str = "row_pos", stored: bool = False) -> DataFrame:
     """Move a seeded ``valid_size`` share of the train split to ``valid``; other splits unchanged."""
-    train = F.coalesce(F.col(split_col) == "train", F.lit(False))
-    r = seeded_rank(df, seed, pos_col, first=train)
-    moved = train & (F.col("_rank") < _held_out_rows(r.where(train), valid_size))
-    return r.withColumn(split_col, F.when(moved, F.lit("valid")).otherwise(F.col(split_col))).drop("_rank")
+    df = _stored(df, stored)
+    moved = held_out(df, seed, valid_size, pos_col, F.col(split_col) == "train")
+    return df.withColumn(split_col, F.when(moved, F.lit("valid")).otherwise(F.col(split_col)))
 
 
 def permute_head_split(df: DataFrame, head: int = 800, seed: int = 0, pos_col: str = "row_pos",

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatio.operators import sampling
+from curatio.session import scratch_path
 
 
 @pytest.mark.parametrize("seed", [0, 1, 42])
@@ -62,3 +63,25 @@ def test_splits_run_their_input_once(spark):
     df = spark.range(50).select(F.col("id").alias("row_pos"), F.lit("train").alias("split"))
     for out in (sampling.carve_valid(df), sampling.exact_split(df, 0, 0.1), sampling.subsample_train(df, 0.5, 0)):
         assert "Range (0, 50" not in out._jdf.queryExecution().toString()
+
+
+def test_a_cut_is_found_by_counting(spark):
+    """Every cut of an unsorted input equals the sorted rank, also where several rounds are needed."""
+    want = sorted(range(300), key=lambda k: (hashlib.md5(f"5:{k}".encode()).hexdigest(), k))
+    keys = spark.range(300).select(F.col("id").alias("row_pos")).repartition(4)
+    for count in (1, 2, 150, 299, 300):
+        for small in (0, 10):
+            assert sampling.hash_cut(keys, 5, count, small=small)[1] == want[count - 1]
+
+
+def test_a_stored_input_is_split_by_one_filter(spark):
+    path = scratch_path(spark, "stored")
+    spark.range(400).select(F.col("id").alias("row_pos"), F.lit("train").alias("split"), F.repeat(F.lit("x"), 50).alias("wide")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (sampling.carve_valid(df, stored=True), sampling.exact_split(df, 0, 0.1, stored=True), sampling.subsample_train(df, 0.5, 0, stored=True)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "FileScan" in plan
+    assert sampling.carve_valid(df, stored=True).where("split = 'valid'").count() == 40
+    for size, n in ((0, 0), (400, 400), (1, 1), (500, 400)):
+        assert sampling.exact_split(df, 1, size, stored=True).where("part = 'test'").count() == n
+    assert sampling.exact_split(df.limit(0), 1, 0.5).count() == 0
