@@ -27,14 +27,17 @@ Jobs:
 4. A signature of several sets is a bucket; buckets of equal members count once.  Each member is
    compared with the bucket's smallest id; intersections are counted from the arrays.
 5. Connected components of the links.  Where a bucket's members lie in different components,
-   those outside its largest one are compared with all others, in blocks of bounded size.
-   A bucket of m mutually unlike sets costs m * m / 2 overlap counts, over many tasks.
+   those outside its largest one are compared with all others, in blocks of bounded size, by
+   parity bits (half a byte an element) that give a lower bound of the difference; the pairs
+   that they leave are verified as in 4.  A bucket of m mutually unlike sets costs m * m / 2
+   comparisons of bits, over many tasks.
 6. Components again, if that found links.
 
 Edge cases: NULL, empty and blank texts have no shingles and are their own component; texts of 1 to
 4 words have one shingle, the whole sequence; rows of NULL id take no part and get a NULL
-component; repeated rows share a component; very long texts give large sets, each compared whole; an
-empty table gives no rows; columns other than id and text are not read.
+component; repeated rows share a component, and rows of equal id with different texts count as
+one document's; very long texts give large sets, each compared whole; an empty table gives no
+rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -118,6 +121,26 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of elements falls into each of 2**i >= 4 * size cells, as bits.
+
+    Every element that two sets don't share changes one bit of one of them, so the sets differ in
+    at least as many elements as their bits differ.
+    """
+    cells = max(64, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((_mix(s * _STEP[4]) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parities: list[bytes]) -> np.ndarray:
+    """The bits of all sets at the smallest number of cells among them, one row of 64-bit words each."""
+    least = min(map(len, parities))
+    out = np.empty((len(parities), least), np.uint8)
+    for i, p in enumerate(parities):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, least), axis=0)
+    return out.view(np.uint64)
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     table = _word_table()
     for part, texts in text_slices(batches):
@@ -141,83 +164,104 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def signed_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, elements, signatures) of each row of (doc_id, text)."""
+    """(rep, n, elements, parity, signatures) of each row of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets_of(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array([np.unique(signatures(s, percent)) for s in sets], pa.list_(pa.int64()))], ["rep", "n", "elements", "signatures"])
-    return docs.mapInArrow(run, "rep long, n long, elements array<long>, signatures array<long>")
+                 pa.array([parity(s) for s in sets], pa.binary()),
+                 pa.array([np.unique(signatures(s, percent)) for s in sets], pa.list_(pa.int64()))], ["rep", "n", "elements", "parity", "signatures"])
+    return docs.mapInArrow(run, "rep long, n long, elements array<long>, parity binary, signatures array<long>")
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (rep, pivot, part) of rows (rep, pivot, part, n, parity, n2, p2) that the bits don't rule out."""
+    for batch in batches:
+        n, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
+        apart = [int(np.bitwise_count(x[0] ^ x[1]).sum(dtype=np.int64))
+                 for x in map(_folded, zip(batch.column(4).to_pylist(), batch.column(6).to_pylist(), strict=True))]
+        keep = (100 + percent) * np.array(apart, np.int64) <= (100 - percent) * (n + n2)
+        yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (rep, pivot) that are similar, as (a, b)."""
+    """The pairs (rep, pivot) that are similar, as (a, b).
+
+    The parity bits rule out most others; the rest is counted from the elements.  A pivot's
+    pairs are dealt into parts of about ``GROUP``, each with a copy of the pivot's set.
+    """
     sizes = written(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")), "pivots")
     total = sizes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     dealt = join_hot_safe(pairs, sizes, ["pivot"], "c", int(total)).selectExpr("rep", "pivot", f"pmod(xxhash64(rep), ceil(c / {GROUP})) AS part")
-    own = dealt.join(sets.select("rep", "n", "elements"), "rep")
-    theirs = (sizes.selectExpr("pivot", f"explode(sequence(0L, ceil(c / {GROUP}) - 1)) AS part")
-              .join(sets.selectExpr("rep AS pivot", "n AS n2", "elements AS e2"), "pivot"))
-    return (own.join(theirs, ["pivot", "part"]).where(F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)"))
-            .where(F.expr(f"{100 + percent} * size(array_intersect(elements, e2)) >= {percent} * (n + n2)")).selectExpr("rep AS a", "pivot AS b"))
+    parts = sizes.selectExpr("pivot", f"explode(sequence(0L, ceil(c / {GROUP}) - 1)) AS part")
+    both = dealt.join(sets.select("rep", "n", "parity"), "rep").join(
+        parts.join(sets.selectExpr("rep AS pivot", "n AS n2", "parity AS p2"), "pivot"), ["pivot", "part"])
+    both = both.where(f"100 * least(n, n2) >= {percent} * greatest(n, n2)").select("rep", "pivot", "part", "n", "parity", "n2", "p2")
+    near = written(both.mapInArrow(lambda it: _near(it, percent), "rep long, pivot long, part long"), "near-pairs")
+    exact = near.join(sets.select("rep", "n", "elements"), "rep").join(
+        parts.join(near.select("pivot", "part").distinct(), ["pivot", "part"], "left_semi").join(
+            sets.selectExpr("rep AS pivot", "n AS n2", "elements AS e2"), "pivot"), ["pivot", "part"])
+    return exact.where(f"{100 + percent} * size(array_intersect(elements, e2)) >= {percent} * (n + n2)").selectExpr("rep AS a", "pivot AS b")
 
 
-def links_between(ids: list[int], sets: list[np.ndarray], roots: list[int], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links among sets of different components; with ``side``, only of different sides.
+def candidates(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray, side: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of different components, and different sides, that the bits don't rule out.
 
     The members of the most frequent component aren't compared with each other.
     """
-    sizes = np.array([len(s) for s in sets])
-    codes, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    owners = np.repeat(np.arange(len(ids)), sizes)[order]
-    start = np.searchsorted(inverse[order], np.arange(len(codes) + 1))
-    ends = np.cumsum(sizes)
     kinds, group, often = np.unique(roots, return_inverse=True, return_counts=True)
     main = int(often.argmax())
-    up = list(range(len(kinds)))
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-    out = []
     for i in np.flatnonzero(group != main).tolist():
-        mine = inverse[ends[i] - sizes[i]:ends[i]]
-        lengths = start[mine + 1] - start[mine]
-        at = np.repeat(start[mine] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        common = np.bincount(owners[at], minlength=len(ids))
-        near = (100 + percent) * common >= percent * (sizes + sizes[i])
+        other = (group != group[i]) & ((group == main) | (np.arange(len(sizes)) > i))
         if side is not None:
-            near &= side != side[i]
-        for j in np.flatnonzero(near).tolist():
-            a, b = find(int(group[i])), find(int(group[j]))
-            if a != b:
-                up[a] = b
-                out.append((ids[i], ids[j]))
-    return out
-
-
-def mixed_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) inside buckets whose members lie in different components."""
+            other &= side != side[i]
+        j = np.flatnonzero(other)
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        j = j[(100 + percent) * apart <= (100 - percent) * (sizes[j] + sizes[i])]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
+def _group_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``candidates`` of each (bucket, lo, hi) of a frame sorted by these."""
+    key, ids, roots, sizes, mine = (pdf[c].to_numpy() for c in (["bucket", "lo", "hi"], "rep", "root", "n", "mine"))
+    parities = pdf["parity"].tolist()
+    cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 1 and (roots[a:b] != roots[a]).any():
+            side = None if key[a, 1] == key[a, 2] else mine[a:b]
+            for i, j in candidates(sizes[a:b], _folded(parities[a:b]), roots[a:b], side, percent):
+                found.append(np.stack([ids[a + i], ids[a + j]]))
+    x = np.concatenate(found, axis=1)
+    return pd.DataFrame({"rep": x.max(axis=0), "pivot": x.min(axis=0)}).drop_duplicates()
+
+
+def mixed_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (rep, pivot) of buckets whose members lie in different components that may be similar."""
     at = members.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("bucket", "rep", "coalesce(root, rep) AS root")
-    at = at.join(sets.select("rep", "n"), "rep")
-    mixed = written(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-                    .where("r1 <> r2").selectExpr("bucket", "c", f"int(ceil(greatest(c / {block}, w / {BLOCK_ELEMENTS}))) AS blocks"), "mixed-buckets")
+    mixed = written(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+                    .where("r1 <> r2 AND c > 2").selectExpr("bucket", "c"), "mixed-buckets")
     total = mixed.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    dealt = (join_hot_safe(at, mixed, ["bucket"], "c", int(total)).selectExpr("*", "int(pmod(xxhash64(rep), blocks)) AS mine")
+    held = written(join_hot_safe(at, mixed, ["bucket"], "c", int(total)).drop("c").join(sets.select("rep", "n"), "rep"), "mixed-members")
+    weights = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    blocks = written(weights.selectExpr("bucket", "c", f"int(ceil(greatest(c / {block}, w / {BLOCK_ELEMENTS}))) AS blocks"), "mixed-blocks")
+    dealt = (join_hot_safe(held, blocks, ["bucket"], "c", int(total)).selectExpr("*", "int(pmod(xxhash64(rep), blocks)) AS mine")
              .selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
-             .selectExpr("bucket", "least(mine, other) AS lo", "greatest(mine, other) AS hi", "mine", "rep", "root").join(sets.select("rep", "elements"), "rep"))
-
-    def examine(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["root"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []})
-        pdf = pdf.sort_values("rep")
-        side = None if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else pdf["mine"].to_numpy()
-        got = links_between(pdf["rep"].tolist(), [np.asarray(e) for e in pdf["elements"]], pdf["root"].tolist(), side, percent)
-        return pd.DataFrame(got, columns=["a", "b"])
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(examine, "a long, b long")
+             .selectExpr("bucket", "least(mine, other) AS lo", "greatest(mine, other) AS hi", "mine", "rep", "root", "n").join(sets.select("rep", "parity"), "rep"))
+
+    def examine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in frames:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            key = pdf[["bucket", "lo", "hi"]].to_numpy()
+            last = int((~(key == key[-1]).all(axis=1)).nonzero()[0].max(initial=-1)) + 1 if len(key) else 0
+            rest = pdf.iloc[last:]          # the last group may go on in the next batch
+            yield _group_pairs(pdf.iloc[:last], percent)
+        if rest is not None:
+            yield _group_pairs(rest, percent)
+    groups = dealt.select("bucket", "lo", "hi", "mine", "rep", "root", "n", "parity").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return groups.mapInPandas(examine, "rep long, pivot long").distinct()
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -241,7 +285,9 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again = again.dropDuplicates(["doc_id"])
     sets = written(signed_sets(again, percent), "signed-sets")
 
-    placed = sets.selectExpr("rep", "explode(signatures) AS bucket").distinct()
+    placed = sets.selectExpr("rep", "explode(signatures) AS bucket")
+    if not exact.groupBy("rep").count().where("count > 1").isEmpty():       # an id with several texts
+        placed = placed.distinct()
     shared = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("s1"),
                                            F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"))
               .where("c > 1").groupBy("c", "pivot", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "c", "pivot"))
@@ -251,7 +297,8 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = written(members.where("rep <> pivot").select("rep", "pivot").distinct(), "pairs")
     links = written(verified(pairs, sets, percent), "links")
     roots = written(components(links), "roots")
-    more = written(mixed_links(members, roots, sets, percent, block), "more-links")
+    tried = written(mixed_pairs(members, roots, sets, percent, block).join(pairs, ["rep", "pivot"], "left_anti"), "mixed-pairs")
+    more = written(verified(tried, sets, percent), "more-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
@@ -260,3 +307,19 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone = F.expr("n_shingles = 0 OR doc_id IS NULL")
     found = join_hot_safe(rows.where(~alone), facts, ["k1", "k2"], "c", int(table.count())).select("doc_id", "n_shingles", "component_id")
     return found.unionByName(rows.where(alone).selectExpr("doc_id", "n_shingles", "doc_id AS component_id"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``op11_shingle_join`` (unique ids): all pairs with a common shingle, then the closure of their links."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {K} THEN list_transform(range(1, len(w) - {K - 2}), lambda i: array_to_string(w[i:i + {K - 1}], ' '))
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+          FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * i >= {PERCENT} * (na + nb - i)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id"""
