@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from curatio.functions.text import basename
 from curatio.operators.align import _fail_when
-from curatio.operators.positions import dense_positions, running_offsets
+from curatio.operators.positions import dense_positions, materialize, running_offsets
 
 # --- fixed values -----------------------------------------------------------------------
 PAGE_EXTS = ("png", "jpg", "jpeg")                    # page images, any case
@@ -28,6 +28,8 @@ STATE_DONE = "1"
 CROP_FOLDER = "crop_img"
 # -----------------------------------------------------------------------------------------
 
+CROP_BLOCK = 1024       # crop positions of one block in which recognitions meet their pages
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -148,30 +150,40 @@ def page_crops(pages: DataFrame, detections: DataFrame, key: str = "path") -> Da
 
 
 def page_entries(pages: DataFrame, detections: DataFrame, recognitions: DataFrame,
-                 key: str = "path", dedupe_paths: bool = True) -> DataFrame:
+                 key: str = "path", dedupe_paths: bool = True, block: int = CROP_BLOCK) -> DataFrame:
     """One record per page: ``[{transcription, points, difficult:false}, …]`` in polygon order.
 
     ``pages`` (row_pos, path); ``detections`` (path, poly_idx, points), the polygons of each
-    image, whatever its page number; ``recognitions`` (crop_pos, text) in flattened crop
+    image numbered from 0, whatever its page number; ``recognitions`` (crop_pos, text) in flattened crop
     order over pages by row_pos.  A polygon with no recognised string is dropped (zip to the
     shorter list); a page with no polygons keeps ``[]``.  A path listed twice keeps the
     later page's entries at the earlier position.
+
+    The polygons of an image are gathered once (a detector bounds them) and stay gathered: a
+    page is the interval of crop positions from its offset on.  Recognitions meet the pages by
+    blocks of ``block`` crop positions, a page with each block that its interval touches.
     """
-    crops = page_crops(pages, detections, key)
+    polygons = detections.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("poly_idx", "points"))).alias("_polys"))
+    held = pages.select("row_pos", key).join(polygons, key).select("row_pos", "_polys", F.size("_polys").cast("bigint").alias("_n"))
+    held = running_offsets(held, ["row_pos"], "_n", "_off")
+    held = held.select("row_pos", "_off", "_n", "_polys", F.explode(F.expr(f"sequence(_off div {block}, (_off + _n - 1) div {block})")).alias("_block"))
+    strings = (recognitions.where("text IS NOT NULL").groupBy(F.expr(f"crop_pos div {block}").alias("_block"))
+               .agg(F.sort_array(F.collect_list(F.struct("crop_pos", "text"))).alias("_texts")))
+    mine = F.filter("_texts", lambda r: (r["crop_pos"] >= F.col("_off")) & (r["crop_pos"] < F.col("_off") + F.col("_n")))
+
+    def entry(r: Column) -> Column:
+        return F.struct(r["text"].alias("transcription"), F.get("_polys", (r["crop_pos"] - F.col("_off")).cast("int"))["points"].alias("points"),
+                        F.lit(False).alias("difficult"))
+    parts = held.join(strings, "_block").select(F.col("row_pos").alias("_last"), "_block", F.transform(mine, entry).alias("_e"))
+    grouped = parts.groupBy("_last").agg(F.sort_array(F.collect_list(F.struct("_block", "_e"))).alias("_p")).select(
+        "_last", F.flatten(F.transform("_p", lambda x: x["_e"])).alias("_e"))
     if dedupe_paths:
         # narrow rows: which page of a path gives the entries, and where they go
         place = pages.groupBy("path").agg(F.min("row_pos").alias("row_pos"), F.max("row_pos").alias("_last"))
     else:
         place = pages.select("path", "row_pos", F.col("row_pos").alias("_last"))
-    crops = crops.join(recognitions.select("crop_pos", F.col("text").alias("transcription")), "crop_pos")
-    grouped = (crops.where(F.col("transcription").isNotNull())
-               .groupBy(F.col("row_pos").alias("_last"))
-               .agg(F.sort_array(F.collect_list(F.struct("poly_idx", "transcription", "points"))).alias("_e")))
-    out = (place.join(grouped, "_last", "left")
-           .select("path", "row_pos", F.transform(
-               F.coalesce("_e", F.array().cast(grouped.schema["_e"].dataType)),
-               lambda e: F.struct(e["transcription"].alias("transcription"), e["points"].alias("points"),
-                                  F.lit(False).alias("difficult"))).alias("entries")))
+    out = place.join(grouped, "_last", "left").select(
+        "path", "row_pos", F.coalesce("_e", F.array().cast(grouped.schema["_e"].dataType)).alias("entries"))
     return out.withColumn("n_entries", F.size("entries").cast("bigint"))
 
 
@@ -260,17 +272,16 @@ def split_tab(line) -> tuple[Column, Column]:
 
 def alignment_summary(images: DataFrame, label: DataFrame, state: DataFrame, k: int,
                       fail: bool = True) -> DataFrame:
-    """One row of input checks: non-empty, equal lengths, a tab on every line."""
-    def n(df):
-        return df.select(F.count(F.lit(1)).cast("bigint")).scalar()
-
-    def bad(df):
-        return df.select(F.coalesce(F.sum(F.when(F.instr("line", "\t") == 0, 1).otherwise(0)), F.lit(0))
-                         .cast("bigint")).scalar()
-    # one aggregate row; the other counts are scalar subqueries
-    s = images.agg(F.count(F.lit(1)).cast("bigint").alias("n_images"))
-    s = s.select("n_images", n(label).alias("n_label"), bad(label).alias("bad_label"),
-                 n(state).alias("n_state"), bad(state).alias("bad_state"), F.lit(k).cast("bigint").alias("k"))
+    """One row of input checks: non-empty, equal lengths, a tab on every line; each input is read once."""
+    def side(df: DataFrame, name: str, bare: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("side"), bare.alias("bare"))
+    no_tab = F.instr("line", "\t") == 0
+    rows = side(images, "images", F.lit(False)).unionByName(side(label, "label", no_tab)).unionByName(side(state, "state", no_tab))
+
+    def n(name: str, only_bare: bool = False) -> Column:
+        return F.count(F.when((F.col("side") == name) & (F.col("bare") if only_bare else F.lit(True)), 1)).cast("bigint")
+    s = rows.agg(n("images").alias("n_images"), n("label").alias("n_label"), n("label", True).alias("bad_label"),
+                 n("state").alias("n_state"), n("state", True).alias("bad_state")).withColumn("k", F.lit(k).cast("bigint"))
     ok = ((F.col("k") > 0) & (F.col("n_images") > 0) & (F.col("n_label") == F.col("n_images"))
           & (F.col("n_state") == F.col("n_images")) & (F.col("bad_label") == 0) & (F.col("bad_state") == 0))
     s = s.withColumn("ok", ok)
@@ -281,15 +292,15 @@ def deal_out(label: DataFrame, state: DataFrame, folders: Sequence[str]) -> Data
     """Zip label and state lines by position, give each a folder ``pos*k//n`` and rewrite paths.
 
     The new path is ``folder/basename(old path of the label line)``; the state line reuses
-    it.  A line without a tab stops the job.
+    it.  A line without a tab stops the job.  The zipped lines are checkpointed and counted
+    there, so each input runs once.
     """
     from curatio.operators.align import zip_by_position
     from curatio.operators.positions import equal_blocks
 
-    z = zip_by_position([label.select("row_pos", F.col("line").alias("label_line")),
-                         state.select("row_pos", F.col("line").alias("state_line"))])
-    # the zip stops on unequal lengths, so the label lines' count is that of the zipped rows
-    z = equal_blocks(z, len(folders), "row_pos", "block", total=label.select(F.count(F.lit(1))).scalar())
+    z = materialize(zip_by_position([label.select("row_pos", F.col("line").alias("label_line")),
+                                     state.select("row_pos", F.col("line").alias("state_line"))]), "zipped")
+    z = equal_blocks(z, len(folders), "row_pos", "block")
     names = F.array(*[F.lit(f) for f in folders])
     old, rest = split_tab("label_line")
     _, rest2 = split_tab("state_line")

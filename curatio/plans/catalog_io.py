@@ -121,8 +121,7 @@ UNION ALL SELECT folder, 'fileState.txt', cast(row_number() OVER (PARTITION BY f
   state_line FROM dealt""")
 def q_split_folder_lines(spark, sf_dir):
     _, lab, st = cp.split_inputs(spark, sf_dir)
-    # two files are written from it: checkpoint once instead of recomputing the inputs twice
-    dealt = materialize(pages.deal_out(lab, st, cp.FOLDERS), "dealt")
+    dealt = pages.deal_out(lab, st, cp.FOLDERS)
     root = scratch_path(spark, "folders")
     sinks.write_lines(dealt.withColumnRenamed("label_line", "line"), f"{root}/Label.txt", partition_by=["folder"])
     sinks.write_lines(dealt.withColumnRenamed("state_line", "line"), f"{root}/fileState.txt",

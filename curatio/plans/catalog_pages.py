@@ -204,7 +204,8 @@ def recognitions_for(pgs: DataFrame, dets: DataFrame) -> DataFrame:
 
 def ocr_entries(spark, sf_dir) -> DataFrame:
     pgs = ocr_pages(spark, sf_dir)
-    dets = detections_with_points(spark, sf_dir)
+    # a detector's output and, made from it here, a recogniser's: built once
+    dets = positions.materialize(detections_with_points(spark, sf_dir), "detections")
     return pages.page_entries(pgs, dets.drop("text"), recognitions_for(pgs, dets))
 
 

@@ -291,8 +291,8 @@ def dealt_folders(spark: SparkSession, files: DataFrame, label_path: str, state_
     label, state = _lines(spark, label_path), _lines(spark, state_path)
     summary = pages.alignment_summary(images, label, state, len(folder_names))
     summary.collect()   # one row; stops here when the inputs do not line up
-    # written three ways (two line files and the manifest): checkpoint once
-    dealt = positions.materialize(pages.deal_out(label, state, folder_names), "dealt")
+    # written three ways (two line files and the manifest) from its checkpoint
+    dealt = pages.deal_out(label, state, folder_names)
     manifest = pages.copy_manifest(dealt, images)
     if out_root:
         sinks.write_lines(dealt.withColumnRenamed("label_line", "line"), f"{out_root}/Label.txt",

@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from curatio.operators import align
 
 
@@ -46,3 +48,17 @@ def test_bucketed_tables_attach_without_shuffle(spark):
     plan = j._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert j.count() == 1000
+
+
+def test_zip_takes_each_side_once_in_one_exchange(spark):
+    a = spark.range(50).select(F.col("id").alias("row_pos"), F.col("id").cast("string").alias("x"))
+    b = spark.range(50).select(F.col("id").alias("row_pos"), F.when(F.col("id") % 2 == 0, F.array("id")).alias("y"))
+    c = spark.range(50).select(F.col("id").alias("row_pos"), F.lit(None).cast("string").alias("z"), (F.col("id") * 2).alias("w"))
+    got = align.zip_by_position([a, b, c])
+    assert sorted(map(tuple, got.collect())) == [(i, str(i), [i] if i % 2 == 0 else None, None, 2 * i) for i in range(50)]
+    plan = align.zip_by_position([a, b, c])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for other in (b.where("row_pos < 49"), b.unionByName(b.where("row_pos = 3"))):
+        with pytest.raises(Exception, match="differ in length"):
+            align.zip_by_position([a, other]).collect()
+    assert align.zip_by_position([a, b.where("row_pos < 10")], check=False).count() == 10

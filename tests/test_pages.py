@@ -136,3 +136,16 @@ def test_too_few_strings_same_numbers_and_no_number(spark):
     assert [(r.crop_pos, r.crop) for r in crops][2:4] == [
         (2, "crop_img/unknownprefix_page_2_crop_0.jpg"), (3, "crop_img/unknownprefix_page_2_crop_1.jpg")]
     assert [r.max_x for r in crops] == [0, 1] * 3
+
+
+def test_pages_meet_their_strings_whatever_the_block(spark):
+    """Pages that span blocks, share one, have no polygon or no string; a path listed twice."""
+    sizes = [3, 0, 1, 7, 2]
+    imgs = spark.createDataFrame([(i, f"p{i}.png") for i in range(5)] + [(5, "p2.png")], "row_pos long, path string")
+    dets = spark.createDataFrame([(f"p{i}.png", k, [[i, k]]) for i, n in enumerate(sizes) for k in range(n)], "path string, poly_idx long, points array<array<int>>")
+    texts = spark.createDataFrame([(c, None if c == 4 else f"t{c}") for c in range(14) if c != 1], "crop_pos long, text string")
+    want = {0: [("t0", 0), ("t2", 2)], 1: [], 2: [("t13", 0)], 3: [(f"t{4 + k}", k) for k in range(1, 7)], 4: [("t11", 0), ("t12", 1)]}
+    for block in (1, 2, 3, 1024):
+        got = pages.page_entries(imgs, dets, texts, block=block).collect()
+        assert {r.row_pos: [(e.transcription, e.points[0][1]) for e in r.entries] for r in got} == want
+        assert all(r.n_entries == len(r.entries) for r in got)
