@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from curatio.session import ensure_checkpoint_dir, scratch_path
@@ -13,6 +13,7 @@ from curatio.session import ensure_checkpoint_dir, scratch_path
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 SLICE_CHARS = 500_000
 HOT_ROWS = 20_000       # rows of one key that a join may bring into one task
+ROWS_A_TASK = 50_000    # links that one task of a components pass writes
 
 
 def tokenizer_file(name: str = DEFAULT_TOKENIZER) -> str:
@@ -75,22 +76,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text",
 
 
 def join_hot_safe(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str,
-                  total: int, parts: int = 2000, how: str = "inner", floor: int = HOT_ROWS) -> DataFrame:
+                  total: int, parts: int = 2000, how: str = "inner", floor: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
     """``rows`` joined with ``facts`` (one fact row per key) when one key may hold a third of ``rows``.
 
     ``weight`` (in ``facts``, a written table or cheap to compute) is how many rows have the key.
     A key is hot with more than ``total / parts`` rows, and more than ``floor``, which one task
     takes in its stride.  Hot keys number fewer than ``parts``, so that side is broadcast with a
     proven bound; the rest has no hot key and is joined by an ordinary shuffle.  Where no
-    key is hot, which the facts are asked first, the ordinary join is the whole plan: every
-    join planned costs the driver memory that it doesn't give back.
+    key is hot (``largest``, or the facts are asked), the ordinary join is the whole plan:
+    every join planned costs the driver memory that it doesn't give back.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     keys = list(keys)
     bar = max(floor, 1 << max(0, (total // parts).bit_length()))    # a power of two, so that passes share compiled code
     names = [c for c in facts.columns if c not in keys]
-    if (facts.agg(F.max(weight)).first()[0] or 0) <= bar:
+    if largest is None:
+        largest = facts.agg(F.max(weight)).first()[0] or 0
+    if largest <= bar:
         return rows.join(facts, keys, how).select(*rows.columns, *names)
     hot = facts.where(F.col(weight) > bar).withColumn("_hot", F.lit(True))
     cool = facts.where(F.col(weight) <= bar)
@@ -100,29 +103,44 @@ def join_hot_safe(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight
     return first.unionByName(rest.join(cool, keys, how).select(*rows.columns, *names))
 
 
+def _pass(df: DataFrame, name: str, rows: int, *seen: Column) -> tuple[DataFrame, dict]:
+    """``df`` written by a number of tasks that fits ``rows`` narrow rows, and what was ``seen`` of it meanwhile."""
+    noted = Observation()
+    out = written(df.coalesce(max(8, rows // ROWS_A_TASK)).observe(noted, F.count(F.lit(1)).alias("n"), *seen), name)
+    return out, noted.get
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", floor: int = HOT_ROWS) -> DataFrame:
     """Connected components of an undirected link table: (node, root), root = smallest node.
 
     Alternating large-star and small-star passes (each a groupBy of the links by node).  A
     node's neighbours are never gathered: only their minimum is, by a partial aggregate, and
     a hub's links get it by a broadcast of hubs of bounded number.  Every step writes its
-    table, so that all passes plan the same few small queries; the loop ends when a pass
-    changes no link.
+    table, by as many tasks as its rows need, so that all passes plan the same few small
+    queries; the loop ends when a pass changes no link.
     """
-    e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "star-links")
-    digest = None
-    while True:
+    e, seen = _pass(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "star-links", links.count())
+    low_of, most = F.expr("min(v)").alias("m"), F.coalesce(F.max("c"), F.lit(0)).alias("most")
+    print_of, digest = F.expr("coalesce(sum(cast(xxhash64(u, v) AS decimal(38, 0))), 0)").alias("print"), None
+    while seen["n"]:
+        n = 2 * seen["n"]
         # large-star: every larger neighbour of x is linked to the smallest node around x
         both = e.selectExpr("inline(array(struct(u, v), struct(v AS u, u AS v)))")
-        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).selectExpr("u", "least(u, m) AS m", "c"), "star-low")
-        n = low.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        large = written(join_hot_safe(both, low, ["u"], "c", int(n), floor=floor).where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct(), "star-large")
+        low, noted = _pass(both.groupBy("u").agg(low_of, F.count(F.lit(1)).alias("c")).selectExpr("u", "least(u, m) AS m", "c"), "star-low", n, most)
+        large = join_hot_safe(both, low, ["u"], "c", n, floor=floor, largest=noted["most"]).where("v > u AND v <> m").selectExpr("v AS u", "m AS v").distinct()
+        large, _ = _pass(large, "star-large", n)
         # small-star: every smaller neighbour of x, and x, is linked to the smallest of them
-        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "star-low")
-        small = join_hot_safe(large, low, ["u"], "c", int(n), floor=floor)
-        e = written(small.selectExpr("inline(array(struct(v AS u, m AS v), struct(u, m AS v)))").where("u <> v").distinct(), "star-links")
-        seen = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        low, noted = _pass(large.groupBy("u").agg(low_of, F.count(F.lit(1)).alias("c")), "star-low", n, most)
+        small = join_hot_safe(large, low, ["u"], "c", n, floor=floor, largest=noted["most"])
+        e, seen = _pass(small.selectExpr("inline(array(struct(v AS u, m AS v), struct(u, m AS v)))").where("u <> v").distinct(), "star-links", n, print_of)
         if seen == digest:
             break
         digest = seen
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of an ASCII text (it has no such function): one byte, then one bit at a time."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), "
+            f"lambda c, b: {byte}), 4294967295)")

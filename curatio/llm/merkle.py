@@ -37,7 +37,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.llm.common import written
+from curatio.llm.common import crc32_sql, written
 
 FANOUT, BAND = 2, 5
 MAX_BROADCAST_RANGES = 100_000      # (group, range) rows of a few numbers: about 10 MB
@@ -190,3 +190,39 @@ def fold(leaf: Column, path: Column) -> Column:
 
 def proof_digest(path: Column) -> Column:
     return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""), 256)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``op13_merkle_manifest`` (unique ids)."""
+    fields = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+                         for c in ("doc_id", "source", "lang", "{n}", "text"))
+    return f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, sha256({fields.replace('{n}', 'n_chars')}) AS leaf,
+    CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN sha256({fields.replace('{n}', '(n_chars + 1)')}) END AS tampered,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM documents),
+lang_nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM leaf UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM lang_nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM lang_nodes WHERE n = 1),
+top_nodes AS (
+  SELECT 0 AS level, pos, n, digest FROM subroots UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM top_nodes WHERE n > 1 GROUP BY level, pos // 2, n),
+steps AS (
+  SELECT l.doc_id, s.level AS k, s.digest, s.pos % 2 = 0 AS is_left FROM leaf l JOIN lang_nodes s ON s.tree = l.tree AND s.pos = xor(l.pos >> s.level, 1)
+  UNION ALL
+  SELECT l.doc_id, 1000 + s.level, s.digest, s.pos % 2 = 0 FROM leaf l JOIN subroots r ON r.tree = l.tree JOIN top_nodes s ON s.pos = xor(r.pos >> s.level, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth FROM steps),
+full_steps AS (
+  SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.k) AS nth, s.digest, s.is_left FROM (
+    SELECT l.doc_id, x.level AS k FROM leaf l JOIN (SELECT DISTINCT tree, level FROM lang_nodes WHERE n > 1) x ON x.tree = l.tree
+    UNION ALL SELECT l.doc_id, 1000 + x.level FROM leaf l CROSS JOIN (SELECT DISTINCT level FROM top_nodes WHERE n > 1) x) h
+  LEFT JOIN numbered s ON s.doc_id = h.doc_id AND s.k = h.k),
+fold AS (
+  SELECT doc_id, 0 AS nth, coalesce(tampered, leaf) AS acc FROM leaf UNION ALL
+  SELECT f.doc_id, s.nth, CASE WHEN s.digest IS NULL THEN sha256(f.acc) WHEN s.is_left THEN sha256(s.digest || f.acc) ELSE sha256(f.acc || s.digest) END
+  FROM fold f JOIN full_steps s ON s.doc_id = f.doc_id AND s.nth = f.nth + 1),
+proofs AS (SELECT doc_id, sha256(coalesce(string_agg(digest, '' ORDER BY nth), '')) AS proof_sha256, max(nth) AS last FROM full_steps GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, r.digest AS subroot, t.digest AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.acc AS folded_root, f.acc = t.digest AS verified
+FROM leaf l JOIN subroots r ON r.tree = l.tree CROSS JOIN (SELECT digest FROM top_nodes WHERE n = 1) t
+LEFT JOIN proofs p ON p.doc_id = l.doc_id JOIN fold f ON f.doc_id = l.doc_id AND f.nth = coalesce(p.last, 0)"""

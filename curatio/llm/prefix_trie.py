@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatio.llm.common import join_hot_safe, written
+from curatio.llm.common import crc32_sql, join_hot_safe, written
 
 CHUNK = 4096
 SHARD_TURNS = 100_000       # turns of a shard, about
@@ -285,3 +285,25 @@ def trie_nodes(convs: DataFrame) -> DataFrame:
     total = merged.agg(F.coalesce(F.sum("n_children"), F.lit(0))).first()[0]
     hung = join_hot_safe(hanging, counted, ["parent_path"], "w", int(total)).withColumn("parent_conv_id", F.col("parent_id")).select(*out)
     return top.unionByName(known).unionByName(hung).withColumn("ends", F.coalesce("ends", F.lit(NO_ENDS)))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for ``op12_prefix_trie`` (ids and turns without ties)."""
+    return f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS head, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, 0 AS own, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.head AND t.i <= c.h
+      UNION ALL SELECT c.conv_id, 1, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d, md5(length(role) || ':' || role || text) AS m, length(text) AS chars FROM b),
+p AS (SELECT conv_id, d, chars, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM o UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM p GROUP BY path),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+last AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+ends AS (SELECT path, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM p JOIN last ON last.conv_id = p.conv_id AND last.d = p.d GROUP BY path),
+sub AS (SELECT left(x.path, 32 * x.a) AS path, sum(CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.chars) AS saved
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM node) x LEFT JOIN kids ON kids.path = x.path GROUP BY 1)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.k, 0) AS n_children,
+  CAST(sub.leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM node JOIN sub ON sub.path = node.path LEFT JOIN kids ON kids.path = node.path LEFT JOIN ends ON ends.path = node.path
+LEFT JOIN node up ON node.depth > 0 AND up.path = left(node.path, 32 * (node.depth - 1))"""

@@ -140,3 +140,8 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document under the exact 0.8 Jaccard link."""
     return partenum.linked_classes(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_shingle_join"] = partenum.oracle_sql()
+ORACLE["op12_prefix_trie"] = prefix_trie.oracle_sql()
+ORACLE["op13_merkle_manifest"] = merkle.oracle_sql()
