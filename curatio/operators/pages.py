@@ -28,6 +28,7 @@ STATE_DONE = "1"
 CROP_FOLDER = "crop_img"
 # -----------------------------------------------------------------------------------------
 
+MAX_LISTED = 20_000_000 # expected items whose bitmaps are broadcast: 80 MB
 CROP_BLOCK = 1024       # crop positions of one block in which recognitions meet their pages
 
 
@@ -329,8 +330,33 @@ def missing_images(label: DataFrame, images: DataFrame) -> DataFrame:
     return lines.join(have, "_b", "left_anti").withColumnRenamed("_b", "image")
 
 
-def resume_todo(expected: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Work items not yet done (per-item resume instead of all-or-nothing)."""
+def possibly_listed(done: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of ``done`` without nearly all that aren't in ``listed`` (a small stored table of keys).
+
+    A one-hash Bloom filter over the listed keys, 16 bits or more each, as a table of bitmaps of 32,768
+    bits; it is broadcast (4 bytes a key at most) and tested where ``done`` is read.
+    """
+    bits = 1 << max(15, (16 * listed.count() - 1).bit_length())
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(bits)).alias("_slot"))
+        return df.select(*keys, F.expr("_slot div 32768").alias("_bucket"), F.expr("_slot % 32768").alias("_bit"))
+    maps = placed(listed).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    near = placed(done).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_map, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    return near.where(F.bit_get(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*keys)
+
+
+def resume_todo(expected: DataFrame, done: DataFrame, keys: Sequence[str], large_done: bool = False) -> DataFrame:
+    """Work items not yet done (per-item resume instead of all-or-nothing).
+
+    ``large_done``: the done list is far longer than the expected one; only its items that may
+    be expected ones are shuffled, up to ``MAX_LISTED`` expected items.
+    """
+    if large_done:
+        listed = materialize(expected.select(*keys).distinct(), "listed")
+        if listed.count() <= MAX_LISTED:
+            done = possibly_listed(done, listed, keys)
     return expected.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 

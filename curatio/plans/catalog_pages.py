@@ -150,6 +150,16 @@ def q_subsample_train(spark, sf_dir):
     return sampling.subsample(a, 0.5, seed=0).select("split", "row_pos", "label", "llm_label")
 
 
+@register("subsample_in_splits",
+          f"WITH a AS ({ATTACH_SQL}), t AS (SELECT * FROM a WHERE split = 'train'), r AS ({_rank_sql('t', 3)}) "
+          "SELECT split, row_pos, label, llm_label FROM r WHERE rk >= ceil(cast(0.75 AS double) * n) "
+          "UNION ALL SELECT split, row_pos, label, llm_label FROM a WHERE split <> 'train'")
+def q_subsample_in_splits(spark, sf_dir):
+    """A quarter of the training split, the other splits whole."""
+    a = attach_cqa(spark, sf_dir).select("split", "row_pos", "label", "llm_label")
+    return sampling.subsample_train(a, 0.25, seed=3)
+
+
 @register("train_valid_split",
           f"WITH a AS ({ATTACH_SQL}), t AS (SELECT * FROM a WHERE split = 'train'), "
           f"r AS ({_rank_sql('t', 0)}) "
@@ -378,18 +388,34 @@ def q_missing_images(spark, sf_dir):
     return pages.missing_images(lab, split_images(spark, sf_dir)).select("row_pos", "image")
 
 
-@register("resume_todo", with_ctes("page_files", extra=[OCR_PAGES_CTE]) +
+_RESUME_SQL = (with_ctes("page_files", extra=[OCR_PAGES_CTE]) +
           """SELECT doc, page, doc || '_page_' || page || '.png' AS page_name FROM (
   SELECT DISTINCT CASE WHEN starts_with(regexp_extract(path, '[^/]*$', 0), 'chapter4_') THEN 'chapter4' ELSE 'chapter12' END AS doc,
          try_cast(regexp_extract(path, '_page_([0-9]+)\\.[^./]*$', 1) AS bigint) AS page FROM page_files) e
 WHERE page IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ocr_pages o WHERE o.doc = e.doc AND o.page = e.page)""")
-def q_resume_todo(spark, sf_dir):
+
+
+def _expected_and_done(spark, sf_dir):
     files = page_files(spark, sf_dir)
     base = F.substring_index("path", "/", -1)
     expected = files.select(
         F.when(base.startswith("chapter4_"), F.lit("chapter4")).otherwise(F.lit("chapter12")).alias("doc"),
         F.regexp_extract("path", r"_page_([0-9]+)\.[^./]*$", 1).try_cast("bigint").alias("page")).where(
             F.col("page").isNotNull()).distinct()
-    done = ocr_pages(spark, sf_dir).select("doc", "page")
+    return expected, ocr_pages(spark, sf_dir).select("doc", "page")
+
+
+@register("resume_todo", _RESUME_SQL)
+def q_resume_todo(spark, sf_dir):
+    expected, done = _expected_and_done(spark, sf_dir)
     todo = pages.resume_todo(expected, done, ["doc", "page"])
     return todo.select("doc", "page", pages.page_file_name("doc", "page").alias("page_name"))
+
+
+@register("resume_large_done", _RESUME_SQL)
+def q_resume_large_done(spark, sf_dir):
+    """The done list also holds a hundred pages of other documents for each expected one."""
+    expected, done = _expected_and_done(spark, sf_dir)
+    others = expected.selectExpr("explode(transform(sequence(1, 100), i -> concat(doc, '_v', i))) AS doc", "page")
+    todo = pages.resume_todo(expected, done.unionByName(others), ["doc", "page"], large_done=True)
+    return todo.select("doc", "page", pages.page_file_name("doc", "page").alias("page_name"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatio.operators.positions import materialize
+
 
 def ordered(df: DataFrame, order: Sequence[str], num_partitions: int | None = None) -> DataFrame:
     """Range-partitioned and sorted: part files in name order hold the rows in order.
@@ -40,10 +42,12 @@ def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[st
     """Each split as JSON lines under its logical name: ``{root}/{dataset}/{dataset}_{name}.json``.
 
     ``split_map`` maps logical name → source split name (e.g. ``test`` → ``validation``).
-    One write per split (at most three); rows keep their order, and NULLs are written out.
+    The rows are checkpointed once; each split (at most three) is then one write. Rows keep
+    their order, and NULLs are written out.
     """
     if not split_map:
         raise ValueError("split_map (logical name -> source split) is required")
+    df = materialize(df, "splits")
     out = []
     for logical, source in split_map.items():
         path = f"{root.rstrip('/')}/{dataset}/{dataset}_{logical}.json"

@@ -149,3 +149,14 @@ def test_pages_meet_their_strings_whatever_the_block(spark):
         got = pages.page_entries(imgs, dets, texts, block=block).collect()
         assert {r.row_pos: [(e.transcription, e.points[0][1]) for e in r.entries] for r in got} == want
         assert all(r.n_entries == len(r.entries) for r in got)
+
+
+def test_resume_against_a_long_done_list(spark):
+    expected = spark.createDataFrame([(f"d{i % 5}", i if i % 11 else None) for i in range(300)], "doc string, page long")
+    done = spark.range(60_000).select(F.concat(F.lit("d"), (F.col("id") % 5).cast("string")).alias("doc"), (F.col("id") * 2).alias("page"), F.lit(1).alias("x"))
+    plain = sorted(map(str, pages.resume_todo(expected, done, ["doc", "page"]).collect()))
+    assert sorted(map(str, pages.resume_todo(expected, done, ["doc", "page"], large_done=True).collect())) == plain and 100 < len(plain) < 300
+    near = pages.possibly_listed(done, expected.distinct(), ["doc", "page"])
+    hits = done.join(expected.distinct(), ["doc", "page"], "left_semi").count()
+    assert hits <= near.count() < hits + 0.1 * done.count()
+    assert pages.resume_todo(expected.limit(0), done, ["doc", "page"], large_done=True).count() == 0
