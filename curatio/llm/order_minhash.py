@@ -282,15 +282,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verify_pairs(pairs, words, threshold), "links")
 
     # buckets in which somebody isn't similar to the pivot, in full
-    marked = members.where("rep <> pivot").join(links.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("ok")),
-                                                ["rep", "pivot"], "left").select("bucket", "rep", F.coalesce("ok", F.lit(False)).alias("ok"))
-    open_ones = marked.where("NOT ok").groupBy("bucket").agg(F.count(F.lit(1)).alias("w"))
-    others = marked.unionByName(members.where("rep = pivot").select("bucket", "rep", F.lit(True).alias("ok")))
-    counts = others.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 2").join(open_ones, "bucket").select("bucket", "c")
+    unlike = written(pairs.join(links.select(F.col("a").alias("rep"), F.col("b").alias("pivot")), ["rep", "pivot"], "left_anti"), "unlike-pairs")
+    failed = written(members.join(unlike, ["rep", "pivot"], "left_semi").select("bucket", "rep"), "unlike-members")
+    counts = (members.join(failed.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 2"))
     counts = written(counts, "open-buckets")
     again = int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     size = F.floor(F.log(F.octet_length("words") / 4.0) / F.log(F.lit(1 / threshold))).cast("int")
-    full = (join_hot_safe(others, counts, ["bucket"], "c", again).select("bucket", "rep", "ok").join(words, "rep")
+    inside = join_hot_safe(members.select("bucket", "rep"), counts, ["bucket"], "c", again).select("bucket", "rep")
+    full = (inside.join(failed.distinct().withColumn("_open", F.lit(True)), ["bucket", "rep"], "left")
+            .select("bucket", "rep", F.col("_open").isNull().alias("ok")).join(words, "rep")
             .withColumn("band", F.explode(F.array(size, size + 1))))
 
     # a band holds a pair to check only if somebody in it is still open
