@@ -9,8 +9,12 @@ nothing fits and at least ``min_cut`` tokens of room are left, the best piece is
 Spark deals documents out as they lie in the input; a task packs groups of at most
 ``group`` pieces (or ``group_tokens`` tokens) and carries the unfinished sequence's pieces
 over to its next group, so no shuffle is needed, no key gathers and memory is bounded.
-What is left at the end of a task is cut into sequences whose lengths are powers of two,
-which need no padding.
+A sequence that closes with room left (at the end of a task, or because the segments or the
+loss-bearing tokens are used up) is cut into sequences whose lengths are powers of two, which need
+no padding.
+
+A task holds one slice of text, a group's ids (``group_tokens`` of 4 bytes, or one document)
+and its pieces.
 
 Edge cases: a NULL or empty text is a document of the end id alone; repeated rows are packed
 as separate documents; a text longer than a sequence is cut; an empty table gives no rows.
@@ -43,6 +47,15 @@ class Limits:
     group: int = 4096
     group_tokens: int = 4_000_000
 
+    def __post_init__(self) -> None:
+        for name in ("max_tokens", "max_segments", "max_loss", "min_cut", "group", "group_tokens"):
+            if getattr(self, name) < 1:
+                raise ValueError(f"{name} must be at least 1")
+
+
+#: For instruction data: at most half of a sequence bears loss, so that the limit binds beside the tokens.
+INSTRUCTION = Limits(max_loss=2048)
+
 
 def loss_of(start: int, length: int, prompt: int) -> int:
     """Loss-bearing tokens of the piece: those after the document's first ``prompt`` tokens."""
@@ -152,6 +165,9 @@ def pack_documents(docs: DataFrame, end_id: int = 2, limits: Limits | None = Non
             names = ["doc_id", "start", "length", "loss_tokens", "doc_tokens", "sequence_id", "offset", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
+        def unpadded(seqs: list) -> list:
+            return [x for seq in seqs for x in powers_of_two(seq, lim)]
+
         full: list = []
         tokens = 0
         for part, texts in text_slices(batches):
@@ -179,13 +195,13 @@ def pack_documents(docs: DataFrame, end_id: int = 2, limits: Limits | None = Non
                 tokens += len(ids)
                 if len(pool) >= lim.group or tokens >= lim.group_tokens:
                     seqs, pool = pack_group(pool, lim, last=False)
-                    yield emit(full + seqs)
+                    yield emit(full + unpadded(seqs))
                     held = {k[0]: held[k[0]] for k in pool}
                     full, tokens = [], sum(len(v[1]) for v in held.values())
                     if tokens >= lim.group_tokens // 2:      # long documents of which a piece is left
                         seqs, pool = pack_group(pool, lim)
-                        yield emit(seqs)
+                        yield emit(unpadded(seqs))
                         held, tokens = {}, 0
         seqs, _ = pack_group(pool, lim)
-        yield emit(full + [x for seq in seqs for x in powers_of_two(seq, lim)])
+        yield emit(full + unpadded(seqs))
     return docs.select(*cols).mapInArrow(run, PIECES)
