@@ -25,6 +25,7 @@ from curatio.sources.files import PART_SHARD_RE
 from curatio.sources.json_arrays import whole_strings
 
 ON_DAMAGED = ("fail", "quarantine")
+TRIGGER_BYTES = 256 << 20     # of text in one micro-batch, however many files that is
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,7 +34,7 @@ def _shard_files(spark: SparkSession, source_glob: str, path_re: str, on_damaged
     if on_damaged not in ON_DAMAGED:
         raise ValueError(f"on_damaged must be one of {ON_DAMAGED}")
     raw = (spark.readStream.format("text").option("wholetext", True)
-           .option("maxFilesPerTrigger", 64).load(source_glob)).withColumn("path", F.col("_metadata.file_path"))
+           .option("maxBytesPerTrigger", TRIGGER_BYTES).load(source_glob)).withColumn("path", F.col("_metadata.file_path"))
     array, reason = whole_strings("value")
     files = raw.select(F.regexp_extract("path", path_re, 1).alias("split"), F.regexp_extract("path", path_re, 2).cast("bigint").alias("shard"),
                        "path", array.alias("arr"), reason.alias("damaged"))
