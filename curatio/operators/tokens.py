@@ -5,20 +5,21 @@ built by Spark (word counts, ranked) and used for encode/decode.  Ids: 0 pad, 1
 sequence, 2 unknown, words from 3.
 
 Scale: the vocabulary holds every word, however many there are.  Its ``HEAD_WORDS`` most
-frequent words are broadcast (a fixed bound) and find most tokens; the others are joined by
-a shuffle, in which no word is hot, and found tokens are dealt out evenly.  Token rows are
-produced by ``posexplode`` *after* truncation and regrouped by the row key.
+frequent words (a fixed bound) are one hash table in which the tokens are looked up inside their
+row; the other words of a row, each once, are found by a shuffle join and come back by the row
+key.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.functions.text import WORD_SPLIT_RE
-from curatio.operators.positions import dense_positions
+from curatio.operators.positions import dense_positions, materialize
 
 # --- fixed values -----------------------------------------------------------------------
 PAD_TOKEN, EOS_TOKEN, UNK_TOKEN = "<pad>", "</s>", "<unk>"
@@ -30,6 +31,7 @@ MAX_TARGET_LENGTH = 256
 # -----------------------------------------------------------------------------------------
 
 HEAD_WORDS = 50_000     # most frequent words, broadcast; every further word is found by a shuffle join
+BUCKETS = 1 << 16       # of the table of frequent words: about one word each
 TASK_PREFIXES = ("predict:", "explain:")    # words with reserved ids in two-task vocabularies
 SPECIALS = {PAD_TOKEN: PAD_ID, EOS_TOKEN: EOS_ID, UNK_TOKEN: UNK_ID}
 
@@ -73,26 +75,78 @@ def build_vocab(texts: DataFrame, text_cols: Sequence[str], vocab_size: int | No
     return ranked.select("word", (F.col("_rank") + FIRST_WORD_ID).cast("int").alias("id"), "cnt")
 
 
-def _look_up(rows: DataFrame, vocab: DataFrame, key: str, value: str, out: str, spread: Sequence[str]) -> DataFrame:
-    """``rows`` with ``out``: the vocabulary's ``value`` for ``key``, NULL if it has none.
+def _has_key(keys: Sequence[str]) -> Column:
+    """No key of the row is NULL (a row with a NULL key meets no ids or words)."""
+    return functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
-    Frequent words by broadcast, the rest by a shuffle join.  There a row that is found (or
-    has no place in the vocabulary) gets a key of its own kind, so no key is hot.
-    """
-    v = vocab.select("word", "id")
-    head = v.where(F.col("id") < FIRST_WORD_ID + HEAD_WORDS).select(F.col(key), F.col(value).alias("_head"))
-    tail = v.where(F.col("id") >= FIRST_WORD_ID + HEAD_WORDS).select(F.col(key).cast("string").alias("_key"), F.col(value).alias("_tail"))
-    first = rows.join(F.broadcast(head), key, "left")
-    evenly = F.concat(F.lit(" "), F.pmod(F.xxhash64(*spread), F.lit(1 << 16)).cast("string"))     # no word holds a blank
-    first = first.withColumn("_key", F.when(F.col("_head").isNull(), F.col(key).cast("string")).otherwise(evenly))
-    return (first.join(tail, "_key", "left").withColumn(out, F.coalesce("_head", "_tail"))
-            .drop("_key", "_head", "_tail"))
+
+def _hash_table(entries: DataFrame) -> Column:
+    """The few (_key, _value) rows of ``entries`` as one value, read once a job: ``BUCKETS`` small maps by the key's hash."""
+    maps = (entries.groupBy(_bucket("_key").alias("_b")).agg(F.collect_list(F.struct("_key", "_value")).alias("_e")))
+    every = entries.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_b"))
+    filled = F.sort_array(F.collect_list(F.struct("_b", "_e")))
+    return every.join(F.broadcast(maps), "_b", "left").agg(filled.alias("_t")).select(
+        F.transform("_t", lambda x: F.map_from_entries(x["_e"]))).scalar()
+
+
+def _bucket(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _token_id(word: Column, vid: Column) -> Column:
-    special = F.when(word == PAD_TOKEN, F.lit(PAD_ID)).when(word == EOS_TOKEN, F.lit(EOS_ID)) \
-        .when(word == UNK_TOKEN, F.lit(UNK_ID))
-    return F.coalesce(special, vid, F.lit(UNK_ID)).cast("int")
+def _look_up(df: DataFrame, keys: Sequence[str], lists: dict[str, Column], vocab: DataFrame, key: str, value: str,
+             fixed: dict | None = None) -> DataFrame:
+    """Adds, per list in ``lists``, a column with the vocabulary's ``value`` for each ``key`` in the list, NULL if it has none.
+
+    The frequent words (a fixed bound) are one hash table in which a row's whole list is looked up, so
+    a row stays where it is.  Only if the vocabulary has more words do the distinct elements not found
+    there travel, by a shuffle join, and come back by the row keys.
+    """
+    kind, result = ("string", "int") if value == "id" else ("bigint", "string")
+    v = vocab.select(F.col(key).cast(kind).alias("_key"), F.col(value).cast(result).alias("_value"), "id").where("_key IS NOT NULL AND _value IS NOT NULL")
+    if fixed:
+        v = v.where(~F.col("_key").isin(list(fixed)))
+    head = v.where(F.col("id") < FIRST_WORD_ID + HEAD_WORDS).select("_key", "_value")
+    if fixed:
+        pairs = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+        head = head.unionByName(df.sparkSession.range(1).select(F.explode(pairs).alias("_key", "_value")))
+    table = _hash_table(head)
+
+    def found(words: Column, t: str) -> Column:
+        both = F.array(F.struct(words.alias("words"), F.col(t).alias("t")))
+        return F.get(F.transform(both, lambda p: F.transform(p["words"], lambda k: F.element_at(F.get(p["t"], _bucket(k)), k))), 0)
+    # a subquery may not stand in such an expression, so the table is a column for the moment.  It is used once
+    # and the exchange keeps the two projections by themselves: they are merged, and no row ever holds the table
+    names = {out: f"_t{i}" for i, out in enumerate(lists)}
+    df = df.repartition(*[F.col(k) for k in keys])
+    df = df.select("*", *[table.alias(t) for t in names.values()]).select(*df.columns, *[found(words, names[out]).alias(out) for out, words in lists.items()])
+    tail = v.where(F.col("id") >= FIRST_WORD_ID + HEAD_WORDS).select("_key", "_value")
+    if tail.isEmpty():
+        return df
+    pairs = F.flatten(F.array(*[F.arrays_zip(words.alias("k"), F.col(out).alias("v")) for out, words in lists.items()]))
+    absent = F.array_distinct(F.transform(F.filter(pairs, lambda x: x["v"].isNull()), lambda x: x["k"]))
+    more = (df.select(*keys, F.explode(absent).alias("_key")).join(tail, "_key").groupBy(*keys)
+            .agg(F.map_from_entries(F.collect_set(F.struct("_key", "_value"))).alias("_more")))
+    df = df.join(more, list(keys), "left")
+    for out, words in lists.items():
+        df = df.withColumn(out, F.when(F.col("_more").isNull(), F.col(out)).otherwise(
+            F.zip_with(words, out, lambda k, x: F.coalesce(x, F.element_at("_more", k)))))
+    return df.drop("_more")
+
+
+def _merge_repeated(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """List columns of rows that share their key put together: elements by place, then by value.
+
+    Keys are normally unique; whether they are is counted, and only repeated ones are merged.
+    """
+    again = materialize(df.where(_has_key(keys)).groupBy(*keys).count().where("count > 1").select(*keys), "repeated-keys")
+    if again.isEmpty():
+        return df
+    lists = [F.flatten(F.collect_list(F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("x"))))).alias(f"_m{n}") for n, c in enumerate(cols)]
+    merged = df.join(again, list(keys), "left_semi").groupBy(*keys).agg(*lists)
+    df = df.join(merged, list(keys), "left")
+    for n, c in enumerate(cols):
+        df = df.withColumn(c, F.when(F.col(f"_m{n}").isNull(), F.col(c)).otherwise(F.transform(F.sort_array(f"_m{n}"), lambda s: s["x"])))
+    return df.drop(*[f"_m{n}" for n in range(len(cols))])
 
 
 def encode(df: DataFrame, keys: Sequence[str], text_cols: dict[str, str], vocab: DataFrame,
@@ -114,37 +168,31 @@ def encode_many(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, s
     """Several encodings in one pass: ``specs`` = (source, output, max_length, prefix or None).
 
     A source column is tokenised and looked up once, however many outputs use it (the
-    predict and explain inputs share one body).  All sources are exploded together (only
-    the key travels with a token), looked up (``_look_up``), regrouped with one aggregate
-    and joined back once.  The input is hash-partitioned by the key once (skipped when
-    ``prepartitioned``), so the join back moves no wide row again.
+    predict and explain inputs share one body).  Tokens are looked up inside their row
+    (``_look_up``): no token becomes a row of its own, unless the vocabulary has more than
+    ``HEAD_WORDS`` words and it is none of the frequent ones.  The rows are dealt out by key, one
+    exchange of whole rows (``prepartitioned`` doesn't spare it).
     """
     keys = list(keys)
-    base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
     need: dict[str, int] = {}
     for src, _, mlen, _ in specs:
         need[src] = max(need.get(src, 0), mlen)
     srcs = list(need)
-    per_src = F.array(*[F.struct(F.lit(i).alias("_s"), F.slice(tokens(src), 1, need[src] - 1).alias("_t"))
-                        for i, src in enumerate(srcs)])
-    ex = (base.select(*keys, F.explode(per_src).alias("_x"))
-          .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "word")))
-    ids = (_look_up(ex, vocab, "word", "id", "_vid", [*keys, "_s", "_p"])
-           .select(*keys, "_s", "_p", _token_id(F.col("word"), F.col("_vid")).alias("_id"))
-           .groupBy(*keys)
-           .agg(F.sort_array(F.collect_list(F.struct("_s", "_p", "_id"))).alias("_all")))
-    out = base.join(ids, keys, "left")
-    empty = F.array().cast("array<struct<_s:int,_p:int,_id:int>>")
-    allc = F.coalesce(F.col("_all"), empty)
+    ids = [f"_i{i}" for i in range(len(srcs))]
+    empty = F.array().cast("array<string>")
+    words = [F.coalesce(F.when(_has_key(keys), F.slice(tokens(src), 1, need[src] - 1)), empty) for src in srcs]
+    out = _look_up(df, keys, dict(zip(ids, words, strict=True)), vocab, "word", "id", {w: i for w, i in SPECIALS.items()})
+    for i in ids:
+        out = out.withColumn(i, F.transform(i, lambda x: F.coalesce(x, F.lit(UNK_ID))))
+    out = _merge_repeated(out, keys, ids)
     for src, dst, mlen, pre in specs:
-        i = srcs.index(src)
-        seq = F.transform(F.filter(allc, lambda x: x["_s"] == i), lambda x: x["_id"])
+        seq = F.col(ids[srcs.index(src)])
         if pre:
             seq = F.concat(_prefix_ids(vocab, pre), seq)
         out = out.withColumn(dst, F.concat(F.slice(seq, 1, mlen - 1), F.array(F.lit(EOS_ID))))
     for ids_col, mask_col in (masks or {}).items():
         out = out.withColumn(mask_col, F.transform(ids_col, lambda _: F.lit(1)))
-    return out.drop("_all")
+    return out.drop(*ids)
 
 
 def _prefix_ids(vocab: DataFrame, prefix: str) -> Column:
@@ -169,23 +217,17 @@ def decode(df: DataFrame, keys: Sequence[str], ids_col: str, vocab: DataFrame, o
 
 def decode_many(df: DataFrame, keys: Sequence[str], cols: dict[str, str], vocab: DataFrame,
                 prepartitioned: bool = False) -> DataFrame:
-    """Decode several id columns (id column → text column) with one explode and one regroup."""
+    """Decode several id columns (id column → text column), each id looked up inside its row."""
     keys = list(keys)
-    base = df if prepartitioned else df.repartition(*[F.col(k) for k in keys])
-    names = list(cols)
-    per_col = F.array(*[F.struct(F.lit(i).alias("_s"), F.col(c).alias("_t")) for i, c in enumerate(names)])
-    ex = (base.select(*keys, F.explode(per_col).alias("_x"))
-          .select(*keys, F.col("_x._s").alias("_s"), F.posexplode("_x._t").alias("_p", "id"))
-          .where(F.col("id") >= FIRST_WORD_ID))
-    txt = (_look_up(ex, vocab, "id", "word", "word", [*keys, "_s", "_p"]).where(F.col("word").isNotNull())
-           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_s", "_p", "word"))).alias("_all")))
-    out = base.join(txt, keys, "left")
-    empty = F.array().cast("array<struct<_s:int,_p:int,word:string>>")
-    allc = F.coalesce(F.col("_all"), empty)
-    for i, c in enumerate(names):
-        words = F.transform(F.filter(allc, lambda x: x["_s"] == i), lambda x: x["word"])
-        out = out.withColumn(cols[c], F.array_join(words, " "))
-    return out.drop("_all")
+    words = [f"_w{i}" for i in range(len(cols))]
+    empty = F.array().cast("array<bigint>")
+    ids = [F.coalesce(F.when(_has_key(keys), F.transform(c, lambda x: F.when(x >= FIRST_WORD_ID, x).cast("bigint"))), empty) for c in cols]
+    out = _look_up(df, keys, dict(zip(words, ids, strict=True)), vocab, "id", "word")
+    out = _merge_repeated(out, keys, words)
+    for w, text in zip(words, cols.values(), strict=True):
+        # leaves out ids without a word.  ``w`` is named twice, so the lookup is a projection of its own, below any Python UDF on the text
+        out = out.withColumn(text, F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(F.lit("")))
+    return out.drop(*words)
 
 
 def mask_predictions(ids) -> Column:

@@ -93,3 +93,24 @@ def test_rare_words_are_found_beyond_the_broadcast_head(spark, monkeypatch):
     assert {r.k: list(r.ids) for r in enc.collect()} == {0: [3, 3, 3, 4, 4, 5, 6, 7, 1], 1: [5, 3, 2, 1]}
     out = tokens.decode(enc, ["k"], "ids", vocab, "out").collect()
     assert {r.k: r.out for r in out} == {0: "a a a b b c d e", 1: "c a"}
+
+
+def test_tokens_stay_in_their_rows(spark):
+    df = spark.createDataFrame([(i, f"a b{i % 7} c") for i in range(50)], "k long, t string")
+    vocab = tokens.build_vocab(df, ["t"])
+    enc = tokens.encode(df, ["k"], {"t": "ids"}, vocab, 64)
+    plan = tokens.decode(enc, ["k"], "ids", vocab, "out")._jdf.queryExecution().executedPlan().toString()
+    main = "\n".join(x for x in plan.splitlines() if not x.lstrip().startswith(":"))
+    assert "Generate" not in main and "Join" not in main
+    assert main.count("Exchange") == 1          # of whole rows
+    assert " AS _t0#" not in plan               # no row holds the table of words
+
+
+def test_rows_of_one_key_share_their_tokens_and_a_null_key_has_none(spark):
+    df = spark.createDataFrame([(0, "a b"), (0, "c"), (1, "b"), (None, "a")], "k long, t string")
+    vocab = tokens.build_vocab(df, ["t"])
+    ids = {r.word: r.id for r in vocab.collect()}
+    enc = tokens.encode(df, ["k"], {"t": "ids"}, vocab, 64)
+    got = sorted(((r.k, list(r.ids)) for r in enc.collect()), key=str)
+    both = sorted([ids["a"], ids["c"]]) + [ids["b"], 1]
+    assert got == [(0, both), (0, both), (1, [ids["b"], 1]), (None, [1])]
