@@ -29,7 +29,7 @@ CROP_FOLDER = "crop_img"
 # -----------------------------------------------------------------------------------------
 
 MAX_LISTED = 20_000_000 # expected items whose bitmaps are broadcast: 80 MB
-CROP_BLOCK = 1024       # crop positions of one block in which recognitions meet their pages
+CROP_BLOCK = 32         # crop positions of one block in which recognitions meet their pages: each page looks through its blocks
 
 
 def _c(x) -> Column:
@@ -168,12 +168,15 @@ def page_entries(pages: DataFrame, detections: DataFrame, recognitions: DataFram
     held = pages.select("row_pos", key).join(polygons, key).select("row_pos", "_polys", F.size("_polys").cast("bigint").alias("_n"))
     held = running_offsets(held, ["row_pos"], "_n", "_off")
     held = held.select("row_pos", "_off", "_n", "_polys", F.explode(F.expr(f"sequence(_off div {block}, (_off + _n - 1) div {block})")).alias("_block"))
+    held = held.withColumn("_first", F.greatest(F.col("_off"), F.col("_block") * block))       # a block gets its own polygons only
+    end = F.least(F.col("_off") + F.col("_n"), (F.col("_block") + 1) * block)
+    held = held.select("row_pos", "_block", "_first", F.slice("_polys", (F.col("_first") - F.col("_off") + 1).cast("int"), (end - F.col("_first")).cast("int")).alias("_polys"))
     strings = (recognitions.where("text IS NOT NULL").groupBy(F.expr(f"crop_pos div {block}").alias("_block"))
                .agg(F.sort_array(F.collect_list(F.struct("crop_pos", "text"))).alias("_texts")))
-    mine = F.filter("_texts", lambda r: (r["crop_pos"] >= F.col("_off")) & (r["crop_pos"] < F.col("_off") + F.col("_n")))
+    mine = F.filter("_texts", lambda r: (r["crop_pos"] >= F.col("_first")) & (r["crop_pos"] < F.col("_first") + F.size("_polys")))
 
     def entry(r: Column) -> Column:
-        return F.struct(r["text"].alias("transcription"), F.get("_polys", (r["crop_pos"] - F.col("_off")).cast("int"))["points"].alias("points"),
+        return F.struct(r["text"].alias("transcription"), F.get("_polys", (r["crop_pos"] - F.col("_first")).cast("int"))["points"].alias("points"),
                         F.lit(False).alias("difficult"))
     parts = held.join(strings, "_block").select(F.col("row_pos").alias("_last"), "_block", F.transform(mine, entry).alias("_e"))
     grouped = parts.groupBy("_last").agg(F.sort_array(F.collect_list(F.struct("_block", "_e"))).alias("_p")).select(

@@ -160,3 +160,14 @@ def test_resume_against_a_long_done_list(spark):
     hits = done.join(expected.distinct(), ["doc", "page"], "left_semi").count()
     assert hits <= near.count() < hits + 0.1 * done.count()
     assert pages.resume_todo(expected.limit(0), done, ["doc", "page"], large_done=True).count() == 0
+
+
+def test_a_block_of_crops_gets_its_own_polygons_only(spark):
+    listed = spark.createDataFrame([(0, "raw/a_page_1.png"), (1, "raw/a_page_2.png")], "row_pos long, path string")
+    dets = spark.createDataFrame([("raw/a_page_1.png", 0, [[0, 0]])] + [("raw/a_page_2.png", i, [[i, i]]) for i in range(5)],
+                                 "path string, poly_idx long, points array<array<int>>")
+    texts = spark.createDataFrame([(0, "t0"), (1, "t1"), (2, None), (3, "t3"), (5, "t5")], "crop_pos long, text string")
+    out = pages.page_entries(listed, dets, texts, block=2)
+    got = {r.row_pos: [(e.transcription, [list(p) for p in e.points]) for e in r.entries] for r in out.collect()}
+    assert got == {0: [("t0", [[0, 0]])], 1: [("t1", [[0, 0]]), ("t3", [[2, 2]]), ("t5", [[4, 4]])]}
+    assert "slice(_polys" in out._jdf.queryExecution().optimizedPlan().toString()
