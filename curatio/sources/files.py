@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatio.operators.positions import file_positions, group_offsets, materialize
-from curatio.sources.json_arrays import ArrayFiles, as_rows, as_strings, parsed_object, refuse, scan_arrays
+from curatio.sources.json_arrays import ArrayFiles, as_rows, as_strings, refuse, scan_arrays, with_object
 
 SPLIT_FILE_RE = r"_(train|valid|test)\.json(/|$)"
 COT_SHARD_RE = r"(?:^|/)(train|valid|test)_CoT_([0-9]+)\.json(?:/[^/]*)?$"
@@ -34,10 +34,9 @@ def read_json_splits(spark: SparkSession, root: str, dataset: str, schema: str,
     """
     paths = [f"{root.rstrip('/')}/{dataset}/{dataset}_{s}.json" for s in splits]
     names = T._parse_datatype_string(schema).names
-    row, reason = parsed_object("value", schema, names if required is None else required)
     lines = spark.read.text(paths).where(~F.col("value").rlike(r"\A\s*\z")).withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), SPLIT_FILE_RE, 1))
     lines = file_positions(lines.withColumn("_path", F.col("_metadata.file_path")), "row_pos", group_cols=["split"])
-    df = lines.select("split", "row_pos", "value", "_path", row.alias("_r"), reason.alias("_why"))
+    df = with_object(lines.select("split", "row_pos", "value", "_path"), "value", schema, names if required is None else required)
     if quarantine is not None:
         (df.where("_why IS NOT NULL").selectExpr("_path AS path", "row_pos AS place", "_why AS reason", "value AS line")
          .write.mode("overwrite").parquet(quarantine))

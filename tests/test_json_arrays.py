@@ -5,9 +5,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Window
 
 from curatio.session import local_path, scratch_path
 from curatio.sources import files as sources
+from curatio.sources import json_arrays
 from curatio.sources.json_arrays import DamagedInput, as_strings, scan_arrays, whole_strings
 
 
@@ -110,3 +112,22 @@ def test_whole_strings(spark):
     array, reason = whole_strings("t")
     got = {r.t: r.a for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", array.alias("a"), reason.alias("r")).collect()}
     assert got == cases
+
+
+def test_parts_of_elements_are_found_in_file_order_without_a_row_per_comma(spark, tiny_ranges):
+    root = _folder(spark, "parts")
+    rnd = random.Random(7)
+    odd = ["a,b,c,,,", 'q"[,]', "\\", "\\\\,\\", '\\"', "é,ü", "", "{,}"]
+    want = {n: [{"v": rnd.choice(odd) * 3 + str(i), "w": [i, {"x": ","}]} for i in range(k)] for n, k in (("a", 900), ("b", 1), ("c", 30))}
+    for n, values in want.items():
+        _write(root, n, json.dumps(values))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")      # elements go on over batches
+    try:
+        raw = spark.read.option("lineSep", ",").text(f"{root}/*.json")
+        parts = json_arrays._element_parts(spark, raw, Window.partitionBy("path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))
+        ranges = parts.select("path", "blk").distinct().count()
+        assert raw.count() > 5000 and ranges > 10 and 931 <= parts.count() <= 931 + 2 * ranges
+        got = _by_file(scan_arrays(spark, f"{root}/*.json").elements.collect(), "text")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {n: [json.loads(t) for t in texts] for n, texts in got.items()} == want
