@@ -28,7 +28,7 @@ STATE_DONE = "1"
 CROP_FOLDER = "crop_img"
 # -----------------------------------------------------------------------------------------
 
-MAX_LISTED = 20_000_000 # expected items whose bitmaps are broadcast: 80 MB
+MAX_BITS = 1 << 29      # bits of the broadcast bitmaps of expected items: 64 MB; they serve up to a quarter as many items
 CROP_BLOCK = 32         # crop positions of one block in which recognitions meet their pages: each page looks through its blocks
 
 
@@ -336,29 +336,33 @@ def missing_images(label: DataFrame, images: DataFrame) -> DataFrame:
 def possibly_listed(done: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys of ``done`` without nearly all that aren't in ``listed`` (a small stored table of keys).
 
-    A one-hash Bloom filter over the listed keys, 16 bits or more each, as a table of bitmaps of 32,768
-    bits; it is broadcast (4 bytes a key at most) and tested where ``done`` is read.
+    A one-hash Bloom filter over the listed keys, 16 bits or more each up to ``MAX_BITS`` in all, as a table of
+    bitmaps of 32,768 bits, 512 longs each; it is broadcast (4 bytes a key at most) and tested where ``done``
+    is read, by a look into an array.
     """
-    bits = 1 << max(15, (16 * listed.count() - 1).bit_length())
-
-    def placed(df: DataFrame) -> DataFrame:
-        df = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(bits)).alias("_slot"))
-        return df.select(*keys, F.expr("_slot div 32768").alias("_bucket"), F.expr("_slot % 32768").alias("_bit"))
-    maps = placed(listed).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
-    near = placed(done).join(F.broadcast(maps), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_map, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
-    return near.where(F.bit_get(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*keys)
+    bits = min(MAX_BITS, 1 << max(15, (16 * listed.count() - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    word = F.expr("_slot div 64")
+    set_bits = listed.select(slot.alias("_slot")).select(word.alias("_word"), F.expr("shiftleft(1L, int(_slot % 64))").alias("_bits"))
+    words = set_bits.unionByName(listed.sparkSession.range(bits // 64).select(F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_bits")))
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    maps = words.groupBy(F.expr("_word div 512").alias("_bucket")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_word", "_bits"))), lambda x: x["_bits"]).alias("_map"))
+    placed = done.select(*keys, slot.alias("_slot"))
+    near = placed.select(*keys, F.expr("_slot div 32768").alias("_bucket"), F.expr("int(_slot % 32768)").alias("_bit"))
+    near = near.join(F.broadcast(maps), "_bucket")
+    return near.where(F.expr("bit_get(_map[_bit div 64], _bit % 64) = 1")).select(*keys)
 
 
 def resume_todo(expected: DataFrame, done: DataFrame, keys: Sequence[str], large_done: bool = False) -> DataFrame:
     """Work items not yet done (per-item resume instead of all-or-nothing).
 
     ``large_done``: the done list is far longer than the expected one; only its items that may
-    be expected ones are shuffled, up to ``MAX_LISTED`` expected items.
+    be expected ones are shuffled, up to ``MAX_BITS`` / 4 expected items.
     """
     if large_done:
         listed = materialize(expected.select(*keys).distinct(), "listed")
-        if listed.count() <= MAX_LISTED:
+        if listed.count() <= MAX_BITS // 4:
             done = possibly_listed(done, listed, keys)
     return expected.join(done.select(*keys).distinct(), list(keys), "left_anti")
 

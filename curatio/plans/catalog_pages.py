@@ -416,6 +416,8 @@ def q_resume_todo(spark, sf_dir):
 def q_resume_large_done(spark, sf_dir):
     """The done list also holds a hundred pages of other documents for each expected one."""
     expected, done = _expected_and_done(spark, sf_dir)
-    others = expected.selectExpr("explode(transform(sequence(1, 100), i -> concat(doc, '_v', i))) AS doc", "page")
+    # dealt out before each page becomes a hundred rows; a hash of its own, as the key's partitioning would be merged into few
+    spread = expected.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc", "page"))
+    others = spread.selectExpr("doc", "page", "explode(sequence(1, 100)) AS i").selectExpr("concat(doc, '_v', i) AS doc", "page")
     todo = pages.resume_todo(expected, done.unionByName(others), ["doc", "page"], large_done=True)
     return todo.select("doc", "page", pages.page_file_name("doc", "page").alias("page_name"))

@@ -162,6 +162,19 @@ def test_resume_against_a_long_done_list(spark):
     assert pages.resume_todo(expected.limit(0), done, ["doc", "page"], large_done=True).count() == 0
 
 
+def test_more_expected_items_than_full_bitmaps_serve(spark, monkeypatch):
+    """The bitmaps stop growing, lose no item, and are looked into as numbers."""
+    monkeypatch.setattr(pages, "MAX_BITS", 1 << 15)
+    expected = spark.range(8000).select(F.concat(F.lit("d"), (F.col("id") % 3).cast("string")).alias("doc"), F.col("id").alias("page"))
+    done = spark.range(40_000).select(F.concat(F.lit("d"), (F.col("id") % 3).cast("string")).alias("doc"), (F.col("id") * 5).alias("page"))
+    near = pages.possibly_listed(done, expected, ["doc", "page"])
+    hits = done.join(expected, ["doc", "page"], "left_semi")
+    assert hits.count() > 500 and hits.subtract(near).isEmpty() and near.count() < 0.4 * done.count()
+    assert "conv(" not in near._jdf.queryExecution().optimizedPlan().toString()
+    plain = sorted(map(str, pages.resume_todo(expected, done, ["doc", "page"]).collect()))
+    assert sorted(map(str, pages.resume_todo(expected, done, ["doc", "page"], large_done=True).collect())) == plain
+
+
 def test_a_block_of_crops_gets_its_own_polygons_only(spark):
     listed = spark.createDataFrame([(0, "raw/a_page_1.png"), (1, "raw/a_page_2.png")], "row_pos long, path string")
     dets = spark.createDataFrame([("raw/a_page_1.png", 0, [[0, 0]])] + [("raw/a_page_2.png", i, [[i, i]]) for i in range(5)],
