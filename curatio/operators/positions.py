@@ -46,7 +46,7 @@ def _range_partitioned(df: DataFrame, order_cols: list[Column], num_partitions:
     checkpointed table keeps that parallelism for the stages that read it.  (Merged ranges
     would still be contiguous and in order, so positions would stay right either way.)
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = num_partitions or shuffle_partitions(df)
     return df.repartitionByRange(n, *order_cols)
 
 
@@ -64,16 +64,26 @@ def _add_partition_offsets(tagged: DataFrame, value_col: str | None, out_col: st
     return tagged.join(F.broadcast(offs), "_pid")
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
-                    num_partitions: int | None = None, keep_partition: str | None = None) -> DataFrame:
+                    num_partitions: int | None = None, keep_partition: str | None = None,
+                    range_id: Column | None = None) -> DataFrame:
     """``row_number() over (order by ...) - 1`` without a single-partition window.
 
     ``order`` should be a total order (unique key) for reproducible positions; ties get
     distinct positions in an unspecified order.  ``keep_partition`` names a column that
-    keeps the number of the row's range.
+    keeps the number of the row's range.  Where the ranges are known beforehand (a hash),
+    ``range_id`` gives the row's, from 0 below ``num_partitions`` and rising with the order: the
+    rows are then read once, without sampling the bounds.  The result's partitions, in turn,
+    hold the rows in order.
     """
     order_cols = _cols(order)
-    s = (_range_partitioned(df, order_cols, num_partitions).sortWithinPartitions(*order_cols)
+    n = num_partitions or shuffle_partitions(df)
+    ranges = _range_partitioned(df, order_cols, n) if range_id is None else df.repartitionById(n, range_id)
+    s = (ranges.sortWithinPartitions(*order_cols)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     s = materialize(s, "positions")
@@ -111,14 +121,16 @@ def group_offsets(df: DataFrame, keys: Sequence[str], order: Sequence, value_col
 
 
 def file_positions(df: DataFrame, out_col: str = "row_pos", group_cols: Sequence[str] = (),
-                   order_prefix: Sequence = ()) -> DataFrame:
+                   order_prefix: Sequence = (), path_groups: dict[str, str] | None = None) -> DataFrame:
     """Positions in file order (file path, then byte offset, then line order).
 
     ``df`` must come straight from a file scan, so a partition always holds the same file
     splits in the same order: the count branch and the numbering branch agree.  Spark packs
     splits by size, not by name, so partition order alone is not file order.  Positions
     restart for each ``group_cols`` value (for example a split name); ``order_prefix``
-    columns sort before the file path (for example a shard number).
+    columns sort before the file path (for example a shard number).  ``path_groups`` (column ->
+    pattern) are further groups, each the pattern's first capture in the file path, looked for
+    once a split and not in every row.
 
     A row finds its split by its scan partition and its index there.  The table of splits
     is counted: up to ``_MAX_BROADCAST_SPLITS`` rows of four numbers it is broadcast, beyond
@@ -129,8 +141,9 @@ def file_positions(df: DataFrame, out_col: str = "row_pos", group_cols: Sequence
     blocks = (s.withColumn("_path", F.col("_metadata.file_path")).withColumn("_blk", F.col("_metadata.file_block_start"))
               .groupBy(*group_cols, *_names(order_prefix), "_path", "_blk", "_scan")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first")))
-    offs = materialize(group_offsets(blocks, group_cols, [*order_prefix, "_path", "_blk"], "_n", "_off")
-                       .select("_scan", "_first", "_n", "_off"), "splits")
+    found = {c: F.regexp_extract("_path", p, 1) for c, p in (path_groups or {}).items()}
+    offs = materialize(group_offsets(blocks.withColumns(found) if found else blocks, [*group_cols, *found], [*order_prefix, "_path", "_blk"], "_n", "_off")
+                       .select("_scan", "_first", "_n", "_off", *found), "splits")
     if offs.count() <= _MAX_BROADCAST_SPLITS:
         offs = F.broadcast(offs)
     o = offs.withColumnRenamed("_scan", "_of")

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.operators.positions import dense_positions, materialize
+from curatio.operators.positions import dense_positions, materialize, shuffle_partitions
 from curatio.session import scratch_path
 
 DIGITS = 4              # hexadecimal digits of the hash counted at a time: 65,536 buckets
@@ -74,8 +74,14 @@ def held_out(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "r
 
 
 def seeded_rank(df: DataFrame, seed: int, pos_col: str = "row_pos", out_col: str = "_rank") -> DataFrame:
-    """Rank of every row by the seeded hash, for a whole permutation."""
-    return dense_positions(df.withColumn("_h", _hash(seed, pos_col)), ["_h", pos_col], out_col).drop("_h")
+    """Rank of every row by the seeded hash, for a whole permutation; the partitions, in turn, hold the rows by rank.
+
+    The leading 32 bits of the hash say which of the equal ranges a row belongs to.
+    """
+    n = shuffle_partitions(df)
+    lead = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+    part = F.coalesce(F.shiftright(lead * F.lit(n), 32), F.lit(0)).cast("int")      # a NULL position has no hash and is first
+    return dense_positions(df.withColumn("_h", _hash(seed, pos_col)), ["_h", pos_col], out_col, n, range_id=part).drop("_h")
 
 
 def exact_split(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "row_pos",
@@ -116,7 +122,7 @@ def permute_head_split(df: DataFrame, head: int = 800, seed: int = 0, pos_col: s
     """First ``head`` rows of a seeded permutation are train, the rest test.
 
     ``pos_col`` becomes the row's place in the permutation within its split, which is the
-    order the splits are written in.
+    order the splits are written in, and the order of the rows over the partitions.
     """
     r = seeded_rank(df, seed, pos_col)
     in_head = F.col("_rank") < F.lit(head)

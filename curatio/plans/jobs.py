@@ -219,7 +219,7 @@ def materialise_source(spark: SparkSession, paths: str | Sequence[str], root: st
     rows = prompts.svamp_prompt(rows.select("row_pos", F.col("Body").alias("body"), F.col("Question").alias("question"),
                                             F.col("Equation").alias("equation")))
     splits = sampling.permute_head_split(rows, head, seed).select("split", "row_pos", "input", "label")
-    return sinks.write_json_splits(splits, root, "svamp", spec_for("svamp").split_map)
+    return sinks.write_json_splits(splits, root, "svamp", spec_for("svamp").split_map, in_order=True)
 
 
 def preprocess_documents(docs: DataFrame, images: DataFrame, done_texts: DataFrame, page_texts: DataFrame

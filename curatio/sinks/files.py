@@ -38,21 +38,25 @@ def write_lines(df: DataFrame, path: str, line_col: str = "line", order: Sequenc
 
 def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[str, str],
                       split_col: str = "split", order: Sequence[str] = ("row_pos",),
-                      drop: Sequence[str] = ("row_pos",), num_partitions: int | None = None) -> list[str]:
+                      drop: Sequence[str] = ("row_pos",), num_partitions: int | None = None,
+                      in_order: bool = False) -> list[str]:
     """Each split as JSON lines under its logical name: ``{root}/{dataset}/{dataset}_{name}.json``.
 
     ``split_map`` maps logical name → source split name (e.g. ``test`` → ``validation``).
     The rows are checkpointed once; each split (at most three) is then one write. Rows keep
-    their order, and NULLs are written out.
+    their order, and NULLs are written out.  With ``in_order`` the rows are stored already
+    and the partitions, in turn, hold those of each split in order: they are written as they are.
     """
     if not split_map:
         raise ValueError("split_map (logical name -> source split) is required")
-    df = materialize(df, "splits")
+    if not in_order:
+        df = materialize(df, "splits")
     out = []
     for logical, source in split_map.items():
         path = f"{root.rstrip('/')}/{dataset}/{dataset}_{logical}.json"
         part = df.where(F.col(split_col) == source)
-        ordered(part, order, num_partitions).drop(split_col, *drop).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        part = part if in_order else ordered(part, order, num_partitions)
+        part.drop(split_col, *drop).write.mode("overwrite").option("ignoreNullFields", False).json(path)
         out.append(path)
     return out
 

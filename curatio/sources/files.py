@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,8 @@ def read_json_splits(spark: SparkSession, root: str, dataset: str, schema: str,
     """
     paths = [f"{root.rstrip('/')}/{dataset}/{dataset}_{s}.json" for s in splits]
     names = T._parse_datatype_string(schema).names
-    lines = spark.read.text(paths).where(~F.col("value").rlike(r"\A\s*\z")).withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), SPLIT_FILE_RE, 1))
-    lines = file_positions(lines.withColumn("_path", F.col("_metadata.file_path")), "row_pos", group_cols=["split"])
+    lines = spark.read.text(paths).where(F.col("value").startswith("{") | ~F.col("value").rlike(r"\A\s*\z"))
+    lines = file_positions(lines.withColumn("_path", F.col("_metadata.file_path")), "row_pos", path_groups={"split": SPLIT_FILE_RE})
     df = with_object(lines.select("split", "row_pos", "value", "_path"), "value", schema, names if required is None else required)
     if quarantine is not None:
         (df.where("_why IS NOT NULL").selectExpr("_path AS path", "row_pos AS place", "_why AS reason", "value AS line")
@@ -69,8 +69,8 @@ def read_json_array(spark: SparkSession, paths: str | Sequence[str], schema: str
     names = T._parse_datatype_string(schema).names
     rows = _accepted(as_rows(scan_arrays(spark, paths), schema, names if required is None else required), quarantine, "damaged array files")
     order = F.regexp_extract("path", path_order_re, 1).cast("bigint") if path_order_re else F.lit(0).cast("bigint")
-    rows = rows.select(F.lit("").alias("split"), order.alias("shard"), "path", F.col("idx").alias("shard_idx"), *names)
-    return shard_positions(rows).select(*names, "row_pos")
+    rows = rows.select("path", F.col("idx").alias("shard_idx"), *names)
+    return shard_positions(rows, F.lit(""), order).select(*names, "row_pos")
 
 
 def read_output_arrays(spark: SparkSession, paths: str | Sequence[str], path_re: str = COT_SHARD_RE,
@@ -86,19 +86,25 @@ def read_output_arrays(spark: SparkSession, paths: str | Sequence[str], path_re:
     """
     files = _accepted(as_strings(scan_arrays(spark, paths)), quarantine, "damaged output files")
     shard = F.regexp_extract("path", path_re, 2).cast("bigint") if has_shard else F.lit(0).cast("bigint")
-    rows = files.select(F.regexp_extract("path", path_re, 1).alias("split"), shard.alias("shard"), "path", F.col("idx").alias("shard_idx"), "output")
-    return shard_positions(rows).select("split", "shard", "row_pos", "output")
+    rows = files.select("path", F.col("idx").alias("shard_idx"), "output")
+    return shard_positions(rows, F.regexp_extract("path", path_re, 1), shard).select("split", "shard", "row_pos", "output")
 
 
-def shard_positions(rows: DataFrame, out_col: str = "row_pos") -> DataFrame:
+def shard_positions(rows: DataFrame, split: Column | None = None, shard: Column | None = None, out_col: str = "row_pos") -> DataFrame:
     """Positions of (split, shard, path, shard_idx) rows from the row counts of the files.
 
     Files follow each other in shard order (then path) and may hold any number of rows.
+    ``split`` and ``shard``, if given, are derived from ``path``, once a file; the rows needn't have them.
     The table of files is counted: it is broadcast up to ``_MAX_BROADCAST_FILES`` rows, and
     beyond that AQE picks the join.
     """
-    sizes = rows.groupBy("split", "shard", "path").agg(F.count(F.lit(1)).alias("_n"))
-    offs = materialize(group_offsets(sizes, ["split"], ["shard", "path"], "_n", "_off").select("path", "_off"), "files")
+    if split is None:
+        sizes = rows.groupBy("split", "shard", "path").agg(F.count(F.lit(1)).alias("_n"))
+        named = []
+    else:
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).select(split.alias("split"), shard.alias("shard"), "path", "_n")
+        named = ["split", "shard"]
+    offs = materialize(group_offsets(sizes, ["split"], ["shard", "path"], "_n", "_off").select("path", "_off", *named), "files")
     if offs.count() <= _MAX_BROADCAST_FILES:
         offs = F.broadcast(offs)
     return (rows.join(offs, "path")

@@ -61,7 +61,7 @@ def refuse(problems: DataFrame, what: str) -> None:
 
 @dataclass
 class ArrayFiles:
-    elements: DataFrame     # path, idx, text, ok: the JSON text of each element of the readable files, and whether it is one value
+    elements: DataFrame     # path, idx, text, ok, two: the JSON text of each element of the readable files, whether it is one value, or has an opening bracket after a closing one
     damaged: DataFrame      # path, place (NULL: the whole file), reason: files that can't be read
     problems: DataFrame     # the same of files and elements
 
@@ -154,7 +154,7 @@ class _Range:
 
     def _rows(self, texts: pa.Array, two: np.ndarray, low: np.ndarray, ended: bool) -> pa.RecordBatch:
         n = len(texts)
-        out = [pa.array([self.path] * n, pa.string()), pa.array([self.blk] * n, pa.int64()), pa.array(np.arange(self.k, self.k + n)),
+        out = [pa.repeat(pa.scalar(self.path, pa.string()), n), pa.repeat(pa.scalar(self.blk, pa.int64()), n), pa.array(np.arange(self.k, self.k + n)),
                texts.cast(pa.string()), pa.array(two, pa.bool_()), pa.array([ended] * n, pa.bool_()), pa.array(low, pa.int64()),
                pa.array([self.depth if not ended else 1] * n, pa.int64()), pa.array([self.inside if not ended else 0] * n, pa.int32())]
         self.k += n
@@ -217,6 +217,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from now.close()
 
 
+def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of whole files, from rows (path, value); pieces are cut as the text source cuts them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = batch.column(1).slice(i, 1).cast(pa.large_string())
+            if pc.starts_with(value, "\ufeff")[0].as_py():
+                value = pc.binary_slice(value.cast(pa.large_binary()), 3).cast(pa.large_string())
+            pieces = pc.split_pattern(value, ",").flatten()
+            if pc.binary_length(pieces[len(pieces) - 1]).as_py() == 0:
+                pieces = pieces.slice(0, len(pieces) - 1)
+            if len(pieces):
+                now = _Range(batch.column(0)[i].as_py(), 0, 0, 0)
+                yield from now.add(pa.concat_arrays([pieces]))
+                yield from now.close()
+
+
 _COMMA = pa.scalar(",", pa.large_string())
 _EFFECTS = pa.schema([("path", pa.string()), ("blk", pa.int64()), ("odd", pa.int32()), ("d0", pa.int64()), ("d1", pa.int64())])
 _SEGMENTS = pa.schema([("path", pa.string()), ("blk", pa.int64()), ("k", pa.int64()), ("text", pa.string()), ("two", pa.bool_()), ("ended", pa.bool_()),
@@ -224,11 +240,11 @@ _SEGMENTS = pa.schema([("path", pa.string()), ("blk", pa.int64()), ("k", pa.int6
 _SEGMENTS_DDL = "path string, blk long, k long, text string, two boolean, ended boolean, low long, depth long, inside int"
 
 
-def _element_parts(spark: SparkSession, raw: DataFrame, per_file: Window) -> DataFrame:
+def _element_parts(spark: SparkSession, raw: DataFrame, per_file: Window, whole: DataFrame | None = None) -> DataFrame:
     """(path, blk, k, text, two, ended, low, depth, inside): the k-th part of an element in a byte range; stored.
 
-    A file no larger than the least range is read once.  Of larger ones, a first pass finds the state at
-    the start of each range.
+    A file no larger than the least range is read once, as one row if ``whole`` (the same files, a row each)
+    is given.  Of larger ones, a first pass finds the state at the start of each range.
     """
     least = min(_bytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
     size = F.col("_metadata.file_size")
@@ -244,8 +260,11 @@ def _element_parts(spark: SparkSession, raw: DataFrame, per_file: Window) -> Dat
         moved = F.raise_error(F.lit("a byte range was cut differently the second time")).cast("int")
         known = known.select("path", "blk", "value", F.coalesce("s", F.when(F.col("blk") > 0, moved).otherwise(F.lit(0))).alias("s"),
                              F.coalesce("depth0", F.lit(0)).cast("bigint").alias("depth0"))
-        first = small.select("path", "blk", "value", F.lit(0).alias("s"), F.lit(0).cast("bigint").alias("depth0"))
-        return _written(first.mapInArrow(_segments, _SEGMENTS_DDL).unionByName(known.mapInArrow(_segments, _SEGMENTS_DDL)), "element-parts")
+        if whole is None:
+            first = small.select("path", "blk", "value", F.lit(0).alias("s"), F.lit(0).cast("bigint").alias("depth0")).mapInArrow(_segments, _SEGMENTS_DDL)
+        else:
+            first = whole.where(size <= least).select(pieces[0], "value").mapInArrow(_whole_files, _SEGMENTS_DDL)
+        return _written(first.unionByName(known.mapInArrow(_segments, _SEGMENTS_DDL)), "element-parts")
 
 
 def _empty_files(spark: SparkSession, raw: DataFrame, read: DataFrame) -> DataFrame:
@@ -261,7 +280,7 @@ def scan_arrays(spark: SparkSession, paths: str | Sequence[str]) -> ArrayFiles:
     """The elements of every array file, in file and array order, and what can't be read."""
     raw = spark.read.option("lineSep", ",").text(paths)
     per_file = Window.partitionBy("path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    parts = _element_parts(spark, raw, per_file)
+    parts = _element_parts(spark, raw, per_file, spark.read.text(paths, wholetext=True))
     sums = parts.groupBy("path", "blk").agg(
         F.sum(F.col("ended").cast("bigint")).alias("ends"), F.sum("low").alias("low"), F.max_by("depth", "k").alias("depth"),
         F.max_by("inside", "k").alias("inside"), F.max((F.col("k") == 0) & F.col("text").rlike(r"\A\s*\[")).alias("opens"),
@@ -287,8 +306,7 @@ def scan_arrays(spark: SparkSession, paths: str | Sequence[str]) -> ArrayFiles:
     joined = joined.withColumn("text", F.when(F.col("idx") == F.col("last"), F.regexp_replace("text", r"\]\s*\z", "")).otherwise(F.col("text")))
     joined = joined.where(~((F.col("last") == 0) & F.col("text").rlike(r"\A\s*\z")))   # an empty array
     joined = at.where(alone).select("path", "idx", "text", "two").unionByName(joined.select("path", "idx", "text", "two"))
-    whole = F.coalesce(F.expr("json_array_length(concat('[', text, ']')) = 1"), F.lit(False)) & ~F.col("two")
-    elements = joined.select("path", "idx", "text", whole.alias("ok"))
+    elements = joined.select("path", "idx", "text", _one_value().alias("ok"), "two")
     damaged = verdict.where("reason IS NOT NULL").select("path", F.lit(None).cast("bigint").alias("place"), "reason")
     return ArrayFiles(elements, damaged, damaged.unionByName(elements.where("NOT ok").select("path", F.col("idx").alias("place"), F.lit(_NO_VALUE).alias("reason"))))
 
@@ -296,6 +314,10 @@ def scan_arrays(spark: SparkSession, paths: str | Sequence[str]) -> ArrayFiles:
 _NO_VALUE = "not a JSON value"
 
 
+def _one_value():
+    return F.coalesce(F.expr("json_array_length(concat('[', text, ']')) = 1"), F.lit(False)) & ~F.col("two")
+
+
 def _looked_at(files: ArrayFiles, rows: DataFrame, cols: Sequence[str]) -> ArrayFiles:
     """``rows`` with a reason ``_why`` (NULL: none), stored, so that every element is parsed once."""
     rows = _written(rows, "elements")
@@ -317,7 +339,7 @@ def as_strings(files: ArrayFiles, out_col: str = "output") -> ArrayFiles:
 
 def as_rows(files: ArrayFiles, schema: str, required: Sequence[str]) -> ArrayFiles:
     """Elements as columns of ``schema`` (DDL); what isn't such an object is a problem, and NULL."""
-    rows = with_object(files.elements, "text", schema, required, F.col("ok"), F.lit(_NO_VALUE)).select("path", "idx", "_r", "_why")
+    rows = with_object(files.elements.drop("ok"), "text", schema, required, _one_value(), F.lit(_NO_VALUE)).select("path", "idx", "_r", "_why")
     return _looked_at(files, rows, [F.col("_r")[c].alias(c) for c in rows.schema["_r"].dataType.names if c != "_corrupt"])
 
 
@@ -327,14 +349,36 @@ def with_object(df: DataFrame, text: str, schema: str, required: Sequence[str],
     The text is parsed in a step of its own, as several columns are derived from it.  Rows for which ``ok``
     doesn't hold get the reason ``not_ok``.
     """
-    df = df.withColumn("_r", F.from_json(text, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
-    df = df.withColumn("_keys", F.json_object_keys(text))
-    df = df.withColumn("_missing", F.array_except(F.array(*[F.lit(c) for c in required]).cast("array<string>"), F.col("_keys")))
-    reason = (F.when(F.col("_keys").isNull(), F.lit("not a JSON object"))
-              .when(F.size("_missing") > 0, F.concat(F.lit("missing "), F.array_join("_missing", ", ")))
+    # from a generator: a filter on columns derived from it would otherwise repeat the parsing
+    df = df.select("*", F.explode(F.array(F.from_json(text, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))).alias("_r"))
+    keys = F.json_object_keys(text)
+    missing = F.array_except(F.array(*[F.lit(c) for c in required]).cast("array<string>"), keys)
+    reason = (F.when(keys.isNull(), F.lit("not a JSON object"))
+              .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
               .when(F.col("_r")["_corrupt"].isNotNull(), F.lit("does not fit the schema")))
-    df = df.withColumn("_why", reason if ok is None else F.when(~ok, not_ok).otherwise(reason))
-    return df.withColumn("_r", F.when(F.col("_why").isNull(), F.col("_r"))).drop("_keys", "_missing")
+    why = reason if ok is None else F.when(~ok, not_ok).otherwise(reason)
+    if required:
+        df = df.withColumn("_why", F.when(_plain_object(text, required, ends=ok is not None), F.lit(None).cast("string")).otherwise(why))
+    else:
+        df = df.withColumn("_why", why)
+    return df.withColumn("_r", F.when(F.col("_why").isNull(), F.col("_r")))
+
+
+def _plain_object(text: str, required: Sequence[str], ends: bool):
+    """True if the parsed ``_r`` alone shows that the text is such an object, which needs no second parsing.
+
+    A required value that isn't NULL had its key.  NaN and the infinities are values to ``from_json`` only, so
+    a text that may hold them is left to the other checks.  With ``ends`` nothing may follow the object:
+    brackets balance in an element, so one that opens first, closes last and has no ``two`` is one value.
+    """
+    fits = F.col(text).startswith("{") & F.col("_r")["_corrupt"].isNull()
+    for c in required:
+        fits = fits & F.col("_r")[c].isNotNull()
+    for word in ("NaN", "Inf", "INF"):
+        fits = fits & ~F.col(text).contains(word)
+    if ends:
+        fits = fits & F.col(text).endswith("}") & ~F.col("two")
+    return F.coalesce(fits, F.lit(False))
 
 
 def whole_strings(text: str):

@@ -131,3 +131,38 @@ def test_parts_of_elements_are_found_in_file_order_without_a_row_per_comma(spark
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {n: [json.loads(t) for t in texts] for n, texts in got.items()} == want
+
+
+def test_small_files_are_cut_alike_as_rows_and_as_pieces(spark):
+    root = _folder(spark, "whole")
+    for i, text in enumerate(['[{"a": "x,\\", y"}, [1, {"b": 2}], 7]', "[]", "[1],", ",", "[1, 2", '﻿["a",,\n "b"]\n', " ", '["é,", "\\\\"] x', '[{"a": 1} {"b": 2}]']):
+        _write(root, f"f{i}", text)
+    raw, per_file = spark.read.option("lineSep", ",").text(f"{root}/*.json"), Window.partitionBy("path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    pieces, rows = (sorted(map(tuple, json_arrays._element_parts(spark, raw, per_file, w).collect()))
+                    for w in (None, spark.read.text(f"{root}/*.json", wholetext=True)))
+    assert rows == pieces and len({r[0] for r in rows}) == 9
+
+
+def test_small_files_take_no_row_per_comma(spark, monkeypatch):
+    root = _folder(spark, "one-row")
+    _write(root, "a", json.dumps([{"A": i, "B": "x,y"} for i in range(50)]))
+
+    def refuse_pieces(batches):
+        for _ in batches:
+            raise AssertionError("read piece by piece")
+            yield
+    monkeypatch.setattr(json_arrays, "_segments", refuse_pieces)
+    assert [r.A for r in sources.read_json_array(spark, f"{root}/a.json", "A int, B string").orderBy("row_pos").collect()] == list(range(50))
+
+
+def test_objects_accepted_after_one_parsing_are_those_of_all_checks(spark):
+    texts = ['{"a": 1, "b": "x"}', '{"a": 1, "b": "NaN"}', '{"a": NaN, "b": "x"}', '{"a": 1, "b": NaN}', '{"a": 1, "b": Infinity}', '[{"a": 1, "b": "x"}]', '{"a": 1, "b": "x"',
+             ' {"a": 1, "b": "x"} ', "{'a': 1, 'b': 'x'}", '{"a": "q", "b": "x"}', '{"b": "x"}', '{"a": null, "b": null}', "", "7", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r._why, r._r) for r in json_arrays.with_object(df, "t", "a int, b string", ["a", "b"]).collect()}
+    want = {'{"a": NaN, "b": "x"}': "not a JSON object", '{"a": 1, "b": NaN}': "not a JSON object", '{"a": 1, "b": Infinity}': "not a JSON object", '[{"a": 1, "b": "x"}]': "not a JSON object",
+            '{"a": 1, "b": "x"': "not a JSON object", '{"a": "q", "b": "x"}': "does not fit the schema", '{"b": "x"}': "missing a", "": "not a JSON object", "7": "not a JSON object", None: "not a JSON object"}
+    assert {t: why for t, (why, _) in got.items() if why} == want
+    assert all((r is None) == (why is not None) for why, r in got.values()) and got['{"a": 1, "b": "NaN"}'][1].b == "NaN"
+    rows = json_arrays.with_object(df, "t", "a int, b string", ["a", "b"]).where("_why IS NULL")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("from_json") == 1

@@ -85,3 +85,20 @@ def test_a_stored_input_is_split_by_one_filter(spark):
     for size, n in ((0, 0), (400, 400), (1, 1), (500, 400)):
         assert sampling.exact_split(df, 1, size, stored=True).where("part = 'test'").count() == n
     assert sampling.exact_split(df.limit(0), 1, 0.5).count() == 0
+
+
+def test_a_permutation_is_written_as_it_lies(spark):
+    """The ranges of the hash are known, so nothing samples them, and the writes sort nothing."""
+    from curatio.sinks import files as sinks
+    n, head = 900, 70
+    df = spark.range(n).select(F.col("id").alias("row_pos"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("input")).repartition(5)
+    rows = sampling.permute_head_split(df, head, seed=3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    order = [f"q{k}" for k in sorted(range(n), key=lambda k: (hashlib.md5(f"3:{k}".encode()).hexdigest(), k))]
+    paths = sinks.write_json_splits(rows, scratch_path(spark, "permuted"), "ds", {"train": "train", "test": "test"}, in_order=True)
+    for path, want in zip(paths, (order[:head], order[head:]), strict=True):
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("p"), F.monotonically_increasing_id().alias("i"), "value").collect()
+        assert [r.value for r in sorted(lines, key=lambda r: (r.p, r.i))] == [f'{{"input":"{q}"}}' for q in want]
+    nulls = sampling.seeded_rank(spark.createDataFrame([(1,), (None,), (2,)], "row_pos long"), 0).collect()
+    assert sorted(r._rank for r in nulls) == [0, 1, 2] and [r._rank for r in nulls if r.row_pos is None] == [0]
