@@ -22,7 +22,9 @@ in which most texts are unlike all others.
 
 Jobs:
 1. One pass over the texts writes size, digest and the counted elements of each set.
-2. Equal sets are one (smallest id); own elements are counted (one exchange, combined on the map side).
+2. Equal sets are one (smallest id); own elements are counted: blocks of elements (48 bits) with the tags
+   (32 bits) of their sets are dealt by element, blocks of own elements' tags by tag.  Elements that agree
+   in 48 bits count as shared, and sets that agree in the tag take part anyway, so no link is lost.
 3. The remaining sets are read again, with their signatures.
 4. A signature of several sets is a bucket; buckets of equal members count once.  Each member is
    compared with the bucket's smallest id; intersections are counted from the arrays.
@@ -48,7 +50,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatio.llm.chunks import ChunkTable, ragged, shared_table
@@ -59,6 +61,9 @@ GROUP = 256                             # pairs of one pivot that one group comp
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 19   # sets and elements of one block of a mixed bucket
 MAX_BROADCAST_SETS = 500_000            # ids of sets read again: 8 MB, about 40 MB as a hash relation
 PARTS = 3
+ELEMENT_BYTES, TAG_BYTES = 6, 4         # of an element and of a set while own elements are counted
+BLOCK_COUNTED = 500_000                 # elements of sets that one task deals out at a time
+PART_COUNTED, LEAST_PARTS = 1 << 20, 64     # elements that one task counts, and the least number of such parts
 _R = np.random.default_rng(11)
 _STEP = _R.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -155,12 +160,88 @@ def digests(docs: DataFrame) -> DataFrame:
         for part, sets in _sets_of(batches):
             d = [xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) for s in sets]
             k1, k2 = ([int.from_bytes(x[i:i + 8], "little", signed=True) for x in d] for i in (0, 8))
-            counted, sizes = ragged([s[s % np.uint64(10) < 3].view(np.int64) for s in sets], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            counted = [_packed(s[s % np.uint64(10) < 3] >> np.uint64(64 - 8 * ELEMENT_BYTES), ELEMENT_BYTES) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(counted))], ["doc_id", "n", "k1", "k2", "counted"])
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, counted array<long>")
+                 pa.array(counted, pa.binary())], ["doc_id", "n", "k1", "k2", "counted"])
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, counted binary")
+
+
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _extremes(e: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct elements, with the smallest and the largest of their tags."""
+    order = np.lexsort((tags, e))
+    e, tags = e[order], tags[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(e)), bool), e[1:] != e[:-1]]))
+    return e[first], tags[first], tags[np.append(first[1:], len(e))[:len(first)] - 1]
+
+
+def _dealt(key: np.ndarray, parts: int, **packed: tuple[np.ndarray, int]) -> pa.RecordBatch:
+    """One row (part, ...) for each part of the keys, with the packed numbers that belong to it."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts), "right")
+    starts = np.append(0, ends[:-1])
+    have = np.flatnonzero(ends > starts)
+    cols = [pa.array([_packed(x[order[a:b]], width) for a, b in zip(starts[have].tolist(), ends[have].tolist(), strict=True)], pa.binary()) for x, width in packed.values()]
+    return pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), *cols], ["part", *packed])
+
+
+def own_elements(known: DataFrame, parts: int) -> DataFrame:
+    """(tag, u): how many counted elements the sets of a tag, rows (k1, counted), share with no other tag.
+
+    Of an element no more than two tags travel from one block.
+    """
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            e, low, high = _extremes(np.concatenate(sets), np.repeat(np.array(tags, np.uint64), [len(x) for x in sets]))
+            two = low != high
+            e = np.concatenate([e, e[two]])
+            return _dealt(e, parts, elements=(e, ELEMENT_BYTES), tags=(np.concatenate([low, high[two]]), TAG_BYTES))
+        sets, tags, n = [], [], 0
+        for batch in batches:
+            for k1, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sets.append(_unpacked(data, ELEMENT_BYTES))
+                tags.append(k1 & 0xFFFFFFFF)
+                n += len(sets[-1])
+                if n >= BLOCK_COUNTED:
+                    yield block()
+                    sets, tags, n = [], [], 0
+        if sets:
+            yield block()
+
+    def numbers(table: pa.Table, column: str, width: int) -> np.ndarray:
+        return _unpacked(b"".join(table.column(column).to_pylist()), width)
+
+    def alone(table: pa.Table) -> pa.Table:
+        _, low, high = _extremes(numbers(table, "elements", ELEMENT_BYTES), numbers(table, "tags", TAG_BYTES))
+        tag, u = np.unique(low[low == high], return_counts=True)
+        times = -(-u // 255)            # a number above 255 is several
+        last = np.cumsum(times) - 1
+        u_of = np.full(int(times.sum()), 255, np.uint64)
+        u_of[last] = u - 255 * (times - 1)
+        tag = np.repeat(tag, times)
+        return pa.Table.from_batches([_dealt(tag, parts, tags=(tag, TAG_BYTES), us=(u_of, 1))])
+
+    def summed(table: pa.Table) -> pa.Table:
+        tag, at = np.unique(numbers(table, "tags", TAG_BYTES), return_inverse=True)
+        u = np.zeros(len(tag), np.int64)
+        np.add.at(u, at, numbers(table, "us", 1).astype(np.int64))
+        return pa.table({"tag": tag.astype(np.int64), "u": u})
+
+    dealt = known.select("k1", "counted").mapInArrow(blocks, "part long, elements binary, tags binary")
+    return (dealt.groupBy("part").applyInArrow(alone, "part long, tags binary, us binary")
+            .groupBy("part").applyInArrow(summed, "tag long, u long"))
 
 
 def signed_sets(docs: DataFrame, percent: int) -> DataFrame:
@@ -276,9 +357,10 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = written(digests(texts), "set-digests")
     known = table.where("n > 0 AND doc_id IS NOT NULL")
     exact = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), "distinct-sets")
-    once = (known.selectExpr("explode(counted) AS e", "k1").groupBy("e").agg(F.min("k1").alias("k1"), F.max("k1").alias("other"))
-            .where("k1 = other").groupBy("k1").agg(F.count(F.lit(1)).alias("u")))
-    kept = written(exact.join(once, "k1", "left").where(F.expr(f"100 * coalesce(u, 0) <= {100 - percent} * n")).select(F.col("rep").alias("doc_id")), "sets-with-partners")
+    counted = exact.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 3 // 10
+    once = own_elements(known, max(LEAST_PARTS, -(-counted // PART_COUNTED)))
+    tagged = exact.selectExpr("rep", "n", "k1 & 4294967295L AS tag").withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("tag")))
+    kept = written(tagged.join(once, "tag", "left").where(F.expr(f"same > 1 OR 100 * coalesce(u, 0) <= {100 - percent} * n")).select(F.col("rep").alias("doc_id")), "sets-with-partners")
     small = kept.count() <= MAX_BROADCAST_SETS
     again = texts.join(F.broadcast(kept) if small else kept.hint("merge"), "doc_id", "left_semi")
     if not small:

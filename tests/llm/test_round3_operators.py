@@ -320,3 +320,23 @@ def test_limits_below_one_are_refused():
     for name in ("max_tokens", "max_segments", "max_loss", "min_cut"):
         with pytest.raises(ValueError, match=name):
             packing.Limits(**{name: 0})
+
+
+def test_own_elements_are_counted_in_blocks(spark):
+    rnd = np.random.default_rng(4)
+    sets = {int(k): np.unique(rnd.integers(0, 3000, 400)).astype(np.uint64) << np.uint64(3) for k in rnd.integers(-2**62, 2**62, 12)}
+    sets[5 << 32 | 9] = np.arange(100_000, 100_900, dtype=np.uint64)      # more than one byte counts, and the tag of the next
+    sets[6 << 32 | 9] = np.arange(100_500, 101_200, dtype=np.uint64)
+    rows = [(k, bytearray(partenum._packed(s, partenum.ELEMENT_BYTES))) for k, s in sets.items()]
+    df = spark.createDataFrame(rows * 3, "k1 long, counted binary").repartition(5)
+    got = {r.tag: r.u for r in partenum.own_elements(df, 3).collect()}
+    tags = {}
+    for k, s in sets.items():
+        for e in s.tolist():
+            tags.setdefault(e, set()).add(k & 0xFFFFFFFF)
+    want = {}
+    for t in tags.values():
+        if len(t) == 1:
+            want[min(t)] = want.get(min(t), 0) + 1
+    assert got == want and want[9] == 1200
+    assert partenum.own_elements(df.limit(0), 3).collect() == []
