@@ -25,14 +25,18 @@ Jobs:
 2. Equal sets are one (smallest id); own elements are counted: blocks of elements (48 bits) with the tags
    (32 bits) of their sets are dealt by element, blocks of own elements' tags by tag.  Elements that agree
    in 48 bits count as shared, and sets that agree in the tag take part anyway, so no link is lost.
-3. The remaining sets are read again, with their signatures.
-4. A signature of several sets is a bucket; buckets of equal members count once.  Each member is
+3. The remaining sets are read again and written.
+4. A signature of several sets is a bucket; buckets of equal members count once.  Signatures (46 bits and
+   more) and ids travel packed, once, dealt by signature; signatures of one set go no further.  Sets whose
+   signatures agree in these bits are compared, so no pair is lost.  A signature that a block of sets
+   repeats often, or that has very many members, leaves its task in pieces.  Each member is
    compared with the bucket's smallest id; intersections are counted from the arrays.
 5. Connected components of the links.  Where a bucket's members lie in different components,
    those outside its largest one are compared with all others, in blocks of bounded size, by
    parity bits (half a byte an element) that give a lower bound of the difference; the pairs
-   that they leave are verified as in 4.  A bucket of m mutually unlike sets costs m * m / 2
-   comparisons of bits, over many tasks.
+   that they leave are verified as in 4.  Buckets of one smallest id have mostly the same members:
+   they are compared together, so that a member's bits travel once for many buckets.  A bucket of m
+   mutually unlike sets costs m * m / 2 comparisons of bits, over many tasks.
 6. Components again, if that found links.
 
 Edge cases: NULL, empty and blank texts have no shingles and are their own component; texts of 1 to
@@ -59,11 +63,16 @@ from curatio.llm.common import components, id_and_text, join_hot_safe, text_slic
 K, PERCENT = 5, 80
 GROUP = 256                             # pairs of one pivot that one group compares
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 19   # sets and elements of one block of a mixed bucket
+UNITED = 32                             # times as much that the mixed buckets examined together may hold
 MAX_BROADCAST_SETS = 500_000            # ids of sets read again: 8 MB, about 40 MB as a hash relation
 PARTS = 3
+UNIT = ["unit", "chunk", "lo", "hi"]    # sets compared together
 ELEMENT_BYTES, TAG_BYTES = 6, 4         # of an element and of a set while own elements are counted
-BLOCK_COUNTED = 500_000                 # elements of sets that one task deals out at a time
-PART_COUNTED, LEAST_PARTS = 1 << 20, 64     # elements that one task counts, and the least number of such parts
+SIGNATURE_BYTES = 5                     # of a signature, besides its part
+BLOCK_COUNTED = 500_000                 # elements or signatures of sets that one task deals out at a time
+PART_COUNTED, LEAST_PARTS = 1 << 20, 64     # elements or signatures that one task counts, and the least number of such parts
+OFTEN = 64                              # members of a signature in one block; more go by themselves
+MOST_MEMBERS = 4096                     # members of a signature in one row
 _R = np.random.default_rng(11)
 _STEP = _R.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -244,15 +253,110 @@ def own_elements(known: DataFrame, parts: int) -> DataFrame:
             .groupBy("part").applyInArrow(summed, "tag long, u long"))
 
 
-def signed_sets(docs: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, elements, parity, signatures) of each row of (doc_id, text)."""
+def kept_sets(docs: DataFrame) -> DataFrame:
+    """(rep, n, elements, parity) of each row of (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets_of(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                 pa.array([parity(s) for s in sets], pa.binary()),
-                 pa.array([np.unique(signatures(s, percent)) for s in sets], pa.list_(pa.int64()))], ["rep", "n", "elements", "parity", "signatures"])
-    return docs.mapInArrow(run, "rep long, n long, elements array<long>, parity binary, signatures array<long>")
+                 pa.array([parity(s) for s in sets], pa.binary())], ["rep", "n", "elements", "parity"])
+    return docs.mapInArrow(run, "rep long, n long, elements array<long>, parity binary")
+
+
+def _runs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted, and where the run of each key starts and ends."""
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids = key[new], ids[new]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key, ids, starts, np.append(starts[1:], len(key))[:len(starts)]
+
+
+def shared_signatures(sets: DataFrame, low: int, high: int, parts: int, percent: int,
+                      block: int = BLOCK_COUNTED, often: int = OFTEN, most: int = MOST_MEMBERS) -> DataFrame:
+    """(bucket, reps, whole): the sets, rows (rep, elements) with ids from ``low`` to ``high``, of each signature that several have.
+
+    ``whole`` rows hold all members, ascending; of equal ones a task returns one.  The others are pieces, and may repeat a member.
+    """
+    width = max(1, ((high - low).bit_length() + 7) // 8)
+    base, of = np.uint64(low & 0xFFFFFFFFFFFFFFFF), np.uint64(parts)
+    kinds = {"part": pa.int64(), "signatures": pa.binary(), "ids": pa.binary(), "often": pa.binary(), "bucket": pa.int64()}
+
+    def name(part: int, key: np.ndarray) -> np.ndarray:
+        return (key * of + np.uint64(part)).view(np.int64)
+
+    def pieces(part: int, key: np.uint64, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(0, len(ids), most):
+            yield int(name(part, np.array([key]))[0]), ids[i:i + most]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def deal() -> Iterator[pa.RecordBatch]:
+            s, ids, starts, ends = _runs(np.concatenate(found), np.repeat(np.array(reps, np.int64).view(np.uint64) - base, [len(x) for x in found]))
+            hot = np.flatnonzero(ends - starts > often)
+            stay, rows = np.ones(len(s), bool), []
+            for a, b in zip(starts[hot].tolist(), ends[hot].tolist(), strict=True):     # two show that it is shared
+                stay[a + 2:b] = False
+                for bucket, x in pieces(int(s[a] % of), s[a] // of & mask, ids[a + 2:b]):
+                    rows.append({"part": -1 - int(_mix(x[:1] + np.uint64(bucket & 0xFFFFFFFFFFFFFFFF))[0] % of), "ids": _packed(x, width), "bucket": bucket})
+            s, ids, hot = s[stay], ids[stay], s[starts[hot]]
+            for row in (_dealt(s, parts, signatures=(s // of, SIGNATURE_BYTES), ids=(ids, width)), _dealt(hot, parts, often=(hot // of, SIGNATURE_BYTES))):
+                rows += row.to_pylist()
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+        found, reps, n = [], [], 0
+        for batch in batches:
+            ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().view(np.uint64)
+            for rep, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                found.append(signatures(values[a:b], percent).view(np.uint64))
+                reps.append(rep)
+                n += len(found[-1])
+                if n >= block:
+                    yield from deal()
+                    found, reps, n = [], [], 0
+        if n:
+            yield from deal()
+
+    def members(table: pa.Table) -> pa.Table:
+        def column(c: str) -> bytes:
+            return b"".join(x for x in table.column(c).to_pylist() if x)
+        part, rows = table.column("part")[0].as_py(), []
+        if part < 0:
+            rows = [(b, _unpacked(x, width), False) for b, x in zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True)]
+        else:
+            key, ids, starts, ends = _runs(_unpacked(column("signatures"), SIGNATURE_BYTES), _unpacked(column("ids"), width))
+            several = np.flatnonzero(ends - starts > 1)
+            starts, ends = starts[several], ends[several]
+            whole = (ends - starts <= most) & ~np.isin(key[starts], _unpacked(column("often"), SIGNATURE_BYTES))
+            seen = set()
+            for a, b, w, bucket in zip(starts.tolist(), ends.tolist(), whole.tolist(), name(part, key[starts]).tolist(), strict=True):
+                if not w:
+                    rows += [(bucket, x, False) for _, x in pieces(part, key[a], ids[a:b])]
+                elif (same := ids[a:b].tobytes()) not in seen:
+                    seen.add(same)
+                    rows.append((bucket, ids[a:b], True))
+        values = np.concatenate([np.zeros(0, np.uint64), *(x for _, x, _ in rows)]) + base
+        offsets = np.cumsum([0, *(len(x) for _, x, _ in rows)])
+        return pa.table({"bucket": pa.array([b for b, _, _ in rows], pa.int64()), "reps": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64))),
+                         "whole": pa.array([w for _, _, w in rows], pa.bool_())})
+
+    mask = np.uint64((1 << 8 * SIGNATURE_BYTES) - 1)
+    dealt = sets.select("rep", "elements").mapInArrow(blocks, "part long, signatures binary, ids binary, often binary, bucket long")
+    return dealt.groupBy("part").applyInArrow(members, "bucket long, reps array<long>, whole boolean")
+
+
+def bucket_members(found: DataFrame) -> DataFrame:
+    """(bucket, rep, pivot) of the rows of ``shared_signatures``: each bucket's members with the smallest; buckets of equal members count once."""
+    whole = found.where("whole").groupBy("reps").agg(F.min("bucket").alias("bucket")).selectExpr("bucket", "explode(reps) AS rep", "reps[0] AS pivot")
+    if found.where("NOT whole").isEmpty():
+        return whole
+    placed = found.where("NOT whole").selectExpr("bucket", "explode(reps) AS rep").distinct()
+    shared = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("s1"),
+                                           F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"))
+              .groupBy("c", "pivot", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "c", "pivot"))
+    shared = written(shared, "buckets")
+    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    return whole.unionByName(join_hot_safe(placed, shared, ["bucket"], "c", int(total)).select("bucket", "rep", "pivot"))
 
 
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -304,45 +408,61 @@ def candidates(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray, side: np.
 
 
 def _group_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """``candidates`` of each (bucket, lo, hi) of a frame sorted by these."""
-    key, ids, roots, sizes, mine = (pdf[c].to_numpy() for c in (["bucket", "lo", "hi"], "rep", "root", "n", "mine"))
-    parities = pdf["parity"].tolist()
+    """``candidates`` of each bucket of each (unit, chunk, lo, hi) of a frame sorted by these."""
+    key, ids, roots, sizes, mine = (pdf[c].to_numpy() for c in (UNIT, "rep", "root", "n", "mine"))
+    parities, buckets = pdf["parity"].tolist(), pdf["buckets"].tolist()
     cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
     found = [np.zeros((2, 0), np.int64)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b - a > 1 and (roots[a:b] != roots[a]).any():
-            side = None if key[a, 1] == key[a, 2] else mine[a:b]
-            for i, j in candidates(sizes[a:b], _folded(parities[a:b]), roots[a:b], side, percent):
-                found.append(np.stack([ids[a + i], ids[a + j]]))
+        if b - a < 2 or (roots[a:b] == roots[a]).all():
+            continue
+        bucket, who = np.concatenate(buckets[a:b]), np.repeat(np.arange(a, b), [len(x) for x in buckets[a:b]])
+        order = np.argsort(bucket, kind="stable")
+        for at in np.split(who[order], np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(at) > 1 and (roots[at] != roots[at[0]]).any():
+                side = None if key[a, 2] == key[a, 3] else mine[at]
+                for i, j in candidates(sizes[at], _folded([parities[x] for x in at.tolist()]), roots[at], side, percent):
+                    found.append(np.stack([ids[at[i]], ids[at[j]]]))
     x = np.concatenate(found, axis=1)
     return pd.DataFrame({"rep": x.max(axis=0), "pivot": x.min(axis=0)}).drop_duplicates()
 
 
-def mixed_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (rep, pivot) of buckets whose members lie in different components that may be similar."""
-    at = members.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("bucket", "rep", "coalesce(root, rep) AS root")
-    mixed = written(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-                    .where("r1 <> r2 AND c > 2").selectExpr("bucket", "c"), "mixed-buckets")
+def mixed_units(members: DataFrame, roots: DataFrame, sets: DataFrame, block: int = BLOCK, united: int = UNITED) -> DataFrame:
+    """(unit, chunk, lo, hi, mine, rep, root, buckets): sets that are compared together, in buckets whose members lie in different components.
+
+    A bucket of one block is examined with others of its smallest id, up to ``united`` times a
+    block's sets and elements; of a larger one, each pair of blocks is a unit.
+    """
+    facts = (sets.groupBy("rep").agg(F.max("n").alias("n")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+             .selectExpr("rep", "n", "coalesce(root, rep) AS root"))
+    at = written(members.join(facts, "rep").select("bucket", "pivot", "rep", "root", "n"), "bucket-roots")
+    mixed = (at.groupBy("bucket").agg(F.min("pivot").alias("pivot"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+             .where("r1 <> r2 AND c > 2").selectExpr("*", f"int(ceil(greatest(c / {block}, w / {BLOCK_ELEMENTS}))) AS blocks"))
+    small = "sum(if(blocks = 1, {}, 0)) OVER (PARTITION BY pivot)".format
+    mixed = mixed.selectExpr("*", f"int(ceil(greatest({small('c')} / {united * block}, {small('w')} / {united * BLOCK_ELEMENTS}))) AS chunks")
+    mixed = written(mixed.selectExpr("bucket", "c", "blocks", "if(blocks = 1, pivot, bucket) AS unit", "if(blocks = 1, int(pmod(xxhash64(bucket), chunks)), -1) AS chunk"), "mixed-buckets")
     total = mixed.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    held = written(join_hot_safe(at, mixed, ["bucket"], "c", int(total)).drop("c").join(sets.select("rep", "n"), "rep"), "mixed-members")
-    weights = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
-    blocks = written(weights.selectExpr("bucket", "c", f"int(ceil(greatest(c / {block}, w / {BLOCK_ELEMENTS}))) AS blocks"), "mixed-blocks")
-    dealt = (join_hot_safe(held, blocks, ["bucket"], "c", int(total)).selectExpr("*", "int(pmod(xxhash64(rep), blocks)) AS mine")
-             .selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
-             .selectExpr("bucket", "least(mine, other) AS lo", "greatest(mine, other) AS hi", "mine", "rep", "root", "n").join(sets.select("rep", "parity"), "rep"))
+    return (join_hot_safe(at.select("bucket", "rep", "root"), mixed, ["bucket"], "c", int(total)).selectExpr("*", "int(pmod(xxhash64(rep), blocks)) AS mine")
+            .selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
+            .selectExpr("unit", "chunk", "least(mine, other) AS lo", "greatest(mine, other) AS hi", "mine", "bucket", "rep", "root")
+            .repartition("rep").groupBy(*UNIT, "mine", "rep", "root").agg(F.collect_list("bucket").alias("buckets")))
+
 
+def mixed_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (rep, pivot) of buckets whose members lie in different components that may be similar."""
     def examine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in frames:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            key = pdf[["bucket", "lo", "hi"]].to_numpy()
+            key = pdf[UNIT].to_numpy()
             last = int((~(key == key[-1]).all(axis=1)).nonzero()[0].max(initial=-1)) + 1 if len(key) else 0
             rest = pdf.iloc[last:]          # the last group may go on in the next batch
             yield _group_pairs(pdf.iloc[:last], percent)
         if rest is not None:
             yield _group_pairs(rest, percent)
-    groups = dealt.select("bucket", "lo", "hi", "mine", "rep", "root", "n", "parity").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return groups.mapInPandas(examine, "rep long, pivot long").distinct()
+    units = mixed_units(members, roots, sets, block).join(sets.select("rep", "n", "parity"), "rep")
+    units = units.select(*UNIT, "mine", "rep", "root", "buckets", "n", "parity").repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return units.mapInPandas(examine, "rep long, pivot long").distinct()
 
 
 def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -361,21 +481,17 @@ def linked_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = own_elements(known, max(LEAST_PARTS, -(-counted // PART_COUNTED)))
     tagged = exact.selectExpr("rep", "n", "k1 & 4294967295L AS tag").withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("tag")))
     kept = written(tagged.join(once, "tag", "left").where(F.expr(f"same > 1 OR 100 * coalesce(u, 0) <= {100 - percent} * n")).select(F.col("rep").alias("doc_id")), "sets-with-partners")
-    small = kept.count() <= MAX_BROADCAST_SETS
+    left, low, high = kept.agg(F.count("doc_id"), F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    small = left <= MAX_BROADCAST_SETS
     again = texts.join(F.broadcast(kept) if small else kept.hint("merge"), "doc_id", "left_semi")
     if not small:
         again = again.dropDuplicates(["doc_id"])
-    sets = written(signed_sets(again, percent), "signed-sets")
+    sets = written(kept_sets(again), "kept-sets")
 
-    placed = sets.selectExpr("rep", "explode(signatures) AS bucket")
-    if not exact.groupBy("rep").count().where("count > 1").isEmpty():       # an id with several texts
-        placed = placed.distinct()
-    shared = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("s1"),
-                                           F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("s2"))
-              .where("c > 1").groupBy("c", "pivot", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "c", "pivot"))
-    shared = written(shared, "buckets")
-    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    members = written(join_hot_safe(placed, shared, ["bucket"], "c", int(total)).select("bucket", "rep", "pivot"), "members")
+    elements = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, -(-4 * elements * (100 - percent) // percent // PART_COUNTED))    # about as many signatures
+    found = written(shared_signatures(sets, low, high, parts, percent), "shared-signatures")
+    members = written(bucket_members(found), "members")
     pairs = written(members.where("rep <> pivot").select("rep", "pivot").distinct(), "pairs")
     links = written(verified(pairs, sets, percent), "links")
     roots = written(components(links), "roots")

@@ -340,3 +340,42 @@ def test_own_elements_are_counted_in_blocks(spark):
             want[min(t)] = want.get(min(t), 0) + 1
     assert got == want and want[9] == 1200
     assert partenum.own_elements(df.limit(0), 3).collect() == []
+
+
+@pytest.mark.parametrize("often,most", [(64, 4096), (3, 4096), (64, 5), (2, 3)])
+def test_signatures_of_several_sets_are_found_in_blocks(spark, often, most):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = {-7 + 1000 * i: np.unique(np.concatenate([base[:60 - i % 9], rnd.integers(0, 1 << 63, i % 4, dtype=np.uint64)])) for i in range(30)}
+    rows = [(k, s.view(np.int64).tolist()) for k, s in sets.items()]
+    df = spark.createDataFrame(rows + rows[:9], "rep long, elements array<long>").repartition(3)
+    found = partenum.shared_signatures(df, min(sets), max(sets), 3, 80, block=200, often=often, most=most).cache()
+    have, want = {}, {}
+    for r in found.collect():
+        assert len(r.reps) <= most and not (r.whole and r.bucket in have)
+        have.setdefault(r.bucket, set()).update(r.reps)
+    for k, s in sets.items():
+        for x in np.unique(partenum.signatures(s)).tolist():
+            want.setdefault(x, set()).add(k)
+    want = {frozenset(m) for m in want.values() if len(m) > 1}
+    assert {frozenset(m) for m in have.values()} == want and (often > 3 or found.where("NOT whole").count())
+    members = {}
+    for r in partenum.bucket_members(found).collect():
+        members.setdefault((r.bucket, r.pivot), []).append(r.rep)
+    assert sorted(map(sorted, members.values())) == sorted(map(sorted, want)) and all(p == min(m) for (_, p), m in members.items())
+    assert partenum.shared_signatures(df.limit(0), 0, 0, 3, 80).collect() == []
+
+
+def test_sets_of_many_buckets_of_one_pivot_travel_once(spark):
+    of = {b: [0, *(x for x in range(1, 12) if (b + x) % 4)] for b in range(100, 140)} | {200: list(range(20, 50))}
+    members = spark.createDataFrame([(b, r, min(m)) for b, m in of.items() for r in m], "bucket long, rep long, pivot long")
+    sets = spark.createDataFrame([(r, 10) for r in range(50)], "rep long, n long")
+    roots = spark.createDataFrame([(1, 0), (2, 0)], "node long, root long")
+    got = partenum.mixed_units(members, roots, sets, block=16).collect()
+    united = [r for r in got if r.unit == 0]
+    assert len(united) == 12 and {(r.rep, b) for r in united for b in r.buckets} == {(x, b) for b, m in of.items() if b < 200 for x in m}
+    assert {r.root for r in united if r.rep < 3} == {0} and {(r.chunk, r.lo, r.hi) for r in united} == {(0, 0, 0)}
+    large = [r for r in got if r.unit == 200]
+    assert {(r.chunk, r.lo, r.hi) for r in large} == {(-1, 0, 0), (-1, 0, 1), (-1, 1, 1)} and len(large) == 60 and len(got) == 72
+    split = [r for r in partenum.mixed_units(members, roots, sets, block=16, united=3).collect() if r.unit == 0]
+    assert len({r.chunk for r in split}) > 1 and sum(len(r.buckets) for r in split) == sum(len(r.buckets) for r in united)
