@@ -160,34 +160,44 @@ def page_entries(pages: DataFrame, detections: DataFrame, recognitions: DataFram
     shorter list); a page with no polygons keeps ``[]``.  A path listed twice keeps the
     later page's entries at the earlier position.
 
-    The polygons of an image are gathered once (a detector bounds them) and stay gathered: a
-    page is the interval of crop positions from its offset on.  Recognitions meet the pages by
-    blocks of ``block`` crop positions, a page with each block that its interval touches.
+    A page is the interval of crop positions from its offset on.  Recognitions meet the pages by
+    blocks of ``block`` crop positions, a page with each block that its interval touches; only the
+    strings go on to the page's image, where its polygons are gathered (a detector bounds them): each
+    polygon is shuffled once.  ``detections`` is read twice, first to count: store it if it is costly to make.
     """
-    polygons = detections.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("poly_idx", "points"))).alias("_polys"))
-    held = pages.select("row_pos", key).join(polygons, key).select("row_pos", "_polys", F.size("_polys").cast("bigint").alias("_n"))
+    counts = detections.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    held = pages.select(*dict.fromkeys(["row_pos", "path", key])).join(counts, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     held = running_offsets(held, ["row_pos"], "_n", "_off")
-    held = held.select("row_pos", "_off", "_n", "_polys", F.explode(F.expr(f"sequence(_off div {block}, (_off + _n - 1) div {block})")).alias("_block"))
-    held = held.withColumn("_first", F.greatest(F.col("_off"), F.col("_block") * block))       # a block gets its own polygons only
-    end = F.least(F.col("_off") + F.col("_n"), (F.col("_block") + 1) * block)
-    held = held.select("row_pos", "_block", "_first", F.slice("_polys", (F.col("_first") - F.col("_off") + 1).cast("int"), (end - F.col("_first")).cast("int")).alias("_polys"))
-    strings = (recognitions.where("text IS NOT NULL").groupBy(F.expr(f"crop_pos div {block}").alias("_block"))
-               .agg(F.sort_array(F.collect_list(F.struct("crop_pos", "text"))).alias("_texts")))
-    mine = F.filter("_texts", lambda r: (r["crop_pos"] >= F.col("_first")) & (r["crop_pos"] < F.col("_first") + F.size("_polys")))
-
-    def entry(r: Column) -> Column:
-        return F.struct(r["text"].alias("transcription"), F.get("_polys", (r["crop_pos"] - F.col("_first")).cast("int"))["points"].alias("points"),
-                        F.lit(False).alias("difficult"))
-    parts = held.join(strings, "_block").select(F.col("row_pos").alias("_last"), "_block", F.transform(mine, entry).alias("_e"))
-    grouped = parts.groupBy("_last").agg(F.sort_array(F.collect_list(F.struct("_block", "_e"))).alias("_p")).select(
-        "_last", F.flatten(F.transform("_p", lambda x: x["_e"])).alias("_e"))
     if dedupe_paths:
         # narrow rows: which page of a path gives the entries, and where they go
-        place = pages.groupBy("path").agg(F.min("row_pos").alias("row_pos"), F.max("row_pos").alias("_last"))
+        last = F.max_by(F.struct(F.col(key).alias("_key"), "_off", "_n"), "row_pos").alias("_last")
+        held = held.groupBy("path").agg(F.min("row_pos").alias("row_pos"), last)
+        own = F.col("path" if key == "path" else "_last._key").alias("_key")
+        held = held.select("path", "row_pos", own, "_last._off", "_last._n")
     else:
-        place = pages.select("path", "row_pos", F.col("row_pos").alias("_last"))
-    out = place.join(grouped, "_last", "left").select(
-        "path", "row_pos", F.coalesce("_e", F.array().cast(grouped.schema["_e"].dataType)).alias("entries"))
+        held = held.select("path", "row_pos", F.col(key).alias("_key"), "_off", "_n")
+    page = ["_key"] if dedupe_paths and key == "path" else ["_key", "row_pos"]
+
+    spans = held.where("_n > 0").select(*page, "_off", "_n", F.explode(F.expr(f"sequence(_off div {block}, (_off + _n - 1) div {block})")).alias("_block"))
+    spans = spans.withColumn("_first", F.greatest(F.col("_off"), F.col("_block") * block))
+    spans = spans.withColumn("_end", F.least(F.col("_off") + F.col("_n"), (F.col("_block") + 1) * block)).drop("_off", "_n")
+    strings = (recognitions.where("text IS NOT NULL").groupBy(F.expr(f"crop_pos div {block}").alias("_block"))
+               .agg(F.sort_array(F.collect_list(F.struct("crop_pos", "text"))).alias("_texts")))
+    mine = F.filter("_texts", lambda r: (r["crop_pos"] >= F.col("_first")) & (r["crop_pos"] < F.col("_end")))
+    mine = F.transform(mine, lambda r: F.struct((r["crop_pos"] - F.col("_first")).cast("int").alias("i"), r["text"].alias("text")))
+    # never a broadcast: the size of compact files says little of the strings' size
+    parts = spans.join(strings.hint("merge"), "_block").select(*page, "_first", mine.alias("_texts")).where(F.size("_texts") > 0)
+    parts = parts.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("_first", "_texts"))).alias("_parts"))
+    polygons = (detections.select(F.col(key).alias("_key"), "poly_idx", "points").groupBy("_key")
+                .agg(F.sort_array(F.collect_list(F.struct("poly_idx", "points"))).alias("_polys")))
+
+    def entries(part: Column) -> Column:
+        own = F.slice("_polys", (part["_first"] - F.col("_off") + 1).cast("int"), F.lit(block))       # a block gets its own polygons only
+        return F.transform(part["_texts"], lambda r: F.struct(r["text"].alias("transcription"), F.get(own, r["i"])["points"].alias("points"),
+                                                              F.lit(False).alias("difficult")))
+    out = held.join(polygons.hint("merge"), "_key", "left").join(parts.hint("merge"), page, "left")
+    out = out.select("path", "row_pos", F.flatten(F.transform("_parts", entries)).alias("entries"))
+    out = out.withColumn("entries", F.coalesce("entries", F.array().cast(out.schema["entries"].dataType)))
     return out.withColumn("n_entries", F.size("entries").cast("bigint"))
 
 

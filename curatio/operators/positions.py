@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatio.session import ensure_checkpoint_dir
+from curatio.session import ensure_checkpoint_dir, passing_shuffles, scratch_path
 
 _LOW33 = (1 << 33) - 1
 _MAX_BROADCAST_SPLITS = 1_000_000   # four numbers a split: 32 MB at the bound
@@ -31,7 +31,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     later operators on the same key need no new exchange.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with passing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)    # a plan of its own, as the setting holds for plans made under it
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as a compact table below the shared checkpoint folder (or to ``path``), and read back.
+
+    For wide or many rows: columns that hold sorted, repeated or small values take a fraction of a
+    checkpoint's rows.  The partitions and their order aren't kept.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
+    with passing_shuffles(spark):
+        df.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _cols(cols) -> list[Column]:
@@ -70,23 +84,27 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def dense_positions(df: DataFrame, order: Sequence, out_col: str = "row_pos",
                     num_partitions: int | None = None, keep_partition: str | None = None,
-                    range_id: Column | None = None) -> DataFrame:
+                    range_id: Column | None = None, order_values: dict[str, Column] | None = None,
+                    keep: Sequence[str] | None = None) -> DataFrame:
     """``row_number() over (order by ...) - 1`` without a single-partition window.
 
     ``order`` should be a total order (unique key) for reproducible positions; ties get
     distinct positions in an unspecified order.  ``keep_partition`` names a column that
     keeps the number of the row's range.  Where the ranges are known beforehand (a hash),
     ``range_id`` gives the row's, from 0 below ``num_partitions`` and rising with the order: the
-    rows are then read once, without sampling the bounds.  The result's partitions, in turn,
-    hold the rows in order.
+    rows are then read once, without sampling the bounds, and ``order_values`` gives columns of the
+    order that are made after the rows are dealt out, and aren't kept.  The result's partitions, in turn,
+    hold the rows in order, unless ``keep`` names the columns of the result besides ``out_col``, which are
+    then ``stored``.
     """
     order_cols = _cols(order)
     n = num_partitions or shuffle_partitions(df)
     ranges = _range_partitioned(df, order_cols, n) if range_id is None else df.repartitionById(n, range_id)
-    s = (ranges.sortWithinPartitions(*order_cols)
+    made = order_values or {}
+    s = (ranges.withColumns(made).sortWithinPartitions(*order_cols).drop(*made)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_loc", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
-    s = materialize(s, "positions")
+    s = materialize(s, "positions") if keep is None else stored(s.select(*keep, "_pid", "_loc"), "positions")
     s = _add_partition_offsets(s, None, "_off")
     s = s.withColumn(out_col, (F.col("_off") + F.col("_loc")).cast("bigint")).drop("_loc", "_off")
     return s.withColumnRenamed("_pid", keep_partition) if keep_partition else s.drop("_pid")

@@ -208,14 +208,14 @@ def detections_with_points(spark, sf_dir) -> DataFrame:
 
 def recognitions_for(pgs: DataFrame, dets: DataFrame) -> DataFrame:
     """Recognised strings in flattened crop order, as a recogniser would return them."""
-    j = dets.join(pgs.select("row_pos", "path"), "path")
-    return positions.dense_positions(j, ["row_pos", "poly_idx"], "crop_pos").select("crop_pos", "text")
+    j = dets.select("path", "poly_idx", "text").hint("merge").join(pgs.select("row_pos", "path"), "path").select("row_pos", "poly_idx", "text")
+    return positions.dense_positions(j, ["row_pos", "poly_idx"], "crop_pos", keep=["text"]).select("crop_pos", "text")
 
 
 def ocr_entries(spark, sf_dir) -> DataFrame:
     pgs = ocr_pages(spark, sf_dir)
     # a detector's output and, made from it here, a recogniser's: built once
-    dets = positions.materialize(detections_with_points(spark, sf_dir), "detections")
+    dets = positions.stored(detections_with_points(spark, sf_dir), "detections")
     return pages.page_entries(pgs, dets.drop("text"), recognitions_for(pgs, dets))
 
 

@@ -10,9 +10,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)     # scratch folders of the open `passing_scratch`
+
 
 def build_session(master: str | None = None, app: str = "curatio",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
@@ -70,7 +76,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for written intermediate tables."""
     root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
+    return path
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders named within it are deleted at its end.
+
+    For the steps before a stored table: it must lie in a folder named outside, or be a checkpoint.
+    """
+    token = _PASSING.set(paths := [])
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written within it leaves no shuffle files; otherwise they lie on disk until the driver collects its garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
 
 
 def local_path(path: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.operators.positions import materialize
+from curatio.session import passing_shuffles
 
 
 def ordered(df: DataFrame, order: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -33,7 +34,8 @@ def write_lines(df: DataFrame, path: str, line_col: str = "line", order: Sequenc
     w = o.select(*partition_by, line_col).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.text(path)
+    with passing_shuffles(df.sparkSession):
+        w.text(path)
 
 
 def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[str, str],
@@ -56,7 +58,8 @@ def write_json_splits(df: DataFrame, root: str, dataset: str, split_map: dict[st
         path = f"{root.rstrip('/')}/{dataset}/{dataset}_{logical}.json"
         part = df.where(F.col(split_col) == source)
         part = part if in_order else ordered(part, order, num_partitions)
-        part.drop(split_col, *drop).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        with passing_shuffles(df.sparkSession):
+            part.drop(split_col, *drop).write.mode("overwrite").option("ignoreNullFields", False).json(path)
         out.append(path)
     return out
 
@@ -100,7 +103,8 @@ def write_json_arrays(df: DataFrame, root: str, cols: Sequence[str], chunk_rows:
               .agg(F.sort_array(F.collect_list(F.struct(pos_col, *cols))).alias("_s"))
               .select("chunk", F.to_json(F.transform("_s", lambda x: F.struct(*[x[c].alias(c) for c in cols])))
                       .alias("value")))
-    arrays.write.mode("overwrite").partitionBy("chunk").text(root)
+    with passing_shuffles(df.sparkSession):
+        arrays.write.mode("overwrite").partitionBy("chunk").text(root)
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> None:

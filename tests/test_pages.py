@@ -184,3 +184,19 @@ def test_a_block_of_crops_gets_its_own_polygons_only(spark):
     got = {r.row_pos: [(e.transcription, [list(p) for p in e.points]) for e in r.entries] for r in out.collect()}
     assert got == {0: [("t0", [[0, 0]])], 1: [("t1", [[0, 0]]), ("t3", [[2, 2]]), ("t5", [[4, 4]])]}
     assert "slice(_polys" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_polygons_are_shuffled_once_and_never_stored(spark):
+    """Offsets are summed over narrow rows; strings go to the polygons, by shuffle joins whatever the files' size."""
+    from curatio.operators.positions import stored
+    listed = spark.createDataFrame([(0, "a.png"), (1, None), (2, "b.png"), (3, "c.png")], "row_pos long, path string")
+    rows = [("a.png", i, [[i, 0]]) for i in (2, 0, 1)] + [("b.png", i, [[i, 1]]) for i in range(4)] + [(None, 0, [[9, 9]]), ("d.png", 0, [[8, 8]])]
+    dets = stored(spark.createDataFrame(rows, "path string, poly_idx long, points array<array<int>>"), "dets")
+    texts = stored(spark.createDataFrame([(c, f"t{c}") for c in (0, 2, 3, 6, 6, 7, 40)] + [(None, "x")], "crop_pos long, text string"), "texts")
+    for twice in (True, False):
+        out = pages.page_entries(listed, dets, texts, dedupe_paths=twice, block=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("partial_collect_list(struct(poly_idx") == 1 and not any("_polys" in line for line in plan.splitlines() if "ExistingRDD" in line)
+        assert plan.count("SortMergeJoin") == 3
+        got = {(r.row_pos, r.path): [(e.transcription, e.points[0][0]) for e in r.entries] for r in out.collect()}
+        assert got == {(0, "a.png"): [("t0", 0), ("t2", 2)], (1, None): [], (2, "b.png"): [("t3", 0), ("t6", 3), ("t6", 3)], (3, "c.png"): []}

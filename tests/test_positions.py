@@ -95,3 +95,42 @@ def test_file_positions_when_one_file_spans_many_splits(spark):
     assert train == [(i, str(i)) for i in range(3000)]
     test = sorted((r.row_pos, r.v) for r in rows if r.split == "test")
     assert test == [(i, f"t{i}") for i in range(500)]
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """Also a checkpoint and ordered lines; the files used to lie there until the driver collected its garbage."""
+    import time
+    before = _shuffle_files(spark)
+    wide = spark.range(3000).select(((F.col("id") * 7) % 3000).alias("k"), F.array("id", "id").alias("points"))
+    numbered = positions.dense_positions(wide, ["k"], "pos")
+    kept = positions.dense_positions(wide, ["k"], "pos", keep=["points"])
+    write_lines(numbered.select("pos", F.col("k").cast("string").alias("line")), scratch_path(spark, "lines"), order=["pos"])
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert kept.columns == ["points", "pos"]
+    assert sorted((r.points[0] * 7 % 3000, r.pos) for r in kept.collect()) == [(i, i) for i in range(3000)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_scratch_that_passes_is_deleted(spark):
+    import os
+
+    from curatio.session import local_path, passing_scratch
+    stays = scratch_path(spark, "stays")
+    with pytest.raises(KeyError), passing_scratch(spark):
+        passed = [scratch_path(spark, "passes")]
+        with passing_scratch(spark):
+            passed.append(scratch_path(spark, "inside"))
+            for p in passed:
+                spark.range(5).write.parquet(p)
+            out = positions.stored(spark.read.parquet(passed[1]), "stays", stays)
+        assert [os.path.exists(local_path(p)) for p in passed] == [True, False]
+        raise KeyError
+    assert not os.path.exists(local_path(passed[0])) and out.count() == 5
