@@ -76,12 +76,13 @@ def held_out(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "r
 def seeded_rank(df: DataFrame, seed: int, pos_col: str = "row_pos", out_col: str = "_rank") -> DataFrame:
     """Rank of every row by the seeded hash, for a whole permutation; the partitions, in turn, hold the rows by rank.
 
-    The leading 32 bits of the hash say which of the equal ranges a row belongs to.
+    The leading 32 bits of the hash say which of the equal ranges a row belongs to; the hash itself is
+    made again there, for the sorting, and is neither shuffled nor stored.
     """
     n = shuffle_partitions(df)
-    lead = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+    lead = F.conv(F.substring(_hash(seed, pos_col), 1, 8), 16, 10).cast("bigint")
     part = F.coalesce(F.shiftright(lead * F.lit(n), 32), F.lit(0)).cast("int")      # a NULL position has no hash and is first
-    return dense_positions(df.withColumn("_h", _hash(seed, pos_col)), ["_h", pos_col], out_col, n, range_id=part).drop("_h")
+    return dense_positions(df, ["_h", pos_col], out_col, n, range_id=part, order_values={"_h": _hash(seed, pos_col)})
 
 
 def exact_split(df: DataFrame, seed: int, test_size: float | int, pos_col: str = "row_pos",

@@ -12,7 +12,7 @@ from curatio.plans import jobs
 from curatio.plans.catalog import register
 from curatio.plans.catalog_pages import _rank_sql
 from curatio.plans.fixture_sql import CTES, with_ctes
-from curatio.session import scratch_path
+from curatio.session import passing_scratch, scratch_path
 from curatio.sinks import files as sinks
 from curatio.sources import files as sources
 
@@ -74,10 +74,11 @@ def q_job_training_batches(spark, sf_dir):
 def q_job_materialise(spark, sf_dir):
     """The source array written, made into split files by the job, and read back."""
     source, root = scratch_path(spark, "source"), scratch_path(spark, "materialised")
-    s = fx.svamp_full(spark, sf_dir).select("row_pos", F.col("body").alias("Body"), F.col("question").alias("Question"),
-                                            F.col("equation").alias("Equation"))
-    sinks.write_json_arrays(s, source, ["Body", "Question", "Equation"], chunk_rows=5000)
-    jobs.materialise_source(spark, f"{source}/chunk=*/*.txt", root, path_order_re=r"/chunk=([0-9]+)/")
+    with passing_scratch(spark):
+        s = fx.svamp_full(spark, sf_dir).select("row_pos", F.col("body").alias("Body"), F.col("question").alias("Question"),
+                                                F.col("equation").alias("Equation"))
+        sinks.write_json_arrays(s, source, ["Body", "Question", "Equation"], chunk_rows=5000, compression="gzip")
+    jobs.materialise_source(spark, f"{source}/chunk=*/*.txt.gz", root, path_order_re=r"/chunk=([0-9]+)/")
     return sources.read_json_splits(spark, root, "svamp", "input string, label string").select("split", "row_pos", "input", "label")
 
 

@@ -94,7 +94,7 @@ LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_exten
 
 def svamp_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, "l_quantity")
-    li = dense_positions(li, LINEITEM_KEY, "row_pos")
+    li = dense_positions(li, LINEITEM_KEY, "row_pos", keep=["l_orderkey", "l_linenumber", "l_quantity"])
     q = F.col("l_quantity").cast("int")
     ln = F.col("l_linenumber")
     qs, lns = q.cast("string"), ln.cast("string")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatio.operators import align, metrics, pages, parse, positions, prompts, sampling, tokens
+from curatio.session import passing_scratch
 from curatio.sinks import files as sinks
 from curatio.sinks.ledger import append_lines
 from curatio.sources import files as sources
@@ -215,10 +216,11 @@ def materialise_source(spark: SparkSession, paths: str | Sequence[str], root: st
 
     The first ``head`` rows of the seeded permutation are the training split.
     """
-    rows = sources.read_json_array(spark, paths, "Body string, Question string, Equation string", path_order_re)
-    rows = prompts.svamp_prompt(rows.select("row_pos", F.col("Body").alias("body"), F.col("Question").alias("question"),
-                                            F.col("Equation").alias("equation")))
-    splits = sampling.permute_head_split(rows, head, seed).select("split", "row_pos", "input", "label")
+    with passing_scratch(spark):        # the permutation is a checkpoint: the elements it was made from go
+        rows = sources.read_json_array(spark, paths, "Body string, Question string, Equation string", path_order_re)
+        rows = prompts.svamp_prompt(rows.select("row_pos", F.col("Body").alias("body"), F.col("Question").alias("question"),
+                                                F.col("Equation").alias("equation")))
+        splits = sampling.permute_head_split(rows, head, seed).select("split", "row_pos", "input", "label")
     return sinks.write_json_splits(splits, root, "svamp", spec_for("svamp").split_map, in_order=True)
 
 

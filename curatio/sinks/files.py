@@ -95,8 +95,8 @@ def write_output_single(df: DataFrame, root: str, splits: Sequence[str], rows_pe
 
 
 def write_json_arrays(df: DataFrame, root: str, cols: Sequence[str], chunk_rows: int,
-                      pos_col: str = "row_pos") -> None:
-    """Rows as JSON arrays of objects, ``chunk_rows`` per file (``chunk=<i>`` folders)."""
+                      pos_col: str = "row_pos", compression: str = "none") -> None:
+    """Rows as JSON arrays of objects, ``chunk_rows`` per file (``chunk=<i>`` folders), as text or compressed (``gzip``)."""
     chunk = F.floor(F.col(pos_col) / F.lit(chunk_rows)).cast("bigint")
     arrays = (df.withColumn("chunk", chunk)
               .groupBy("chunk")
@@ -104,7 +104,7 @@ def write_json_arrays(df: DataFrame, root: str, cols: Sequence[str], chunk_rows:
               .select("chunk", F.to_json(F.transform("_s", lambda x: F.struct(*[x[c].alias(c) for c in cols])))
                       .alias("value")))
     with passing_shuffles(df.sparkSession):
-        arrays.write.mode("overwrite").partitionBy("chunk").text(root)
+        arrays.write.mode("overwrite").partitionBy("chunk").option("compression", compression).text(root)
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet") -> None:

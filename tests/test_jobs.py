@@ -1,5 +1,6 @@
 """End-to-end jobs on the smallest tables, inputs written in the reference's file layout."""
 
+import hashlib
 import json
 import os
 
@@ -141,3 +142,27 @@ def test_preprocess_nothing_left(spark):
     left = preprocess_documents(docs, images, docs.select("doc").where("doc = 'a'"), texts)
     assert [(r.doc, r.text) for r in left["texts"].collect()] == [("b", "yz")]
     assert {r.line for r in left["state"].collect()} == {"raw/a_page_1.png\t1", "raw/b_page_1.png\t1"}
+
+
+def _scratch(spark, name):
+    import os
+    folder = os.path.dirname(local_path(scratch_path(spark, "x")))
+    return {f for f in os.listdir(folder) if f.startswith(name)} if os.path.isdir(folder) else set()
+
+
+def test_materialised_source_leaves_its_elements_behind(spark):
+    """Compressed source arrays; the element tables are gone when the split files are written."""
+    from curatio.plans.jobs import materialise_source
+    from curatio.sinks.files import write_json_arrays
+    from curatio.sources.files import read_json_splits
+    source, root = scratch_path(spark, "src"), scratch_path(spark, "out")
+    rows = spark.range(40).selectExpr("id AS row_pos", "concat('b, \"', id, '\"') AS Body", "'q?' AS Question", "concat('( ', id, ' )') AS Equation")
+    write_json_arrays(rows, source, ["Body", "Question", "Equation"], chunk_rows=7, compression="gzip")
+    before = _scratch(spark, "element")
+    materialise_source(spark, f"{source}/chunk=*/*.txt.gz", root, head=10, path_order_re=r"/chunk=([0-9]+)/")
+    assert _scratch(spark, "element") == before
+    got = read_json_splits(spark, root, "svamp", "input string, label string").collect()
+    want = sorted(range(40), key=lambda k: (hashlib.md5(f"0:{k}".encode()).hexdigest(), k))
+    for split, keys in (("train", want[:10]), ("test", want[10:])):
+        lines = [(r.input, r.label) for r in sorted((r for r in got if r.split == split), key=lambda r: r.row_pos)]
+        assert lines == [(f'b, "{k}"\nq?', f"( {k} )") for k in keys]
