@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatio.operators import pages, prompts
-from curatio.operators.positions import group_positions, materialize
+from curatio.operators.positions import group_positions, materialize, stored
 from curatio.plans import catalog_pages as cp
 from curatio.plans import fixtures as fx
 from curatio.plans import jobs
 from curatio.plans import sql_text as S
 from curatio.plans.catalog import ORACLE, _cqa_input_sql, register
 from curatio.plans.fixture_sql import with_ctes
-from curatio.session import scratch_path
+from curatio.session import passing_scratch, scratch_path
 from curatio.sinks import files as sinks
 from curatio.sinks.ledger import read_appended, stage_lines
 from curatio.sources import files as sources
@@ -198,8 +198,9 @@ _LABEL_SQL, _REC_SQL = ORACLE["label_lines"], ORACLE["rec_gt_lines"]
           f"UNION ALL SELECT 'rec_gt.txt', cast(row_number() OVER (ORDER BY row_pos, poly_idx) - 1 AS bigint), line FROM ({_REC_SQL})")
 def q_append_annotations(spark, sf_dir):
     """Annotation lines appended in four batches, one of them twice and one staged but never committed before."""
-    root = scratch_path(spark, "appended")
-    entries = materialize(cp.ocr_entries(spark, sf_dir), "entries")
+    root, made = scratch_path(spark, "appended"), scratch_path(spark, "entries")
+    with passing_scratch(spark):        # what the entries are made from goes
+        entries = stored(cp.ocr_entries(spark, sf_dir), "entries", made)
     n = entries.count()
     for batch in (0, 1, 1, 3, 2):
         part = entries.where(F.floor(F.col("row_pos") * 4 / F.lit(max(n, 1))) == batch)

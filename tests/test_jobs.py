@@ -166,3 +166,14 @@ def test_materialised_source_leaves_its_elements_behind(spark):
     for split, keys in (("train", want[:10]), ("test", want[10:])):
         lines = [(r.input, r.label) for r in sorted((r for r in got if r.split == split), key=lambda r: r.row_pos)]
         assert lines == [(f'b, "{k}"\nq?', f"( {k} )") for k in keys]
+
+
+def test_appended_annotations_keep_their_entries_only(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    before = _scratch(spark, "")
+    out = E.queries()["append_annotations"](spark, SF_SMALL)
+    new = sorted(f.rpartition("-")[0] for f in _scratch(spark, "") - before)
+    assert new == ["appended", "entries"]
+    n = {r.file: r["count"] for r in out.groupBy("file").count().collect()}
+    assert 0 < n["Label.txt"] < n["rec_gt.txt"]
